@@ -119,13 +119,14 @@ def recut(pieces: DataFrame, start: str, tokens: str, length: int, overlap: int
     begin, n = F.col(start), F.size(tokens)
     first = F.greatest(F.floor((begin - overlap) / length), F.lit(0))
     last = F.floor((begin + n - 1) / length)
-    spread = pieces.filter(n > 0).select(
-        begin.cast("long").alias("__begin"), F.col(tokens).alias("__tokens"),
-        F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"))
-    lo = F.greatest(F.col("block") * length - F.col("__begin"), F.lit(0))
-    hi = F.least((F.col("block") + 1) * length + overlap - F.col("__begin"), F.size("__tokens").cast("long"))
-    cut = spread.filter(hi > lo).select("block", (F.col("__begin") + lo).alias("at"),
-                                        F.slice("__tokens", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    def part(block):
+        lo = F.greatest(block * length - begin, F.lit(0))
+        hi = F.least((block + 1) * length + overlap - begin, n.cast("long"))
+        return F.struct(block.alias("block"), (begin + lo).alias("at"),
+                        F.slice(F.col(tokens), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    cut = pieces.filter(n > 0).select(F.inline(F.transform(F.sequence(first.cast("long"), last.cast("long")), part)))
     joined = cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
     return joined.select("block", F.flatten(F.transform("parts", lambda p: p["part"])).alias("tokens"))
 

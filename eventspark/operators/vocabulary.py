@@ -261,3 +261,10 @@ def whole_particle_token(eta_bin: Column, pt_bin: Column, phi_bin: Column, vocab
     """One token for a particle: the three bin numbers in mixed radix."""
     n_eta, n_pt = vocab.bins["eta"].count, vocab.bins["pt"].count
     return (vocab.offsets["eta"] + eta_bin + n_eta * pt_bin + n_eta * n_pt * phi_bin).cast("bigint")
+
+
+def rebin(token: Column, fine: int, coarse: int) -> Column:
+    """Number of a fine equal-frequency bin -> number of the coarse bin that contains it."""
+    if fine % coarse:
+        raise ValueError(f"{fine} bins do not split evenly into {coarse}")
+    return F.floor(token / (fine // coarse)).cast("long")

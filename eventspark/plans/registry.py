@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("particles", "comparison")
+MODULES = ("particles", "comparison", "tokens")
 
 
 def collect():
