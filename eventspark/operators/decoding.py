@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions import kinematics as kin
+from eventspark.functions.binning import literal_array
+from eventspark.functions.pinning import pinned
 from eventspark.operators.events import with_mass
 from eventspark.operators.ordering import running
 from eventspark.operators.vocabulary import Vocabulary
-from eventspark.functions.binning import literal_array
 from eventspark.schema import REASON_LENGTH, REASON_RANGE, REASON_RESERVED
+from eventspark.scratch import store
 
 
 def drop_padding(sequences: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -37,22 +39,24 @@ def split_on_event_start(sequences: DataFrame, vocab: Vocabulary, order: str = "
     the events, and the piece before the first start continues the event of an earlier sequence. Tokens
     before the very first start are dropped.
     """
-    clean = drop_padding(sequences.select(order, "tokens"), vocab).filter(F.size("tokens") > 0)
+    source = sequences.select(F.col(order).alias("__seq"), "tokens")
+    clean = pinned(source, "tokens", F.filter("tokens", lambda t: t != vocab.padding)).filter(F.size("tokens") > 0)
     is_start = lambda t: t == vocab.event_start
     starts = F.filter(F.transform("tokens", lambda t, i: F.when(is_start(t), i)), lambda i: i.isNotNull())
-    cut = clean.withColumn("starts", starts)
-    numbered = running(cut.select(order, F.size("starts").cast("long").alias("n")), [order],
-                       sums={"upto": F.col("n")}).select(order, (F.col("upto") - F.col("n")).alias("before"))
+    # written once: numbering the events reads ids and counts only
+    cut = store(pinned(clean, "starts", starts).withColumn("n", F.size("starts").cast("long")), "cut")
+    numbered = running(cut.select("__seq", "n"), ["__seq"], sums={"upto": F.col("n")}).select(
+        "__seq", (F.col("upto") - F.col("n")).alias("before"))
     size = F.size("tokens")
     bounds = F.concat(F.array(F.lit(0)), F.col("starts"), F.array(size))
     # piece 0 runs up to the first start, piece j from start j to the next one
     pieces = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda j: F.struct(
         j.alias("j"), F.slice(F.col("tokens"), F.get(bounds, j) + 1,
                               F.get(bounds, j + 1) - F.get(bounds, j)).alias("piece")))
-    parts = cut.join(numbered, order).select(order, "before", F.inline(pieces)).filter(F.size("piece") > 0)
+    parts = cut.join(numbered, "__seq").select("__seq", "before", F.inline(pieces)).filter(F.size("piece") > 0)
     event = (F.col("before") + F.col("j") - 1).alias("event_id")
-    return (parts.select(event, order, "piece").filter("event_id >= 0").groupBy("event_id")
-            .agg(F.sort_array(F.collect_list(F.struct(order, "piece"))).alias("parts"))
+    return (parts.select(event, "__seq", "piece").filter("event_id >= 0").groupBy("event_id")
+            .agg(F.sort_array(F.collect_list(F.struct("__seq", "piece"))).alias("parts"))
             .select("event_id", F.flatten(F.transform("parts", lambda p: p["piece"])).alias("tokens")))
 
 
@@ -95,13 +99,14 @@ def _violations(tokens: Column, vocab: Vocabulary, in_range: bool, reserved: boo
 def first_violation(events: DataFrame, vocab: Vocabulary, in_range: bool = True, reserved: bool = True) -> DataFrame:
     """Add the reason an event cannot be decoded, null for a good one."""
     width = len(vocab.schema)
-    code = F.array_min(_violations(F.col("tokens"), vocab, in_range, reserved))
+    coded = pinned(events, "__code", F.array_min(_violations(F.col("tokens"), vocab, in_range, reserved)))
+    code = F.col("__code")
     kind = code % (2 * width)
     reasons = literal_array_of_text([REASON_RANGE.format(slot=s, lo=vocab.slot_range(s)[0], hi=vocab.slot_range(s)[1])
                                      for s in vocab.schema])
     reason = F.when(~_good_length(F.col("tokens"), width), F.lit(REASON_LENGTH)).when(
         code.isNotNull() & (kind >= width), F.lit(REASON_RESERVED)).when(code.isNotNull(), F.get(reasons, kind))
-    return events.withColumn("reason", reason)
+    return coded.withColumn("reason", reason).drop("__code")
 
 
 def literal_array_of_text(values: list[str]) -> Column:

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions import kinematics as kin
+from eventspark.functions.pinning import pinned
 from eventspark.operators.events import valid_nested_events
 from eventspark.operators.ordering import running
 from eventspark.operators.vocabulary import Vocabulary
 from eventspark.schema import ETA_LIMIT, STRUCTURAL_SLOTS
+from eventspark.scratch import store
 
 
 def sequence_length(num_particles_max: int, vocab: Vocabulary, required: int | None = None) -> int:
@@ -89,8 +91,8 @@ def encode_events(events: DataFrame, vocab: Vocabulary, on_unknown: str = "error
     elif on_unknown != "error":
         raise ValueError(f"unknown on_unknown {on_unknown!r}")
     inner = F.flatten(F.transform(F.transform("particles", variables), tokens))
-    return valid.select("event_id", F.concat(
-        F.array(F.lit(vocab.event_start)), inner, F.array(F.lit(vocab.event_end))).alias("tokens"))
+    return pinned(valid, "tokens", F.concat(
+        F.array(F.lit(vocab.event_start)), inner, F.array(F.lit(vocab.event_end)))).select("event_id", "tokens")
 
 
 def event_token_lengths(encoded: DataFrame) -> DataFrame:
@@ -132,12 +134,16 @@ def recut(pieces: DataFrame, start: str, tokens: str, length: int, overlap: int
 
 
 def pack_stream(encoded: DataFrame, length: int, vocab: Vocabulary) -> DataFrame:
-    """All events, one after another, cut into sequences of ``length``; only the tail is padded."""
+    """All events, one after another, cut into sequences of ``length``; only the tail is padded.
+
+    The encoded events are written once: the prefix sum then reads nothing but ids and lengths.
+    """
     if length <= 0:
         raise ValueError("the packed form needs a sequence length")
-    ends = running(event_token_lengths(encoded), ["event_id"], sums={"end": F.col("n_tokens")}).select(
+    encoded = store(encoded.select("event_id", "tokens", F.size("tokens").cast("long").alias("n_tokens")), "encoded")
+    ends = running(encoded.select("event_id", "n_tokens"), ["event_id"], sums={"end": F.col("n_tokens")}).select(
         "event_id", (F.col("end") - F.col("n_tokens")).alias("start"))
-    sequences = recut(encoded.join(ends, "event_id"), "start", "tokens", length)
+    sequences = recut(encoded.select("event_id", "tokens").join(ends, "event_id"), "start", "tokens", length)
     return sequences.select(F.col("block").alias("seq_id"), F.concat(
         "tokens", F.array_repeat(F.lit(vocab.padding), F.lit(length) - F.size("tokens"))).alias("tokens"))
 

@@ -14,6 +14,7 @@ from eventspark.operators import vocabulary as vc
 from eventspark.operators.vocabulary import Vocabulary
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import ID, r, rounded
+from eventspark.scratch import store
 
 V = fx.VOCAB
 PACK = 64  # length of packed sequences in these queries
@@ -42,7 +43,8 @@ def _padded(spark, sf):
 
 
 def _packed(spark, sf):
-    return en.pack_stream(_encoded(spark, sf), PACK, V)
+    """The packed token table, written once like the token file it stands for."""
+    return store(en.pack_stream(_encoded(spark, sf), PACK, V), "packed")
 
 
 # --- vocabulary ----------------------------------------------------------------
@@ -149,7 +151,7 @@ def pad_jagged(spark, sf):
 
 
 def meta_tokenized(spark, sf):
-    encoded = _encoded(spark, sf)
+    encoded = store(_encoded(spark, sf), "encoded")
     packed = en.pack_stream(encoded, PACK, V)
     return en.tokenized_totals(packed, encoded.count(), PACK, V)
 
@@ -262,9 +264,7 @@ def chk_split_overlap(spark, sf):
 
 def _blocks(spark, sf, self_contained, size):
     packed = _packed(spark, sf)
-    total = en.event_token_lengths(_encoded(spark, sf)).agg(F.sum("n_tokens")).first()[0] or 0
-    n = -(-total // PACK)
-    return sq.token_blocks(packed, PACK, 0, n * PACK, size, self_contained)
+    return sq.token_blocks(packed, PACK, 0, packed.count() * PACK, size, self_contained)
 
 
 def token_blocks(spark, sf):
@@ -305,8 +305,7 @@ def particle_index(spark, sf):
 
 def chk_token_file(spark, sf):
     packed = _packed(spark, sf)
-    total = en.event_token_lengths(_encoded(spark, sf)).agg(F.sum("n_tokens")).first()[0] or 0
-    n = -(-total // PACK)
+    n = packed.count()
     stated = {"sequence_length": PACK, "total_tokens": n * PACK, "num_full_sequences": n + 1}  # last one is wrong
     return sq.token_file_checks(packed, stated, V)
 
