@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("particles", "comparison", "tokens")
+MODULES = ("particles", "comparison", "tokens", "metrics")
 
 
 def collect():
