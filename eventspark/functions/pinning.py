@@ -7,6 +7,8 @@ copied, so a one-element explode pins the result as a plain attribute; no shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,8 @@ def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     out = df.select(*others, F.explode(F.array(value)).alias(name))
     order = [*df.columns] if name in df.columns else [*df.columns, name]
     return out.select(*order)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventspark.functions.pinning import let
 from eventspark.schema import RAW_FIELDS
 
 
@@ -19,21 +20,23 @@ def numbers(line: Column) -> Column:
 def particles_of_line(line: Column, fields: Sequence[str] = RAW_FIELDS) -> Column:
     """``id x x ...;id x x ...`` -> array of particle structs; a ragged line is an error."""
     width = len(fields)
-    flat = numbers(line)
 
-    def particle(i):
+    def particle(flat, i):
         base = i * width
         return F.struct(*[
             F.get(flat, base + k).cast("bigint" if f == "pdgid" else "double").alias(f)
             for k, f in enumerate(fields)])
 
-    count = F.size(flat)
-    message = F.concat(F.lit("malformed event: "), count.cast("string"),
-                       F.lit(f" numbers are not divisible by {width}"))
-    whole = F.when(count % width == 0, F.floor(count / width).cast("int")).otherwise(
-        F.raise_error(message).cast("int"))
-    return F.when(count == 0, F.array().cast(_array_type(fields))).otherwise(
-        F.transform(F.sequence(F.lit(0), whole - 1), particle))
+    def particles(flat):
+        count = F.size(flat)
+        message = F.concat(F.lit("malformed event: "), count.cast("string"),
+                           F.lit(f" numbers are not divisible by {width}"))
+        whole = F.when(count % width == 0, F.floor(count / width).cast("int")).otherwise(
+            F.raise_error(message).cast("int"))
+        return F.when(count == 0, F.array().cast(_array_type(fields))).otherwise(
+            F.transform(F.sequence(F.lit(0), whole - 1), lambda i: particle(flat, i)))
+
+    return let(numbers(line), particles)
 
 
 def _array_type(fields: Sequence[str]) -> str:

@@ -69,11 +69,20 @@ _AXES = ("t", "x", "y", "z")
 _SIGN = {"t": 1.0, "x": -1.0, "y": -1.0, "z": -1.0}
 
 
+def _without_noise(value: Column, scale: Column) -> Column:
+    """0 for what is left when equal terms of the given size cancel."""
+    return F.when(F.abs(value) > 1e-12 * scale, value).otherwise(F.lit(0.0))
+
+
+def _mass_square() -> Column:
+    square = sum((F.col(f"p_{a}") ** 2 * _SIGN[a] for a in _AXES), F.lit(0.0))
+    return _without_noise(square, F.col("p_t") ** 2)
+
+
 def jet_mass(jets: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFrame:
     """Invariant mass of the massless particles (pt, eta, phi) of an event."""
-    sums = [F.sum(F.col("pt") * d).alias(a) for a, d in _directions().items()]
-    square = sum((F.col(a) * F.col(a) * s for a, s in _SIGN.items()), F.lit(0.0))
-    return jets.groupBy(*by).agg(*sums).select(*by, F.sqrt(F.greatest(square, F.lit(0.0))).alias("mass"))
+    sums = [F.sum(F.col("pt") * d).alias(f"p_{a}") for a, d in _directions().items()]
+    return jets.groupBy(*by).agg(*sums).select(*by, F.sqrt(F.greatest(_mass_square(), F.lit(0.0))).alias("mass"))
 
 
 def _moment_tensors(jets: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -98,11 +107,12 @@ def event_features(jets: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFr
     z_i z_j z_k theta_ij theta_jk (wedge). As theta is a product of four-vectors they are contractions
     of moment tensors (Komiske, Metodiev, Thaler, 2019): linear in the particles. Undefined values are 0.
     """
-    s = F.col("s")
-    square = sum((F.col(f"p_{a}") ** 2 * _SIGN[a] for a in _AXES), F.lit(0.0))
+    s, square = F.col("s"), _mass_square()
     double = sum((_second(a, b) ** 2 * (_SIGN[a] * _SIGN[b]) for a in _AXES for b in _AXES), F.lit(0.0))
     wedge = sum((_second(a, b) * F.col(f"p_{a}") * F.col(f"p_{b}") * (_SIGN[a] * _SIGN[b])
                  for a in _AXES for b in _AXES), F.lit(0.0))
+    double = _without_noise(double, F.col("t_tt") ** 2)
+    wedge = _without_noise(wedge, F.col("t_tt") * F.col("p_t") ** 2)
     out = {"multiplicity": F.col("n").cast("double"), "sum_pt": s, "mass": F.sqrt(F.greatest(square, F.lit(0.0))),
            "efp_edge": 2.0 * square / (s * s), "efp_double": 4.0 * double / (s * s), "efp_wedge": 4.0 * wedge / (s * s * s)}
     return _moment_tensors(jets, by).select(
@@ -115,9 +125,8 @@ def event_pair_sums(jets: DataFrame, by: Sequence[str] = ("event_id",)) -> DataF
     t = jets.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("pt") * d).alias(f"p_{a}") for a, d in _directions().items()],
         F.sum("eta").alias("e1"), F.sum(F.col("eta") * F.col("eta")).alias("e2"))
-    square = sum((F.col(f"p_{a}") ** 2 * _SIGN[a] for a in _AXES), F.lit(0.0))
     return t.select(*by, F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"),
-                    (square / 2.0).alias("pair_dot"),
+                    (_mass_square() / 2.0).alias("pair_dot"),
                     (F.col("n") * F.col("e2") - F.col("e1") * F.col("e1")).alias("pair_deta2"))
 
 

@@ -9,6 +9,7 @@ from eventspark.operators import events as ev
 from eventspark.operators import histograms as hs
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import r, rounded
+from eventspark.scratch import store
 
 BATCHES, COVER = 10, 100
 
@@ -23,6 +24,11 @@ def _features(spark, sf):
     return ds.event_features(_jets(spark, sf), ("sample", "event_id"))
 
 
+def _vectors(spark, sf):
+    """Feature vectors, written once: the distances go over them several times."""
+    return store(ds.as_vectors(_features(spark, sf)), "vectors")
+
+
 def _long(spark, sf):
     return hs.stacked(_jets(spark, sf), ["eta", "phi", "pt"], ["sample", "event_id"])
 
@@ -74,16 +80,16 @@ def feature_mean_cov(spark, sf):
 
 
 def fpd(spark, sf):
-    value, error = ds.fpd(ds.as_vectors(_features(spark, sf)))
+    value, error = ds.fpd(_vectors(spark, sf))
     return spark.createDataFrame([(value, error)], "fpd_value double, fpd_error double")
 
 
 def kpd(spark, sf):
-    return rounded(ds.kpd(ds.as_vectors(_features(spark, sf)), BATCHES), ["kpd_median", "kpd_error"], 7)
+    return rounded(ds.kpd(_vectors(spark, sf), BATCHES), ["kpd_median", "kpd_error"], 7)
 
 
 def coverage_mmd(spark, sf):
-    return rounded(ds.coverage_batches(ds.as_vectors(_features(spark, sf)), COVER), ["coverage", "mmd"])
+    return rounded(ds.coverage_batches(_vectors(spark, sf), COVER), ["coverage", "mmd"])
 
 
 def w1_efp(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("particles", "comparison", "tokens", "metrics")
+MODULES = ("particles", "comparison", "tokens", "metrics", "runs", "files")
 
 
 def collect():
