@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.schema import GAUSSIAN_GRID_POINTS
+from eventspark.schema import GAUSSIAN_GRID_POINTS, small_table
 
 
 def literal_array(values: Sequence, element: str) -> Column:
@@ -50,12 +50,10 @@ class Bins:
 
     def index(self, value: Column) -> Column:
         """Bin of a value: right-open, values outside the edges go to the edge bins, NaN to the last."""
-        last = self.count - 1
+        value = F.nanvl(value, F.lit(math.inf))
         if self.step is None:
-            found = search_sorted(value, self.thresholds)
-        else:
-            found = _uniform_index(value, self.edges[0], self.step, last)
-        return F.when(F.isnan(value), F.lit(last)).otherwise(found).cast("int")
+            return search_sorted(value, self.thresholds).cast("int")
+        return _uniform_index(value, self.edges[0], self.step, self.count - 1)
 
     def index_left_open(self, value: Column) -> Column:
         """Bin with left-open edges: an inner edge belongs to the bin below it."""
@@ -64,15 +62,11 @@ class Bins:
 
 
 def _uniform_index(value: Column, start: float, step: float, last: int) -> Column:
-    # the quotient may be off by one next to an edge, so the guess is settled against the edges
-    # themselves, in the arithmetic that made them
-    def clip(i):
-        return F.least(F.greatest(i, F.lit(0)), F.lit(last))
-
-    guess = clip(F.floor((value - F.lit(start)) / F.lit(step)))
-    lower = F.lit(start) + guess * F.lit(step)
-    upper = F.lit(start) + (guess + 1) * F.lit(step)
-    return clip(F.when(value < lower, guess - 1).when(value >= upper, guess + 1).otherwise(guess)).cast("int")
+    # whether the value lies above or below the nearest edge is settled against that edge itself, in the
+    # arithmetic that made it; a quotient alone may be off by one there
+    edge = F.rint((value - F.lit(start)) / F.lit(step))
+    below = (value < F.lit(start) + edge * F.lit(step)).cast("double")
+    return F.least(F.greatest(edge - below, F.lit(0.0)), F.lit(float(last))).cast("int")
 
 
 def search_sorted(value: Column, thresholds: Sequence[float]) -> Column:
@@ -130,20 +124,6 @@ def gaussian_bins(name: str, start: float, stop: float, n: int, center: float, s
     return Bins(name, (float(start), *(float(x) for x in inner), float(stop)))
 
 
-def quantile_bins(df: DataFrame, column: str, n: int, accuracy: int | None = None) -> Bins:
-    """Equal-frequency bins learned from the whole column.
-
-    Exact by default; with ``accuracy`` the edges come from a mergeable sketch, which is the way to go
-    when the distinct values of the column do not fit one aggregation buffer.
-    """
-    shares = [i / n for i in range(n + 1)]
-    wanted = F.array(*[F.lit(s) for s in shares])
-    edges = (F.percentile(column, wanted) if accuracy is None
-             else F.percentile_approx(column, shares, accuracy))
-    found = df.agg(edges.alias("edges")).first()["edges"]
-    return Bins(column, tuple(sorted(set(found))))
-
-
 def bucketize(df: DataFrame, column: str, bins: Bins, output: str) -> DataFrame:
     """Add the bin of a column. Even bins are plain arithmetic; others go through ``Bucketizer``."""
     if bins.step is not None or bins.count < 2:
@@ -157,4 +137,4 @@ def bucketize(df: DataFrame, column: str, bins: Bins, output: str) -> DataFrame:
 def bins_table(spark, bins: Bins) -> DataFrame:
     """One row for each bin."""
     rows = [(i, lo, hi, 0.5 * (lo + hi)) for i, (lo, hi) in enumerate(zip(bins.edges, bins.edges[1:]))]
-    return spark.createDataFrame(rows, "bin int, lo double, hi double, center double")
+    return small_table(spark, rows, "bin int, lo double, hi double, center double")

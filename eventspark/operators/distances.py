@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.operators.ordering import running, with_position
-from eventspark.schema import METRIC_FIELDS
+from eventspark.schema import METRIC_FIELDS, small_table
 from eventspark.scratch import store
 
 EVENT_FEATURES = ("multiplicity", "sum_pt", "mass", "efp_edge", "efp_double", "efp_wedge")
@@ -205,8 +205,7 @@ def feature_mean_cov(vectors: DataFrame, sample: str = "sample") -> DataFrame:
     rows, cols = _triangle(d)
     sums = centered_sums(vectors, [sample], center)
     spark = vectors.sparkSession
-    places = spark.createDataFrame(
-        [(int(d + t), int(i), int(j), float(center[i]), float(center[j])) for t, (i, j) in enumerate(zip(rows, cols))],
+    places = small_table(spark, [(int(d + t), int(i), int(j), float(center[i]), float(center[j])) for t, (i, j) in enumerate(zip(rows, cols))],
         "k bigint, i bigint, j bigint, c_i double, c_j double")
     count = sums.filter("k = -1").select(sample, F.col("s").alias("n"))
     first_i = sums.select(sample, F.col("k").alias("i"), F.col("s").alias("s_i"))
@@ -411,4 +410,4 @@ def metrics_row(jets: DataFrame, n_batches: int = 10, batch_size: int = 100, see
     values = [float("nan") if found.get(f) is None else found[f] for f in METRIC_FIELDS]
     if digits:
         values = [significant(v, digits) for v in values]
-    return jets.sparkSession.createDataFrame([tuple(values)], ", ".join(f"{f} double" for f in METRIC_FIELDS))
+    return small_table(jets.sparkSession, [tuple(values)], ", ".join(f"{f} double" for f in METRIC_FIELDS))

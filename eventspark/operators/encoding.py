@@ -74,7 +74,10 @@ def encode_particles(particles: DataFrame, vocab: Vocabulary, on_unknown: str =
 
 def encode_events(events: DataFrame, vocab: Vocabulary, on_unknown: str = "error",
                   eta_limit: float = ETA_LIMIT) -> DataFrame:
-    """Valid nested events -> (event_id, tokens): start, particles in order, end. No shuffle."""
+    """Valid nested events -> tokens in place of the particles: start, particles in order, end.
+
+    No shuffle, so it serves batch and streaming tables alike.
+    """
     valid = valid_nested_events(events, eta_limit)
 
     def variables(p):
@@ -92,7 +95,7 @@ def encode_events(events: DataFrame, vocab: Vocabulary, on_unknown: str = "error
         raise ValueError(f"unknown on_unknown {on_unknown!r}")
     inner = F.flatten(F.transform(F.transform("particles", variables), tokens))
     return pinned(valid, "tokens", F.concat(
-        F.array(F.lit(vocab.event_start)), inner, F.array(F.lit(vocab.event_end)))).select("event_id", "tokens")
+        F.array(F.lit(vocab.event_start)), inner, F.array(F.lit(vocab.event_end)))).drop("particles")
 
 
 def event_token_lengths(encoded: DataFrame) -> DataFrame:
@@ -151,7 +154,12 @@ def pack_stream(encoded: DataFrame, length: int, vocab: Vocabulary) -> DataFrame
 def pad_jagged(rows: DataFrame, column: str, fill: Column) -> DataFrame:
     """Pad arrays to the longest one."""
     longest = rows.agg(F.max(F.size(column))).first()[0] or 0
-    return rows.withColumn(column, F.concat(column, F.array_repeat(fill, F.lit(longest) - F.size(column))))
+    return pad_to(rows, column, fill, longest)
+
+
+def pad_to(rows: DataFrame, column: str, fill: Column, length: int) -> DataFrame:
+    """Pad arrays to a length none of them exceeds."""
+    return rows.withColumn(column, F.concat(column, F.array_repeat(fill, F.lit(length) - F.size(column))))
 
 
 def flat_values(events: DataFrame, fields=("pdgid", "e", "px", "py", "pz")) -> DataFrame:

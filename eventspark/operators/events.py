@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventspark.functions import kinematics as kin
 from eventspark.operators.ordering import running, with_position
 from eventspark.schema import ETA_LIMIT, RAW_FIELDS, TARGET_MASS, VERBOSE_FIELDS
+from eventspark.scratch import store
 
 
 # --- shape -------------------------------------------------------------------
@@ -120,6 +121,7 @@ def first_events(events: DataFrame, n: int) -> DataFrame:
 
 def match_counts(events: DataFrame, sample: str = "sample", order: str = "event_id") -> DataFrame:
     """Cut the samples to the size of the smallest one, in event order."""
+    events = store(events, "matched")  # three passes follow
     smallest = events.groupBy(sample).count().agg(F.min("count")).first()[0] or 0
     return with_position(events, [order], [sample], "__place").filter(F.col("__place") < smallest).drop("__place")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventspark.functions.binning import Bins, bins_table, bucketize
+from eventspark.schema import small_table
 
 # Usual histogram ranges (low, high, bins) of the analysis variables.
 DEFAULT_RANGES: dict[str, tuple[float, float, int]] = {
@@ -111,24 +112,24 @@ def stacked(rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Da
     return rows.select(*keep, F.inline(pairs))
 
 
-def histogram_many(values: DataFrame, bins: Mapping[str, Bins], by: Sequence[str]) -> DataFrame:
-    """Histograms of many features at once: one scan and one groupBy over (by..., feature, bin).
+def histogram_many(rows: DataFrame, bins: Mapping[str, Bins], by: Sequence[str]) -> DataFrame:
+    """Histograms of many columns at once: one scan and one groupBy over (by..., feature, bin).
 
-    Only even bins; their parameters ride along as constants. Empty bins have no row here.
+    The bins are computed next to each other in the wide row and stacked afterwards, so the shuffle
+    carries nothing but bin counts. Empty bins have no row here.
     """
-    index = None
-    for name, b in bins.items():
-        hit = (F.col("feature") == name) & in_range(F.col("value"), b)
-        found = b.index(F.col("value"))
-        index = F.when(hit, found) if index is None else index.when(hit, found)
-    return (values.withColumn("bin", index).filter("bin is not null")
+    # outside values get a negative bin: without branches the generated code stays small
+    binned = rows.select(*by, *[
+        (b.index(F.col(name)) - (~in_range(F.col(name), b)).cast("int") * (b.count + 1)).alias(name)
+        for name, b in bins.items()])
+    return (binned.unpivot(list(by), list(bins), "feature", "bin").filter("bin >= 0")
             .groupBy(*by, "feature", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
 def bin_grid(spark: SparkSession, bins: Mapping[str, Bins]) -> DataFrame:
     """All (feature, bin) pairs with their edges."""
     rows = [(f, i, lo, hi) for f, b in bins.items() for i, (lo, hi) in enumerate(zip(b.edges, b.edges[1:]))]
-    return spark.createDataFrame(rows, "feature string, bin int, lo double, hi double")
+    return small_table(spark, rows, "feature string, bin int, lo double, hi double")
 
 
 def values_with_bin(values: DataFrame, value: str, bins: Bins) -> DataFrame:

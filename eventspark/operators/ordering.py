@@ -1,10 +1,10 @@
 """Positions, running sums and next values over a total order, without one big task.
 
-``running`` first counts the largest group. While it fits one task, a plain window does the work
-with a single shuffle. Beyond that the rows are range-partitioned by (group, order), so a group that
-holds a third of the table is spread over many tasks: running values are taken inside each partition
-and the totals of the earlier partitions are added from a carry table with at most two rows for each
-partition. Both ways give the same result.
+``running`` first makes sure that no group outgrows a task (see ``groups_fit``). Then a plain window
+does the work with a single shuffle. Otherwise the rows are range-partitioned by (group, order), so a
+group that holds a third of the table is spread over many tasks: running values are taken inside each
+partition and the totals of the earlier partitions are added from a carry table with at most two rows
+for each partition. Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -17,16 +17,28 @@ from pyspark.sql import functions as F
 from eventspark.scratch import store
 
 MAX_WINDOW_ROWS = 2_000_000
+_HASH_BUCKETS = 1 << 16
 _ROW, _PART = "__row", "__part"
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row number below
 
 
-def largest_group(df: DataFrame, group_by: Sequence[str]) -> int:
-    """Rows of the largest group (of the whole table when there are no group columns)."""
+def groups_fit(df: DataFrame, group_by: Sequence[str], limit: int) -> bool:
+    """True when no group has more than ``limit`` rows; stops at the first check that proves it.
+
+    The row count (for a scan, file footers only) settles small tables. Rows by hash of the group bound
+    its size from above and combine on the map side to a few rows. Only when neither is enough are the
+    groups themselves counted.
+    """
+    if df.count() <= limit:
+        return True
     if not group_by:
-        return df.count()
-    sizes = df.groupBy(*group_by).count()
-    return sizes.agg(F.max("count")).first()[0] or 0
+        return False
+    bucket = F.pmod(F.xxhash64(*group_by), F.lit(_HASH_BUCKETS))
+    for key in ([bucket.alias("__bucket")], list(group_by)):
+        largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+        if largest <= limit:
+            return True
+    return False
 
 
 def running(
@@ -44,7 +56,7 @@ def running(
     """
     order_by, group_by = list(order_by), list(group_by)
     sums, following = dict(sums or {}), dict(following or {})
-    if largest_group(df, group_by) <= max_window_rows:
+    if groups_fit(df, group_by, max_window_rows):
         window = Window.partitionBy(*group_by).orderBy(*order_by)
         return _with_running(df, window, position, sums, following)
     return _running_by_range(df, order_by, group_by, position, sums, following)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions.binning import Bins, gaussian_bins, linear_bins, literal_array, step_bins
 from eventspark.operators.ordering import with_position
-from eventspark.schema import FEATURE_ORDER, STRUCTURAL_SLOTS
+from eventspark.schema import FEATURE_ORDER, STRUCTURAL_SLOTS, small_table
 
 VOCAB_DDL = ("token int, token_type string, name string, feature string, local_idx int, "
              "lo double, hi double, center double, pdgid bigint")
@@ -112,7 +112,7 @@ class Vocabulary:
         return out
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), VOCAB_DDL)
+        return small_table(spark, self.rows(), VOCAB_DDL)
 
     def pdgid_slot(self, pdgid: Column) -> Column:
         """Token of a particle id, null when unknown. Works inside lambdas, where a join cannot."""
@@ -217,7 +217,7 @@ def extend_pdgids(particles: DataFrame, vocab: Vocabulary) -> DataFrame:
     checked = first_seen.withColumn("pdgid", F.when(
         F.col("pdgid") == 0, F.raise_error(F.lit("particle id 0 is reserved")).cast("bigint")
     ).otherwise(F.col("pdgid")))
-    slots = spark.createDataFrame(list(enumerate(vocab.pdgids)), "slot int, pdgid bigint")
+    slots = small_table(spark, list(enumerate(vocab.pdgids)), "slot int, pdgid bigint")
     used, free = slots.filter("pdgid <> 0"), slots.filter("pdgid = 0").select("slot")
     unseen = with_position(
         checked.join(F.broadcast(used), "pdgid", "left_anti").select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventspark.functions.binning import bucketize, gaussian_bins, linear_bins, quantile_bins, step_bins
+from eventspark.functions.binning import bucketize, gaussian_bins, linear_bins, step_bins
 from eventspark.operators import events as ev
 from eventspark.operators import histograms as hs
+from eventspark.operators.quantiles import quantile_bins
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import ID, r, rounded
 
@@ -53,8 +54,9 @@ def hist_ratio(spark, sf):
 def hist_all_features(spark, sf):
     every = ev.secondaries(ev.with_polar(_particles(spark, sf)))
     lead = ev.leading_particle(every, list(MANY), ("sample", "event_id"))
-    both = (hs.stacked(every.withColumn("selection", F.lit("all")), list(MANY), ["sample", "selection"])
-            .unionByName(hs.stacked(lead.withColumn("selection", F.lit("leading")), list(MANY), ["sample", "selection"])))
+    columns = ["sample", *MANY]
+    both = every.select(F.lit("all").alias("selection"), *columns).unionByName(
+        lead.select(F.lit("leading").alias("selection"), *columns))
     return hs.histogram_many(both, MANY, ["sample", "selection"]).withColumn("bin", F.col("bin").cast("long"))
 
 

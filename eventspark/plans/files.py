@@ -12,7 +12,7 @@ from eventspark.plans import fixtures as fx
 from eventspark.plans import tokens as tk
 from eventspark.plans.particles import r, rounded
 from eventspark.schema import LEADING_FIELDS, VERBOSE_FIELDS
-from eventspark.scratch import scratch_path
+from eventspark.scratch import scratch_path, store
 from eventspark.sources import binary, text
 
 V = fx.VOCAB
@@ -49,20 +49,17 @@ def src_event_bin(spark, sf):
     return rounded(ev.explode_events(binary.read_dense_events(spark, path)), ["e", "px", "py", "pz"])
 
 
-def _padded(spark, sf):
-    return tk._padded(spark, sf), tk._longest(spark, sf)
-
-
 def src_token_bin(spark, sf):
-    padded, length = _padded(spark, sf)
+    length = tk._longest(spark, sf)
+    encoded = en.encode_events(binary.in_order(_events(spark, sf), "event_id"), V)
     path = scratch_path(spark, "tokens")
-    binary.write_tokens(padded.withColumnRenamed("event_id", "seq_id"), path, length)
+    binary.write_tokens(en.pad_sequences(encoded, length, V), path, length, order=None)
     return binary.read_tokens(spark, path, length).select("seq_id", line_of_tokens(F.col("tokens")).alias("tokens"))
 
 
 def sink_token_bin(spark, sf):
     """Token stream of unpadded events and the stream of their lengths, both read back whole."""
-    encoded = tk._encoded(spark, sf)
+    encoded = store(en.encode_events(binary.in_order(_events(spark, sf), "event_id"), V), "encoded")
     stream, lengths = scratch_path(spark, "stream"), scratch_path(spark, "lengths")
     binary.write_records(encoded.withColumnRenamed("tokens", "values"), stream, "uint16", 0, "event_id")
     binary.write_token_lengths(en.event_token_lengths(encoded), lengths)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.functions.binning import Bins, linear_bins, step_bins
+from eventspark.functions.binning import Bins, linear_bins, literal_array, step_bins
 from eventspark.operators.ordering import with_position
 from eventspark.operators.vocabulary import Vocabulary
+from eventspark.schema import small_table
 
 # Public particle masses in MeV, by slot.
 PDG = (
@@ -43,23 +44,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pdg(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PDG), "pdgid bigint, name string, mass double")
+    return small_table(spark, list(PDG), "pdgid bigint, name string, mass double")
 
 
 def particles(spark: SparkSession, sf: str) -> DataFrame:
     """One particle for each line item, events by order key."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER)
     placed = with_position(lines, LINE_ORDER, ["l_orderkey"], "particle_idx")
-    slots = spark.createDataFrame([(i, p[0], p[2]) for i, p in enumerate(PDG)], "slot bigint, pdgid bigint, mass double")
+    slot = (F.col("l_partkey") % len(PDG)).cast("int")
     momenta = placed.select(
-        F.col("l_orderkey").alias("event_id"), "particle_idx", (F.col("l_partkey") % len(PDG)).alias("slot"),
+        F.col("l_orderkey").alias("event_id"), "particle_idx",
+        F.get(literal_array([p[0] for p in PDG], "bigint"), slot).alias("pdgid"),
+        F.get(literal_array([p[2] for p in PDG], "double"), slot).alias("mass"),
         ((F.col("l_quantity") - 25.5) * 40.0).alias("px"),
         ((F.round(F.col("l_discount") * 100.0) - 5.0) * 100.0).alias("py"),
         ((F.col("l_extendedprice") - 50000.0) / 5.0).alias("pz"))
-    energy = F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz")
-                    + F.col("mass") * F.col("mass"))
-    return momenta.join(F.broadcast(slots), "slot").select(
-        "event_id", "particle_idx", "pdgid", energy.alias("e"), "px", "py", "pz")
+    px, py, pz, mass = (F.col(c) for c in ("px", "py", "pz", "mass"))
+    energy = F.sqrt(px * px + py * py + pz * pz + mass * mass)
+    return momenta.select("event_id", "particle_idx", "pdgid", energy.alias("e"), "px", "py", "pz")
 
 
 def with_sample(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from eventspark.operators import events as ev
 from eventspark.operators import histograms as hs
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import r, rounded
+from eventspark.schema import small_table
 from eventspark.scratch import store
 
 BATCHES, COVER = 10, 100
@@ -81,7 +82,7 @@ def feature_mean_cov(spark, sf):
 
 def fpd(spark, sf):
     value, error = ds.fpd(_vectors(spark, sf))
-    return spark.createDataFrame([(value, error)], "fpd_value double, fpd_error double")
+    return small_table(spark, [(value, error)], "fpd_value double, fpd_error double")
 
 
 def kpd(spark, sf):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventspark.functions.binning import bucketize, linear_bins, quantile_bins
+from eventspark.functions.binning import bucketize, linear_bins
 from eventspark.functions.text import line_of_tokens
 from eventspark.operators import decoding as dc
 from eventspark.operators import encoding as en
 from eventspark.operators import events as ev
 from eventspark.operators import sequences as sq
 from eventspark.operators import vocabulary as vc
+from eventspark.operators.quantiles import quantile_bins
 from eventspark.operators.vocabulary import Vocabulary
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import ID, r, rounded
@@ -262,18 +263,18 @@ def chk_split_overlap(spark, sf):
                             sq.take_split(packed, sq.Split(total // 2, 0, True), total))
 
 
-def _blocks(spark, sf, self_contained, size):
-    packed = _packed(spark, sf)
+def _blocks(packed, self_contained, size):
     return sq.token_blocks(packed, PACK, 0, packed.count() * PACK, size, self_contained)
 
 
 def token_blocks(spark, sf):
-    return _text(_blocks(spark, sf, False, 100), "tokens")
+    return _text(_blocks(_packed(spark, sf), False, 100), "tokens")
 
 
 def next_token_pairs(spark, sf):
-    shared = sq.next_token_pairs(_blocks(spark, sf, False, 100), 100, V, False).withColumn("mode", F.lit("A"))
-    alone = sq.next_token_pairs(_blocks(spark, sf, True, 128), 128, V, True).withColumn("mode", F.lit("B"))
+    packed = _packed(spark, sf)
+    shared = sq.next_token_pairs(_blocks(packed, False, 100), 100, V, False).withColumn("mode", F.lit("A"))
+    alone = sq.next_token_pairs(_blocks(packed, True, 128), 128, V, True).withColumn("mode", F.lit("B"))
     return _text(shared.unionByName(alone), "x", "y")
 
 
@@ -286,19 +287,21 @@ def epoch_shuffle(spark, sf):
 
 
 def rank_slices(spark, sf):
-    events = fx.particles(spark, sf).select("event_id").distinct()
+    events = store(fx.particles(spark, sf).select("event_id").distinct(), "events")
     return sq.rank_slices(events, "event_id", 7)
 
 
 def batch_assign(spark, sf):
-    events = fx.particles(spark, sf).select("event_id").distinct()
+    events = store(fx.particles(spark, sf).select("event_id").distinct(), "events")
     placed = sq.epoch_shuffle(events, "event_id", seed=1337, epoch=0)
     return sq.batch_assign(placed, events.count(), batch_size=16, accumulation=4, world_size=3)
 
 
 def particle_index(spark, sf):
-    counted = sq.particle_index(_packed(spark, sf), V, 12)
-    place = sq.particle_index(_padded(spark, sf), V, 8, positional=True).withColumnRenamed("event_id", "seq_id")
+    encoded = store(_encoded(spark, sf), "encoded")
+    counted = sq.particle_index(en.pack_stream(encoded, PACK, V), V, 12)
+    padded = en.pad_sequences(encoded, _longest(spark, sf), V)
+    place = sq.particle_index(padded, V, 8, positional=True).withColumnRenamed("event_id", "seq_id")
     both = counted.withColumn("mode", F.lit("count")).unionByName(place.withColumn("mode", F.lit("place")))
     return both.select("seq_id", "mode", line_of_tokens(F.col("particle")).alias("particle"))
 

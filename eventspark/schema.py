@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 # --- fixed values -----------------------------------------------------------
 # They must equal the published formats for results to agree.
 RAW_FIELDS = ("pdgid", "e", "px", "py", "pz")
@@ -32,3 +37,11 @@ VERBOSE_PARTICLE = "struct<" + ",".join(
     f"{f}:{'bigint' if f == 'pdgid' else 'double'}" for f in VERBOSE_FIELDS) + ">"
 EVENTS_DDL = f"event_id bigint, particles array<{PARTICLE}>"
 SEQUENCES_DDL = "seq_id bigint, tokens array<int>"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of plan-time constants as a local relation: planned and broadcast without a job."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)

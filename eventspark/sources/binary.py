@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
-from eventspark.operators.encoding import flat_values, pad_jagged
+from eventspark.operators.encoding import flat_values, pad_to
 from eventspark.schema import RAW_FIELDS
 
 FORMAT = "fixedrecords"
@@ -166,11 +166,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FixedRecordSource)
 
 
-def write_records(rows: DataFrame, path: str, dtype: str, width: int, order: str) -> None:
-    """Arrays in column ``values``, in the order of a column, as flat binary. Width 0: any length."""
+def in_order(rows: DataFrame, order: str) -> DataFrame:
+    """Range partitions sorted by ``order``; put it before costly row-wise work, not after."""
+    return rows.repartitionByRange(order).sortWithinPartitions(order)
+
+
+def write_records(rows: DataFrame, path: str, dtype: str, width: int, order: str | None) -> None:
+    """Arrays in column ``values``, in the order of a column, as flat binary. Width 0: any length.
+
+    ``order`` None takes the rows as they are: partition by partition, which ``in_order`` prepares.
+    """
     register(rows.sparkSession)
-    (rows.select(order, "values").repartitionByRange(order).sortWithinPartitions(order)
-     .select(F.lit(0).cast("long").alias("record"), "values")
+    ordered = rows if order is None else in_order(rows.select(order, "values"), order)
+    (ordered.select(F.lit(0).cast("long").alias("record"), "values")
      .write.format(FORMAT).options(path=path, dtype=dtype, width=width).mode("append").save())
 
 
@@ -200,10 +208,10 @@ def read_sidecar(path: str) -> dict:
 
 def write_dense_events(events: DataFrame, path: str) -> None:
     """Events padded to the largest one, with the sidecar that holds their shape."""
-    fields = len(RAW_FIELDS)
-    padded = pad_jagged(flat_values(events), "values", F.lit(0.0))
     shape = events.agg(F.count(F.lit(1)), F.max(F.size("particles"))).first()
-    write_records(padded, path, "float64", (shape[1] or 0) * fields, "event_id")
+    width = (shape[1] or 0) * len(RAW_FIELDS)
+    flat = flat_values(in_order(events.select("event_id", "particles"), "event_id"))
+    write_records(pad_to(flat, "values", F.lit(0.0), width), path, "float64", width, None)
     _write_sidecar(path, {"output_data_filepath": path, "num_events": shape[0], "num_particles_max": shape[1] or 0})
 
 
@@ -221,7 +229,7 @@ def read_dense_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("record").alias("event_id"), F.transform(there, particle).alias("particles"))
 
 
-def write_tokens(sequences: DataFrame, path: str, length: int, order: str = "seq_id") -> None:
+def write_tokens(sequences: DataFrame, path: str, length: int, order: str | None = "seq_id") -> None:
     """Sequences of one length as a flat two-byte token file."""
     write_records(sequences.withColumnRenamed("tokens", "values"), path, "uint16", length, order)
 

@@ -79,9 +79,11 @@ def read_events_long(spark: SparkSession, path, max_events: int | None = None) -
         "ordered", lambda p: F.struct(*[p[f].alias(f) for f in RAW_FIELDS])).alias("particles"))
 
 
-def _write_lines(rows: DataFrame, order: str, line, path: str) -> None:
-    # range partitions in order: part files read one after another are the rows in order
-    rows.select(order, line.alias("value")).repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
+def _write_lines(rows: DataFrame, order: str, column: str, line, path: str) -> None:
+    # range partitions in order: part files read one after another are the rows in order. Lines are
+    # made after the exchange, so the sampling pass of the range partitioner does not make them too.
+    ordered = rows.select(order, column).repartitionByRange(order).sortWithinPartitions(order)
+    ordered.select(line.alias("value")).write.text(path)
 
 
 def event_lines(events: DataFrame, fields: Sequence[str] = RAW_FIELDS) -> DataFrame:
@@ -90,12 +92,12 @@ def event_lines(events: DataFrame, fields: Sequence[str] = RAW_FIELDS) -> DataFr
 
 def write_events(events: DataFrame, path: str, fields: Sequence[str] = RAW_FIELDS) -> None:
     """Event lines in event order."""
-    _write_lines(events, "event_id", line_of_particles(F.col("particles"), fields), path)
+    _write_lines(events, "event_id", "particles", line_of_particles(F.col("particles"), fields), path)
 
 
 def write_samples(samples: DataFrame, path: str, order: str = "sample_id") -> None:
     """Token lines in sample order."""
-    _write_lines(samples, order, line_of_tokens(F.col("tokens")), path)
+    _write_lines(samples, order, "tokens", line_of_tokens(F.col("tokens")), path)
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:
