@@ -48,7 +48,7 @@ def running(
     position: str | None = None,
     sums: Mapping[str, Column] | None = None,
     following: Mapping[str, str] | None = None,
-    max_window_rows: int = MAX_WINDOW_ROWS,
+    max_window_rows: int | None = None,
 ) -> DataFrame:
     """Add ``position`` (from 0), inclusive running ``sums`` and ``following`` (next row's column).
 
@@ -56,7 +56,7 @@ def running(
     """
     order_by, group_by = list(order_by), list(group_by)
     sums, following = dict(sums or {}), dict(following or {})
-    if groups_fit(df, group_by, max_window_rows):
+    if groups_fit(df, group_by, MAX_WINDOW_ROWS if max_window_rows is None else max_window_rows):
         window = Window.partitionBy(*group_by).orderBy(*order_by)
         return _with_running(df, window, position, sums, following)
     return _running_by_range(df, order_by, group_by, position, sums, following)
@@ -111,6 +111,6 @@ def _running_by_range(df, order_by, group_by, position, sums, following):
 
 
 def with_position(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),
-                  name: str = "position", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                  name: str = "position", max_window_rows: int | None = None) -> DataFrame:
     """Dense row number from 0 in the given order."""
     return running(df, order_by, group_by, position=name, max_window_rows=max_window_rows)

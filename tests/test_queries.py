@@ -38,3 +38,14 @@ def test_query(spark, con, name):
         types = {d[0]: KINDS[str(d[1])] for d in cur.description}
         assert types == dict(df.dtypes)
         assert mine == canonical([d[0] for d in cur.description], cur.fetchall())
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["kin_verbose", "match_counts", "pack_stream", "split_on_event_start", "w1_batched",
+                                  "coverage_mmd", "bucket_quantile", "smooth_ema", "src_event_text"])
+def test_range_partitioned_order_gives_the_same(spark, con, monkeypatch, name):
+    """The way for groups that outgrow a task, forced on small tables."""
+    from eventspark.operators import ordering
+
+    monkeypatch.setattr(ordering, "MAX_WINDOW_ROWS", 5)
+    test_query(spark, con, name)
