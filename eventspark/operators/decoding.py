@@ -32,8 +32,8 @@ def trim_at_end(samples: DataFrame, vocab: Vocabulary, stop_at_end: bool = True,
     return samples.withColumn("tokens", F.slice("tokens", F.lit(1), stop.cast("int")))
 
 
-def split_on_event_start(sequences: DataFrame, vocab: Vocabulary, order: str = "seq_id") -> DataFrame:
-    """Sequences, read as one stream without padding, cut at every start token: (event_id, tokens).
+def event_pieces(sequences: DataFrame, vocab: Vocabulary, order: str = "seq_id") -> DataFrame:
+    """Sequences, read as one stream without padding, cut at every start token: (event_id, order, piece).
 
     Events may cross sequences. Each sequence is cut by itself; a prefix sum of the start counts numbers
     the events, and the piece before the first start continues the event of an earlier sequence. Tokens
@@ -55,8 +55,13 @@ def split_on_event_start(sequences: DataFrame, vocab: Vocabulary, order: str = "
                               F.get(bounds, j + 1) - F.get(bounds, j)).alias("piece")))
     parts = cut.join(numbered, "__seq").select("__seq", "before", F.inline(pieces)).filter(F.size("piece") > 0)
     event = (F.col("before") + F.col("j") - 1).alias("event_id")
-    return (parts.select(event, "__seq", "piece").filter("event_id >= 0").groupBy("event_id")
-            .agg(F.sort_array(F.collect_list(F.struct("__seq", "piece"))).alias("parts"))
+    return parts.select(event, F.col("__seq").alias("order"), "piece").filter("event_id >= 0")
+
+
+def split_on_event_start(sequences: DataFrame, vocab: Vocabulary, order: str = "seq_id") -> DataFrame:
+    """The pieces of every event in one row: (event_id, tokens)."""
+    return (event_pieces(sequences, vocab, order).groupBy("event_id")
+            .agg(F.sort_array(F.collect_list(F.struct("order", "piece"))).alias("parts"))
             .select("event_id", F.flatten(F.transform("parts", lambda p: p["piece"])).alias("tokens")))
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.operators.joins import join_summary
 from eventspark.operators.ordering import running, with_position
 from eventspark.schema import METRIC_FIELDS, small_table
 from eventspark.scratch import store
@@ -41,7 +42,7 @@ def wasserstein(values: DataFrame, by: Sequence[str], value: str = "value", samp
     steps = running(points, [value], by, sums={"upto_ref": F.col("n_ref"), "upto_gen": F.col("n_gen")},
                     following={"next_value": value})
     gap = F.abs(F.col("upto_ref") / F.col("all_ref") - F.col("upto_gen") / F.col("all_gen"))
-    return steps.join(totals, list(by)).groupBy(*by).agg(
+    return join_summary(steps, totals, by).groupBy(*by).agg(
         F.sum(gap * (F.col("next_value") - F.col(value))).alias("w1"))
 
 

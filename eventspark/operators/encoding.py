@@ -146,8 +146,30 @@ def pack_stream(encoded: DataFrame, length: int, vocab: Vocabulary) -> DataFrame
     encoded = store(encoded.select("event_id", "tokens", F.size("tokens").cast("long").alias("n_tokens")), "encoded")
     ends = running(encoded.select("event_id", "n_tokens"), ["event_id"], sums={"end": F.col("n_tokens")}).select(
         "event_id", (F.col("end") - F.col("n_tokens")).alias("start"))
-    sequences = recut(encoded.select("event_id", "tokens").join(ends, "event_id"), "start", "tokens", length)
-    return sequences.select(F.col("block").alias("seq_id"), F.concat(
+    return _with_tail(recut(encoded.select("event_id", "tokens").join(ends, "event_id"), "start", "tokens", length), length, vocab)
+
+
+def pack_particles(particles: DataFrame, length: int, vocab: Vocabulary, on_unknown: str = "error") -> DataFrame:
+    """``pack_stream`` from valid particles in long form, without ever gathering an event.
+
+    Each particle's tokens are a piece of the stream of their own: place of the event, plus the start
+    token, plus the particles before. So an event may be larger than a task.
+    """
+    width = len(vocab.schema)
+    pieces = store(encode_particles(particles, vocab, on_unknown), "pieces")
+    sizes = store(pieces.groupBy("event_id").agg((F.count(F.lit(1)) * width + 2).alias("n_tokens")), "sizes")
+    spans = store(running(sizes, ["event_id"], sums={"end": F.col("n_tokens")}).select(
+        "event_id", (F.col("end") - F.col("n_tokens")).alias("start"), "end"), "spans")
+    inner = pieces.join(spans, "event_id").select(
+        (F.col("start") + 1 + F.col("particle_idx") * width).alias("start"), "tokens")
+    frame = spans.select(F.inline(F.array(
+        F.struct("start", F.array(F.lit(vocab.event_start)).alias("tokens")),
+        F.struct((F.col("end") - 1).alias("start"), F.array(F.lit(vocab.event_end)).alias("tokens")))))
+    return _with_tail(recut(inner.unionByName(frame), "start", "tokens", length), length, vocab)
+
+
+def _with_tail(blocks: DataFrame, length: int, vocab: Vocabulary) -> DataFrame:
+    return blocks.select(F.col("block").alias("seq_id"), F.concat(
         "tokens", F.array_repeat(F.lit(vocab.padding), F.lit(length) - F.size("tokens"))).alias("tokens"))
 
 

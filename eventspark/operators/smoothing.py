@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventspark.operators.joins import join_summary
+
 CHUNK = 65_536
 _NEGLIGIBLE = 1e-20  # weights below it do not reach the last digit of a double
 
@@ -108,7 +110,7 @@ def savgol(rows: DataFrame, series: str, position: str, value: str, window: int
         return part.assign(**{output: out})[part["core"]].drop(columns=["chunk", "core", "n"])
 
     sizes = rows.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    lent = with_halo(rows.join(sizes, series), position, window, max(chunk, window)).select(
+    lent = with_halo(join_summary(rows, sizes, [series]), position, window, max(chunk, window)).select(
         *rows.columns, "n", "chunk", "core")
     return lent.groupBy(series, "chunk").applyInPandas(smooth, _schema(rows, output))
 

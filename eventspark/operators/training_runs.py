@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.operators.joins import join_summary
 from eventspark.operators.ordering import with_position
 from eventspark.schema import MESSAGE_CHECKPOINT, MESSAGE_RUNNING, METRIC_FIELDS
 
@@ -50,7 +51,7 @@ def best_checkpoint(checkpoints: DataFrame, loss: str = "val_loss") -> DataFrame
 
 def nearest_iteration(log: DataFrame, best: DataFrame) -> DataFrame:
     """The logged iteration closest to the best checkpoint, the earlier of equally close ones."""
-    joined = log.join(best.select("model", F.col("iter").alias("best_iter")), "model")
+    joined = join_summary(log, best.select("model", F.col("iter").alias("best_iter")), ["model"])
     distance = F.abs(F.col("iter") - F.col("best_iter"))
     return joined.groupBy("model").agg(
         F.min(F.struct(distance.alias("distance"), "iter")).alias("m"), F.first("best_iter").alias("best_iter")
@@ -64,7 +65,7 @@ def train_totals(log: DataFrame, best: DataFrame) -> DataFrame:
     """
     nearest = nearest_iteration(log, best)
     before = F.sum(F.when(F.col("iter") < F.col("nearest_iter"), F.col("time")))
-    return log.join(nearest, "model").groupBy("model").agg(
+    return join_summary(log, nearest, ["model"]).groupBy("model").agg(
         F.max("iter").alias("iters_trained"), F.sum("time").alias("compute_time_trained"),
         F.coalesce(before, F.lit(0.0)).alias("compute_time_saved"))
 

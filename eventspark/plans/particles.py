@@ -100,8 +100,12 @@ def drop_incident(spark, sf):
 
 
 def event_multiplicity_filter(spark, sf):
-    return ev.multiplicity_filter(ev.nest_events(fx.particles(spark, sf)), 3, 6, truncate=True).select(
-        "event_id", F.size("particles").cast("long").alias("n_particles"),
+    """Both modes: events outside 3..6 dropped, or longer ones cut to 6 particles."""
+    events = ev.nest_events(fx.particles(spark, sf))
+    cut = ev.multiplicity_filter(events, 3, 6, truncate=True).withColumn("mode", F.lit("cut"))
+    dropped = ev.multiplicity_filter(events, 3, 6).withColumn("mode", F.lit("drop"))
+    return cut.unionByName(dropped).select(
+        "mode", "event_id", F.size("particles").cast("long").alias("n_particles"),
         r(F.aggregate("particles", F.lit(0.0), lambda acc, p: acc + p["pz"]), 3).alias("pz_sum"))
 
 
@@ -224,8 +228,9 @@ ORACLE = {
     "valid_events": _OK + "select event_id, particle_idx, pdgid from valid",
     "valid_nested_events": _OK + "select event_id, count(*) as n_particles from valid group by event_id",
     "drop_incident": _P + "select event_id, particle_idx, pdgid, round(e, 6) as e from particles where particle_idx > 0",
-    "event_multiplicity_filter": _P + """select event_id, count(*) as n_particles, round(sum(pz), 3) + 0.0e0 as pz_sum
-        from particles where particle_idx < 6 group by event_id having count(*) >= 3""",
+    "event_multiplicity_filter": _P + """select 'cut' as mode, event_id, count(*) as n_particles, round(sum(pz), 3) + 0.0e0 as pz_sum
+        from particles where particle_idx < 6 group by event_id having count(*) >= 3
+        union all select 'drop', event_id, count(*), round(sum(pz), 3) + 0.0e0 from particles group by event_id having count(*) between 3 and 6""",
     "first_n_events": _P + "select event_id, particle_idx, pdgid, round(e, 6) as e from particles where event_id < 5000",
     "match_counts": _P + """, m as (select sample, event_id, count(*) - 1 as num_particles from particles group by all),
         n as (select min(c) as c from (select count(*) as c from m group by sample))

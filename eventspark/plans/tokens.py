@@ -144,6 +144,10 @@ def pack_stream(spark, sf):
     return _text(_packed(spark, sf), "tokens")
 
 
+def pack_particles(spark, sf):
+    return _text(en.pack_particles(ev.valid_events(fx.particles(spark, sf)), PACK, V), "tokens")
+
+
 def pad_jagged(spark, sf):
     flat = en.flat_values(_events(spark, sf), ("pdgid", "px", "py"))
     padded = en.pad_jagged(flat, "values", F.lit(0.0))
@@ -316,7 +320,7 @@ def chk_token_file(spark, sf):
 QUERIES = {f.__name__: f for f in (
     vocab_table, token_type, token_type_counts, vocab_coverage, vocab_extend, token_features,
     decode_bin_center, rebin_tokens, whole_particle_token, join_pdgid_slot, sequence_length,
-    encode_particles, encode_events, pad_sequences, event_token_lengths, pack_stream, pad_jagged,
+    encode_particles, encode_events, pad_sequences, event_token_lengths, pack_stream, pack_particles, pad_jagged,
     meta_tokenized, drop_padding_tokens, chk_decode_length, chk_token_range, chk_reserved_pdgid,
     chk_grammar, decode_events, join_token_center, decode_to_raw, meta_decoded, split_on_event_start,
     split_padded_sequences, roundtrip_error, trim_at_end, split_range, chk_split_overlap, token_blocks,
@@ -415,6 +419,7 @@ ORACLE = {
     "pad_sequences": _E + _PAD + f" select event_id, {_join('tokens')} as tokens from padded",
     "event_token_lengths": _E + " select event_id, cast(n_particles * 4 + 2 as bigint) as n_tokens from etok",
     "pack_stream": _E + _PACKED + f" select seq_id, {_join('tokens')} as tokens from packed",
+    "pack_particles": _E + _PACKED + f" select seq_id, {_join('tokens')} as tokens from packed",
     "pad_jagged": _P + """, flat as (select event_id, flatten(list([pdgid, cast(round(px) as bigint), cast(round(py) as bigint)] order by particle_idx)) as v
           from particles group by event_id)
         select event_id, array_to_string(list_concat(v, [cast(0 as bigint) for i in range((select max(len(v)) from flat) - len(v))]), ' ') as values from flat""",

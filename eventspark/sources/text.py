@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions.pinning import pinned
 from eventspark.functions.text import line_of_particles, line_of_tokens, particles_of_line, tokens_of_line
+from eventspark.operators.joins import join_summary
 from eventspark.operators.ordering import running
 from eventspark.schema import LEADING_FIELDS, RAW_FIELDS, VERBOSE_FIELDS
 from eventspark.scratch import store
@@ -27,7 +28,7 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     ends = running(blocks, ["__file", "__block"], sums={"__end": F.col("__n")})
     starts = ends.select("__file", "__block", "__first", (F.col("__end") - F.col("__n")).alias("__start"))
     kept = [c for c in rows.columns if not c.startswith("__")]
-    return placed.join(starts, ["__file", "__block"]).select(
+    return join_summary(placed, starts, ["__file", "__block"]).select(
         (F.col("__start") + F.col("__row") - F.col("__first")).alias(name), *kept)
 
 

@@ -14,6 +14,7 @@ from eventspark.operators import events as ev
 from eventspark.operators import histograms as hs
 from eventspark.operators import sequences as sq
 from eventspark.operators import vocabulary as vc
+from eventspark.operators.joins import join_summary
 from eventspark.operators.quantiles import exact_quantiles, quantile_bins
 from eventspark.plans import fixtures as fx
 from eventspark.sources.text import parse_event_lines
@@ -187,6 +188,22 @@ def test_packed_tail(spark):
     assert rows == [list(range(1, 11)), list(range(11, 21)), [21, 22, 23] + [0] * 7]
 
 
+def test_packing_without_gathering_events(spark):
+    rng = np.random.default_rng(11)
+    events = [[at_eta(float(rng.uniform(-3, 3)), float(rng.uniform(1, 900))) for _ in range(n)] for n in (3, 1, 200, 2)]
+    df = particles(spark, *events)
+    long = en.pack_particles(df, 32, V).orderBy("seq_id").collect()
+    nested = en.pack_stream(en.encode_events(ev.nest_events(df), V), 32, V).orderBy("seq_id").collect()
+    assert long == nested
+
+
+def test_summary_join_has_two_ways(spark):
+    rows, summary = spark.range(50).withColumn("g", F.col("id") % 3), spark.createDataFrame([(0, "a"), (1, "b")], "g bigint, v string")
+    small = join_summary(rows, summary, ["g"])
+    assert sorted(small.collect()) == sorted(join_summary(rows, summary, ["g"], max_rows=1).collect())
+    assert small.count() == 34
+
+
 def test_grammar(spark):
     seqs = spark.createDataFrame([(0, [1, 5, 125, 40, 80, 2, 0, 0]), (1, [1, 125, 40, 80, 2, 1])], "seq_id bigint, tokens array<int>")
     got = [(r.seq_id, r.place, r.token, r.next_token) for r in dc.grammar_violations(seqs, V).collect()]
