@@ -81,8 +81,13 @@ def _config(spark, sf):
 
 
 def src_run_config(spark, sf):
-    out = _config(spark, sf)
-    return out.select("model", "batch_size", "block_size", r(F.col("learning_rate")).alias("learning_rate"), "lr_scheduler", "scheme",
+    """Configuration, parameter count from the log and sampling metadata of every run."""
+    sampling = _log(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select(
+        "model", F.lit("test_bin").alias("split"), F.lit(54).alias("sequence_length"),
+        (F.col("n") * 54 * 9).alias("split_start_token_idx"), F.col("n").alias("num_sample_sequences"))
+    out = (_config(spark, sf).join(sr.parameter_counts(sr.read_training_log(spark, _written(_log_lines(spark, sf), "log"))), "model")
+           .join(sr.read_sampling(spark, _written(sampling, "sampling")), "model"))
+    return out.select("num_params", "split", "first_sequence", "end_sequence", "model", "batch_size", "block_size", r(F.col("learning_rate")).alias("learning_rate"), "lr_scheduler", "scheme",
                       F.isnan("n_layer").alias("n_layer_missing"), "num_train_tokens", "num_val_tokens",
                       F.col("vocab_size").cast("long").alias("vocab_size"))
 
@@ -168,7 +173,9 @@ ORACLE = {
         + " select model, " + ", ".join(f"v as {m}" for m in METRIC_FIELDS[:4]) + ", "
         + ", ".join(f"cast(null as double) as {m}" for m in METRIC_FIELDS[4:6]) + " from m",
     "src_run_config": _L + _CONF + """ select model, batch_size, block_size, round(learning_rate, 6) as learning_rate, lr_scheduler, 'unknown' as scheme,
-        true as n_layer_missing, num_train_tokens, num_val_tokens, cast(144 as bigint) as vocab_size from conf""",
+        true as n_layer_missing, num_train_tokens, num_val_tokens, cast(144 as bigint) as vocab_size,
+        cast(trunc(cast((n // 10) || '.' || (n % 10) as double) * 1e6) as bigint) as num_params, 'test_bin' as split,
+        n * 9 as first_sequence, n * 10 as end_sequence from conf join pm using (model)""",
     "parse_log_line": _L + """ select model, 'Training progress' as message, iter, round(train_loss, 6) as train_loss, round(val_loss, 6) as val_loss,
         time from tlog""",
     "parse_millions": """select o_orderkey, (o_custkey % 400) || '.' || (o_orderkey % 10) || 'M' as text,

@@ -24,6 +24,11 @@ def run_name() -> Column:
     return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")
 
 
+def file_stem() -> Column:
+    """Name of the file without its ending."""
+    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+
+
 def read_training_log(spark: SparkSession, path) -> DataFrame:
     """JSON lines of many runs -> typed rows with the run's name."""
     return spark.read.schema(LOG_LINE_DDL).json(path).select(
@@ -45,15 +50,27 @@ def read_metrics(spark: SparkSession, path, models: DataFrame) -> DataFrame:
         "model", *[F.coalesce(F.col(f), nan).alias(f) for f in METRIC_FIELDS])
 
 
-def read_configs(spark: SparkSession, path, metadata: DataFrame) -> DataFrame:
+def read_sampling(spark: SparkSession, path) -> DataFrame:
+    """Sampling metadata of every run: which split the sample came from and the sequences it stands for."""
+    ddl = ("model_name string, split string, sequence_length bigint, split_start_token_idx bigint, "
+           "num_sample_sequences bigint, num_starter_tokens bigint, seed bigint")
+    raw = spark.read.schema(ddl).option("multiLine", True).json(path).select(
+        F.coalesce("model_name", run_name()).alias("model"), "split", "sequence_length", "split_start_token_idx",
+        "num_sample_sequences", "num_starter_tokens", "seed")
+    first = F.floor(F.col("split_start_token_idx") / F.col("sequence_length")).cast("long")
+    return raw.withColumns({"first_sequence": first, "end_sequence": first + F.col("num_sample_sequences")})
+
+
+def read_configs(spark: SparkSession, path, metadata: DataFrame, name: Column | None = None) -> DataFrame:
     """Configuration of every run, flattened: missing numbers are NaN, a missing block size is the
     number of context events times the sequence length, token counts are length times events.
 
+    A run is named by ``model_name`` in its file, otherwise by ``name`` (default: the folder).
     ``metadata`` has (model, vocab_size, max_sequence_length, num_train_events, num_val_events).
     """
     inner = ", ".join(f"{k}: {t}" for k, t in CONFIG_FIELDS.items())
-    raw = spark.read.schema(f"training_config struct<{inner}>").option("multiLine", True).json(path).select(
-        run_name().alias("model"), "training_config.*")
+    raw = spark.read.schema(f"model_name string, training_config struct<{inner}>").option("multiLine", True).json(path).select(
+        F.coalesce(F.col("model_name"), run_name() if name is None else name).alias("model"), "training_config.*")
     nan = F.lit(float("nan"))
     filled = raw.select("model", *[
         F.coalesce(F.col(k), F.lit(TEXT_DEFAULTS[k]) if t == "string" else nan).alias(k) for k, t in CONFIG_FIELDS.items()])

@@ -101,6 +101,12 @@ def test_run_files(spark, tmp_path):
     config = {r.model: r for r in runs.read_configs(spark, str(tmp_path / "*" / "model.json"), metadata).collect()}
     assert config["m1"].block_size == 64 and config["m2"].block_size == 30 and config["m1"].num_train_tokens == 70
     assert np.isnan(config["m1"].n_layer) and config["m1"].lr_scheduler == "cosine_annealing_with_warmup"
+    stem = runs.read_configs(spark, str(tmp_path / "m1" / "model.json"), metadata.withColumn("model", F.lit("model")).limit(1), runs.file_stem())
+    assert stem.first().block_size == 64
+    (tmp_path / "m1" / "sampling_metadata.json").write_text(json.dumps(
+        {"model_name": "m1", "split": "test_bin", "sequence_length": 10, "split_start_token_idx": 70, "num_sample_sequences": 4}, indent=1))
+    sampled = runs.read_sampling(spark, str(tmp_path / "*" / "sampling_metadata.json")).first()
+    assert (sampled.model, sampled.split, sampled.first_sequence, sampled.end_sequence) == ("m1", "test_bin", 7, 11)
     log = runs.read_training_log(spark, str(tmp_path / "*" / "log.jsonl"))
     assert tr.running_rows(log).count() == 2 and {r.iter for r in tr.checkpoint_rows(log).collect()} == {5}
     assert {r.num_params for r in runs.parameter_counts(log).collect()} == {12300000}
