@@ -88,12 +88,15 @@ def jet_mass(jets: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFrame:
 
 def _moment_tensors(jets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per event: count, sum of pt, and the pt-weighted first and second moments of the directions."""
-    n = _directions()
-    second = list(combinations_with_replacement(_AXES, 2))
-    return jets.groupBy(*by).agg(
+    # directions are columns of their own, so that the sums below are plain products
+    work = jets.select(*by, "pt", *[d.alias(f"n_{a}") for a, d in _directions().items()])
+    weighted = work.select(*by, "pt", *[f"n_{a}" for a in _AXES],
+                           *[(F.col("pt") * F.col(f"n_{a}")).alias(f"w_{a}") for a in _AXES])
+    return weighted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum("pt").alias("s"),
-        *[F.sum(F.col("pt") * n[a]).alias(f"p_{a}") for a in _AXES],
-        *[F.sum(F.col("pt") * n[a] * n[b]).alias(f"t_{a}{b}") for a, b in second])
+        *[F.sum(f"w_{a}").alias(f"p_{a}") for a in _AXES],
+        *[F.sum(F.col(f"w_{a}") * F.col(f"n_{b}")).alias(f"t_{a}{b}")
+          for a, b in combinations_with_replacement(_AXES, 2)])
 
 
 def _second(a: str, b: str) -> Column:
@@ -108,16 +111,20 @@ def event_features(jets: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFr
     z_i z_j z_k theta_ij theta_jk (wedge). As theta is a product of four-vectors they are contractions
     of moment tensors (Komiske, Metodiev, Thaler, 2019): linear in the particles. Undefined values are 0.
     """
-    s, square = F.col("s"), _mass_square()
+    square = sum((F.col(f"p_{a}") ** 2 * _SIGN[a] for a in _AXES), F.lit(0.0))
     double = sum((_second(a, b) ** 2 * (_SIGN[a] * _SIGN[b]) for a in _AXES for b in _AXES), F.lit(0.0))
     wedge = sum((_second(a, b) * F.col(f"p_{a}") * F.col(f"p_{b}") * (_SIGN[a] * _SIGN[b])
                  for a in _AXES for b in _AXES), F.lit(0.0))
-    double = _without_noise(double, F.col("t_tt") ** 2)
-    wedge = _without_noise(wedge, F.col("t_tt") * F.col("p_t") ** 2)
-    out = {"multiplicity": F.col("n").cast("double"), "sum_pt": s, "mass": F.sqrt(F.greatest(square, F.lit(0.0))),
-           "efp_edge": 2.0 * square / (s * s), "efp_double": 4.0 * double / (s * s), "efp_wedge": 4.0 * wedge / (s * s * s)}
-    return _moment_tensors(jets, by).select(
-        *by, *[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias(k) for k, c in out.items()])
+    raw = _moment_tensors(jets, by).select(
+        *by, "n", "s", "p_t", "t_tt", square.alias("square"), double.alias("double"), wedge.alias("wedge"))
+    s, t = F.col("s"), F.col("p_t") ** 2
+    clean = raw.select(*by, "n", "s", _without_noise(F.col("square"), t).alias("square"),
+                       _without_noise(F.col("double"), F.col("t_tt") ** 2).alias("double"),
+                       _without_noise(F.col("wedge"), F.col("t_tt") * t).alias("wedge"))
+    out = {"multiplicity": F.col("n").cast("double"), "sum_pt": s,
+           "mass": F.sqrt(F.greatest(F.col("square"), F.lit(0.0))), "efp_edge": 2.0 * F.col("square") / (s * s),
+           "efp_double": 4.0 * F.col("double") / (s * s), "efp_wedge": 4.0 * F.col("wedge") / (s * s * s)}
+    return clean.select(*by, *[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias(k) for k, c in out.items()])
 
 
 def event_pair_sums(jets: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFrame:
