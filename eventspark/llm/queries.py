@@ -16,26 +16,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@shipped
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@shipped
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.plan(table(spark, sf_dir, "documents"))
 
 
+@shipped
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@shipped
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+@shipped
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_viterbi.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@shipped
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -43,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_classifier, op5_mixing, op6_toxicity, op7_simhash, op9_sentencepiece, pipeline)}
+    f.__name__: f for f in (op1_quality_classifier, op5_mixing, op6_toxicity, op7_simhash, op9_sentencepiece, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op5_mixing": """
