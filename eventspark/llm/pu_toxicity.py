@@ -64,14 +64,17 @@ class PuModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))))
 
 
-def choose_features(toxic: list[set[str]], unlabelled: list[set[str]], most: int = MAX_FEATURES) -> list[str]:
-    """Features whose rates differ by at least three standard errors, the clearest first."""
-    in_p, in_u = Counter(f for s in toxic for f in s), Counter(f for s in unlabelled for f in s)
-    n_p, n_u = len(toxic), len(unlabelled)
-    clear = []
+def choose_features(toxic: list[str], rest: list[str], most: int = MAX_FEATURES) -> list[str]:
+    """Features whose rates differ by at least three standard errors, the clearest first.
+
+    Only what occurs twice or more in toxic texts is counted in the others, so memory follows the former.
+    """
+    in_p, in_u = Counter(f for t in toxic for f in text_features(t)), Counter()
+    in_p = {f: k for f, k in in_p.items() if k >= 2}
+    for t in rest:
+        in_u.update(f for f in text_features(t) if f in in_p)
+    n_p, n_u, clear = len(toxic), len(rest), []
     for f, k in in_p.items():
-        if k < 2:
-            continue
         both = (k + in_u[f]) / (n_p + n_u)
         gap = k / n_p - in_u[f] / n_u
         z = gap / np.sqrt(max(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
@@ -89,8 +92,8 @@ class Rows:
     n: int
 
     @classmethod
-    def of(cls, sets: list[set[str]], index: dict[str, int]) -> Rows:
-        ids = [[index[f] for f in s if f in index] for s in sets]
+    def of(cls, texts: list[str], index: dict[str, int]) -> Rows:
+        ids = [[index[f] for f in text_features(t) if f in index] for t in texts]
         return cls(np.repeat(np.arange(len(ids)), [len(i) for i in ids]),
                    np.array([k for i in ids for k in i], dtype=np.int64), len(ids))
 
@@ -136,18 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = common.SAMPLE_ROWS,
 
 
 def fit_sample(sample: list[tuple[str, int]], prior: float) -> PuModel:
-    features = [text_features(t) for t, _ in sample]
-    toxic = [f for f, (_, y) in zip(features, sample) if y]
-    rest = [f for f, (_, y) in zip(features, sample) if not y]
+    """Model from (text, confirmed toxic) pairs; 0 only means that a text is not confirmed."""
+    toxic, rest = [t for t, y in sample if y], [t for t, y in sample if not y]
     if not toxic or not rest:
         return PuModel()
     # the unlabelled set has the share of toxic texts that the prior states
     again = round(prior / (1 - prior) * len(rest))
     unlabelled = rest + [toxic[k % len(toxic)] for k in range(again)]
-    names = choose_features(toxic, rest)
-    index = {f: k for k, f in enumerate(names)}
-
-    return PuModel(index, *train_nnpu(Rows.of(toxic, index), Rows.of(unlabelled, index), len(names), prior))
+    index = {f: k for k, f in enumerate(choose_features(toxic, rest))}
+    return PuModel(index, *train_nnpu(Rows.of(toxic, index), Rows.of(unlabelled, index), len(index), prior))
 
 
 def score_column(model: PuModel, text: str = "text") -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import compression_quality, gray_simhash, prefix_viterbi, pu_toxicity, source_mixing
+from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, prefix_viterbi, pu_toxicity, source_mixing,
+                            token_files)
 from eventspark.llm.common import shipped, table
 
 
@@ -21,6 +22,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@shipped
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@shipped
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
 @shipped
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.plan(table(spark, sf_dir, "documents"))
@@ -49,9 +60,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op5_mixing, op6_toxicity, op7_simhash, op9_sentencepiece, pipeline)}
+    f.__name__: f for f in (op1_quality_classifier, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op9_sentencepiece, pipeline)}
 
 ORACLE: dict[str, str] = {
+    "op4_sharding": f"""
+with hashed as (
+  select doc_id, coalesce(strlen(text), 0) as bytes, md5(coalesce(cast(doc_id as varchar), '')) as h from documents),
+bits as (
+  select doc_id, bytes, array_to_string(list_transform(range(1, 33),
+    lambda i: lpad(bin(cast('0x' || substr(h, i, 1) as bigint)), 4, '0')), '') as b from hashed),
+levels as (
+  select doc_id, bytes, d, substr(b, 1, d) as prefix, sum(bytes) over (partition by d, substr(b, 1, d)) as shard_bytes,
+    count(*) over (partition by d, substr(b, 1, d)) as shard_rows
+  from bits, (select cast(unnest(range(0, 129)) as integer) as d))
+select doc_id, cast(bytes as bigint) as bytes, prefix as shard, d as depth, cast(shard_bytes as bigint) as shard_bytes, shard_rows
+from levels where shard_bytes <= {extendible_sharding.LIMIT} or shard_rows = 1 or d = 128
+qualify row_number() over (partition by doc_id order by d) = 1""",
     "op5_mixing": """
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size,
