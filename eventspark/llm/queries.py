@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, prefix_viterbi, pu_toxicity, source_mixing,
+from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, ppm, prefix_viterbi, pu_toxicity, source_mixing,
                             token_files)
 from eventspark.llm.common import shipped, table
 
@@ -47,6 +47,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+@shipped
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), in_files=True)
+
+
 @shipped
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_viterbi.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -60,7 +65,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op9_sentencepiece, pipeline)}
+    f.__name__: f for f in (op1_quality_classifier, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op8_lm_scoring,
+    op9_sentencepiece, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op4_sharding": f"""
