@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, ppm, prefix_viterbi, pu_toxicity, source_mixing,
+from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, multiprobe, ppm, prefix_viterbi, pu_toxicity, source_mixing,
                             token_files)
 from eventspark.llm.common import shipped, table
 
@@ -57,6 +57,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_viterbi.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@shipped
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.search(table(spark, sf_dir, "embeddings"))
+
+
 @shipped
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -66,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op8_lm_scoring,
-    op9_sentencepiece, pipeline)}
+    op9_sentencepiece, op10_nearest_neighbours, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op4_sharding": f"""
