@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, multiprobe, ppm, prefix_viterbi, pu_toxicity, source_mixing,
+from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, multiprobe, ppm, prefix_viterbi, pruned_graph, pu_toxicity, source_mixing,
                             token_files)
 from eventspark.llm.common import shipped, table
 
@@ -22,6 +22,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@shipped
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 @shipped
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -70,10 +75,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op8_lm_scoring,
+    f.__name__: f for f in (op1_quality_classifier, op2_embedding_near_dedup, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op8_lm_scoring,
     op9_sentencepiece, op10_nearest_neighbours, pipeline)}
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+with recursive pairs as (
+  select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b
+  on a.label = b.label and a.vec_id <> b.vec_id
+    and list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.93e0),
+reach as (
+  select vec_id as a, vec_id as b from embeddings union select r.a, p.b from reach r join pairs p on r.b = p.a),
+least as (select a as vec_id, min(b) as component_id from reach group by a),
+links as (select a as vec_id, count(*) as n_links from pairs group by a)
+select l.vec_id, coalesce(k.n_links, 0) as n_links, l.component_id, l.vec_id = l.component_id as kept
+from least l left join links k on l.vec_id = k.vec_id""",
     "op4_sharding": f"""
 with hashed as (
   select doc_id, coalesce(strlen(text), 0) as bytes, md5(coalesce(cast(doc_id as varchar), '')) as h from documents),
