@@ -98,7 +98,7 @@ def shard_table(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     rows = store(keyed(docs.select("doc_id", "text")).drop("text"), "bits")
     shards = store(directory(rows, limit), "directory")
-    return assign(rows, shards).select("doc_id", F.col("__bytes").alias("bytes"), "shard", "depth", "shard_bytes", "shard_rows")
+    return assign(rows, shards).select("doc_id", F.col("__bytes").alias("bytes"), "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

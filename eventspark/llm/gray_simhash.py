@@ -220,8 +220,9 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 2,
     tasks = max(tasks, min(n // 1000, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
             names = rows["node"].combine_chunks().dictionary_encode()
             bits = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
             a, b = linked_to(names.indices.to_numpy().astype(np.int64), bits, max_bits)

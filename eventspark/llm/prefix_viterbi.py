@@ -1,15 +1,21 @@
 """SentencePiece encoding by a Viterbi search that words with a common beginning share, and decoding.
 
 Spaces become the mark U+2581 and one mark goes in front of the text. No piece holds a mark behind another
-character, so a best segmentation never crosses the place where a new marked word begins, and a text is a
-sequence of marked words. The distinct words of a batch of texts are sorted; sorted words are the leaves of
-a trie in depth-first order, and the forward scores of a prefix stay on a stack for all words that begin
-with it. The next word starts behind its common prefix with the one before, and adds one score for each
-further character.
-
-Scores are the model's piece scores, added; the best sum wins, of equal sums the one whose last pieces are
-longer. Characters without a piece, and marks that the text itself holds, are written as bytes, so
-decoding gives back every text exactly.
+character, so no piece crosses the place where a new marked word begins, and a text is a sequence of marked
+words. The distinct words of a batch of texts are sorted; sorted words are the leaves of a trie in
+depth-first order, and the forward state of a prefix stays on a stack for all words that begin with it.
+The next word starts behind its common prefix with the one before, and adds one state for each further
+character.
+
+The forward state of a prefix is the best path of pieces that ends there. What a path costs depends on the
+model. In a unigram model it is the sum of the pieces' scores. In a merge (BPE) model scores are an order
+of merges, not weights of pieces: there a step from one piece to the next costs nothing if merging the two
+pieces' characters gives back just these two pieces, and is forbidden otherwise. The result of merging a
+prefix is the one path of allowed steps, so every prefix has one state here as well, and the ids are those
+of the library.
+
+Characters without a piece, and marks that the text itself holds, are written as bytes, so decoding gives
+back every text exactly.
 """
 
 from __future__ import annotations
@@ -28,18 +34,21 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
 MEMO_WORDS = 700_000
+MEMO_STEPS = 100_000  # pieces whose followers are remembered
 BATCH_CHARS = 8 << 20
 _WORD = re.compile(r" *[^ ]+| +")
 
 
 @dataclass
 class Pieces:
-    """Pieces of a model: ids and scores by text, the ids of bytes, and the text of each id."""
+    """Pieces of a model: ids and scores by text, the ids of bytes, the text of each id, and whether scores
+    order merges (BPE) or are added (unigram)."""
 
     ids: dict[str, int]
     scores: dict[str, float]
     bytes_: list[int]
     texts: list[bytes]
+    merges: bool = True
 
     def __post_init__(self):
         # pieces by their characters from last to first: a search looks back from each place
@@ -50,11 +59,11 @@ class Pieces:
             node = self.tree
             for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[""] = score
+            node[""] = piece if self.merges else score
         self.byte_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
     @classmethod
-    def load(cls, path: str) -> Pieces:
+    def load(cls, path: str, merges: bool = True) -> Pieces:
         """Read a model file with the sentencepiece library. Control pieces have no text."""
         import sentencepiece
 
@@ -72,7 +81,7 @@ class Pieces:
                 texts.append(piece.replace(MARK, " ").encode())
         if min(bytes_) < 0:
             raise ValueError("the model has no byte pieces, which whole texts need")
-        return cls(ids, scores, bytes_, texts)
+        return cls(ids, scores, bytes_, texts, merges)
 
 
 def marked_words(text: str | None) -> list[str | None]:
@@ -101,24 +110,53 @@ def marked_words(text: str | None) -> list[str | None]:
     return out
 
 
+def merge(word: str, scores: dict[str, float]) -> list[str]:
+    """Pieces of a short string by merging: the pair with the best score first, of equal ones the leftmost."""
+    parts = list(word)
+    while True:
+        found = [(-scores[parts[k] + parts[k + 1]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in scores]
+        if not found:
+            return parts
+        k = min(found)[1]
+        parts[k:k + 2] = [parts[k] + parts[k + 1]]
+
+
+class Following(dict):
+    """Whether a piece may follow ``before``, found by merging both when it is first asked; "" begins a word."""
+
+    def __init__(self, before: str, scores: dict[str, float]):
+        self.before, self.scores = before, scores
+
+    def __missing__(self, piece: str) -> bool:
+        want = [self.before, piece] if self.before else [piece]
+        allowed = self[piece] = merge(self.before + piece, self.scores) == want
+        return allowed
+
+
 class SharedViterbi:
     """Best segmentations of words given in sorted order."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.word, self.best, self.back = "", [0.0], [0]  # forward scores and piece starts on the stack
+        self.after: dict[str, Following] = {}
+        self.next = [Following("", pieces.scores)]        # and, for a merge model, what may follow
         self.reused = self.computed = 0
 
     def ids(self, word: str) -> list[int]:
-        known, last, common = self.pieces, self.word, 0
+        last, common = self.word, 0
         most = min(len(word), len(last))
         while common < most and word[common] == last[common]:
             common += 1
-        best, back = self.best, self.back
-        del best[common + 1:], back[common + 1:]
+        del self.best[common + 1:], self.back[common + 1:], self.next[common + 1:]
         self.reused += common
         self.computed += len(word) - common
-        tree, byte_score = known.tree, known.byte_score
+        (self._by_steps if self.pieces.merges else self._by_scores)(word, common)
+        self.word = word
+        return self._collect(word)
+
+    def _by_scores(self, word: str, common: int) -> None:
+        best, back, tree, byte_score = self.best, self.back, self.pieces.tree, self.pieces.byte_score
         for end in range(common + 1, len(word) + 1):
             start = end - 1
             top, node, k = best[start] + byte_score, tree, end
@@ -133,10 +171,35 @@ class SharedViterbi:
                         top, start = s, k
             best.append(top)
             back.append(start)
-        self.word = word
-        out, end = [], len(word)
+
+    def _by_steps(self, word: str, common: int) -> None:
+        back, nexts, tree, after = self.back, self.next, self.pieces.tree, self.after
+        if len(after) > MEMO_STEPS:
+            after.clear()
+        for end in range(common + 1, len(word) + 1):
+            start = k = end - 1
+            piece = c = word[k]
+            if not nexts[k][c]:
+                node = tree.get(c)
+                while k and node is not None:
+                    k -= 1
+                    node = node.get(word[k])
+                    if node is None:
+                        break
+                    longer = node.get("")
+                    if longer is not None and nexts[k][longer]:
+                        start, piece = k, longer
+                        break
+            back.append(start)
+            following = after.get(piece)
+            if following is None:
+                following = after[piece] = Following(piece, self.pieces.scores)
+            nexts.append(following)
+
+    def _collect(self, word: str) -> list[int]:
+        out, end, known = [], len(word), self.pieces
         while end:
-            start = back[end]
+            start = self.back[end]
             piece = known.ids.get(word[start:end])
             if piece is None:
                 out.extend(known.bytes_[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass")))
@@ -147,9 +210,9 @@ class SharedViterbi:
         return out
 
 
-def encode_words(words: set[str], pieces: Pieces) -> dict[str, bytes]:
+def encode_words(words: set[str], pieces: Pieces, search: SharedViterbi | None = None) -> dict[str, bytes]:
     """Ids of distinct words as little-endian 32-bit integers, searched in sorted order."""
-    search = SharedViterbi(pieces)
+    search = search or SharedViterbi(pieces)
     return {word: array("i", search.ids(word)).tobytes() for word in sorted(words)}
 
 
@@ -159,6 +222,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces, self.own = pieces, array("i", [pieces.bytes_[b] for b in MARK.encode()]).tobytes()
         self.memo: dict = {None: self.own}
+        self.search = SharedViterbi(pieces)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [marked_words(t) for t in texts]
@@ -166,7 +230,7 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo = {None: self.own}
             new = set().union(*words).difference(self.memo)
-        self.memo.update(encode_words(new, self.pieces))
+        self.memo.update(encode_words(new, self.pieces, self.search))
         get = self.memo.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 

@@ -100,7 +100,7 @@ levels as (
   select doc_id, bytes, d, substr(b, 1, d) as prefix, sum(bytes) over (partition by d, substr(b, 1, d)) as shard_bytes,
     count(*) over (partition by d, substr(b, 1, d)) as shard_rows
   from bits, (select cast(unnest(range(0, 129)) as integer) as d))
-select doc_id, cast(bytes as bigint) as bytes, prefix as shard, d as depth, cast(shard_bytes as bigint) as shard_bytes, shard_rows
+select doc_id, cast(bytes as bigint) as bytes, prefix as shard, cast(d as bigint) as depth, cast(shard_bytes as bigint) as shard_bytes, shard_rows
 from levels where shard_bytes <= {extendible_sharding.LIMIT} or shard_rows = 1 or d = 128
 qualify row_number() over (partition by doc_id order by d) = 1""",
     "op5_mixing": """
