@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 700_000
+MEMO_WORDS = 500_000
 MEMO_STEPS = 100_000  # pieces whose followers are remembered
 BATCH_CHARS = 8 << 20
 _WORD = re.compile(r" *[^ ]+| +")

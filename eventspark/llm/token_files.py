@@ -25,7 +25,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-MEMO_CHUNKS = 1_500_000
+MEMO_CHUNKS = 900_000
 BATCH_CHARS = 4 << 20
 
 # white space other than the plain space and the line end
