@@ -17,26 +17,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.operators.joins import join_summary
-from eventspark.operators.ordering import running, with_position
+from eventspark.operators.ordering import running
 from eventspark.schema import METRIC_FIELDS, small_table
 from eventspark.scratch import store
 
 EVENT_FEATURES = ("multiplicity", "sum_pt", "mass", "efp_edge", "efp_double", "efp_wedge")
 KERNEL_DEGREE = 4
+_ROWS_AT_ONCE = 256
 _SPREAD = (0.16275, 0.83725)  # central range that a one-sigma error covers
 
 
 # --- Wasserstein -----------------------------------------------------------------
 
+def _is_finite(value: str) -> Column:
+    return F.coalesce(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
+def finite_values(values: DataFrame, by: Sequence[str], value: str = "value", sample: str = "sample") -> tuple[DataFrame, DataFrame]:
+    """The rows with finite values, and how many were used and dropped in each group and sample."""
+    counts = values.groupBy(*by, sample).agg(
+        F.count_if(_is_finite(value)).alias("n_used"), F.count_if(~_is_finite(value)).alias("n_dropped"))
+    return values.filter(_is_finite(value)), counts
+
+
+def _two_samples(rows: DataFrame, sample: str, reference: str) -> DataFrame:
+    """The rows; an error if there are two samples besides the reference, which would be taken as one."""
+    others = rows.filter(F.col(sample) != reference).agg(F.min(sample).alias("a"), F.max(sample).alias("b")).first()
+    if others["a"] != others["b"]:
+        raise ValueError(f"more than one sample beside {reference}: {others['a']}, {others['b']}; compare one at a time")
+    return rows
+
+
+def compare_each(rows: DataFrame, distance, sample: str = "sample", reference: str = "ref") -> DataFrame:
+    """``distance`` of the reference and each other sample of ``rows``, with the sample's name in ``compared``.
+
+    There are few samples; each is one run of ``distance`` over its rows and those of the reference.
+    """
+    out = None
+    for row in rows.filter(F.col(sample) != reference).select(sample).distinct().orderBy(sample).collect():
+        one = distance(rows.filter(F.col(sample).isin(reference, row[0]))).withColumn("compared", F.lit(row[0]))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no sample beside {reference}")
+    return out
+
+
+def _dimension(vectors: DataFrame) -> int:
+    first = vectors.select(F.size("x").alias("d")).first()
+    if first is None:
+        raise ValueError("no vectors")
+    return first["d"]
+
+
 def wasserstein(values: DataFrame, by: Sequence[str], value: str = "value", sample: str = "sample",
                 reference: str = "ref") -> DataFrame:
     """Area between the two distribution functions, for every group of ``by``.
 
-    Values are counted first, so a value that many rows share is one row when the order is needed.
+    Values are counted first, so a value that many rows share is one row when the order is needed. A value
+    that is null or not finite is an error, and so is a third sample; ``finite_values`` leaves such values
+    out, and a column of ``by`` keeps several generated samples apart.
     """
-    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
     is_ref = F.col(sample) == reference
-    points = store(values.filter(finite).groupBy(*by, value).agg(
+    sound = F.when(_is_finite(value), F.col(value)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{value} is not finite in sample "), F.col(sample))).cast("double"))
+    points = store(_two_samples(values, sample, reference).withColumn(value, sound).groupBy(*by, value).agg(
         F.count_if(is_ref).alias("n_ref"), F.count_if(~is_ref).alias("n_gen")), "points")
     totals = points.groupBy(*by).agg(F.sum("n_ref").alias("all_ref"), F.sum("n_gen").alias("all_gen"))
     steps = running(points, [value], by, sums={"upto_ref": F.col("n_ref"), "upto_gen": F.col("n_gen")},
@@ -144,7 +188,7 @@ def as_vectors(features: DataFrame, names: Sequence[str] = EVENT_FEATURES, keep=
 
 def scale_by_reference(vectors: DataFrame, reference: str = "ref") -> DataFrame:
     """Divide every feature by its largest absolute value in the reference."""
-    d = len(vectors.select("x").first()["x"])
+    d = _dimension(vectors)
     ref = vectors.filter(F.col("sample") == reference)
     top = ref.agg(*[F.max(F.abs(F.get("x", F.lit(i)))).alias(f"m{i}") for i in range(d)]).first()
     scale = [v if v else 1.0 for v in top]
@@ -167,8 +211,10 @@ def _partial_sums(vectors: DataFrame, by: Sequence[str], columns_of) -> DataFram
             if batch.empty:
                 continue
             for key, group in batch.groupby(keys, sort=False):
-                columns = columns_of(np.stack(group["x"].to_list()))
-                part = np.concatenate(([len(group)], columns.sum(axis=0)))
+                rows = np.stack(group["x"].to_list())
+                # a few rows at a time: their columns may be many
+                part = sum(np.concatenate(([len(m)], columns_of(m).sum(axis=0)))
+                           for m in (rows[lo:lo + _ROWS_AT_ONCE] for lo in range(0, len(rows), _ROWS_AT_ONCE)))
                 sums[key] = sums[key] + part if key in sums else part
         for key, total in sums.items():
             out = pd.DataFrame({"k": np.arange(-1, len(total) - 1, dtype=np.int64), "s": total})
@@ -289,13 +335,13 @@ def _monomials(d: int, degree: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(exponents), np.array(weights)
 
 
-def kernel_sums(vectors: DataFrame, by: Sequence[str], degree: int = KERNEL_DEGREE) -> DataFrame:
+def kernel_sums(vectors: DataFrame, by: Sequence[str], degree: int = KERNEL_DEGREE, reference: str = "ref") -> DataFrame:
     """Kernel sums of every group: pairs inside the reference, inside the generated, and across.
 
     (x.y / d + 1)^degree is a weighted sum over monomials, so a double sum over rows is a single sum of
     squared monomial totals. The rows' own terms k(x, x) are left out of the inner sums.
     """
-    d = len(vectors.select("x").first()["x"])
+    d = _dimension(vectors)
     exponents, weights = _monomials(d, degree)
     roots = np.sqrt(weights)
 
@@ -308,7 +354,7 @@ def kernel_sums(vectors: DataFrame, by: Sequence[str], degree: int = KERNEL_DEGR
         return np.column_stack([own, phi])
 
     sums = _partial_sums(vectors, [*by, "sample"], columns_of)
-    is_ref = F.col("sample") == "ref"
+    is_ref = F.col("sample") == reference
     wide = sums.groupBy(*by, "k").agg(F.sum(F.when(is_ref, F.col("s"))).alias("a"),
                                       F.sum(F.when(~is_ref, F.col("s"))).alias("b"))
     phi = F.col("k") > 0
@@ -324,29 +370,29 @@ def kernel_sums(vectors: DataFrame, by: Sequence[str], degree: int = KERNEL_DEGR
 
 
 def kernel_distance_batches(vectors: DataFrame, n_batches: int = 10, seed: int = 0) -> DataFrame:
-    """Unbiased squared kernel distance in every batch."""
-    batched = scale_by_reference(vectors).withColumn("batch", batch_of("event_id", n_batches, seed))
+    """Unbiased squared kernel distance in every batch; null where a side has fewer than two rows."""
+    batched = scale_by_reference(_two_samples(vectors, "sample", "ref")).withColumn("batch", batch_of("event_id", n_batches, seed))
     n, m = F.col("n_ref"), F.col("n_gen")
     return kernel_sums(batched, ["batch"]).select("batch", (
-        F.col("k_ref") / (n * (n - 1)) + F.col("k_gen") / (m * (m - 1)) - 2.0 * F.col("k_cross") / (n * m)).alias("mmd2"))
+        F.try_divide("k_ref", n * (n - 1)) + F.try_divide("k_gen", m * (m - 1)) - 2.0 * F.try_divide("k_cross", n * m)).alias("mmd2"))
 
 
 def kpd(vectors: DataFrame, n_batches: int = 10, seed: int = 0) -> DataFrame:
-    """Median over batches and half the central one-sigma range."""
+    """Median over the batches with a distance and half the central one-sigma range."""
     low, high = _SPREAD
     return kernel_distance_batches(vectors, n_batches, seed).agg(
         F.percentile("mmd2", F.lit(0.5)).alias("kpd_median"),
         ((F.percentile("mmd2", F.lit(high)) - F.percentile("mmd2", F.lit(low))) / 2.0).alias("kpd_error"))
 
 
-def sample_pair_sums(vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+def sample_pair_sums(vectors: DataFrame, by: Sequence[str], reference: str = "ref") -> DataFrame:
     """Over all reference x generated pairs of a group: their number, sum of dot products and sum of
     squared distances, from sums of each side. No pair is built."""
     def columns_of(m):
         return np.column_stack([(m * m).sum(axis=1), m])
 
     sums = _partial_sums(vectors, [*by, "sample"], columns_of)
-    is_ref = F.col("sample") == "ref"
+    is_ref = F.col("sample") == reference
     wide = sums.groupBy(*by, "k").agg(F.sum(F.when(is_ref, F.col("s"))).alias("a"),
                                       F.sum(F.when(~is_ref, F.col("s"))).alias("b"))
 
@@ -362,26 +408,28 @@ def sample_pair_sums(vectors: DataFrame, by: Sequence[str]) -> DataFrame:
 # --- coverage -----------------------------------------------------------------------
 
 def coverage_batches(vectors: DataFrame, batch_size: int = 100, seed: int = 0) -> DataFrame:
-    """Coverage and mean nearest distance in batches of at most ``batch_size`` events of each sample.
+    """Coverage and mean nearest distance in batches of about ``batch_size`` events of the larger sample.
 
     Coverage is the share of reference events that are nearest to some generated one; the other value
-    is the mean distance of a reference event to its nearest generated one. Every event is in a batch:
-    their number grows with the data, their size does not, so a task holds one small distance matrix.
+    is the mean distance of a reference event to its nearest generated one. A hash of the event gives its
+    batch, so every event of either sample is in one, and the sides of a batch have about the proportion of
+    the samples. The number of batches grows with the data, their size does not. A batch without generated
+    events covers nothing and has no distance; one without reference events has no row.
     """
-    scaled = scale_by_reference(vectors)
-    smallest = scaled.groupBy("sample").count().agg(F.min("count")).first()[0] or 0
-    keyed = scaled.withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("event_id").cast("string"))))
-    placed = with_position(keyed, ["__key", "event_id"], ["sample"], "place").filter(F.col("place") < smallest)
-    batched = placed.select(F.floor(F.col("place") / batch_size).cast("long").alias("batch"), "sample", "place", "x")
+    scaled = scale_by_reference(_two_samples(vectors, "sample", "ref"))
+    largest = scaled.groupBy("sample").count().agg(F.max("count")).first()[0] or 0
+    batches = max(1, -(-largest // batch_size))
+    batched = scaled.select(batch_of("event_id", batches, seed).alias("batch"), "sample", "event_id", "x")
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        ref = np.stack(group.loc[group["sample"] == "ref", "x"].to_list())
-        gen = np.stack(group.loc[group["sample"] != "ref", "x"].to_list())
-        distance = np.sqrt(((ref[:, None, :] - gen[None, :, :]) ** 2).sum(axis=2))
-        covered = len(np.unique(distance.argmin(axis=0)))
-        return pd.DataFrame({"batch": [group["batch"].iloc[0]], "n": [len(ref)],
-                             "coverage": [covered / len(ref)], "mmd": [distance.min(axis=1).mean()]})
+        group = group.sort_values("event_id")
+        ref, gen = (group.loc[side, "x"].to_list() for side in (group["sample"] == "ref", group["sample"] != "ref"))
+        out = {"batch": group["batch"].iloc[:1], "n": [len(ref)], "coverage": [0.0], "mmd": [None]}
+        if ref and gen:
+            ref, gen = np.stack(ref), np.stack(gen)
+            distance = np.sqrt(((ref[:, None, :] - gen[None, :, :]) ** 2).sum(axis=2))
+            out |= {"coverage": [len(np.unique(distance.argmin(axis=0))) / len(ref)], "mmd": [distance.min(axis=1).mean()]}
+        return pd.DataFrame(out).iloc[:1 if len(ref) else 0]
 
     return batched.groupBy("batch").applyInPandas(nearest, "batch bigint, n bigint, coverage double, mmd double")
 
@@ -390,7 +438,8 @@ def coverage_mmd(vectors: DataFrame, batch_size: int = 100, seed: int = 0) -> Da
     """Means over the batches, each weighted by its events."""
     n = F.col("n")
     return coverage_batches(vectors, batch_size, seed).agg(
-        (F.sum(F.col("coverage") * n) / F.sum(n)).alias("coverage"), (F.sum(F.col("mmd") * n) / F.sum(n)).alias("mmd"))
+        (F.sum(F.col("coverage") * n) / F.sum(n)).alias("coverage"),
+        (F.sum(F.col("mmd") * n) / F.sum(F.when(F.col("mmd").isNotNull(), n))).alias("mmd"))
 
 
 # --- the whole row ------------------------------------------------------------------

@@ -227,8 +227,10 @@ def max_removable_ids(particles: DataFrame, budget: int) -> DataFrame:
     An event is lost as soon as its rarest id is: count events by the rank of their rarest id and add up.
     Ordered windows run over distinct ids only.
     """
-    ranks = with_position(pdgid_frequency(particles), ["n_events", "pdgid"], name="rank").select("pdgid", "rank")
-    lost_at = (pdgid_occurrences(particles).join(ranks, "pdgid").groupBy("event_id")
+    occurrences = store(pdgid_occurrences(particles), "occurrences")
+    frequency = occurrences.groupBy("pdgid").agg(F.count(F.lit(1)).alias("n_events"))
+    ranks = store(with_position(frequency, ["n_events", "pdgid"], name="rank").select("pdgid", "rank"), "ranks")
+    lost_at = (occurrences.join(ranks, "pdgid").groupBy("event_id")
                .agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("lost")))
     steps = running(ranks.select("rank").join(lost_at, "rank", "left").fillna(0, ["lost"]),
                     ["rank"], sums={"lost_so_far": F.col("lost")})

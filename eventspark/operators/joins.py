@@ -5,19 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventspark.scratch import store
 
-MAX_BROADCAST_ROWS = 500_000
 
-
-def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner",
-                 max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join rows with a per-group summary.
 
-    The summary is written first and counted. Up to ``max_rows`` it is broadcast and the rows stay where
-    they are, whatever group they belong to; a larger one is joined by a shuffle.
+    The summary is written first, so its bytes are known when the join is planned: within the session's
+    broadcast limit the rows stay where they are, beyond it both sides are shuffled and hot groups split.
     """
-    stored = store(summary, "summary")
-    return rows.join(F.broadcast(stored) if stored.count() <= max_rows else stored, list(on), how)
+    return rows.join(store(summary, "summary"), list(on), how)

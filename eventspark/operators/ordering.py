@@ -1,10 +1,9 @@
 """Positions, running sums and next values over a total order, without one big task.
 
-``running`` first makes sure that no group outgrows a task (see ``groups_fit``). Then a plain window
-does the work with a single shuffle. Otherwise the rows are range-partitioned by (group, order), so a
-group that holds a third of the table is spread over many tasks: running values are taken inside each
-partition and the totals of the earlier partitions are added from a carry table with at most two rows
-for each partition. Both ways give the same result.
+Rows are range-partitioned by (group, order) into a written table, so a group that holds a third of the
+rows is spread over many tasks. Running values are taken inside each partition, and what the earlier
+partitions add comes from a carry table with at most two rows for each partition. Where the caller knows
+that a group fits a task, as the particles of one event do, a plain window needs less.
 """
 
 from __future__ import annotations
@@ -16,31 +15,11 @@ from pyspark.sql import functions as F
 
 from eventspark.scratch import store
 
-MAX_WINDOW_ROWS = 2_000_000
-_HASH_BUCKETS = 1 << 16
+PARTITIONS: int | None = None  # of a range partitioning; None leaves the number to the session
 _ROW, _PART = "__row", "__part"
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row number below
 
 
-def groups_fit(df: DataFrame, group_by: Sequence[str], limit: int) -> bool:
-    """True when no group has more than ``limit`` rows; stops at the first check that proves it.
-
-    The row count (for a scan, file footers only) settles small tables. Rows by hash of the group bound
-    its size from above and combine on the map side to a few rows. Only when neither is enough are the
-    groups themselves counted.
-    """
-    if df.count() <= limit:
-        return True
-    if not group_by:
-        return False
-    bucket = F.pmod(F.xxhash64(*group_by), F.lit(_HASH_BUCKETS))
-    for key in ([bucket.alias("__bucket")], list(group_by)):
-        largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-        if largest <= limit:
-            return True
-    return False
-
-
 def running(
     df: DataFrame,
     order_by: Sequence[str],
@@ -48,69 +27,84 @@ def running(
     position: str | None = None,
     sums: Mapping[str, Column] | None = None,
     following: Mapping[str, str] | None = None,
-    max_window_rows: int | None = None,
+    bounded: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``position`` (from 0), inclusive running ``sums`` and ``following`` (next row's column).
 
-    ``order_by`` has to be a total order inside a group, otherwise tied rows may swap places.
+    ``order_by`` has to be a total order inside a group, otherwise tied rows may swap places. Null keys form
+    a group of their own. ``bounded`` promises that no group outgrows a task.
     """
     order_by, group_by = list(order_by), list(group_by)
     sums, following = dict(sums or {}), dict(following or {})
-    if groups_fit(df, group_by, MAX_WINDOW_ROWS if max_window_rows is None else max_window_rows):
+    if bounded:
+        if not group_by:
+            raise ValueError("the whole table is no bounded group")
         window = Window.partitionBy(*group_by).orderBy(*order_by)
-        return _with_running(df, window, position, sums, following)
-    return _running_by_range(df, order_by, group_by, position, sums, following)
+        return df.withColumns(_over(window, position, sums, following))
+    ranged = ranges(df, order_by, group_by, sums, partitions)
+    return _carried(ranged, group_by, position, sums, following, df.columns)
 
 
-def _with_running(df, window, position, sums, following):
+def ranges(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str], sums: Mapping[str, Column],
+           partitions: int | None = None) -> DataFrame:
+    """The rows in written range partitions, numbered in their order."""
+    keys = [*group_by, *order_by]
+    work = df.withColumns({f"__add_{name}": col for name, col in sums.items()})
+    partitions = partitions or PARTITIONS
+    dealt = work.repartitionByRange(partitions, *keys) if partitions else work.repartitionByRange(*keys)
+    stored = store(dealt.sortWithinPartitions(*keys).withColumn(_ROW, F.monotonically_increasing_id()), "ranged")
+    return stored.withColumn(_PART, F.shiftright(_ROW, _ROW_BITS))
+
+
+def _over(window, position, sums, following) -> dict[str, Column]:
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {}
     if position:
         new[position] = F.row_number().over(window).cast("long") - 1
     new |= {name: F.sum(col).over(upto) for name, col in sums.items()}
     new |= {name: F.lead(col).over(window) for name, col in following.items()}
-    return df.withColumns(new)
-
+    return new
 
-def _running_by_range(df, order_by, group_by, position, sums, following):
-    keys = group_by + order_by
-    addends = {f"__add_{name}": col for name, col in sums.items()}
-    ranged = store(
-        df.withColumns(addends).repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .withColumn(_ROW, F.monotonically_increasing_id()), "ranged")
-    ranged = ranged.withColumn(_PART, F.shiftright(_ROW, _ROW_BITS))
 
-    part_totals = ranged.groupBy(*group_by, _PART).agg(
+def _carried(ranged, group_by, position, sums, following, columns):
+    totals = ranged.groupBy(*group_by, _PART).agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.sum(a).alias(f"__sum{a}") for a in addends],
-        *[F.min_by(col, _ROW).alias(f"__first_{name}") for name, col in following.items()],
-    )
+        *[F.sum(f"__add_{name}").alias(f"__sum_{name}") for name in sums],
+        *[F.min_by(col, _ROW).alias(f"__first_{name}") for name, col in following.items()])
     by_part = Window.partitionBy(*group_by).orderBy(_PART)
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
-    carry = part_totals.select(
-        *group_by, _PART,
+    keys = {g: f"__group{k}" for k, g in enumerate(group_by)}
+    carry = totals.select(
+        *[F.col(g).alias(k) for g, k in keys.items()], F.col(_PART).alias("__at"),
         F.sum("__n").over(before).alias("__before"),
-        *[F.sum(f"__sum{a}").over(before).alias(f"__before{a}") for a in addends],
+        *[F.sum(f"__sum_{name}").over(before).alias(f"__before_{name}") for name in sums],
         F.lead(_PART).over(by_part).alias("__later"),
         *[F.lead(f"__first_{name}").over(by_part).alias(f"__next_{name}") for name in following],
     ).filter("__before is not null or __later is not null")
 
     window = Window.partitionBy(_PART, *group_by).orderBy(_ROW)
-    local = _with_running(ranged, window, position, {n: F.col(f"__add_{n}") for n in sums}, following)
+    local = _over(window, position, {n: F.col(f"__add_{n}") for n in sums}, following)
+    local["__last"] = F.lead(_ROW).over(window).isNull()
+    same = F.col(_PART) == F.col("__at")
+    for g, k in keys.items():
+        same = same & F.col(g).eqNullSafe(F.col(k))
     # at most two groups of a range partition continue in another one: the carry table has no more
     # than two rows for each partition, whatever the data
-    joined = local.join(F.broadcast(carry), [*group_by, _PART], "left")
+    joined = ranged.withColumns(local).join(F.broadcast(carry), same, "left")
     final = {}
     if position:
         final[position] = F.col(position) + F.coalesce("__before", F.lit(0))
-    final |= {n: F.col(n) + F.coalesce(F.col(f"__before__add_{n}"), F.lit(0).cast(ranged.schema[f"__add_{n}"].dataType))
-              for n in sums}
-    final |= {n: F.coalesce(F.col(n), F.col(f"__next_{n}")) for n in following}
-    kept = [c for c in df.columns if c not in final] + list(final)
+    for n in sums:
+        earlier = F.col(f"__before_{n}")
+        final[n] = F.when(earlier.isNull(), F.col(n)).when(F.col(n).isNull(), earlier).otherwise(F.col(n) + earlier)
+    # the last row of a group in its partition is followed by the first of the next partition
+    final |= {n: F.when(F.col("__last"), F.col(f"__next_{n}")).otherwise(F.col(n)) for n in following}
+    kept = [c for c in columns if c not in final] + list(final)
     return joined.withColumns(final).select(*kept)
 
 
-def with_position(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),
-                  name: str = "position", max_window_rows: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (), name: str = "position",
+                  bounded: bool = False, partitions: int | None = None) -> DataFrame:
     """Dense row number from 0 in the given order."""
-    return running(df, order_by, group_by, position=name, max_window_rows=max_window_rows)
+    return running(df, order_by, group_by, position=name, bounded=bounded, partitions=partitions)

@@ -44,9 +44,9 @@ def checkpoint_rows(log: DataFrame) -> DataFrame:
 
 
 def best_checkpoint(checkpoints: DataFrame, loss: str = "val_loss") -> DataFrame:
-    """Row of the lowest loss for each model, the earliest of equals."""
+    """Row of the lowest loss for each model, the earliest of equals; a null or NaN loss is never the lowest."""
     row = F.struct("iter", "train_loss", "val_loss")
-    return checkpoints.groupBy("model").agg(F.min_by(row, F.struct(loss, "iter")).alias("b")).select("model", "b.*")
+    return checkpoints.filter(F.col(loss).isNotNull() & ~F.isnan(loss)).groupBy("model").agg(F.min_by(row, F.struct(loss, "iter")).alias("b")).select("model", "b.*")
 
 
 def nearest_iteration(log: DataFrame, best: DataFrame) -> DataFrame:

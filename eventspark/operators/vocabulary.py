@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventspark.functions.binning import Bins, gaussian_bins, linear_bins, literal_array, step_bins
 from eventspark.operators.ordering import with_position
 from eventspark.schema import FEATURE_ORDER, STRUCTURAL_SLOTS, small_table
+from eventspark.scratch import store
 
 VOCAB_DDL = ("token int, token_type string, name string, feature string, local_idx int, "
              "lo double, hi double, center double, pdgid bigint")
@@ -132,8 +133,12 @@ class Vocabulary:
     def from_json(cls, text: str) -> Vocabulary:
         """Build from the dictionary configuration format."""
         config = json.loads(text)
-        in_order = {name: [config[name][k] for k in sorted(config[name], key=int)]
-                    for name in ("pdgids", "tokenization", "padding")}
+        in_order = {}
+        for name in ("pdgids", "tokenization", "padding"):
+            places = sorted(map(int, config[name]))
+            if places != list(range(len(places))):
+                raise ValueError(f"{name}: places must be 0, 1, 2, ... without gaps, not {places}")
+            in_order[name] = [config[name][k] for k in sorted(config[name], key=int)]
         bins = {}
         for feature in FEATURE_ORDER:
             spec = config.get(f"{feature}_bin_data")
@@ -184,10 +189,24 @@ def token_type_counts(stream: DataFrame, vocab: Vocabulary) -> DataFrame:
             .groupBy("token_type").agg(F.sum("n").alias("n_tokens")))
 
 
+def known_tokens(stream: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The stream; a token that the vocabulary lacks, or a null, is an error when it is met."""
+    inside = F.coalesce((F.col("token") >= 0) & (F.col("token") < vocab.size), F.lit(False))
+    message = F.concat(F.lit("token outside the vocabulary: "), F.coalesce(F.col("token").cast("string"), F.lit("null")))
+    kind = stream.schema["token"].dataType
+    return stream.withColumn("token", F.when(inside, F.col("token")).otherwise(F.raise_error(message).cast(kind)))
+
+
+def token_centers(stream: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Attach bin center and particle id to every token, null where it has none."""
+    lookup = vocab.table(stream.sparkSession).select("token", "center", "pdgid")
+    return known_tokens(stream, vocab).join(F.broadcast(lookup), "token", "left")
+
+
 def vocabulary_coverage(stream: DataFrame, vocab: Vocabulary) -> DataFrame:
     """For each vocabulary entry how often it occurs; unused and reserved entries keep a row."""
     table = vocab.table(stream.sparkSession)
-    seen = stream.groupBy("token").agg(F.count(F.lit(1)).alias("n_seen"))
+    seen = known_tokens(stream.groupBy("token").agg(F.count(F.lit(1)).alias("n_seen")), vocab)
     last = {f: b.count - 1 for f, b in vocab.bins.items()}
     is_edge = F.lit(False)
     for feature, top in last.items():
@@ -213,7 +232,7 @@ def extend_pdgids(particles: DataFrame, vocab: Vocabulary) -> DataFrame:
     Distinct ids are few against particles; the groupBy shrinks the data before anything is ordered.
     """
     spark = particles.sparkSession
-    first_seen = particles.groupBy("pdgid").agg(F.min(F.struct("event_id", "particle_idx")).alias("seen"))
+    first_seen = store(particles.groupBy("pdgid").agg(F.min(F.struct("event_id", "particle_idx")).alias("seen")), "first")
     checked = first_seen.withColumn("pdgid", F.when(
         F.col("pdgid") == 0, F.raise_error(F.lit("particle id 0 is reserved")).cast("bigint")
     ).otherwise(F.col("pdgid")))
@@ -248,7 +267,7 @@ def token_features(stream: DataFrame, vocab: Vocabulary) -> DataFrame:
         F.when(is_phi, F.sin("center")).otherwise(zero).alias("sin_phi"),
         F.when(is_phi, F.cos("center")).otherwise(zero).alias("cos_phi"),
         F.when(is_bin, 1).otherwise(0).alias("mask"))
-    return stream.join(F.broadcast(lookup), "token")
+    return known_tokens(stream, vocab).join(F.broadcast(lookup), "token", "left")
 
 
 def decode_bin_center(df: DataFrame, local_idx: str, bins: Bins, output: str = "center") -> DataFrame:

@@ -50,7 +50,7 @@ def pdg(spark: SparkSession) -> DataFrame:
 def particles(spark: SparkSession, sf: str) -> DataFrame:
     """One particle for each line item, events by order key."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER)
-    placed = with_position(lines, LINE_ORDER, ["l_orderkey"], "particle_idx")
+    placed = with_position(lines, LINE_ORDER, ["l_orderkey"], "particle_idx", bounded=True)
     slot = (F.col("l_partkey") % len(PDG)).cast("int")
     momenta = placed.select(
         F.col("l_orderkey").alias("event_id"), "particle_idx",

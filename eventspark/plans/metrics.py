@@ -165,15 +165,15 @@ ORACLE = {
         ks as (select a.batch, a.sample as sa, b.sample as sb, avg({_KERNEL}) as k from bt a join bt b on a.batch = b.batch and a.event_id <> b.event_id group by all),
         mm as (select batch, sum(case when sa = sb then k else -k end) as m from ks group by batch)
         select round(median(m), 7) + 0.0e0 as kpd_median, round((quantile_cont(m, 0.83725e0) - quantile_cont(m, 0.16275e0)) / 2, 7) + 0.0e0 as kpd_error from mm""",
-    "coverage_mmd": _OK + _SCALED + f""", o as (select *, row_number() over (partition by sample order by md5('0:' || event_id), event_id) - 1 as place from vec),
-        c as (select min(n) as n from (select count(*) as n from vec group by sample)),
-        bt as (select *, place // {COVER} as batch from o where place < (select n from c)),
-        cp as (select a.batch, a.place as i, b.place as j, {_DIST} as d from bt a join bt b on a.batch = b.batch and a.sample = 'ref' and b.sample = 'gen'),
-        near as (select batch, i, min(d) as d from cp group by batch, i),
+    "coverage_mmd": _OK + _SCALED + f""", c as (select cast(ceil(max(n) / {COVER}.0e0) as bigint) as k from (select count(*) as n from vec group by sample)),
+        bt as (select *, {_hash("(select k from c)")} as batch from vec),
+        refs as (select batch, count(*) as n from bt where sample = 'ref' group by batch),
+        cp as (select a.batch, a.event_id as i, b.event_id as j, {_DIST} as d from bt a join bt b on a.batch = b.batch and a.sample = 'ref' and b.sample = 'gen'),
+        near as (select batch, avg(d) as mmd from (select batch, i, min(d) as d from cp group by batch, i) group by batch),
         hit as (select batch, i, row_number() over (partition by batch, j order by d, i) as rk from cp),
         cov as (select batch, count(distinct i) as k from hit where rk = 1 group by batch)
-        select near.batch, count(*) as n, round(any_value(cov.k) / count(*), 6) as coverage, round(avg(near.d), 6) as mmd
-        from near join cov on near.batch = cov.batch group by near.batch""",
+        select r.batch, r.n, round(coalesce(cov.k, 0) / r.n, 6) as coverage, round(near.mmd, 6) as mmd
+        from refs r left join near on r.batch = near.batch left join cov on r.batch = cov.batch""",
     "w1_efp": _OK + _PAIRS + """, vals as (select sample, 'efp_edge' as feature, efp_edge as v from feats union all
         select sample, 'efp_double', efp_double from feats union all select sample, 'efp_wedge', efp_wedge from feats)"""
         + _w1("feature") + " select feature, round(w1, 4) as w1 from dist",

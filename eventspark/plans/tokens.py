@@ -205,8 +205,7 @@ def decode_events(spark, sf):
 
 def join_token_center(spark, sf):
     """Token -> center or particle id through the vocabulary table."""
-    lookup = V.table(spark).select("token", "center", "pdgid")
-    stream = vc.token_stream(_encoded(spark, sf)).join(F.broadcast(lookup), "token")
+    stream = vc.token_centers(vc.token_stream(_encoded(spark, sf)), V)
     return stream.select("event_id", F.col("place").cast("long").alias("place"), F.col("token").cast("long").alias("token"),
                          r(F.col("center")).alias("center"), "pdgid")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 from eventspark.operators.encoding import flat_values, pad_to
 from eventspark.schema import RAW_FIELDS
+from eventspark.scratch import store
 
 FORMAT = "fixedrecords"
 _SPLIT_BYTES = 64 << 20
@@ -146,9 +148,9 @@ class FixedRecordWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         filesystem, root = _filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                filesystem.move(m.temporary, m.final)
+        written = [m for m in messages if m is not None]
+        with ThreadPoolExecutor(16) as pool:  # a move can be a copy on an object store
+            list(pool.map(lambda m: filesystem.move(m.temporary, m.final), written))
         filesystem.delete_dir(f"{root}/_temporary")
 
     def abort(self, messages):
@@ -171,17 +173,31 @@ def in_order(rows: DataFrame, order: str) -> DataFrame:
     return rows.repartitionByRange(order).sortWithinPartitions(order)
 
 
-def write_records(rows: DataFrame, path: str, dtype: str, width: int, order: str | None) -> None:
+def write_records(rows: DataFrame, path: str, dtype: str, width: int, order: str | None, overwrite: bool = False) -> None:
     """Arrays in column ``values``, in the order of a column, as flat binary. Width 0: any length.
 
-    ``order`` None takes the rows as they are: partition by partition, which ``in_order`` prepares.
+    ``order`` None takes the rows as they are: partition by partition, which ``in_order`` prepares. A
+    folder that holds records already is an error, or is emptied first with ``overwrite``.
     """
+    _need_empty(path, overwrite)
     register(rows.sparkSession)
     ordered = rows if order is None else in_order(rows.select(order, "values"), order)
     (ordered.select(F.lit(0).cast("long").alias("record"), "values")
      .write.format(FORMAT).options(path=path, dtype=dtype, width=width).mode("append").save())
 
 
+def _need_empty(path: str, overwrite: bool) -> None:
+    """A stream of records has one writer: parts of another write would be mixed with its own."""
+    there = _filesystem(path)[0].get_file_info(_filesystem(path)[1])
+    if there.type == pafs.FileType.NotFound:
+        return
+    parts = [f for f, _ in _part_files(path)]
+    if parts and not overwrite:
+        raise FileExistsError(f"{path} holds records already")
+    for part in parts:
+        _filesystem(path)[0].delete_file(part)
+
+
 def read_records(spark: SparkSession, path: str, dtype: str, width: int, lo: int = 0, hi: int | None = None) -> DataFrame:
     register(spark)
     reader = spark.read.format(FORMAT).options(path=path, dtype=dtype, width=width, lo=lo)
@@ -208,9 +224,10 @@ def read_sidecar(path: str) -> dict:
 
 def write_dense_events(events: DataFrame, path: str) -> None:
     """Events padded to the largest one, with the sidecar that holds their shape."""
+    events = store(events.select("event_id", "particles"), "events")
     shape = events.agg(F.count(F.lit(1)), F.max(F.size("particles"))).first()
     width = (shape[1] or 0) * len(RAW_FIELDS)
-    flat = flat_values(in_order(events.select("event_id", "particles"), "event_id"))
+    flat = flat_values(in_order(events, "event_id"))
     write_records(pad_to(flat, "values", F.lit(0.0), width), path, "float64", width, None)
     _write_sidecar(path, {"output_data_filepath": path, "num_events": shape[0], "num_particles_max": shape[1] or 0})
 

@@ -89,15 +89,47 @@ def test_fpd_equals_brute_force(spark):
 def test_coverage_equals_brute_force(spark):
     df, x = vectors(spark, 90, 4)
     x = x / np.abs(x[::2]).max(axis=0)
-    key = {r.event_id: r.k for r in df.select("event_id", F.md5(F.concat_ws(":", F.lit("0"), F.col("event_id").cast("string"))).alias("k")).collect()}
-    order = lambda ids: sorted(ids, key=lambda i: (key[i], i))
-    ref, gen = order(range(0, 90, 2)), order(range(1, 90, 2))
+    df = df.filter("event_id % 2 = 0 or event_id < 60")  # samples of 45 and 30
+    batch = {r.event_id: r.b for r in df.select("event_id", ds.batch_of("event_id", 3).alias("b")).collect()}
     got = {r.batch: r for r in ds.coverage_batches(df, 20).collect()}
-    assert {b: r.n for b, r in got.items()} == {0: 20, 1: 20, 2: 5}
+    assert sum(r.n for r in got.values()) == 45
     for b, r in got.items():
-        m, g = x[ref[b * 20:(b + 1) * 20]], x[gen[b * 20:(b + 1) * 20]]
+        m, g = (x[[i for i in sorted(batch) if batch[i] == b and i % 2 == side]] for side in (0, 1))
         d = np.linalg.norm(m[:, None] - g[None], axis=2)
-        assert r.mmd == pytest.approx(d.min(1).mean()) and r.coverage == pytest.approx(len(set(d.argmin(0))) / len(m))
+        assert r.n == len(m) and r.mmd == pytest.approx(d.min(1).mean()) and r.coverage == pytest.approx(len(set(d.argmin(0))) / len(m))
+
+
+def test_coverage_of_a_batch_without_generated_events(spark):
+    df = spark.createDataFrame([(i, "ref" if i < 40 else "gen", [1.0 * i]) for i in range(41)], "event_id bigint, sample string, x array<double>")
+    rows = ds.coverage_batches(df, 5).collect()
+    assert sum(r.n for r in rows) == 40 and sum(r.mmd is not None for r in rows) == 1
+    assert all(r.coverage == 0.0 for r in rows if r.mmd is None)
+
+
+def test_odd_samples_are_errors_or_counted(spark):
+    df = spark.createDataFrame([("ref", 1.0), ("ref", 2.0), ("gen", 1.5), ("gen", float("inf")), ("gen", None)], "sample string, value double")
+    df = df.withColumn("feature", F.lit("f"))
+    with pytest.raises(Exception, match="not finite"):
+        ds.wasserstein(df, ["feature"]).collect()
+    fine, counts = ds.finite_values(df, ["feature"])
+    assert {r.sample: (r.n_used, r.n_dropped) for r in counts.collect()} == {"ref": (2, 0), "gen": (1, 2)}
+    two = fine.unionByName(spark.createDataFrame([("other", 11.5, "f")], "sample string, value double, feature string"))
+    with pytest.raises(ValueError, match="more than one sample"):
+        ds.wasserstein(two, ["feature"])
+    each = ds.compare_each(two, lambda rows: ds.wasserstein(rows, ["feature"]))
+    assert {r.compared: r.w1 for r in each.collect()} == {"gen": pytest.approx(0.5), "other": pytest.approx(10.0)}
+
+
+def test_kernel_distance_with_single_rows_and_many_features(spark):
+    few, _ = vectors(spark, 12, 3)
+    row = ds.kpd(few, 10).first()
+    assert row.kpd_median is None or np.isfinite(row.kpd_median)
+    wide, x = vectors(spark, 24, 36)
+    x = x / np.abs(x[::2]).max(axis=0)
+    k = (x @ x.T / 36 + 1) ** 4
+    a, b = x[::2].shape[0], x[1::2].shape[0]
+    inner = [(m.sum() - np.trace(m)) / (n * (n - 1)) for m, n in ((k[::2, ::2], a), (k[1::2, 1::2], b))]
+    assert ds.kpd(wide, 1).first().kpd_median == pytest.approx(sum(inner) - 2 * k[::2, 1::2].mean(), rel=1e-6)
 
 
 def test_event_observables_equal_sums_over_pairs(spark):

@@ -125,3 +125,16 @@ def test_encode_runs_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 3 and all(len(r.tokens) == 14 and r.tokens[0] == 1 for r in got)
+
+
+def test_a_second_write_never_replaces_records(spark, tmp_path):
+    from eventspark.sources import binary
+
+    path = str(tmp_path / "tokens")
+    rows = lambda n: spark.range(n).select(F.col("id").alias("seq_id"), F.array(F.col("id").cast("int")).alias("tokens"))
+    binary.write_tokens(rows(40), path, 1)
+    with pytest.raises(FileExistsError):
+        binary.write_tokens(rows(3), path, 1)
+    assert binary.read_tokens(spark, path, 1).count() == 40
+    binary.write_records(rows(3).withColumnRenamed("tokens", "values"), path, "uint16", 1, "seq_id", overwrite=True)
+    assert binary.read_tokens(spark, path, 1).count() == 3

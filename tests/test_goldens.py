@@ -197,10 +197,15 @@ def test_packing_without_gathering_events(spark):
     assert long == nested
 
 
-def test_summary_join_has_two_ways(spark):
+def test_summary_join_broadcast_or_shuffled(spark):
     rows, summary = spark.range(50).withColumn("g", F.col("id") % 3), spark.createDataFrame([(0, "a"), (1, "b")], "g bigint, v string")
     small = join_summary(rows, summary, ["g"])
-    assert sorted(small.collect()) == sorted(join_summary(rows, summary, ["g"], max_rows=1).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(small.collect()) == sorted(join_summary(rows, summary, ["g"]).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert small.count() == 34
 
 
@@ -319,3 +324,31 @@ def test_round_trip_is_within_half_a_bin(spark, events):
     assert len(errors) == sum(map(len, events))
     for e in errors:
         assert abs(e.pt_error) <= 25 + 1e-6 and abs(e.eta_error) <= 0.0801 + 1e-9 and abs(e.phi_error) <= 0.063 + 1e-9
+
+
+def test_tokens_outside_the_vocabulary_are_errors(spark):
+    from eventspark.operators import vocabulary as vc
+
+    good = spark.createDataFrame([(0,), (5,), (V.size - 1,)], "token int")
+    assert vc.token_features(good, V).count() == vc.token_centers(good, V).count() == 3
+    for bad in (V.size, -1, None):
+        stream = good.unionByName(spark.createDataFrame([(bad,)], "token int"))
+        for use in (vc.token_features, vc.token_centers, vc.vocabulary_coverage):
+            with pytest.raises(Exception, match="outside the vocabulary"):
+                use(stream, V).collect()
+
+
+def test_dictionary_with_a_gap_is_refused():
+    import json
+
+    config = {"special_tokens": {"padding": 0}, "pdgids": {"0": 22, "1": 11, "3": 211}, "tokenization": {"0": "pdgid"}, "padding": {"0": "padding"}}
+    with pytest.raises(ValueError, match="without gaps"):
+        type(V).from_json(json.dumps(config))
+
+
+def test_a_checkpoint_without_loss_never_wins(spark):
+    from eventspark.operators.training_runs import best_checkpoint
+
+    rows = [("a", 1, 0.5, None), ("a", 2, 0.4, float("nan")), ("a", 3, 0.3, 0.9), ("a", 4, 0.3, 0.8)]
+    best = best_checkpoint(spark.createDataFrame(rows, "model string, iter bigint, train_loss double, val_loss double"))
+    assert [r.iter for r in best.collect()] == [4]

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventspark.operators.ordering import groups_fit, running, with_position
+from eventspark.operators.ordering import ranges, running, with_position
 from eventspark.operators.sequences import epoch_shuffle, rank_slices
 from eventspark.scratch import scratch_root
 
@@ -15,11 +15,19 @@ def table(spark, n=5000, partitions=7):
         ((F.col("id") * 7919) % n).alias("o"), (F.col("id") % 17).alias("v"))
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 100])
+def spans_partitions(df, groups, partitions):
+    """The range partitioning that the code under test makes has several partitions with rows."""
+    return ranges(df, ["o"], groups, {}, partitions).select("__part").distinct().count() >= min(partitions, 4)
+
+
+@pytest.mark.parametrize("bounded,partitions", [(True, None), (False, 1), (False, 8)])
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_both_ways_equal_pandas(spark, limit, groups):
+def test_both_ways_equal_pandas(spark, bounded, partitions, groups):
+    if bounded and not groups:
+        pytest.skip("the whole table is no bounded group")
     df = table(spark)
-    out = running(df, ["o"], groups, position="p", sums={"s": F.col("v")}, following={"nxt": "o"}, max_window_rows=limit)
+    assert partitions is None or spans_partitions(df, groups, partitions)
+    out = running(df, ["o"], groups, position="p", sums={"s": F.col("v")}, following={"nxt": "o"}, bounded=bounded, partitions=partitions)
     got = out.toPandas().sort_values(["g", "o"]).reset_index(drop=True)
     exp = df.toPandas().sort_values([*groups, "o"]).reset_index(drop=True)
     by = exp.groupby(groups, sort=False) if groups else exp
@@ -32,17 +40,19 @@ def test_both_ways_equal_pandas(spark, limit, groups):
 
 def test_range_way_is_independent_of_partitioning(spark):
     df = table(spark, 2000)
-    a = with_position(df.repartition(3), ["o"], ["g"], max_window_rows=10).orderBy("g", "o").collect()
-    b = with_position(df.repartition(11), ["o"], ["g"], max_window_rows=10_000).orderBy("g", "o").collect()
+    a = with_position(df.repartition(3), ["o"], ["g"], partitions=5).orderBy("g", "o").collect()
+    b = with_position(df.repartition(11), ["o"], ["g"], bounded=True).orderBy("g", "o").collect()
     assert a == b
 
 
-def test_group_check(spark):
-    df = table(spark, 1000)
-    assert groups_fit(df, ["g"], 1000)
-    assert groups_fit(df, ["g"], 500)
-    assert not groups_fit(df, ["g"], 300)
-    assert not groups_fit(df, [], 999)
+def test_null_groups_and_null_followers_equal_a_window(spark):
+    """60 rows over 8 range partitions; the null group and null values lie across their borders."""
+    df = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("g"), "id",
+                                F.when(F.col("id") % 4 > 0, F.col("id")).alias("v"))
+    assert ranges(df, ["id"], ["g"], {}, 8).select("__part").distinct().count() == 8
+    ways = [running(df, ["id"], ["g"], "p", {"s": F.col("v")}, {"nxt": "v"}, **how).orderBy("id").collect()
+            for how in ({"bounded": True}, {"partitions": 8})]
+    assert ways[0] == ways[1]
 
 
 def test_rank_slices(spark):

@@ -44,8 +44,8 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", ["kin_verbose", "match_counts", "pack_stream", "split_on_event_start", "w1_batched",
                                   "coverage_mmd", "bucket_quantile", "smooth_ema", "src_event_text"])
 def test_range_partitioned_order_gives_the_same(spark, con, monkeypatch, name):
-    """The way for groups that outgrow a task, forced on small tables."""
+    """Ranges that adaptive execution would fold into one on small tables."""
     from eventspark.operators import ordering
 
-    monkeypatch.setattr(ordering, "MAX_WINDOW_ROWS", 5)
+    monkeypatch.setattr(ordering, "PARTITIONS", 6)
     test_query(spark, con, name)

@@ -64,3 +64,26 @@ def test_savgol_in_small_chunks(spark):
 def test_bin_average(spark):
     got = sm.bin_average(series(spark, ("a", [1, 2, 3, 4, 5, 6, 100])), "s", "k", ["y"], 3).orderBy("group").collect()
     assert [r.y for r in got] == [2, 5]
+
+
+def test_ema_keeps_a_nan_and_a_huge_start(spark):
+    y = np.ones(400)
+    y[3] = np.nan
+    z = np.ones(120)
+    z[0] = 1e30
+    got = sm.ema(series(spark, ("a", y), ("b", z)), "s", "k", "y", 0.5).toPandas().sort_values("k")
+    a, b = (got[got["s"] == n]["smooth"].to_numpy() for n in "ab")
+    assert np.isfinite(a[:3]).all() and np.isnan(a[3:]).all()
+    assert np.allclose(b, pd.Series(z).ewm(alpha=0.5, adjust=False).mean(), rtol=1e-9)
+
+
+def test_ema_over_several_runs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sm, "CHUNK", 7)
+    y = np.random.default_rng(4).normal(5, 3, 900)
+    got = column(sm.ema(series(spark, ("a", y)), "s", "k", "y", 0.3), "a")
+    assert np.allclose(got, pd.Series(y).ewm(alpha=0.3, adjust=False).mean(), rtol=1e-11)
+
+
+def test_rolling_mean_skips_nan(spark):
+    y = [1.0, 1.0, float("nan"), 1.0, 1.0]
+    assert np.allclose(column(sm.rolling(series(spark, ("a", y)), "s", "k", "y", 3, "mean"), "a"), 1.0)
