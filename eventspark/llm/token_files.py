@@ -25,7 +25,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 1_200_000
 BATCH_CHARS = 4 << 20
 
 # white space other than the plain space and the line end
@@ -71,7 +71,7 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
     A chunk is cut by the tokenizer's pattern and its pieces go to the library's model; a chunk with rare
-    characters or added tokens goes to the library whole.
+    characters, and a text with added tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -82,19 +82,28 @@ class ChunkEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         self.pieces = _Memo(self._piece)
-        self.spaced = _Memo(lambda word: self._chunk(" " + word))
+        self.spaced = _Memo(self._word)
         self.bare = _Memo(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(_STANDS_FOR)
+        if piece.isascii() and _COMMON.fullmatch(piece):
+            shown = piece.replace(" ", _STANDS_FOR[32]).replace("\n", _STANDS_FOR[10])
+        else:
+            shown = piece.encode().decode("latin-1").translate(_STANDS_FOR)
         return array.array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        chunk = " " + word
+        return self.pieces[chunk] if word.isalpha() and self.known and _COMMON.fullmatch(word) else self._chunk(chunk)
+
     def _chunk(self, chunk: str) -> bytes:
-        if not self.known or not _COMMON.fullmatch(chunk) or any(a in chunk for a in self.added):
+        if not self.known or not _COMMON.fullmatch(chunk):
             return array.array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, _PATTERN.findall(chunk)))
 
     def _text(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return array.array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words, parts = chunks(text)
         if parts is not None:
             return b"".join([self.spaced[p[1:]] if p[:1] == " " else self.bare[p] for p in parts])
