@@ -7,11 +7,12 @@ successors), and the context one byte shorter is asked, without the bytes that t
 ruled out; at last all bytes that are left are equally likely. The code length of a document is the
 sum over its bytes and its end.
 
-The trie is never in one place. Each block of documents counts its own paths; the sums are dealt out by
-the last two bytes of the context, so that all contexts of two bytes and more that a prediction can fall
-back through meet in one group (contexts of one byte and none are a table of at most 65,792 rows, which
-every task gets). Each path's log probability then goes back to the blocks that asked for it, beside the
-counts of their words, and the documents of a block are scored against these.
+The trie is never in one place. Each block of documents counts its own paths and words and packs them into
+one row for each of ``BUCKETS`` buckets: the bucket of a path is a hash of the last two bytes of its
+context, so that all contexts of two bytes and more that a prediction can fall back through share a bucket
+(contexts of one byte and none are a table of at most 65,792 rows, which every task gets). Buckets are summed
+over groups of blocks, level by level, and turned into log probabilities. These go back, bucket by bucket, to
+the blocks that asked for them, and the documents of a block are scored against them.
 
 A base model of single words is scored along the way, with add-one smoothing.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,12 @@ from eventspark.scratch import store
 
 ORDER = 5
 END = 0xFF            # never occurs in UTF-8
-PIECE_BYTES = 4 << 20   # text that is counted or scored at a time
+PIECE_BYTES = 2 << 20   # text that is counted or scored at a time
 BLOCK_BYTES = 32 << 20  # of a file
+BUCKETS = 256           # of paths, and of words
+GROUP_BLOCKS = 64       # blocks whose rows of a bucket meet in one task
+PATH, WORD = 0, 1
+_ROW = "block long, kind int, bucket int, keys binary, n binary"
 _BYTE = np.uint64(8)
 
 
@@ -125,13 +131,30 @@ def log_probabilities(path: np.ndarray, count: np.ndarray, low: tuple[Level, Lev
 
 # --- over a table ------------------------------------------------------------
 
-def _rows(block: int, path: np.ndarray, words: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    k = len(path)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(k + len(words), block, np.int64)),
-         pa.concat_arrays([pa.array(path.view(np.int64)), pa.nulls(len(words), pa.int64())]),
-         pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(words, pa.binary())]), pa.array(n)],
-        names=["block", "path", "word", "n"])
+def _buckets_of(path: np.ndarray) -> np.ndarray:
+    last_two = (path >> _BYTE) & np.uint64(0xFFFF)
+    return ((last_two * np.uint64(2654435761) >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _pack(block: int, path: np.ndarray, n: np.ndarray, words: dict[bytes, int]) -> pa.RecordBatch:
+    """A row for each bucket with its sorted keys and their counts. Words hold no white space."""
+    rows: list[tuple] = []
+    bucket = _buckets_of(path)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        some = order[cuts[k]:cuts[k + 1]]
+        rows.append((block, PATH, int(k), path[some].astype("<u8").tobytes(), n[some].astype("<i8").tobytes()))
+    of: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+    for w in words:
+        of[crc32(w) % BUCKETS].append(w)
+    for k, some in enumerate(of):
+        if some:
+            some.sort()
+            rows.append((block, WORD, k, b"\n".join(some), np.array([words[w] for w in some], "<i8").tobytes()))
+    columns = list(zip(*rows)) or [[]] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "bucket", "keys", "n"])
 
 
 class BlockCounts:
@@ -163,12 +186,13 @@ class BlockCounts:
             self.other_words.update(b"\n".join(other).lower().split())
         self.texts, self.size = ([], []), 0
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self) -> pa.RecordBatch:
         """All counts, 0 for what occurs in other texts only."""
         self.merge()
-        yield _rows(self.block, self.path, list(self.words), np.r_[self.n, np.fromiter(self.words.values(), np.int64, len(self.words))])
-        path, words = np.setdiff1d(self.other, self.path), sorted(self.other_words.difference(self.words))
-        yield _rows(self.block, path, words, np.zeros(len(path) + len(words), np.int64))
+        more = np.setdiff1d(self.other, self.path)
+        path, order = np.r_[self.path, more], np.argsort(np.r_[self.path, more], kind="stable")
+        self.words.update(dict.fromkeys(self.other_words, 0))  # adds nothing to known words
+        return _pack(self.block, path[order], np.r_[self.n, np.zeros(len(more), np.int64)][order], self.words)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +201,61 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held_out, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held_out", "text"))):
             if now is None or now.block != block:
                 if now is not None:
-                    yield from now.rows()
+                    yield now.rows()
                 now = BlockCounts(block)
             now.add(held_out, text_bytes(text))
     if now is not None:
-        yield from now.rows()
+        yield now.rows()
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """Sums of one bucket over some blocks."""
+    kind, counts = group["kind"][0].as_py(), [np.frombuffer(x, "<i8") for x in group["n"].to_pylist()]
+    if kind == PATH:
+        keys, at = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in group["keys"].to_pylist()]), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, np.concatenate(counts))
+        packed = keys.astype("<u8").tobytes()
+    else:
+        sums: dict[bytes, int] = {}
+        for words, n in zip(group["keys"].to_pylist(), counts):
+            for w, k in zip(words.split(b"\n"), n.tolist()):
+                sums[w] = sums.get(w, 0) + k
+        words = sorted(sums)
+        total, packed = np.array([sums[w] for w in words], np.int64), b"\n".join(words)
+    return pa.table({"kind": group["kind"][:1], "bucket": group["bucket"][:1], "group": group["group"][:1],
+                     "keys": pa.array([packed], pa.binary()), "n": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the last two bytes of paths; sum of the words' counts (0) and number of words counted (1)."""
+    for batch in batches:
+        for kind, keys, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "n"))):
+            n = np.frombuffer(n, "<i8")
+            if kind == PATH:
+                path, at = np.unique(np.frombuffer(keys, "<u8") & np.uint64(0xFFFF), return_inverse=True)
+                total = np.zeros(len(path), np.int64)
+                np.add.at(total, at, n)
+            else:
+                path, total = np.arange(2, dtype=np.uint64), np.array([n.sum(), (n > 0).sum()])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(total), pa.array(np.full(len(path), kind, np.int64))],
+                                             names=["path", "n", "kind"])
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The values of one bucket for the keys that some blocks asked for."""
+    if not asked.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
+    known, value, out = model["known"][0].as_py(), model["value"][0].as_py(), []
+    if asked["kind"][0].as_py() == PATH:
+        known, value = np.frombuffer(known, "<u8"), np.frombuffer(value, "<f4")
+        for keys in asked["keys"].to_pylist():
+            out.append(value[np.searchsorted(known, np.frombuffer(keys, "<u8"))].tobytes())
+    else:
+        at, value = {w: k for k, w in enumerate(known.split(b"\n"))}, np.frombuffer(value, "<f8")
+        for keys in asked["keys"].to_pylist():
+            out.append(value[np.fromiter(map(at.__getitem__, keys.split(b"\n")), np.int64)].tobytes())
+    return pa.table({"block": asked["block"], "kind": asked["kind"], "keys": asked["keys"], "value": pa.array(out, pa.binary())})
 
 
 def with_block(docs: DataFrame) -> DataFrame:
@@ -207,42 +281,59 @@ def score(docs: DataFrame, in_files: bool = False) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     blocks = with_block(docs if in_files else store(docs, "texts"))
-    counts = store(blocks.select("block", "held_out", "text").mapInArrow(
-        _counts, "block long, path long, word binary, n long"), "counts")
-    asked_paths = counts.filter("path is not null")
-    asked_words = counts.filter("word is not null")
-
-    by_path = store(asked_paths.groupBy("path").agg(F.sum("n").alias("n")), "paths")
-    low = by_path.groupBy(F.col("path").bitwiseAND(F.lit(0xFFFF)).alias("path")).agg(F.sum("n").alias("n"))
-    low = low.toPandas().sort_values("path")  # at most 65,536 rows: two bytes
+    counts = store(blocks.select("block", "held_out", "text").mapInArrow(_counts, _ROW), "counts")
+    groups = max(1, -(-counts.select("block").distinct().count() // GROUP_BLOCKS))
+    counts = counts.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    merged, left = counts.select("kind", "bucket", "group", "keys", "n"), groups
+    while True:
+        merged = store(merged.groupBy("kind", "bucket", "group").applyInArrow(_merge, "kind int, bucket int, group int, keys binary, n binary"), "merged")
+        if left == 1:
+            break
+        left = -(-left // GROUP_BLOCKS)
+        merged = merged.withColumn("group", F.pmod("group", F.lit(left)))
+
+    small = merged.mapInArrow(_summaries, "path long, n long, kind long").groupBy("kind", "path").agg(F.sum("n").alias("n"))
+    small = small.toPandas()  # two bytes of a path, and the totals of the words
+    low = small[small["kind"] == PATH].sort_values("path")
     low = low_levels(low["path"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.int64))
-
-    def predict(group: pa.Table) -> pa.Table:
-        path = group["path"].to_numpy().astype(np.int64).view(np.uint64)
-        found = log_probabilities(path, group["n"].to_numpy().astype(np.int64), low)
-        return pa.table({"path": pa.array(path.view(np.int64)), "value": pa.array(found.astype(np.float32))})
-
-    last_two = F.shiftright("path", 8).bitwiseAND(F.lit(0xFFFF))
-    predicted = by_path.withColumn("last", last_two).groupBy("last").applyInArrow(predict, "path long, value float")
-    by_word = store(asked_words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    totals = dict(small[small["kind"] == WORD][["path", "n"]].itertuples(index=False))
     learned_docs = blocks.filter(~F.col("held_out")).count()
-    totals = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    n, v = int(totals[0]) + learned_docs, int(totals[1]) + (learned_docs > 0)
-    base_end = float(np.log10((learned_docs + 1) / (n + v + 1)))
-
-    answers = (asked_paths.select("block", "path").join(predicted, "path")
-               .select("block", "path", F.lit(None).cast("binary").alias("word"), "value", F.lit(None).cast("long").alias("c"))
-               .unionByName(asked_words.select("block", "word").join(by_word, "word")
-                            .select("block", F.lit(None).cast("long").alias("path"), "word", F.lit(None).cast("float").alias("value"), "c")))
+    n, v = int(totals.get(0, 0)) + learned_docs, int(totals.get(1, 0)) + (learned_docs > 0)
+    base_of = lambda count: np.log10((count + 1) / (n + v + 1))
+    base_end = float(base_of(learned_docs))
+    rare = base_of(0.5)  # below it are words that no training document has
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for kind, keys, count in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "n"))):
+                count = np.frombuffer(count, "<i8")
+                if kind == PATH:
+                    values.append(log_probabilities(np.frombuffer(keys, "<u8"), count, low).astype("<f4").tobytes())
+                else:
+                    values.append(base_of(count).astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("bucket"), batch.column("keys"), pa.array(values, pa.binary())],
+                                             names=["kind", "bucket", "known", "value"])
+
+    model = merged.select("kind", "bucket", "keys", "n").mapInArrow(predict, "kind int, bucket int, known binary, value binary")
+    model = store(model, "model").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    model = model.select(F.col("kind").alias("m_kind"), F.col("bucket").alias("m_bucket"), F.col("group").alias("m_group"), "known", "value")
+    answers = (counts.select("kind", "bucket", "group", "block", "keys").groupBy("kind", "bucket", "group")
+               .cogroup(model.groupBy("m_kind", "m_bucket", "m_group"))
+               .applyInArrow(_answer, "block long, kind int, keys binary, value binary"))
 
     def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.filter(right["path"].is_valid())
-        order = np.argsort(path := known["path"].to_numpy().astype(np.int64).view(np.uint64))
-        path, log_p = path[order], known["value"].to_numpy()[order].astype(np.float64)
-        known = right.filter(right["word"].is_valid())
-        of_word = dict(zip(known["word"].to_pylist(), known["c"].to_pylist()))
-        strange = {w for w, c in of_word.items() if not c}
-        of_word = {w: float(np.log10((c + 1) / (n + v + 1))) for w, c in of_word.items()}
+        path, log_p, of_word = [np.zeros(0, np.uint64)], [np.zeros(0)], {}
+        for kind, keys, value in zip(right["kind"].to_pylist(), right["keys"], right["value"]):
+            keys, value = keys.as_buffer(), value.as_buffer()
+            if kind == PATH:
+                path.append(np.frombuffer(keys, "<u8"))
+                log_p.append(np.frombuffer(value, "<f4"))
+            else:
+                of_word.update(zip(keys.to_pybytes().split(b"\n"), np.frombuffer(value, "<f8").tolist()))
+        path, log_p = np.concatenate(path), np.concatenate(log_p)
+        order = np.argsort(path)
+        path, log_p = path[order], log_p[order].astype(np.float64)
         n_tokens, n_known, base, own = [], [], [], []
         texts: list[bytes] = []
 
@@ -252,12 +343,13 @@ def score(docs: DataFrame, in_files: bool = False) -> DataFrame:
             texts.clear()
 
         size = 0
-        for text in left["text"]:
+        for text, held_out in zip(left["text"], left["held_out"].to_pylist()):
             data = text_bytes(text.as_py())
             words = data.lower().split()
+            found = list(map(of_word.__getitem__, words))
             n_tokens.append(len(words) + 1)
-            n_known.append(len(words) + (learned_docs > 0) - (sum(map(strange.__contains__, words)) if strange else 0))
-            base.append(sum(map(of_word.__getitem__, words)) + base_end)
+            n_known.append(len(words) + (learned_docs > 0) - (sum(x < rare for x in found) if held_out else 0))
+            base.append(sum(found) + base_end)
             texts.append(data)
             size += len(data)
             if size >= PIECE_BYTES:
