@@ -168,41 +168,54 @@ def decoded_totals(checked: DataFrame, vocab: Vocabulary) -> DataFrame:
         F.count_if(~good).alias("total_invalid_events"))
 
 
+def transition_masks(vocab: Vocabulary) -> tuple[list[int], list[int]]:
+    """For every token the roles it can play and the roles its follower can have, as bit masks.
+
+    The grammar is a graph of roles: the entries of the schema go round, the start leads in, the end leads
+    out to the padding pattern, whose last token and the padding repeat. A token without an outgoing
+    edge may be followed by anything.
+    """
+    graph: dict[str, tuple[str, ...]] = {}
+    spans: dict[str, tuple[int, int]] = {}
+
+    def role(name: str, span: tuple[int, int], *followers: str) -> None:
+        graph[name], spans[name] = followers, span
+
+    one = lambda token: (token, token + 1)
+    n, pads = len(vocab.schema), vocab.padding_tokens
+    role("start", one(vocab.event_start), "slot 0")
+    role("end", one(vocab.event_end), "pad 0")
+    role("padding", one(vocab.padding), "padding")
+    for k, entry in enumerate(vocab.schema):
+        role(f"slot {k}", vocab.slot_range(entry), f"slot {(k + 1) % n}", *(["end"] if k == n - 1 else []))
+    for k, token in enumerate(pads):
+        role(f"pad {k}", one(token), f"pad {k + 1}" if k + 1 < len(pads) else "padding")
+
+    bit = {name: 1 << k for k, name in enumerate(graph)}
+    is_a, leads_to = [0] * vocab.size, [0] * vocab.size
+    for name, (lo, hi) in spans.items():
+        for token in range(lo, hi):
+            is_a[token] |= bit[name]
+            leads_to[token] |= sum(bit[f] for f in graph[name])
+    return is_a, leads_to
+
+
 def grammar_violations(sequences: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Adjacent tokens the grammar forbids: (seq_id, place, token, next_token), one row for each.
 
-    start -> first slot; slot i -> slot i+1; last slot -> first slot or end; end -> padding pattern;
-    padding -> padding. A token with no rule (not in any of these) is free. Neighbours are array
-    neighbours, so no window and no join is needed.
+    Two lookups and a bitwise and for a pair; tokens outside the vocabulary have no role.
     """
-    ranges = [vocab.slot_range(s) for s in vocab.schema]
-    pattern = vocab.padding_tokens
-
-    def among(token, span):
-        return (token >= span[0]) & (token < span[1])
-
-    rules = [(lambda t: t == vocab.event_start, lambda n: among(n, ranges[0]))]
-    for i, span in enumerate(ranges):
-        if i + 1 < len(ranges):
-            rules.append((lambda t, s=span: among(t, s), lambda n, s=ranges[i + 1]: among(n, s)))
-        else:
-            rules.append((lambda t, s=span: among(t, s), lambda n: among(n, ranges[0]) | (n == vocab.event_end)))
-    rules.append((lambda t: t == vocab.event_end, lambda n: n == pattern[0]))
-    rules += [(lambda t, a=a: t == a, lambda n, b=b: n == b) for a, b in zip(pattern, pattern[1:])]
-    rules.append((lambda t: (t == pattern[-1]) | (t == vocab.padding), lambda n: n == vocab.padding))
-
-    def broken(token, follower):
-        # a token may match more than one rule; any of them allows the follower
-        ruled, allowed = F.lit(False), F.lit(False)
-        for applies, allows in rules:
-            ruled = ruled | applies(token)
-            allowed = allowed | (applies(token) & allows(follower))
-        return ruled & ~allowed
-
-    pairs = F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - 1), lambda t, i: F.struct(
-        i.cast("long").alias("place"), t.alias("token"), F.get("tokens", i + 1).alias("next_token")))
-    bad = F.filter(pairs, lambda p: broken(p["token"], p["next_token"]))
-    return sequences.filter(F.size("tokens") > 1).select("seq_id", F.inline(bad))
+    is_a, leads_to = (literal_array(m, "bigint") for m in transition_masks(vocab))
+    no_role = F.lit(0).cast("bigint")
+
+    def pair(token, place):
+        follower = F.get("tokens", place + 1)
+        allowed = F.coalesce(F.get(leads_to, token), no_role)
+        return F.struct(place.cast("long").alias("place"), token.alias("token"), follower.alias("next_token"),
+                        ((allowed != 0) & (allowed.bitwiseAND(F.coalesce(F.get(is_a, follower), no_role)) == 0)).alias("bad"))
+
+    pairs = F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - 1), pair)
+    return sequences.filter(F.size("tokens") > 1).select("seq_id", F.inline(F.filter(pairs, lambda p: p["bad"]))).drop("bad")
 
 
 def roundtrip_error(original: DataFrame, decoded: DataFrame, features=("pt", "eta", "phi")) -> DataFrame:

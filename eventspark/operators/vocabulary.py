@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ class Vocabulary:
     materials: tuple[str, ...] = ()
     padding_pattern: tuple[str, ...] = ("padding",)
     particle_count_override: int | None = None
+    config: dict | None = field(default=None, compare=False, repr=False)  # the dictionary it was read from
     offsets: dict[str, int] = field(init=False)
 
     def __post_init__(self):
@@ -150,7 +151,20 @@ class Vocabulary:
             schema=tuple(in_order["tokenization"]), bins=bins,
             materials=tuple(sorted(materials, key=materials.get)),
             padding_pattern=tuple(in_order["padding"]),
-            particle_count_override=config.get("particle_count_override"))
+            particle_count_override=config.get("particle_count_override"), config=config)
+
+    def to_json(self) -> str:
+        """The dictionary it was read from, with the particle ids it has now."""
+        if self.config is None:
+            raise ValueError("this vocabulary was not read from a dictionary")
+        return json.dumps(self.config | {"pdgids": {str(k): p for k, p in enumerate(self.pdgids)}}, indent=4)
+
+    def with_slots(self, slots: DataFrame) -> Vocabulary:
+        """The vocabulary with the particle ids of ``slots(slot, pdgid)``, as ``extend_pdgids`` gives them."""
+        ids = list(self.pdgids)  # at most as many as two-byte tokens
+        for row in slots.select("slot", "pdgid").collect():
+            ids[row["slot"]] = row["pdgid"]
+        return replace(self, pdgids=tuple(ids))
 
 
 def _bins_of(feature: str, spec: dict) -> Bins:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from eventspark.functions.text import millions
@@ -154,6 +155,15 @@ QUERIES = {f.__name__: f for f in (
     src_train_log, src_metrics_json, src_run_config, parse_log_line, parse_millions, best_checkpoint, join_nearest_iter,
     train_totals, join_model_summary, smooth_ema, smooth_rolling, smooth_savgol, smooth_bin_average)}
 
+#: Weights that give the coefficients of a cubic fit to 301 values at -150 .. 150.
+_FIT = np.linalg.pinv(np.vander(np.arange(-150, 151), 4, increasing=True))
+
+
+def _fitted(values, at):
+    """The fitted polynomial at a place, as SQL."""
+    return " + ".join(f"list_dot_product({values}, {fx.array_sql(w)}) * pow({at}, {j})" for j, w in enumerate(_FIT))
+
+
 _L = f"with {fx.LOG_CTE}"
 _BEST = """, ck as (select model, iter + 4 as iter, train_loss, val_loss from tlog),
   best as (select * from ck qualify row_number() over (partition by model order by val_loss, iter) = 1),
@@ -198,6 +208,13 @@ ORACLE = {
         z as (select *, avg(d) over (partition by model order by k rows between 50 preceding and 50 following) as dm from w)
         select model, k, 'mean' as method, round(m, 9) as smooth from z union all select model, k, 'median', round(d, 9) from z
         union all select model, k, 'median_then_mean', round(dm, 9) from z""",
+    "smooth_savgol": _L + f""", s as (select model, k, val_loss, count(*) over (partition by model) as n from tlog),
+        ends as (select model, list(val_loss order by k) filter (where k < 301) as f, list(val_loss order by k) filter (where k >= n - 301) as l
+          from s group by model),
+        mid as (select *, list(val_loss) over (partition by model order by k rows between 150 preceding and 150 following) as w from s)
+        select m.model, m.k, round(case when n < 301 then val_loss when k < 150 then {_fitted("f", "k - 150")}
+          when k >= n - 150 then {_fitted("l", "k - n + 151")} else list_dot_product(w, {fx.array_sql(_FIT[0])}) end, 6) as smooth
+        from mid m join ends e on m.model = e.model""",
     "smooth_bin_average": _L + """ select model, k // 25 as "group", round(avg(iter), 6) as iter, round(avg(val_loss), 6) as val_loss
         from tlog group by model, k // 25 having count(*) = 25""",
 }

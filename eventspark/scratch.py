@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own_folder: str | None = None
+_written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,8 +34,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/eventspark-{label}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables written so far. Results read them, so call it once these have been written or used."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet and continue from the written table."""
     path = scratch_path(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

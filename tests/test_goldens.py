@@ -352,3 +352,16 @@ def test_a_checkpoint_without_loss_never_wins(spark):
     rows = [("a", 1, 0.5, None), ("a", 2, 0.4, float("nan")), ("a", 3, 0.3, 0.9), ("a", 4, 0.3, 0.8)]
     best = best_checkpoint(spark.createDataFrame(rows, "model string, iter bigint, train_loss double, val_loss double"))
     assert [r.iter for r in best.collect()] == [4]
+
+
+def test_dictionary_round_trip_after_new_ids(spark):
+    import json
+
+    config = {"special_tokens": {"padding": 0, "event_start": 1, "event_end": 2}, "pdgids": {"0": 22, "1": 0, "2": 0},
+              "tokenization": {"0": "pdgid", "1": "pt"}, "padding": {"0": "padding"},
+              "pt_bin_data": {"min": 0, "max": 10, "step_size": 1}}
+    vocab = type(V).from_json(json.dumps(config))
+    seen = particles(spark, [(22, 5, 3, 2, 1), (211, 500, 300, 200, 50)])
+    wider = vocab.with_slots(vc.extend_pdgids(seen, vocab))
+    again = type(V).from_json(wider.to_json())
+    assert again == wider and again.pdgids == (22, 211, 0) and again.bins == vocab.bins

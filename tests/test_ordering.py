@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventspark.operators.ordering import ranges, running, with_position
 from eventspark.operators.sequences import epoch_shuffle, rank_slices
-from eventspark.scratch import scratch_root
+from eventspark.scratch import clear, scratch_root
 
 
 def table(spark, n=5000, partitions=7):
@@ -68,5 +68,15 @@ def test_shuffle_is_a_permutation_that_depends_on_the_epoch(spark):
     assert first == again and sorted(first) == list(range(200)) and first != other
 
 
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    with_position(table(spark, 50), ["o"]).collect()
+    here = lambda: [f for f in os.listdir(scratch_root(spark)) if f.startswith("eventspark-")]
+    assert here()
+    clear(spark)
+    assert not here()
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
