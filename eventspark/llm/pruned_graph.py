@@ -31,7 +31,7 @@ from eventspark.scratch import store
 
 THRESHOLD = 0.93
 ROUNDS, OVERLAP = 2, 2       # clusterings, and clusters of each that a vector belongs to
-SHARD_ROWS, BLOCK_ROWS = 500, 1000  # aimed at, and largest part of a shard in one graph
+SHARD_ROWS, BLOCK_ROWS = 300, 1000  # aimed at, and largest part of a shard in one graph
 SAMPLE_ROWS = 20_000         # of the centres' sample
 POOL, DEGREE, ALPHA, BEAM = 48, 12, 1.2, 16
 SEED = 2
