@@ -145,5 +145,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``."""
     model = fit(docs, labels)
-    scored = docs.withColumn("__score", score_column(model))
-    return scored.filter(F.col("__score") >= threshold).select(*docs.columns)
+    scored = docs.withColumn("__quality_score", score_column(model))
+    return scored.filter(F.col("__quality_score") >= threshold).select(*docs.columns)

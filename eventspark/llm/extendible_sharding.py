@@ -102,9 +102,15 @@ def shard_table(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Write ``docs`` below ``path``, a folder ``shard=<prefix>`` for each shard; returns the directory."""
-    rows = store(keyed(docs), "keyed")
-    shards = store(directory(rows.select("__bits", "__bytes"), limit), "directory")
-    placed = assign(rows, shards).withColumn("shard", F.concat(F.lit("s"), "shard"))
-    placed.repartition("shard").select(*docs.columns, "shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` below ``path``, a folder ``shard=s<prefix>`` for each shard; returns the directory.
+
+    The folder's column gets a trailing ``_`` for as long as ``docs`` has a column of that name.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    rows = store(keyed(docs).select(F.struct(*docs.columns).alias("__row"), "__bits", "__bytes"), "keyed")
+    shards = store(directory(rows, limit), "directory")
+    placed = assign(rows, shards).select("__row.*", F.concat(F.lit("s"), "shard").alias(name))
+    placed.repartition(name).write.partitionBy(name).parquet(path)
     return shards

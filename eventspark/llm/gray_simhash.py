@@ -261,9 +261,9 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     heads = fingerprint_components(prints.select("fp"), max_bits)
     kept = (prints.join(heads, "fp", "left").groupBy(F.coalesce("head", "fp").alias("head"))
             .agg(F.min("least").alias("key"))
-            .select(F.coalesce("key.id", F.lit(0)).alias("__id"), F.col("key.no_id").alias("__no_id"),
-                    F.col("key.text_hash").alias("__hash")))
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__no_id": F.col("doc_id").isNull(),
-                              "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return (keyed.join(kept, ["__id", "__no_id", "__hash"], "left_semi")
-            .dropDuplicates(["__id", "__no_id", "__hash"]).select(*docs.columns))
+            .select(F.coalesce("key.id", F.lit(0)).alias("__near_id"), F.col("key.no_id").alias("__near_no_id"),
+                    F.col("key.text_hash").alias("__near_hash")))
+    keyed = docs.withColumns({"__near_id": F.coalesce("doc_id", F.lit(0)), "__near_no_id": F.col("doc_id").isNull(),
+                              "__near_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return (keyed.join(kept, ["__near_id", "__near_no_id", "__near_hash"], "left_semi")
+            .dropDuplicates(["__near_id", "__near_no_id", "__near_hash"]).select(*docs.columns))

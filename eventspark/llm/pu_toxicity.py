@@ -175,5 +175,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score as toxic."""
     model = fit(docs, labels)
-    scored = docs.withColumn("__score", score_column(model))
-    return scored.filter(F.col("__score") < threshold).select(*docs.columns)
+    scored = docs.withColumn("__toxicity_score", score_column(model))
+    return scored.filter(F.col("__toxicity_score") < threshold).select(*docs.columns)

@@ -42,10 +42,10 @@ def uniform(column: str = "doc_id", seed: str = SEED) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Add ``__size``, ``__key`` and ``__at``, the place of the key on a scale of 48 bits."""
-    sized = docs.withColumn("__size", n_words())
-    drawn = sized.withColumn("__key", -F.log(uniform()) / quality_weight(F.col("__size")))
-    return drawn.withColumn("__at", F.least(F.floor((1.0 - F.exp(-F.col("__key"))) * float(1 << KEY_BITS)),
+    """Add ``__mix_size``, ``__mix_key`` and ``__mix_at``, the place of the key on a scale of 48 bits."""
+    sized = docs.withColumn("__mix_size", n_words())
+    drawn = sized.withColumn("__mix_key", -F.log(uniform()) / quality_weight(F.col("__mix_size")))
+    return drawn.withColumn("__mix_at", F.least(F.floor((1.0 - F.exp(-F.col("__mix_key"))) * float(1 << KEY_BITS)),
                                             F.lit((1 << KEY_BITS) - 1)).cast("long"))
 
 
@@ -74,7 +74,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def _by_source(a: DataFrame, b: DataFrame) -> DataFrame:
     """Inner join by source, null with null; ``b`` has one row for a source."""
-    return a.join(b.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    return a.join(b.withColumnRenamed("source", "__mix_source"), F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
 
 
 def cuts(work: DataFrame, weights: tuple[float, ...], share: float, most: float,
@@ -84,23 +84,23 @@ def cuts(work: DataFrame, weights: tuple[float, ...], share: float, most: float,
     (source, source_size, target, epochs, range, left): ``left`` words of the documents in ``range`` are
     taken besides the epochs, all of the ranges before it, none of those after it.
     """
-    sizes = targets(work.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, share, most)
+    sizes = targets(work.groupBy("source").agg(F.sum("__mix_size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.round("target").cast("long") - F.col("epochs") * F.col("source_size")
     known = ["source", "source_size", "target", "epochs"]
     ends = store(sizes.withColumn("epochs", epochs).withColumn("left", budget).withColumn("range", F.lit(0).cast("long")), "targets")
     shift = KEY_BITS
     while True:
-        inside = _by_source(work.select("source", "__size", "__at"), ends).filter(F.shiftright("__at", shift) == F.col("range"))
+        inside = _by_source(work.select("source", "__mix_size", "__mix_at"), ends).filter(F.shiftright("__mix_at", shift) == F.col("range"))
         shift -= PASS_BITS
-        part = (inside.groupBy("source", F.shiftright("__at", shift).alias("range"))
-                .agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n")))
+        part = (inside.groupBy("source", F.shiftright("__mix_at", shift).alias("range"))
+                .agg(F.sum("__mix_size").alias("words"), F.count(F.lit(1)).alias("n")))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
         part = part.select("source", "range", "words", "n", upto.alias("upto"))
         # the first range that holds more than what is left; none if the budget is the whole source
         found = _by_source(part, ends.drop("range")).filter("upto > left").groupBy("source").agg(
             F.min(F.struct("range", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "n")).alias("end"))
-        ends = store(ends.drop("range", "left").join(found.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
+        ends = store(ends.drop("range", "left").join(found.withColumnRenamed("source", "__mix_source"), F.col("source").eqNullSafe(F.col("__mix_source")), "left")
                      .select(*known, F.coalesce("end.range", F.lit(1 << PASS_BITS).cast("long") * (1 << (KEY_BITS - PASS_BITS))).alias("range"),
                              F.coalesce("end.left", F.lit(0).cast("long")).alias("left"), F.coalesce("end.n", F.lit(0).cast("long")).alias("n")), "cuts")
         if shift == 0 or (ends.agg(F.max("n")).first()[0] or 0) <= ordered_rows:
@@ -108,17 +108,17 @@ def cuts(work: DataFrame, weights: tuple[float, ...], share: float, most: float,
 
 
 def with_taken(rows: DataFrame, ends: DataFrame, shift: int) -> DataFrame:
-    """Add ``__source_size``, ``__target`` and ``__taken`` to keyed rows. Only the rows of a last range are shuffled."""
-    ends = ends.select("source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-                       F.col("epochs").alias("__epochs"), F.col("range").alias("__range"), F.col("left").alias("__left"))
-    rows = _by_source(rows, ends).withColumn("__own", F.shiftright("__at", shift))
-    whole = F.col("__epochs") * F.col("__size")
-    sure = rows.filter("__own <> __range").withColumn(
-        "__taken", whole + F.when(F.col("__own") < F.col("__range"), F.col("__size")).otherwise(0))
-    order = Window.partitionBy("source").orderBy("__at", "__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter("__own = __range").withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    more = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__left") - F.col("__before")))
-    last = last.withColumn("__taken", whole + more).drop("__before")
+    """Add ``__mix_source_size``, ``__mix_target`` and ``__mix_taken`` to keyed rows. Only the rows of a last range are shuffled."""
+    ends = ends.select("source", F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"),
+                       F.col("epochs").alias("__mix_epochs"), F.col("range").alias("__mix_range"), F.col("left").alias("__mix_left"))
+    rows = _by_source(rows, ends).withColumn("__mix_own", F.shiftright("__mix_at", shift))
+    whole = F.col("__mix_epochs") * F.col("__mix_size")
+    sure = rows.filter("__mix_own <> __mix_range").withColumn(
+        "__mix_taken", whole + F.when(F.col("__mix_own") < F.col("__mix_range"), F.col("__mix_size")).otherwise(0))
+    order = Window.partitionBy("source").orderBy("__mix_at", "__mix_key", "doc_id", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter("__mix_own = __mix_range").withColumn("__mix_before", F.coalesce(F.sum("__mix_size").over(order), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col("__mix_size"), F.col("__mix_left") - F.col("__mix_before")))
+    last = last.withColumn("__mix_taken", whole + more).drop("__mix_before")
     return sure.unionByName(last)
 
 
@@ -133,8 +133,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: f
     work = store(keyed(docs.select("doc_id", "text", "source")).drop("text"), "sizes")
     ends, shift = cuts(work, weights, share, most, ordered_rows)
     return with_taken(work, ends, shift).select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+        "doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0,
@@ -145,13 +145,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     column, follows the text.
     """
     rows = keyed(docs)
-    ends, shift = cuts(store(rows.select("source", "__size", "__at"), "sizes"), weights, share, most, ordered_rows)
-    taken = with_taken(rows, ends, shift).filter("__taken > 0")
-    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
+    ends, shift = cuts(store(rows.select("source", "__mix_size", "__mix_at"), "sizes"), weights, share, most, ordered_rows)
+    taken = with_taken(rows, ends, shift).filter("__mix_taken > 0")
+    copies = taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))))
+    words = F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_copy") - 1) * F.col("__mix_size"))
     some = F.array_join(F.slice(F.regexp_extract_all(
         F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words.cast("int")), "")
-    new = {"text": F.when(words < F.col("__size"), some).otherwise(F.col("text"))}
+    new = {"text": F.when(words < F.col("__mix_size"), some).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(words < F.col("__size"), F.length(some)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(words < F.col("__mix_size"), F.length(some)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return copies.withColumns(new).select(*docs.columns)

@@ -52,7 +52,7 @@ def test_fractions_go_to_the_smallest_keys(spark):
     docs = spark.createDataFrame([(i, "word " * 5, "a") for i in range(200)] + [(1000, "w " * 9000, "b")],
                                  "doc_id long, text string, source string")
     taken = {r["doc_id"]: r["taken"] for r in sm.plan(docs, weights=(1.0, 1.0), share=0.05).filter("doc_id < 1000").collect()}
-    keys = {r[0]: r[1] for r in sm.keyed(docs).select("doc_id", "__key").collect()}
+    keys = {r[0]: r[1] for r in sm.keyed(docs).select("doc_id", "__mix_key").collect()}
     some = sorted(taken, key=keys.get)
     whole = [taken[i] for i in some]
     assert whole == sorted(whole, reverse=True) and 0 < sum(whole) < 1000
@@ -69,6 +69,7 @@ def test_mixed_rows(spark, odd_docs):
     for r in mixed.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + size_of(r["text"])
     assert got == {k: v for k, v in want.items() if v}
+    assert {r["__key"] for r in mixed.collect()} == {"y"}  # a column of the input keeps its values
 
 
 def test_empty_table(spark, odd_docs):

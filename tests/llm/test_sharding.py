@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventspark.llm import extendible_sharding as es
 
@@ -40,11 +41,12 @@ def test_one_repeated_id_is_divided(spark):
 
 def test_empty_and_written(spark, odd_docs, tmp_path):
     assert es.shard_table(odd_docs.limit(0)).count() == 0
+    odd_docs = odd_docs.withColumn("shard", F.lit("own")).withColumn("depth", F.lit(3))
     path = str(tmp_path / "shards")
     shards = es.write_shards(odd_docs, path, 2000)
     back = spark.read.parquet(path)
     assert back.count() == odd_docs.count() and set(odd_docs.columns) <= set(back.columns)
-    assert back.select("shard").distinct().count() == shards.count()
+    assert back.select("shard_").distinct().count() == shards.count()
 
 
 def test_plan_is_native(spark, odd_docs):
