@@ -1,17 +1,19 @@
-"""Near copies among embeddings by a robust-pruned flat graph.
-
-Vectors of a label are clustered, several times with other centres, and each belongs to its nearest
-clusters of every round: overlapping shards. A shard builds a flat graph over its vectors, in which the
-robust pruning rule keeps an edge only if no kept neighbour is clearly nearer to its end. A vector's
-adjacency lists from all its shards are united. The search then starts at the medoids of a shard's graph,
-walks greedily towards the query with a beam, and once inside the range goes on from every vector in range, until
-the range is exhausted. Cosines are taken in double precision, so no link below the threshold is
-reported. Each shard's walk is audited against the exact links of the shard, and a query that missed
-one is walked again with twice the beam.
-
-Equal vectors are one entry with a count. Links are counted, not listed: of the shards that two vectors
-share, the first counts their link. A shard passes on one row for each vector and the head of its local
-group, from which the components follow.
+"""Near copies among embeddings: exact links over clusters that the triangle inequality leaves.
+
+Vectors of a label are clustered, and each has one home, its nearest centre. A cluster keeps the smallest
+and largest angle of its vectors to the centre, and is cut into blocks by a hash of the id where it is large.
+A block is compared with every block that one of its vectors may have a link in: a vector at angle r from a
+centre links with nothing in that cluster unless r lies within acos(threshold) of its angles, and with
+nothing beyond the plane between two centres if it is further than that from the plane. So no pair can be
+missed, whatever the clusters are. Two blocks meet once, in one product. Cosines are taken in double
+precision, so no link below the threshold is reported.
+
+Equal vectors are one entry with a count. Links are counted, not listed: two blocks pass on one row for
+each linked vector and the head of its local group, from which the components follow.
+
+The robust-pruned flat graph and its walk (``robust_prune``, ``Graph``, ``audited_range``) work on the vectors
+of one task. The query does not use them: within a block the exact product costs less than building a graph
+and auditing it by that product, and no walk is needed where every pair in reach is compared.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ from eventspark.llm.gray_simhash import Groups
 from eventspark.scratch import store
 
 THRESHOLD = 0.93
-ROUNDS, OVERLAP = 2, 2       # clusterings, and clusters of each that a vector belongs to
-SHARD_ROWS, BLOCK_ROWS = 300, 1000  # aimed at, and largest part of a shard in one graph
+SHARD_ROWS, BLOCK_ROWS = 300, 1000  # aimed at in a cluster, and about the most vectors of a block
 SAMPLE_ROWS = 20_000         # of the centres' sample
 POOL, DEGREE, ALPHA, BEAM = 48, 12, 1.2, 16
 SEED = 2
 _CLUSTER_BITS, _LENGTH_BITS = 14, 12  # of a shard's number and a kind; 32 more are the label's
+_ROUNDING = 1e-6  # radians that a bound gives way, far above the error of an angle
 
 
 # --- the graph of one shard ---------------------------------------------------
@@ -136,26 +137,59 @@ def audited_range(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEA
 
 @dataclass
 class Centres:
-    """Centres of each label for every round; a label without any is one shard.
+    """Centres of each label; a label without any is one cluster.
 
     Labels are given as ``kind``: the label and the number of components, as only vectors of one length
     are comparable.
     """
 
-    of: dict[int, list[np.ndarray]]
-
-    def shards(self, kind: int, z: np.ndarray) -> np.ndarray:
-        """Sorted shard numbers of each vector: kind, round and cluster in one integer."""
-        rounds = self.of.get(kind)
-        base = np.int64(kind) << np.int64(_CLUSTER_BITS + 2)
-        if not rounds:
-            return np.full((len(z), 1), base)
-        found = []
-        for k, centres in enumerate(rounds):
-            m = min(OVERLAP, len(centres))
-            near = np.argpartition(-(z @ centres.T), m - 1, axis=1)[:, :m] if m < len(centres) else np.broadcast_to(np.arange(m), (len(z), m))
-            found.append(base | np.int64(k << _CLUSTER_BITS) | near)
-        return np.sort(np.concatenate(found, axis=1), axis=1)
+    of: dict[int, np.ndarray]
+
+    def angles(self, kind: int, z: np.ndarray) -> np.ndarray:
+        """(vectors x clusters): angle of each vector to each centre."""
+        centres = self.of.get(kind)
+        return np.zeros((len(z), 1)) if centres is None else np.arccos(np.clip(z @ centres.T, -1.0, 1.0))
+
+    def homes(self, kind: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard number of each vector, kind and cluster in one integer, and its angle to the centre."""
+        angles = self.angles(kind, z)
+        home = angles.argmin(axis=1)
+        return (np.int64(kind) << np.int64(_CLUSTER_BITS)) | home, angles[np.arange(len(z)), home]
+
+
+class Reach:
+    """Blocks of all shards, and those that a vector may have a link in."""
+
+    def __init__(self, centres: Centres, shards: list[tuple[int, int, float, float]], threshold: float, block_rows: int):
+        """``shards`` has (shard, vectors, smallest angle, largest angle)."""
+        self.centres, self.within = centres, float(np.arccos(np.clip(threshold, -1.0, 1.0))) + _ROUNDING
+        shards = sorted(shards)
+        self.shard = np.array([s[0] for s in shards], np.int64)
+        self.parts = np.array([-(-s[1] // block_rows) for s in shards], np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.low, self.high = (np.array([s[k] for s in shards], np.float64) for k in (2, 3))
+
+    def blocks(self, shard: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Number of the block that a vector of a shard belongs to, dealt by a hash of its id."""
+        at = np.searchsorted(self.shard, shard)
+        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return self.first[at] + ((mixed >> np.uint64(33)) % self.parts[at].astype(np.uint64)).astype(np.int64)
+
+    def reached(self, shard: int, z: np.ndarray) -> np.ndarray:
+        """Sorted numbers of the blocks that at least one of these vectors of one shard may have a link in."""
+        kind = shard >> _CLUSTER_BITS
+        lo, hi = np.searchsorted(self.shard, [kind << _CLUSTER_BITS, (kind + 1) << _CLUSTER_BITS])
+        own, cluster = shard & ((1 << _CLUSTER_BITS) - 1), self.shard[lo:hi] & ((1 << _CLUSTER_BITS) - 1)
+        angles = self.centres.angles(kind, z)[:, cluster]
+        near = (angles >= self.low[lo:hi] - self.within) & (angles <= self.high[lo:hi] + self.within)
+        centres = self.centres.of.get(kind)
+        if centres is not None and self.within < np.pi / 2:
+            # vectors of another cluster are beyond the plane between its centre and this one
+            apart = centres[own] - centres[cluster]
+            length = np.linalg.norm(apart, axis=1)
+            near &= z @ apart.T <= np.sin(self.within) * length + _ROUNDING
+        reached = lo + np.flatnonzero(near.any(axis=0))
+        return np.concatenate([np.zeros(0, np.int64), *(np.arange(self.first[k], self.first[k] + self.parts[k]) for k in reached)])
 
 
 def fit_centres(rows: DataFrame, sizes: dict[int, int], shard_rows: int = SHARD_ROWS) -> Centres:
@@ -169,17 +203,14 @@ def fit_centres(rows: DataFrame, sizes: dict[int, int], shard_rows: int = SHARD_
         k = min(-(-sizes[int(kind)] // shard_rows), len(own) // 4, (1 << _CLUSTER_BITS) - 1)
         if k < 2:
             continue
-        rounds = []
-        for _ in range(ROUNDS):
-            centres = own[rng.choice(len(own), k, replace=False)]
-            for _ in range(3):
-                nearest = (own @ centres.T).argmax(axis=1)
-                sums = np.zeros_like(centres)
-                np.add.at(sums, nearest, own)
-                length = np.linalg.norm(sums, axis=1, keepdims=True)
-                centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
-            rounds.append(centres)
-        out[int(kind)] = rounds
+        centres = own[rng.choice(len(own), k, replace=False)]
+        for _ in range(3):
+            nearest = (own @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, nearest, own)
+            length = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(length > 1e-6, sums / np.maximum(length, 1e-12), centres)
+        out[int(kind)] = centres
     return Centres(out)
 
 
@@ -200,6 +231,24 @@ def entries(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return rows.select("vec_id", kind.alias("kind"), F.transform("x", lambda v: v / norm).alias("z"))
 
 
+def _links(q_ids, q_copies, q_z, ids, copies, z, same: bool, threshold: float) -> pa.RecordBatch:
+    """(id, links, head) of the linked vectors of two blocks, or of one with itself; the head is the smallest of a group."""
+    linked = q_z.reshape(len(q_ids), -1) @ z.reshape(len(ids), -1).T >= threshold
+    if same:
+        np.fill_diagonal(linked, False)
+    all_ids, place = np.unique(q_ids if same else np.r_[q_ids, ids], return_inverse=True)
+    links, groups = np.zeros(len(all_ids), np.int64), Groups(len(all_ids))
+    q_place, own_place = place[:len(q_ids)], place[0 if same else len(q_ids):]
+    links[q_place] = np.where(linked, copies, 0).sum(axis=1)
+    if not same:
+        links[own_place] = np.where(linked, q_copies[:, None], 0).sum(axis=0)
+    row, node = np.nonzero(linked)
+    for lo in range(0, len(row), 1 << 18):
+        groups.add(q_place[row[lo:lo + (1 << 18)]], own_place[node[lo:lo + (1 << 18)]])
+    some = np.flatnonzero(links > 0)
+    return pa.RecordBatch.from_arrays([pa.array(all_ids[some]), pa.array(links[some]), pa.array(all_ids[groups.label[some]])], names=["id", "links", "head"])
+
+
 def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) with one row for each id of ``vectors(vec_id, embedding, label)``.
@@ -215,71 +264,47 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: in
     sizes = {r["kind"]: r["count"] for r in equal.groupBy("kind").count().collect()}  # one row for a label
     centres = fit_centres(equal, sizes, shard_rows)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             for kind in np.unique(kinds):
                 part = batch.filter(pa.array(kinds == kind))
-                shards = centres.shards(int(kind), _matrix(part.column("z")))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shards) + 1) * shards.shape[1], pa.int32()), pa.array(shards.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("z"), lists],
-                                                 names=["id", "copies", "z", "shards"])
-
-    dealt = store(equal.mapInArrow(deal, "id long, copies long, z array<double>, shards array<long>"), "dealt")
-    members = dealt.withColumn("shard", F.explode("shards"))
-    parts = store(members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts")), "parts")
-    members = members.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-
-    def build(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
-        lists = robust_prune(_matrix(group["z"]))
-        ends = np.r_[0, np.cumsum([len(x) for x in lists])]
-        flat = ids[np.concatenate(lists)] if len(lists) else ids
-        return pa.table({"id": ids, "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64)))})
-
-    adjacency = members.select("shard", "part", "id", "z").groupBy("shard", "part").applyInArrow(build, "id long, near array<long>")
-    united = adjacency.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    dealt = store(dealt.join(united, "id", "left"), "united")
-    members = (dealt.withColumn("shard", F.explode("shards")).join(parts, "shard")
-               .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-    # each part of a shard holds its graph, and is asked by every part of that shard
-    graphs = members.select("shard", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("asking"), "id", "copies", "z", "shards", "near")
-    asking = members.select(F.col("shard").alias("q_shard"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q_part"),
-                            F.col("part").alias("q_asking"), F.col("id").alias("q_id"), F.col("z").alias("q_z"), F.col("shards").alias("q_shards"))
-
-    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, q_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
-        if not len(ids) or not len(q_ids):
-            return pa.table({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "head": np.zeros(0, np.int64)})
-        order = np.argsort(ids)
-        left = left.take(pa.array(order))
-        ids, copies, shard = ids[order], left["copies"].to_numpy(), left["shard"][0].as_py()
-        near = left["near"].combine_chunks()
-        flat = near.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(near).fill_null(0).to_numpy(zero_copy_only=False))
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        here = ids[at] == flat
-        lists = np.split(at[here], np.searchsorted(owner[here], np.arange(1, len(ids))))
-        found, _ = audited_range(Graph(_matrix(left["z"]), lists), _matrix(right["q_z"]), threshold)
-        row, node = np.nonzero(found & (q_ids[:, None] != ids))
-        own, other = _matrix(left["shards"]), _matrix(right["q_shards"])
-        links = np.zeros(len(q_ids), np.int64)
-        all_ids, place = np.unique(np.r_[q_ids, ids], return_inverse=True)
-        groups = Groups(len(all_ids))
-        for lo in range(0, len(row), 1 << 18):
-            r, v = row[lo:lo + (1 << 18)], node[lo:lo + (1 << 18)]
-            a, b = other[r], own[v]
-            shared = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
-            first = shared == shard
-            np.add.at(links, r[first], copies[v[first]])
-            groups.add(place[r], place[len(q_ids) + v])
-        head = all_ids[groups.label[place[:len(q_ids)]]]
-        linked = np.flatnonzero((links > 0) | (head != q_ids))
-        heads_of = np.flatnonzero(groups.label != np.arange(len(all_ids)))
-        return pa.table({"id": np.r_[q_ids[linked], all_ids[heads_of]], "links": np.r_[links[linked], np.zeros(len(heads_of), np.int64)],
-                         "head": np.r_[head[linked], all_ids[groups.label[heads_of]]]})
-
-    found = store(graphs.groupBy("shard", "part", "asking").cogroup(asking.groupBy("q_shard", "q_part", "q_asking")).applyInArrow(walk, "id long, links long, head long"), "found")
+                shard, angle = centres.homes(int(kind), _matrix(part.column("z")))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("z"), pa.array(shard), pa.array(angle)],
+                                                 names=["id", "copies", "z", "shard", "angle"])
+
+    homed = store(equal.mapInArrow(settle, "id long, copies long, z array<double>, shard long, angle double"), "homed")
+    spans = homed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    reach = Reach(centres, [tuple(r) for r in spans.collect()], threshold, block_rows)  # one row for a centre
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = reach.blocks(batch.column("shard").to_numpy(), batch.column("id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(block), *(batch.column(c) for c in ("shard", "id", "copies", "z"))],
+                                             names=["block", "shard", "id", "copies", "z"])
+
+    def pack(group: pa.Table) -> pa.Table:
+        z, block = _matrix(group["z"]), group["block"][0].as_py()
+        reached = reach.reached(group["shard"][0].as_py(), z)
+        return pa.table({"block": [block], "ids": [group["id"].to_numpy().tobytes()], "copies": [group["copies"].to_numpy().tobytes()],
+                         "z": [z.tobytes()], "reached": pa.array([reached[reached >= block]], pa.list_(pa.int64()))})
+
+    blocks = homed.mapInArrow(assign, "block long, shard long, id long, copies long, z array<double>").groupBy("block")
+    blocks = store(blocks.applyInArrow(pack, "block long, ids binary, copies binary, z binary, reached array<long>"), "blocks")
+    # a link reaches from either side, so a pair of blocks meets if the lower one reaches the other
+    asking = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("z").alias("q_z"),
+                           F.explode("reached").alias("block"))
+    pairs = asking.join(blocks.drop("reached"), "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                same = row["q_block"].as_py() == row["block"].as_py()
+                yield _links(*(np.frombuffer(row[c].as_buffer(), t) for c, t in (("q_ids", "<i8"), ("q_copies", "<i8"), ("q_z", "<f8"), ("ids", "<i8"), ("copies", "<i8"), ("z", "<f8"))),
+                             same, threshold)
+
+    found = store(pairs.mapInArrow(compare, "id long, links long, head long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected(found.filter("id <> head"), "id", "head").withColumnRenamed("node", "id")
     by_entry = equal.join(links, "id", "left").join(components, "id", "left").select(

@@ -131,3 +131,19 @@ def test_pruned_lists_are_sparse_and_the_walk_finds_the_range():
     assert np.mean([len(x) for x in lists]) < 4 * pg.DEGREE
     found, recall = pg.audited_range(pg.Graph(z, lists), z, 0.9)
     assert recall >= 0.9 and (found == (z @ z.T >= 0.9)).all()
+
+
+def test_a_dense_group_over_many_shards_loses_no_link(spark):
+    """Some thousand distinct near copies in one label: their links are spread over many clusters and blocks."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=16) * 2 + 0.25 * rng.normal(size=(3000, 16)), rng.normal(size=(3000, 16))]
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in pg.near_copies(df, shard_rows=60, block_rows=100).collect()}
+    near = z @ z.T >= pg.THRESHOLD
+    np.fill_diagonal(near, False)
+    groups = pg.Groups(len(x))
+    groups.add(*np.nonzero(near))
+    assert near[:3000, :3000].mean() > 0.5
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == groups.label.tolist()
