@@ -8,6 +8,9 @@ nothing beyond the plane between two centres if it is further than that from the
 missed, whatever the clusters are. Two blocks meet once, in one product. Cosines are taken in double
 precision, so no link below the threshold is reported.
 
+Each run audits its result: the links of a sample of ids are counted against all vectors of their label,
+apart from clusters and blocks, and a recall below ``RECALL`` is an error.
+
 Equal vectors are one entry with a count. Links are counted, not listed: two blocks pass on one row for
 each linked vector and the head of its local group, from which the components follow.
 
@@ -35,6 +38,7 @@ SHARD_ROWS, BLOCK_ROWS = 300, 1000  # aimed at in a cluster, and about the most
 SAMPLE_ROWS = 20_000         # of the centres' sample
 POOL, DEGREE, ALPHA, BEAM = 48, 12, 1.2, 16
 SEED = 2
+AUDIT_ROWS, RECALL = 200, 0.999  # ids whose links are counted again, and the share of them to be found
 _CLUSTER_BITS, _LENGTH_BITS = 14, 12  # of a shard's number and a kind; 32 more are the label's
 _ROUNDING = 1e-6  # radians that a bound gives way, far above the error of an angle
 
@@ -249,6 +253,33 @@ def _links(q_ids, q_copies, q_z, ids, copies, z, same: bool, threshold: float) -
     return pa.RecordBatch.from_arrays([pa.array(all_ids[some]), pa.array(links[some]), pa.array(all_ids[groups.label[some]])], names=["id", "links", "head"])
 
 
+def audit(equal: DataFrame, links: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
+    """Recall of ``links(id, links)`` over a sample of ``equal(kind, z, id, copies)``: the share of exact links that it has.
+
+    The sample is bounded and goes to every task; all vectors of its labels pass it in batches.
+    """
+    sample = equal.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(rows).select("id", "kind", "z").toArrow()
+    if not sample.num_rows:
+        return 1.0
+    ids, kinds, lists = sample["id"].to_numpy(), sample["kind"].to_numpy(), sample["z"].to_pylist()
+    asked = {int(k): (ids[kinds == k], np.array([lists[i] for i in np.flatnonzero(kinds == k)], np.float64)) for k in np.unique(kinds)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_kinds = batch.column("kind").to_numpy()
+            for kind in np.unique(own_kinds):
+                if int(kind) in asked:
+                    part = batch.filter(pa.array(own_kinds == kind))
+                    q_ids, q = asked[int(kind)]
+                    linked = (q @ _matrix(part.column("z")).T >= threshold) & (q_ids[:, None] != part.column("id").to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.where(linked, part.column("copies").to_numpy(), 0).sum(axis=1))], names=["id", "exact"])
+
+    exact = equal.select("id", "kind", "z", "copies").mapInArrow(count, "id long, exact long").groupBy("id").agg(F.sum("exact").alias("exact"))
+    found = F.least(F.coalesce("links", F.lit(0)), F.col("exact"))
+    row = exact.join(links, "id", "left").agg(F.sum(found).alias("found"), F.sum("exact").alias("exact")).first()
+    return row["found"] / row["exact"] if row["exact"] else 1.0
+
+
 def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) with one row for each id of ``vectors(vec_id, embedding, label)``.
@@ -306,6 +337,9 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: in
 
     found = store(pairs.mapInArrow(compare, "id long, links long, head long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    recall = audit(equal, links, threshold)
+    if recall < RECALL:
+        raise RuntimeError(f"the audit found {recall:.4f} of the links of a sample, less than {RECALL}")
     components = connected(found.filter("id <> head"), "id", "head").withColumnRenamed("node", "id")
     by_entry = equal.join(links, "id", "left").join(components, "id", "left").select(
         F.col("kind").alias("__kind"), F.col("z").alias("__z"), F.coalesce("links", F.lit(0)).alias("links"), "copies",

@@ -147,3 +147,22 @@ def test_a_dense_group_over_many_shards_loses_no_link(spark):
     assert near[:3000, :3000].mean() > 0.5
     assert [got[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
     assert [got[i]["component_id"] for i in range(len(x))] == groups.label.tolist()
+
+
+def test_the_audit_sees_links_that_no_cluster_holds(spark, monkeypatch):
+    """Blocks that never meet lose links; the audit counts against the whole label, so it says so."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=8) * 2 + 0.2 * rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    seen, audit = [], pg.audit
+    monkeypatch.setattr(pg, "audit", lambda *a: seen.append(audit(*a)) or seen[-1])
+    pg.near_copies(df, shard_rows=60, block_rows=100)
+    assert seen == [1.0]
+
+    def clusters_without_bounds(centres, shards, *rest):
+        return pg_reach(centres, [(s, n, 9.0, -9.0) for s, n, _, _ in shards], *rest)
+
+    pg_reach = pg.Reach
+    monkeypatch.setattr(pg, "Reach", clusters_without_bounds)
+    with pytest.raises(RuntimeError, match="audit"):
+        pg.near_copies(df, shard_rows=60, block_rows=100)
