@@ -34,7 +34,7 @@ from eventspark.llm.gray_simhash import Groups
 from eventspark.scratch import store
 
 THRESHOLD = 0.93
-SHARD_ROWS, BLOCK_ROWS = 300, 1000  # aimed at in a cluster, and about the most vectors of a block
+SHARD_ROWS, BLOCK_ROWS = 500, 1000  # aimed at in a cluster, and about the most vectors of a block
 SAMPLE_ROWS = 20_000         # of the centres' sample
 POOL, DEGREE, ALPHA, BEAM = 48, 12, 1.2, 16
 SEED = 2

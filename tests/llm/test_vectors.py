@@ -166,3 +166,11 @@ def test_the_audit_sees_links_that_no_cluster_holds(spark, monkeypatch):
     monkeypatch.setattr(pg, "Reach", clusters_without_bounds)
     with pytest.raises(RuntimeError, match="audit"):
         pg.near_copies(df, shard_rows=60, block_rows=100)
+
+
+def test_the_cluster_size_does_not_change_the_result(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=8) * 2 + 0.3 * rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    many, few = (sorted(map(tuple, pg.near_copies(df, shard_rows=n, block_rows=n).collect())) for n in (30, 900))
+    assert many == few
