@@ -25,8 +25,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventspark.llm.common import is_held_out
 from eventspark.scratch import store
@@ -34,7 +37,7 @@ from eventspark.scratch import store
 ORDER = 5
 END = 0xFF            # never occurs in UTF-8
 PIECE_BYTES = 2 << 20   # text that is counted or scored at a time
-BLOCK_BYTES = 32 << 20  # of a file
+BLOCK_BYTES = 64 << 20  # of text in a block
 BUCKETS = 256           # of paths, and of words
 GROUP_BLOCKS = 64       # blocks whose rows of a bucket meet in one task
 PATH, WORD = 0, 1
@@ -250,7 +253,7 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     if asked["kind"][0].as_py() == PATH:
         known, value = np.frombuffer(known, "<u8"), np.frombuffer(value, "<f4")
         for keys in asked["keys"].to_pylist():
-            out.append(value[np.searchsorted(known, np.frombuffer(keys, "<u8"))].tobytes())
+            out.append(values_at(known, np.frombuffer(keys, "<u8"), value).tobytes())
     else:
         at, value = {w: k for k, w in enumerate(known.split(b"\n"))}, np.frombuffer(value, "<f8")
         for keys in asked["keys"].to_pylist():
@@ -258,29 +261,45 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     return pa.table({"block": asked["block"], "kind": asked["kind"], "keys": asked["keys"], "value": pa.array(out, pa.binary())})
 
 
+def values_at(known: np.ndarray, wanted: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys among the sorted known ones; a key that is missing is an error."""
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    if len(wanted) and (not len(known) or not (known[at] == wanted).all()):
+        raise RuntimeError("a path was scored that its block had not counted")
+    return value[at]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows of a task by blocks of at most about ``BLOCK_BYTES`` of text."""
+    first, done = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        upto = done + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        block = first + np.r_[done, upto[:-1]] // BLOCK_BYTES
+        done = int(upto[-1]) if len(upto) else done
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block[:batch.num_rows])], names=[*batch.schema.names, "block"])
+
+
 def with_block(docs: DataFrame) -> DataFrame:
-    """Add ``block``: a range of a file that the row is read from, the same whenever the table is read.
+    """Write ``docs`` with a column ``block``, a run of rows of one task.
 
-    Parts of a file that are read in one go are divided by a hash of the id where they are longer.
+    Texts are counted and scored from the written table: which rows a task reads changes with the cores and
+    executors there are, and the block of a row must not.
     """
-    part = F.floor(F.input_file_block_start() / BLOCK_BYTES)
-    parts = F.ceil(F.input_file_block_length() / BLOCK_BYTES)
-    return docs.select("doc_id", "text", is_held_out(7, 2).alias("held_out"),
-                       F.xxhash64(F.input_file_name(), part, F.pmod(F.xxhash64("doc_id"), F.greatest(parts, F.lit(1)))).alias("block"))
+    rows = docs.select("doc_id", "text", is_held_out(7, 2).alias("held_out"))
+    schema = StructType([*rows.schema.fields, StructField("block", LongType())])
+    return store(rows.mapInArrow(_blocks, schema), "texts", compression="zstd")
 
 
-def score(docs: DataFrame, in_files: bool = False) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     ``score`` is the log10 probability of the whole text and its end under PPM, ``base_score`` that of its
     words under the base model. Documents of fold 2 of crc32 modulo 7, and those without an id, are scored
     and not learned from. A null text counts as empty. Repeated rows are learned from and scored as often
     as they occur. Without any training document all bytes are equally likely; an empty table gives an
-    empty result. ``in_files`` says that ``docs`` is read from files as it is; any other table is written
-    first, so that its blocks stay the same.
+    empty result.
     """
-    docs = docs.select("doc_id", "text")
-    blocks = with_block(docs if in_files else store(docs, "texts"))
+    blocks = with_block(docs)
     counts = store(blocks.select("block", "held_out", "text").mapInArrow(_counts, _ROW), "counts")
     groups = max(1, -(-counts.select("block").distinct().count() // GROUP_BLOCKS))
     counts = counts.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
@@ -339,7 +358,7 @@ def score(docs: DataFrame, in_files: bool = False) -> DataFrame:
 
         def finish():
             found, begins = paths(texts)
-            own.append(np.add.reduceat(log_p[np.searchsorted(path, found)], begins))
+            own.append(np.add.reduceat(values_at(path, found, log_p), begins))
             texts.clear()
 
         size = 0

@@ -54,7 +54,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shipped
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"), in_files=True)
+    return ppm.score(table(spark, sf_dir, "documents"))
 
 
 @shipped

@@ -41,9 +41,9 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as parquet and continue from the written table."""
+def store(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once as parquet and continue from the written table; ``compression`` is the session's by default."""
     path = scratch_path(df.sparkSession, label)
     _written.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

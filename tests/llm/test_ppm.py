@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from eventspark.llm import ppm
+from eventspark.llm import ppm, queries
 
 ORDER = ppm.ORDER
 
@@ -77,3 +77,36 @@ def test_no_training_text_and_no_rows(spark, odd_docs):
         assert r["train_tokens"] == 0 and r["n_known"] == 0 and r["held_out"]
         assert r["score"] <= -math.log10(256) + 1e-6
     assert ppm.score(odd_docs.limit(0)).count() == 0
+
+
+def test_blocks_do_not_follow_how_a_table_is_split(spark, tmp_path, monkeypatch):
+    """Files are read in other parts between the passes, as when executors come or go."""
+    rows = [(i, f"text {i} " + f"w{i % 97} x{i % 89} " * (i % 9)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(map(tuple, ppm.score(docs).collect()))
+    key, store = "spark.sql.files.maxPartitionBytes", ppm.store
+    before = spark.conf.get(key)
+
+    def other_splits(df, label, *more, **options):
+        out = store(df, label, *more, **options)
+        if label == "counts":
+            spark.conf.set(key, "2k")
+        return out
+
+    monkeypatch.setattr(ppm, "store", other_splits)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 1000)
+    try:
+        got = sorted(map(tuple, queries.op8_lm_scoring(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5)
+
+
+def test_a_path_without_a_value_is_an_error():
+    known, value = np.array([3, 5], np.uint64), np.array([0.3, 0.5])
+    assert ppm.values_at(known, np.array([5, 3, 5], np.uint64), value).tolist() == [0.5, 0.3, 0.5]
+    for wanted in ([4], [6]):
+        with pytest.raises(RuntimeError):
+            ppm.values_at(known, np.array(wanted, np.uint64), value)
