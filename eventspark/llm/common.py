@@ -6,13 +6,17 @@ import functools
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample that a classifier is fitted on: rows for each class, bytes of text in all.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 64 << 20
+#: A single text above this share of the bytes is not learned from.
+TEXT_SHARE = 16
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,8 +64,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     """(text, label) of at most ``rows`` training documents of each class and ``max_bytes`` in all.
 
     The rows with the smallest hash of their id are taken, so the sample is the same for every layout of
-    the tables. Ids are chosen before any text is read, and the texts then come by a join with at most
-    ``2 * rows`` ids. Labels of a repeated id count once, as the largest.
+    the tables. Ids are chosen before any text is read; hashes and sizes of the texts then come by a join with at
+    most ``2 * rows`` ids, one for each id (of a repeated id the text with the smallest hash), and only the
+    texts that are left are fetched. A single text above ``max_bytes / TEXT_SHARE`` is passed over, the texts behind
+    it are not. Labels of a repeated id count once, as the largest.
     """
     known = (labels.filter(which & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
@@ -70,10 +76,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     for value in (0, 1):
         some = known.filter(F.col("__label") == value).orderBy("__order", "doc_id").limit(rows)
         ids = some if ids is None else ids.unionByName(some)
-    texts = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-             .join(F.broadcast(ids), "doc_id"))
-    so_far = Window.orderBy("__order", "doc_id", "__text")
-    kept = (texts.withColumn("__upto", F.sum(F.octet_length("__text")).over(so_far))
-            .withColumn("__rank", F.row_number().over(so_far))
-            .filter((F.col("__upto") <= max_bytes) & (F.col("__rank") <= 2 * rows)))
-    return [(r[0], r[1]) for r in kept.orderBy("__rank").select("__text", "__label").toLocalIterator()]
+    text = F.coalesce("text", F.lit(""))
+    sized = (docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.octet_length(text).cast("long").alias("__bytes"))
+             .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__order", "__label")
+             .agg(F.min(F.struct("__hash", "__bytes")).alias("__text")).select("doc_id", "__order", "__label", "__text.*"))
+    fit = sized.filter(F.col("__bytes") <= max_bytes // TEXT_SHARE)
+    so_far = Window.orderBy("__order", "doc_id")  # numbers of at most 2 * rows ids
+    kept = (fit.withColumn("__upto", F.sum("__bytes").over(so_far)).withColumn("__rank", F.row_number().over(so_far))
+            .filter(F.col("__upto") <= max_bytes).select("doc_id", "__hash", "__label", "__rank"))
+    found = (docs.select("doc_id", text.alias("__text"), F.xxhash64(text).alias("__hash"))
+             .join(F.broadcast(kept), ["doc_id", "__hash"]).select("__rank", "__label", "__text"))
+    # copies of a text drop out in each task before they meet
+    texts = found.mapInArrow(_first_of_each, found.schema).groupBy("__rank").agg(F.min(F.struct("__text", "__label")).alias("t"))
+    return [(r[0], r[1]) for r in texts.orderBy("__rank").select("t.__text", "t.__label").toLocalIterator()]
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for k, rank in enumerate(batch.column("__rank").to_pylist()):
+            if rank not in seen:
+                seen.add(rank)
+                new.append(k)
+        if new:
+            yield batch.take(pa.array(new))

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from eventspark.llm import compression_quality, pu_toxicity
+from eventspark.llm import common, compression_quality, pu_toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -66,3 +66,13 @@ def test_risk_estimate_recovers_from_unlabelled_positives():
 def test_blocks_cover_whole_texts():
     text = "é" * 5000
     assert b"".join(compression_quality.blocks(text)).decode() == text
+
+
+def test_the_sample_survives_a_repeated_id_and_a_huge_text(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    order = [r[0] for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()]
+    huge, often = order[0], order[1]
+    rows = [(i, "x" * 5000 if i == huge else f"text {i}") for i in range(40)] + [(often, f"text {often}")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sample = common.labelled_sample(docs, labels, "toxic", 20, 4000, common.F.lit(True))
+    assert sample == [(f"text {i}", i % 2) for i in order if i != huge]
