@@ -30,20 +30,24 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet, below the shared folder."""
-    return f"{scratch_root(spark)}/eventspark-{label}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, below the shared folder; ``clear`` removes it and files beside it that begin with its name."""
+    path = f"{scratch_root(spark)}/eventspark-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def clear(spark: SparkSession) -> None:
-    """Remove the tables written so far. Results read them, so call it once these have been written or used."""
+    """Remove what this session wrote so far. Results read it, so call it once these have been written or used."""
+    as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        made = as_path(_written.pop() + "*")  # the name is unique; sidecars begin with it too
+        files = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.globStatus(made) or ():
+            files.delete(status.getPath(), True)
 
 
 def store(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet and continue from the written table; ``compression`` is the session's by default."""
     path = scratch_path(df.sparkSession, label)
-    _written.append(path)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

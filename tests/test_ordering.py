@@ -78,5 +78,20 @@ def test_written_tables_can_be_cleared(spark):
     assert not here()
 
 
+def test_files_of_the_sources_are_cleared_too(spark):
+    import os
+
+    from eventspark.plans import files, runs
+
+    clear(spark)
+    here = lambda: [f for f in os.listdir(scratch_root(spark)) if f.startswith("eventspark-")]
+    before = set(here())
+    for query in (files.src_token_bin, files.src_event_bin, runs.src_train_log):
+        assert query(spark, "/root/testdata/sf0.001").count()
+    assert set(here()) > before
+    clear(spark)
+    assert set(here()) == before
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
