@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import (compression_quality, extendible_sharding, gray_simhash, multiprobe, ppm, prefix_viterbi, pruned_graph, pu_toxicity, source_mixing,
-                            token_files)
+from eventspark.llm import (ball_tree, compression_quality, extendible_sharding, gray_simhash, multiprobe, ppm, prefix_trie, prefix_viterbi, pruned_graph,
+                            pu_toxicity, source_mixing, spelling_variants, token_files)
 from eventspark.llm.common import shipped, table
 
 
@@ -67,6 +67,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiprobe.search(table(spark, sf_dir, "embeddings"))
 
 
+@shipped
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "embeddings"))
+
+
+@shipped
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+@shipped
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 @shipped
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -76,7 +91,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_embedding_near_dedup, op3_token_ids, op4_sharding, op5_mixing, op6_toxicity, op7_simhash, op8_lm_scoring,
-    op9_sentencepiece, op10_nearest_neighbours, pipeline)}
+    op9_sentencepiece, op10_nearest_neighbours, op11_exact_search, op12_spelling_variants, op13_prefix_trie, pipeline)}
+
+# crc32 (polynomial 0xEDB88320): the bytes' table, and the fold of a string's bytes with it
+_CRC_TABLE = """crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t)"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen({text})),
+    lambda i: cast('0x' || substr(hex(encode({text})), 2 * i + 1, 2) as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
 
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": """
@@ -130,4 +155,74 @@ running as (
 select doc_id, size, source_size, target,
   cast(epochs * size + greatest(0, least(size, budget - before)) as bigint) as taken
 from running""",
+    "op11_exact_search": """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(256e0 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is not null and not isnan(x) and not isinf(x))) = len(embedding)),
+one as (select vec_id, min(v) as v from usable group by vec_id),
+scored as (
+  select q.vec_id as query_id, x.vec_id, cast(list_dot_product(q.v, x.v) as bigint) as score
+  from one q join one x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id and len(q.v) = len(x.v)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored)
+select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 5""",
+    "op12_spelling_variants": f"""
+with recursive {_CRC_TABLE},
+runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+counted as (select id, run, id || ':' || run as salted, count(*) as k from runs where length(run) >= 7 group by all),
+hashed as (select run, k, {_crc32("salted")} as h from counted, crc),
+damaged as (
+  select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from hashed),
+vocab as (select word, cast(sum(k) as bigint) as n from damaged where length(word) >= 7 group by word having sum(k) >= 2),
+cut as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest
+  from (select word, n, unnest(range(length(word))) as i from vocab)),
+pairs as (
+  select a.word, a.n, b.word as near, b.n as near_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, c.n, v.word, v.n from cut c join vocab v on c.rest = v.word
+  union select v.word, v.n, c.word, c.n from cut c join vocab v on c.rest = v.word),
+best as (
+  select word, near, near_n, count(*) over (partition by word) as n_near from pairs
+  qualify row_number() over (partition by word order by near_n desc, near) = 1),
+forms as (
+  select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 10 * v.n then b.near end as form,
+    case when b.near_n >= 10 * v.n then b.near_n end as form_n from vocab v left join best b on v.word = b.word),
+follow as (
+  select word, word as root, 0 as steps from forms
+  union all select f.word, g.form, f.steps + 1 from follow f join forms g on f.root = g.word where g.form is not null),
+last as (select word, max_by(root, steps) as root from follow group by word)
+select f.word, f.form, l.root, f.n, f.n_near, f.form_n from forms f join last l on f.word = l.word""",
+    "op13_prefix_trie": f"""
+with {_CRC_TABLE},
+turns as (
+  select conv_id, turn, length(coalesce(text, '')) as chars,
+    substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 30) as id
+  from conversations where conv_id is not null),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, id) - 1 as i from turns),
+ids as (select distinct conv_id, cast(conv_id as varchar) as c from turns),
+convs as (select conv_id, conv_id - conv_id % 100 as base, {_crc32("c")} % 6 as h from ids, crc),
+rebuilt as (
+  select c.conv_id, p.i, 0 as own, p.id, p.chars from convs c join placed p on p.conv_id = c.base and p.i < c.h
+  union all select c.conv_id, p.i, 1, p.id, p.chars from convs c join placed p on p.conv_id = c.conv_id and p.i >= c.h),
+seqs as (
+  select c.conv_id, coalesce(list(r.id order by r.own, r.i) filter (where r.id is not null), []) as s,
+    coalesce(list(r.chars order by r.own, r.i) filter (where r.id is not null), []) as l
+  from convs c left join rebuilt r on c.conv_id = r.conv_id group by c.conv_id),
+steps as (select conv_id, s, l, unnest(range(len(s) + 1)) as depth from seqs),
+members as (select conv_id, depth, array_to_string(s[1:depth], '') as path, case when depth > 0 then l[depth] else 0 end as chars, len(s) = depth as ends from steps),
+nodes as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from members group by depth, path),
+kids as (select depth - 1 as depth, substr(path, 1, length(path) - 30) as path, count(*) as k from nodes where depth > 0 group by all),
+full_nodes as (select n.*, coalesce(k.k, 0) as n_children from nodes n left join kids k on n.depth = k.depth and n.path = k.path),
+sums as (
+  select a.depth, a.path, count(*) filter (where b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.chars) as saved
+  from full_nodes a join full_nodes b on b.depth >= a.depth and substr(b.path, 1, 30 * a.depth) = a.path group by all)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+  cast(s.saved as bigint) as saved_tokens, n.ends_sha256
+from full_nodes n join sums s on n.depth = s.depth and n.path = s.path
+left join nodes p on p.depth = n.depth - 1 and p.path = substr(n.path, 1, greatest(0, length(n.path) - 30)) and n.depth > 0""",
 }
