@@ -25,7 +25,7 @@ from eventspark.scratch import store
 RUN = "[A-Za-zÀ-ÿ]"
 LEAST_LETTERS, LEAST_COUNT, TIMES = 7, 2, 10
 DAMAGED = 31                    # one run in so many loses a letter
-PART_WORDS = 1 << 20            # of a part of a length's filter
+PART_WORDS = 1 << 16            # of a part of a length's filter
 PASS_BYTES = 32 << 20           # of the filters that are broadcast at once
 BITS_A_WORD, PROBES = 16, 6
 BLOCK_WORDS = 8                 # 64-bit words of a block: 512 bits
@@ -114,8 +114,11 @@ def _bit(source: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (nine >> np.uint64(6)).astype(np.int64), np.uint64(1) << (nine & np.uint64(63))
 
 
-def build(keys: np.ndarray) -> np.ndarray:
-    blocks = max(1, -(-len(keys) * BITS_A_WORD // (64 * BLOCK_WORDS)))
+def blocks_for(words: int) -> int:
+    return max(1, -(-words * BITS_A_WORD // (64 * BLOCK_WORDS)))
+
+
+def build(keys: np.ndarray, blocks: int) -> np.ndarray:
     bits = np.zeros(blocks * BLOCK_WORDS, np.uint64)
     block, source = _places(keys, blocks)
     for k in range(PROBES):
@@ -124,10 +127,14 @@ def build(keys: np.ndarray) -> np.ndarray:
     return bits
 
 
-def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of the keys that the filter may hold; after each bit only those that had it go on."""
+def may_hold(bits: np.ndarray, blocks: int, keys: np.ndarray, slot: np.ndarray | int = 0) -> np.ndarray:
+    """Places of the keys that a filter may hold; after each bit only those that had it go on.
+
+    ``bits`` has filters of ``blocks`` blocks one after the other; ``slot`` says which one a key belongs to.
+    """
     at = np.arange(len(keys))
-    block, source = _places(keys, len(bits) // BLOCK_WORDS)
+    block, source = _places(keys, blocks)
+    block = block + slot * (blocks * BLOCK_WORDS)
     for k in range(PROBES):
         word, mask = _bit(source, k)
         there = (bits[block + word] & mask) != 0
@@ -156,19 +163,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filters(words: DataFrame, part_words: int, pass_bytes: int) -> DataFrame:
-    """(length, part, parts, low, high, bits, pass): the filters with the letters of their length's words."""
-    sizes = words.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / part_words).cast("int").alias("parts"),
-                                        F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    """(length, part, parts, blocks, low, high, bits, pass): the filters with the letters of their length's words."""
+    sizes = words.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    parts = F.ceil(F.col("n") / part_words)
+    # a row for each length, written so that its size is known before it is joined: no word moves by its length
+    sizes = store(sizes.select("length", "low", "high", parts.cast("int").alias("parts"), F.greatest(
+        F.lit(1), F.ceil(F.col("n") / parts * BITS_A_WORD / (64 * BLOCK_WORDS))).cast("int").alias("blocks")), "lengths")
     dealt = (words.select("length", "key").join(sizes, "length")
              .withColumn("part", F.pmod(F.shiftrightunsigned("key", 33), F.col("parts")).cast("int")))
 
     def one(rows: pa.Table) -> pa.Table:
-        bits = build(rows["key"].to_numpy().view(np.uint64))
+        bits = build(rows["key"].to_numpy().view(np.uint64), rows["blocks"][0].as_py())
         return rows.slice(0, 1).drop_columns(["key"]).append_column("bits", pa.array([bits.tobytes()], pa.binary()))
 
-    made = store(dealt.select("length", "part", "parts", "low", "high", "key").groupBy("length", "part").applyInArrow(
-        one, "length int, part int, parts int, low long, high long, bits binary"), "filters")
-    # a row for each million words of a length: the order is over numbers, not over filters
+    made = store(dealt.select("length", "part", "parts", "blocks", "low", "high", "key").groupBy("length", "part").applyInArrow(
+        one, "length int, part int, parts int, blocks int, low long, high long, bits binary"), "filters")
+    # a row for each part of a length: the order is over numbers, not over filters
     upto = F.sum("bytes").over(Window.orderBy("length", "part").rowsBetween(Window.unboundedPreceding, -1))
     passes = made.select("length", "part", F.octet_length("bits").cast("long").alias("bytes")).select(
         "length", "part", F.floor(F.coalesce(upto, F.lit(0)) / pass_bytes).cast("int").alias("pass"))
@@ -177,23 +187,26 @@ def _filters(words: DataFrame, part_words: int, pass_bytes: int) -> DataFrame:
 
 def _probing(shared):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {length: (parts, {p: np.frombuffer(b, np.uint64) for p, b in held.items()}, np.array(alphabet, np.uint8))
-                   for length, (parts, held, alphabet) in shared.value.items()}
+        filters = {}
+        for length, (parts, blocks, alphabet, held) in shared.value.items():
+            slots = np.full(parts, -1)
+            slots[sorted(held)] = np.arange(len(held))
+            filters[length] = (slots, blocks, np.frombuffer(b"".join(held[p] for p in sorted(held)), np.uint64), np.array(alphabet, np.uint8))
 
         def positives(length, rows, keys):
-            parts, held, _ = filters[length]
-            for part, bits in held.items():
-                here = np.arange(len(keys)) if parts == 1 else np.flatnonzero(_part_of(keys, parts) == part)
-                at = here[may_hold(bits, keys[here])]
-                if len(at):
-                    yield rows[at], keys[at], length
+            slots, blocks, bits, _ = filters[length]
+            slot = slots[_part_of(keys, len(slots)).astype(np.int64)]
+            here = np.flatnonzero(slot >= 0)  # the other parts have their own pass
+            at = here[may_hold(bits, blocks, keys[here], slot[here])]
+            if len(at):
+                yield rows[at], keys[at], length
 
         def found(batch):
             words = batch.column("word").to_pylist()
             for rows, letters in by_length(words):
                 length = letters.shape[1]
                 if length in filters:
-                    for of, keys in _replacements(letters, hashes(letters), filters[length][2]):
+                    for of, keys in _replacements(letters, hashes(letters), filters[length][3]):
                         yield from positives(length, rows[of], keys)
                 if length - 1 in filters:
                     yield from positives(length - 1, np.repeat(rows, length), _deletions(letters).ravel())
@@ -222,7 +235,7 @@ def near_words(vocab: DataFrame, part_words: int = PART_WORDS, pass_bytes: int =
     for number in range((filters.agg(F.max("pass")).first()[0] or 0) + 1):
         held: dict[int, tuple] = {}
         for r in filters.filter(F.col("pass") == number).toLocalIterator():
-            held.setdefault(r["length"], (r["parts"], {}, _alphabet(r["low"], r["high"])))[1][r["part"]] = bytes(r["bits"])
+            held.setdefault(r["length"], (r["parts"], r["blocks"], _alphabet(r["low"], r["high"]), {}))[3][r["part"]] = bytes(r["bits"])
         lengths = sorted({n for length in held for n in (length, length + 1)})
         probing = words.filter(F.col("length").isin(lengths)).select("word", "length", "key")
         some = probing.repartition(tasks, "key").mapInArrow(

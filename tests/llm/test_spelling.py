@@ -97,9 +97,12 @@ def test_no_words(spark):
 def test_filters_lose_nothing_and_hold_little_else():
     rng = np.random.default_rng(0)
     keys, others = (rng.integers(0, 1 << 63, 50_000).astype(np.uint64) for _ in range(2))
-    bits = sv.build(keys)
-    assert len(sv.may_hold(bits, keys)) == len(keys)
-    assert len(sv.may_hold(bits, others)) < 0.01 * len(others)
+    blocks = sv.blocks_for(len(keys))
+    bits = sv.build(keys, blocks)
+    assert len(sv.may_hold(bits, blocks, keys)) == len(keys)
+    assert len(sv.may_hold(bits, blocks, others)) < 0.01 * len(others)
+    two = np.concatenate([sv.build(others, blocks), bits])  # filters one after the other
+    assert len(sv.may_hold(two, blocks, keys, np.ones(len(keys), np.int64))) == len(keys)
 
 
 def test_hashes_of_edits_are_those_of_the_edited_words():
