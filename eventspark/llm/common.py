@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +80,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     for value in (0, 1):
         some = known.filter(F.col("__label") == value).orderBy("__order", "doc_id").limit(rows)
         ids = some if ids is None else ids.unionByName(some)
+    return sample_texts(docs, ids, max_bytes)
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, max_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) for ``ids(doc_id, __order, __label)``, a bounded table, in that order and within ``max_bytes``."""
     text = F.coalesce("text", F.lit(""))
     sized = (docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.octet_length(text).cast("long").alias("__bytes"))
              .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__order", "__label")
              .agg(F.min(F.struct("__hash", "__bytes")).alias("__text")).select("doc_id", "__order", "__label", "__text.*"))
     fit = sized.filter(F.col("__bytes") <= max_bytes // TEXT_SHARE)
-    so_far = Window.orderBy("__order", "doc_id")  # numbers of at most 2 * rows ids
+    so_far = Window.orderBy("__order", "doc_id", "__label")  # numbers of the bounded sample
     kept = (fit.withColumn("__upto", F.sum("__bytes").over(so_far)).withColumn("__rank", F.row_number().over(so_far))
             .filter(F.col("__upto") <= max_bytes).select("doc_id", "__hash", "__label", "__rank"))
     found = (docs.select("doc_id", text.alias("__text"), F.xxhash64(text).alias("__hash"))
@@ -92,6 +100,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     return [(r[0], r[1]) for r in texts.orderBy("__rank").select("t.__text", "t.__label").toLocalIterator()]
 
 
+def texts_at_once(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of an array of texts that hold about ``most`` bytes each, or one text."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
+    lo, so_far = 0, 0.0
+    for k, size in enumerate(sizes):
+        if so_far and so_far + size > most:
+            yield lo, k
+            lo, so_far = k, 0.0
+        so_far += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def map_texts(docs: DataFrame, schema, worker: Callable[[], Callable[[pa.RecordBatch, list], pa.RecordBatch]], text: str = "text") -> DataFrame:
+    """``docs`` mapped to ``schema`` some megabytes of text at a time.
+
+    ``worker()`` is called once a task and gives a function of (rows, their texts). Rows pass through it as
+    Arrow columns, none waits in the JVM for its score, and what a task took goes back to the system at its end.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = worker()
+        try:
+            for batch in batches:
+                column = batch.column(text)
+                for lo, hi in texts_at_once(column):
+                    yield work(batch.slice(lo, hi - lo), column.slice(lo, hi - lo).to_pylist())
+        finally:
+            del work
+            give_back()
+
+    return docs.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that is free but held to the system: workers live on, and their executor has little to spare."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:

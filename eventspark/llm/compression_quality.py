@@ -7,13 +7,12 @@ bounded. The difference of the compressed sizes, normalised by the bytes of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.llm import common
@@ -121,15 +120,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = common.SAMPLE_ROWS,
                       0.5 if share is None else float(share))
 
 
-def score_column(model: CompressionModel, text: str = "text") -> Column:
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
-
-    return scores(F.col(text))
-
-
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; repeated rows score alike.
 
@@ -137,13 +127,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     scored and never learned from. No shuffle of texts.
     """
     model = fit(docs, labels)
-    scored = docs.select("doc_id", score_column(model).alias("score"))
+    worker = lambda: lambda rows, texts: pa.RecordBatch.from_arrays(
+        [rows.column("doc_id"), pa.array([model.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
+    scored = common.map_texts(docs.select("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double", worker)
     return scored.select("doc_id", common.is_held_out(5, 0).alias("held_out"), "score",
                          F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``."""
+    """``docs`` without the rows that score below ``threshold``. All columns pass unchanged, whatever their names; null
+    and empty texts go by the calibrated score of zero, repeated rows go together, an empty table stays empty."""
     model = fit(docs, labels)
-    scored = docs.withColumn("__quality_score", score_column(model))
-    return scored.filter(F.col("__quality_score") >= threshold).select(*docs.columns)
+    worker = lambda: lambda rows, texts: rows.filter(pa.array([model.score(t) >= threshold for t in texts], pa.bool_()))
+    return common.map_texts(docs, docs.schema, worker)

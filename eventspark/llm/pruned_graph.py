@@ -1,46 +1,48 @@
-"""Near copies among embeddings: exact links over clusters that the triangle inequality leaves.
+"""Near copies among embeddings on a robust-pruned flat graph.
 
-Vectors of a label are clustered, and each has one home, its nearest centre. A cluster keeps the smallest
-and largest angle of its vectors to the centre, and is cut into blocks by a hash of the id where it is large.
-A block is compared with every block that one of its vectors may have a link in: a vector at angle r from a
-centre links with nothing in that cluster unless r lies within acos(threshold) of its angles, and with
-nothing beyond the plane between two centres if it is further than that from the plane. So no pair can be
-missed, whatever the clusters are. Two blocks meet once, in one product. Cosines are taken in double
-precision, so no link below the threshold is reported.
+Vectors of a label are dealt to overlapping shards: each goes to the nearest ``overlap`` of some centres, and a
+shard that is still large is dealt again, around other centres, then by a hash of the ids. In a shard, every
+vector gets a robust-pruned list: its near ones, without those that a nearer one of the list leads to. The list
+of a vector is the union of its lists in all shards that hold it: a walk that meets the vector goes on in each.
 
-Each run audits its result: the links of a sample of ids are counted against all vectors of their label,
-apart from clusters and blocks, and a recall below ``RECALL`` is an error.
+Every vector is a query. It walks the shards that hold it, greedily from their medoids and itself; all
+that it meets within range is expanded, whatever the beam. What it met may lie in other shards too: in rounds
+of joins the query, with these vectors to start from, goes to the shards that it has not walked, until none is
+left. Links are verified by their cosine in double precision, so none below the threshold is reported.
 
-Equal vectors are one entry with a count. Links are counted, not listed: two blocks pass on one row for
-each linked vector and the head of its local group, from which the components follow.
+Each run audits its recall: the links of a sample of ids are counted against all vectors of their label, and
+if fewer than ``RECALL`` of them were found, the graph is built again with more overlap.
 
-The robust-pruned flat graph and its walk (``robust_prune``, ``Graph``, ``audited_range``) work on the vectors
-of one task. The query does not use them: within a block the exact product costs less than building a graph
-and auditing it by that product, and no walk is needed where every pair in reach is compared.
+Equal vectors are one entry with a count. Links are counted, not listed: a shard passes on one row for each
+linked vector and the head of its local group, from which the components follow. Cosines are worked out for
+the pairs that walks meet and inside shards, never for all pairs of a label.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.llm.common import mixed
 from eventspark.llm.components import connected
 from eventspark.llm.gray_simhash import Groups
 from eventspark.scratch import store
 
 THRESHOLD = 0.93
-SHARD_ROWS, BLOCK_ROWS = 500, 1000  # aimed at in a cluster, and about the most vectors of a block
-SAMPLE_ROWS = 20_000         # of the centres' sample
+SHARD_ROWS, MOST_ROWS = 500, 1500  # aimed at in a shard, and the most before it is dealt again
+MOST_CENTRES = 4096                # sent to every task; a sample of as many vectors
+LEVELS = 2                         # of centres, before what is still large is dealt by a hash
+SHARD_VALUES = 4 << 20             # components of a shard at most: 32 MB
+BLOCK_ROWS = 4096                  # queries that walk a shard at once
 POOL, DEGREE, ALPHA, BEAM = 48, 12, 1.2, 16
+OVERLAP, MOST_OVERLAP = 2, 8       # shards that hold a vector, at each level
+AUDIT_ROWS, RECALL = 200, 0.99     # ids whose links are counted again, and the share of them to be found
 SEED = 2
-AUDIT_ROWS, RECALL = 200, 0.999  # ids whose links are counted again, and the share of them to be found
-_CLUSTER_BITS, _LENGTH_BITS = 14, 12  # of a shard's number and a kind; 32 more are the label's
-_ROUNDING = 1e-6  # radians that a bound gives way, far above the error of an angle
 
 
 # --- the graph of one shard ---------------------------------------------------
@@ -87,19 +89,36 @@ def medoids(z: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
 
 
 class Graph:
-    def __init__(self, z: np.ndarray, lists: list[np.ndarray]):
-        self.z, self.first = z, np.r_[0, np.cumsum([len(x) for x in lists])]
-        self.ends = np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-        self.starts = medoids(z, lists)
-
-    def in_range(self, q: np.ndarray, threshold: float, beam: int) -> np.ndarray:
-        """(queries x vectors): True where the walk met a vector at or above the threshold."""
+    """A shard's unit vectors with their lists, and a count of the cosines that walks worked out."""
+
+    def __init__(self, z: np.ndarray, lists: list[np.ndarray] | None = None, packed: tuple | None = None):
+        self.z, self.cosines = z, 0
+        if packed is None:
+            lists = robust_prune(z) if lists is None else lists
+            self.first = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
+            self.ends = np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+            self.starts = medoids(z, lists)
+        else:
+            self.first, self.ends, self.starts = packed
+
+    def in_range(self, q: np.ndarray, threshold: float, beam: int = BEAM, seeds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """(queries x vectors): True where the walk met a vector at or above the threshold.
+
+        The walk starts at the medoids and at ``seeds`` (rows of queries, vectors).
+        """
         n = len(self.z)
-        near = np.full((len(q), n), -2.0)
-        near[:, self.starts] = q @ self.z[self.starts].T
-        waiting = np.zeros((len(q), n), bool)
-        waiting[:, self.starts] = True
+        near, waiting = np.full((len(q), n), -2.0), np.zeros((len(q), n), bool)
+        row, node = np.repeat(np.arange(len(q)), len(self.starts)), np.tile(self.starts, len(q))
+        if seeds is not None:
+            row, node = np.r_[row, seeds[0]], np.r_[node, seeds[1]]
+        key = np.unique(row * n + node)
+        row, node = key // n, key % n
         while True:
+            self.cosines += len(row)
+            for lo in range(0, len(row), 1 << 17):
+                r, v = row[lo:lo + (1 << 17)], node[lo:lo + (1 << 17)]
+                near[r, v] = np.maximum((q[r] * self.z[v]).sum(axis=1), -1.0)
+                waiting[r, v] = True
             # the beam's last place; everything in range is walked on from as well
             last = np.partition(near, n - beam, axis=1)[:, n - beam] if beam < n else np.full(len(q), -2.0)
             row, node = np.nonzero(waiting & (near >= np.minimum(last, threshold)[:, None]))
@@ -109,243 +128,281 @@ class Graph:
             many = self.first[node + 1] - self.first[node]
             stop = np.cumsum(many)
             end = self.ends[np.arange(stop[-1]) - np.repeat(stop - many, many) + np.repeat(self.first[node], many)]
-            key = np.unique(np.repeat(row, many) * n + end)
-            row, node = key // n, key % n
-            fresh = near[row, node] == -2.0
-            row, node = row[fresh], node[fresh]
-            for lo in range(0, len(row), 1 << 17):
-                r, v = row[lo:lo + (1 << 17)], node[lo:lo + (1 << 17)]
-                near[r, v] = np.maximum((q[r] * self.z[v]).sum(axis=1), -1.0)
-                waiting[r, v] = True
+            fresh = np.zeros((len(q), n), bool)
+            fresh[np.repeat(row, many), end] = True
+            row, node = np.nonzero(fresh & (near == -2.0))
 
 
-def audited_range(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, float]:
-    """Links of the queries by the walk, and the recall of its first round.
+# --- over a table ------------------------------------------------------------
 
-    The exact number of links within this graph audits each query; one that misses some is walked again
-    with twice the beam. With a beam over the whole graph nothing can be missed.
-    """
-    exact = np.concatenate([(q[lo:lo + 256] @ graph.z.T >= threshold).sum(axis=1) for lo in range(0, len(q), 256)])
-    found = graph.in_range(q, threshold, beam)
-    recall = float(found.sum() / max(exact.sum(), 1))
-    while beam < len(graph.z):
-        short = np.flatnonzero(found.sum(axis=1) < exact)
-        if not len(short):
-            break
-        beam *= 2
-        found[short] |= graph.in_range(q[short], threshold, beam)
-    return found, recall
+def entries(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """(vec_id, kind, x): each usable row with its components as they are; ``kind`` is the label and the number of
+    components, as only vectors of one length are comparable."""
+    numbers = F.transform(F.col("x"), lambda v: v.cast("double"))
+    fine = F.coalesce(F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull()).select("vec_id", F.col(embedding).alias("x"), F.col("label").cast("string").alias("label"))
+    rows = rows.filter(fine & F.exists("x", lambda v: v != 0))
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("x", "label")).alias("r")).select("vec_id", "r.label", "r.x")
+    return rows.select("vec_id", F.concat(F.size("x").cast("string"), F.lit(":"), "label").alias("kind"), "x")
 
 
-# --- over a table ------------------------------------------------------------
+def _flat(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False)
 
-@dataclass
-class Centres:
-    """Centres of each label; a label without any is one cluster.
 
-    Labels are given as ``kind``: the label and the number of components, as only vectors of one length
-    are comparable.
-    """
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors, in double precision, of a list column whose lists have one length."""
+    return _normed(_flat(column), len(column))
 
-    of: dict[int, np.ndarray]
-
-    def angles(self, kind: int, z: np.ndarray) -> np.ndarray:
-        """(vectors x clusters): angle of each vector to each centre."""
-        centres = self.of.get(kind)
-        return np.zeros((len(z), 1)) if centres is None else np.arccos(np.clip(z @ centres.T, -1.0, 1.0))
-
-    def homes(self, kind: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard number of each vector, kind and cluster in one integer, and its angle to the centre."""
-        angles = self.angles(kind, z)
-        home = angles.argmin(axis=1)
-        return (np.int64(kind) << np.int64(_CLUSTER_BITS)) | home, angles[np.arange(len(z)), home]
-
-
-class Reach:
-    """Blocks of all shards, and those that a vector may have a link in."""
-
-    def __init__(self, centres: Centres, shards: list[tuple[int, int, float, float]], threshold: float, block_rows: int):
-        """``shards`` has (shard, vectors, smallest angle, largest angle)."""
-        self.centres, self.within = centres, float(np.arccos(np.clip(threshold, -1.0, 1.0))) + _ROUNDING
-        shards = sorted(shards)
-        self.shard = np.array([s[0] for s in shards], np.int64)
-        self.parts = np.array([-(-s[1] // block_rows) for s in shards], np.int64)
-        self.first = np.cumsum(self.parts) - self.parts
-        self.low, self.high = (np.array([s[k] for s in shards], np.float64) for k in (2, 3))
-
-    def blocks(self, shard: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Number of the block that a vector of a shard belongs to, dealt by a hash of its id."""
-        at = np.searchsorted(self.shard, shard)
-        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return self.first[at] + ((mixed >> np.uint64(33)) % self.parts[at].astype(np.uint64)).astype(np.int64)
-
-    def reached(self, shard: int, z: np.ndarray) -> np.ndarray:
-        """Sorted numbers of the blocks that at least one of these vectors of one shard may have a link in."""
-        kind = shard >> _CLUSTER_BITS
-        lo, hi = np.searchsorted(self.shard, [kind << _CLUSTER_BITS, (kind + 1) << _CLUSTER_BITS])
-        own, cluster = shard & ((1 << _CLUSTER_BITS) - 1), self.shard[lo:hi] & ((1 << _CLUSTER_BITS) - 1)
-        angles = self.centres.angles(kind, z)[:, cluster]
-        near = (angles >= self.low[lo:hi] - self.within) & (angles <= self.high[lo:hi] + self.within)
-        centres = self.centres.of.get(kind)
-        if centres is not None and self.within < np.pi / 2:
-            # vectors of another cluster are beyond the plane between its centre and this one
-            apart = centres[own] - centres[cluster]
-            length = np.linalg.norm(apart, axis=1)
-            near &= z @ apart.T <= np.sin(self.within) * length + _ROUNDING
-        reached = lo + np.flatnonzero(near.any(axis=0))
-        return np.concatenate([np.zeros(0, np.int64), *(np.arange(self.first[k], self.first[k] + self.parts[k]) for k in reached)])
-
-
-def fit_centres(rows: DataFrame, sizes: dict[int, int], shard_rows: int = SHARD_ROWS) -> Centres:
-    """Centres from a bounded sample of ``rows(id, kind, z)``: a few steps of spherical k-means."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("kind", "z").toArrow()
-    kinds = sample["kind"].to_numpy()
-    lists = sample["z"].to_pylist()
-    rng, out = np.random.default_rng(SEED), {}
-    for kind in np.unique(kinds):
-        own = np.array([lists[k] for k in np.flatnonzero(kinds == kind)], dtype=np.float64)
-        k = min(-(-sizes[int(kind)] // shard_rows), len(own) // 4, (1 << _CLUSTER_BITS) - 1)
-        if k < 2:
-            continue
-        centres = own[rng.choice(len(own), k, replace=False)]
-        for _ in range(3):
-            nearest = (own @ centres.T).argmax(axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, nearest, own)
-            length = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(length > 1e-6, sums / np.maximum(length, 1e-12), centres)
-        out[int(kind)] = centres
-    return Centres(out)
-
-
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
+def _normed(flat: np.ndarray, rows: int) -> np.ndarray:
+    x = flat.astype(np.float64).reshape(rows, -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-def entries(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """(vec_id, kind, z): the unit vector of each usable row; ``kind`` is its label and number of components."""
-    x = F.transform(F.col(embedding), lambda v: v.cast("double"))
-    fine = F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    rows = (vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-            .select("vec_id", F.col("label").cast("int").alias("label"), x.alias("x")).filter(fine & F.exists("x", lambda v: v != 0)))
-    rows = rows.groupBy("vec_id").agg(F.min(F.struct("x", "label")).alias("r")).select("vec_id", "r.label", "r.x")
-    kind = F.shiftleft(F.col("label").cast("long"), _LENGTH_BITS) + F.pmod(F.size("x"), F.lit(1 << _LENGTH_BITS))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    return rows.select("vec_id", kind.alias("kind"), F.transform("x", lambda v: v / norm).alias("z"))
-
-
-def _links(q_ids, q_copies, q_z, ids, copies, z, same: bool, threshold: float) -> pa.RecordBatch:
-    """(id, links, head) of the linked vectors of two blocks, or of one with itself; the head is the smallest of a group."""
-    linked = q_z.reshape(len(q_ids), -1) @ z.reshape(len(ids), -1).T >= threshold
-    if same:
-        np.fill_diagonal(linked, False)
-    all_ids, place = np.unique(q_ids if same else np.r_[q_ids, ids], return_inverse=True)
-    links, groups = np.zeros(len(all_ids), np.int64), Groups(len(all_ids))
-    q_place, own_place = place[:len(q_ids)], place[0 if same else len(q_ids):]
-    links[q_place] = np.where(linked, copies, 0).sum(axis=1)
-    if not same:
-        links[own_place] = np.where(linked, q_copies[:, None], 0).sum(axis=0)
-    row, node = np.nonzero(linked)
-    for lo in range(0, len(row), 1 << 18):
-        groups.add(q_place[row[lo:lo + (1 << 18)]], own_place[node[lo:lo + (1 << 18)]])
-    some = np.flatnonzero(links > 0)
-    return pa.RecordBatch.from_arrays([pa.array(all_ids[some]), pa.array(links[some]), pa.array(all_ids[groups.label[some]])], names=["id", "links", "head"])
+
+def centre_sample(equal: DataFrame, d: int, most: int, level: int) -> np.ndarray:
+    """Up to ``most`` vectors of ``d`` components, by a hash of their id: any first few of them are a sample too."""
+    rows = equal.filter(F.size("x") == d).orderBy(F.xxhash64(F.lit(SEED + level), "id"), "id").limit(most).select("x").toArrow()
+    return _unit(rows["x"]) if rows.num_rows else np.zeros((0, d))
+
+
+def _most_rows(d):
+    return F.greatest(F.lit(2), F.least(F.lit(MOST_ROWS), F.floor(SHARD_VALUES / d)))
+
+
+def deal(equal: DataFrame, overlap: int, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(shard, home, id, copies, x): every entry in its shards, ``home`` in one of them.
+
+    Shards are numbers that follow from the kind and the centres. Sizes are joined, not collected.
+    """
+    members = equal.select(F.xxhash64("kind").alias("shard"), "kind", F.lit(True).alias("home"), "id", "copies", "x")
+    d = equal.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    d = d["d"] if d else 1
+    for level in range(LEVELS):
+        sizes = store(members.groupBy("shard", "kind").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("x")).alias("d")).filter(
+            F.col("n") > F.least(F.lit(most_rows), _most_rows(F.col("d")))).select("shard", "kind", F.ceil(F.col("n") / F.least(
+                F.lit(shard_rows), _most_rows(F.col("d")))).alias("cells")), "sizes")
+        most = sizes.agg(F.max("cells")).first()[0]
+        if most is None:
+            break
+        centres = centre_sample(equal, d, min(most, MOST_CENTRES), level)
+
+        def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = batch.column("cells").to_numpy(zero_copy_only=False)
+                length = batch.column("x").value_lengths().to_numpy(zero_copy_only=False)
+                for cell in np.unique(cells):
+                    part = batch.filter(pa.array((cells == cell) & (length == d)))
+                    some = centres[:int(cell)]
+                    if not part.num_rows:
+                        continue
+                    near = _unit(part.column("x")) @ some.T
+                    k = min(overlap, len(some))
+                    order = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(near, order, 1), axis=1, kind="stable"), 1)
+                    shard, home = part.column("shard").to_numpy().view(np.uint64), part.column("home").to_numpy(zero_copy_only=False)
+                    for place in range(k):
+                        to = mixed(shard + mixed(order[:, place].astype(np.uint64) + np.uint64(1000 * level + 1)))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(to.view(np.int64)), part.column("kind"), pa.array(home & (place == 0)), *(part.column(c) for c in ("id", "copies", "x"))],
+                            names=["shard", "kind", "home", "id", "copies", "x"])
+                rest = batch.filter(pa.array(length != d))
+                if rest.num_rows:
+                    yield rest.drop_columns(["cells"])
+
+        large = members.join(sizes, ["shard", "kind"]).select(*members.columns, "cells")
+        dealt = large.mapInArrow(around, members.schema)
+        members = store(dealt.unionByName(members.join(sizes, ["shard", "kind"], "left_anti").select(*members.columns)), "members")
+    # a dense place that centres do not part: as many splits by a hash as a vector has shards
+    sizes = store(members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.min(F.least(F.lit(most_rows), _most_rows(F.size("x"))))).alias("parts")).filter("parts > 1"), "sizes")
+    large = members.join(sizes, "shard")
+    part = lambda k: F.xxhash64("shard", F.lit(k), F.pmod(F.xxhash64("id", F.lit(k)), F.col("parts")))
+    twice = large.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("split"), part(k).alias("to")) for k in range(overlap)])).alias("s")).select(
+        F.col("s.to").alias("shard"), "kind", (F.col("home") & (F.col("s.split") == 0)).alias("home"), "id", "copies", "x")
+    return members.join(sizes.select("shard"), "shard", "left_anti").select(*members.columns).unionByName(twice)
+
+
+_WALKED = "kind int, shard long, id long, links long, head long, seeds array<long>, cosines long, graph binary"
+_GRAPH, _LINK, _SEND, _COUNT = 0, 1, 2, 3
+
+
+def _rows(kind: int, n: int, **columns) -> pa.Table:
+    types = {"shard": pa.int64(), "id": pa.int64(), "links": pa.int64(), "head": pa.int64(), "seeds": pa.list_(pa.int64()), "cosines": pa.int64(), "graph": pa.binary()}
+    return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), **{
+        c: pa.nulls(n, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in types.items()}})
+
+
+def _walk(shard: int, graph: Graph, ids, copies, home, others, q, q_ids, seeds, threshold: float) -> list[pa.Table]:
+    """Links, and where to send the queries next, of queries that walk a shard.
+
+    A linked vector counts where it is at home; ``others`` are the other shards of each vector.
+    """
+    links, out = np.zeros(len(q), np.int64), []
+    groups = Groups(len(ids) + len(q))
+    where = {int(v): k for k, v in enumerate(ids)}
+    own = np.array([where.get(int(v), len(ids) + k) for k, v in enumerate(q_ids)], np.int64)
+    names = np.r_[ids, q_ids]
+    linked_any = np.zeros(len(names), bool)
+    send_q, send_to, send_seed = [], [], []
+    counts = np.diff(others[0])
+    for lo in range(0, len(q), 256):
+        some = slice(lo, lo + 256)
+        at = (seeds[0] >= lo) & (seeds[0] < lo + 256)
+        met = graph.in_range(q[some], threshold, BEAM, (seeds[0][at] - lo, seeds[1][at]))
+        row, node = np.nonzero(met)
+        # on from every vector in range, the query itself among them, to its other shards
+        many = counts[node]
+        stop = np.cumsum(many)
+        if len(stop) and stop[-1]:
+            send_q.append(np.repeat(row + lo, many))
+            send_to.append(others[1][np.arange(stop[-1]) - np.repeat(stop - many, many) + np.repeat(others[0][node], many)])
+            send_seed.append(np.repeat(ids[node], many))
+        other = ids[node] != q_ids[row + lo]
+        row, node = row[other], node[other]
+        links[some] = np.bincount(row, np.where(home[node], copies[node], 0), minlength=len(q[some]))
+        for k in range(0, len(row), 1 << 18):
+            groups.add(own[row[k:k + (1 << 18)] + lo], node[k:k + (1 << 18)])
+        linked_any[own[row + lo]] = linked_any[node] = True
+    some = np.flatnonzero(linked_any)
+    heads = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(heads, groups.label, names)
+    out.append(_rows(_LINK, len(some), id=names[some], links=np.zeros(len(some), np.int64), head=heads[groups.label[some]]))
+    has = np.flatnonzero(links)
+    out.append(_rows(_LINK, len(has), id=q_ids[has], links=links[has], head=q_ids[has]))
+    if send_q:
+        of, to, seed = (np.concatenate(c) for c in (send_q, send_to, send_seed))
+        order = np.lexsort((seed, to, of))
+        of, to, seed = of[order], to[order], seed[order]
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (to[1:] != to[:-1])])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(of)].astype(np.int32)), pa.array(seed))
+        out.append(_rows(_SEND, len(new), id=q_ids[of[new]], shard=to[new], seeds=lists))
+    out.append(_rows(_COUNT, 1, shard=[shard], cosines=[graph.cosines]))
+    return out
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([a.nbytes for a in arrays], np.int64)
+    return np.int64(len(arrays)).tobytes() + sizes.tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8)
+    ends = 8 * (n + 1) + np.cumsum(sizes)
+    return [data[end - size:end] for end, size in zip(ends, sizes)]
 
 
 def audit(equal: DataFrame, links: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
-    """Recall of ``links(id, links)`` over a sample of ``equal(kind, z, id, copies)``: the share of exact links that it has.
+    """Recall of ``links(id, links)`` over a sample of ``equal(kind, x, id, copies)``: the share of exact links that it has.
 
     The sample is bounded and goes to every task; all vectors of its labels pass it in batches.
     """
-    sample = equal.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(rows).select("id", "kind", "z").toArrow()
+    sample = equal.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(rows).select("id", "kind", "x").toArrow()
     if not sample.num_rows:
         return 1.0
-    ids, kinds, lists = sample["id"].to_numpy(), sample["kind"].to_numpy(), sample["z"].to_pylist()
-    asked = {int(k): (ids[kinds == k], np.array([lists[i] for i in np.flatnonzero(kinds == k)], np.float64)) for k in np.unique(kinds)}
+    ids, kinds = sample["id"].to_numpy(), np.array(sample["kind"].to_pylist(), object)
+    asked = {k: (ids[kinds == k], _unit(sample["x"].combine_chunks().take(pa.array(np.flatnonzero(kinds == k))))) for k in set(kinds)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own_kinds = batch.column("kind").to_numpy()
-            for kind in np.unique(own_kinds):
-                if int(kind) in asked:
-                    part = batch.filter(pa.array(own_kinds == kind))
-                    q_ids, q = asked[int(kind)]
-                    linked = (q @ _matrix(part.column("z")).T >= threshold) & (q_ids[:, None] != part.column("id").to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.where(linked, part.column("copies").to_numpy(), 0).sum(axis=1))], names=["id", "exact"])
-
-    exact = equal.select("id", "kind", "z", "copies").mapInArrow(count, "id long, exact long").groupBy("id").agg(F.sum("exact").alias("exact"))
+            own = np.array(batch.column("kind").to_pylist(), object)
+            for kind in set(own) & set(asked):
+                part = batch.filter(pa.array(own == kind, pa.bool_()))
+                q_ids, q = asked[kind]
+                linked = (q @ _unit(part.column("x")).T >= threshold) & (q_ids[:, None] != part.column("id").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.where(linked, part.column("copies").to_numpy(), 0).sum(axis=1))], names=["id", "exact"])
+
+    exact = equal.select("id", "kind", "x", "copies").mapInArrow(count, "id long, exact long").groupBy("id").agg(F.sum("exact").alias("exact"))
     found = F.least(F.coalesce("links", F.lit(0)), F.col("exact"))
     row = exact.join(links, "id", "left").agg(F.sum(found).alias("found"), F.sum("exact").alias("exact")).first()
     return row["found"] / row["exact"] if row["exact"] else 1.0
 
 
-def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+def walked(equal: DataFrame, threshold: float, overlap: int, shard_rows: int, most_rows: int) -> tuple[DataFrame, int]:
+    """(id, links, head) over all walks, and the cosines that graphs and walks took."""
+    members = store(deal(equal, overlap, shard_rows, most_rows), "members")
+    numbers = members.select("shard", "id")
+    shards_of = numbers.groupBy("id").agg(F.collect_list("shard").alias("all")).filter(F.size("all") > 1)  # a few for each vector
+    elsewhere = numbers.join(shards_of, "id").select(F.col("shard").alias("of_shard"), F.col("id").alias("of"), F.array_except("all", F.array("shard")).alias("others"))
+
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        group, right = left.take(pc.sort_indices(left["id"])), right.take(pc.sort_indices(right["of"]))
+        shard, z = group["shard"][0].as_py(), _unit(group["x"])
+        ids, copies, home = group["id"].to_numpy(), group["copies"].to_numpy(), group["home"].to_numpy()
+        many = np.zeros(len(ids), np.int64)
+        many[np.searchsorted(ids, right["of"].to_numpy())] = right["others"].combine_chunks().value_lengths().to_numpy()
+        others = np.r_[0, np.cumsum(many)], _flat(right["others"]).astype(np.int64)
+        graph = Graph(z)
+        x = _flat(group["x"])
+        packed = _pack(ids, copies, home.astype(np.uint8), *others, graph.first, graph.ends, graph.starts, np.frombuffer(x.dtype.str.encode(), np.uint8), x)
+        graph.cosines = len(z) * (len(z) - 1) // 2
+        every = np.arange(len(ids))
+        return pa.concat_tables([_rows(_GRAPH, 1, shard=[shard], graph=[packed]), *_walk(shard, graph, ids, copies, home, others, z, ids, (every, every), threshold)])
+
+    done = store(members.groupBy("shard").cogroup(elsewhere.groupBy("of_shard")).applyInArrow(build, _WALKED), "walks")
+    graphs = done.filter(F.col("kind") == _GRAPH).select("shard", "graph")
+    walks, visited = done, members.select("id", "shard")
+
+    def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _rows(_LINK, 0)
+        shard = left["shard"][0].as_py()
+        raw = _unpack(left["graph"][0].as_py())
+        ids, copies, home, *others = (np.frombuffer(b, t) for b, t in zip(raw, (np.int64, np.int64, np.uint8, np.int64, np.int64)))
+        z = _normed(np.frombuffer(raw[9], np.dtype(raw[8].decode())), len(ids))
+        graph = Graph(z, packed=tuple(np.frombuffer(b, np.int64) for b in raw[5:8]))
+        lists = right["seeds"].combine_chunks()
+        of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        seeds = np.searchsorted(ids, lists.flatten().to_numpy())
+        return pa.concat_tables(_walk(shard, graph, ids, copies, home.astype(bool), tuple(others), _unit(right["x"]), right["id"].to_numpy(), (of, seeds), threshold))
+
+    while True:
+        sent = done.filter(F.col("kind") == _SEND).groupBy("id", "shard").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"))
+        sent = store(sent.join(visited, ["id", "shard"], "left_anti"), "sent")
+        if sent.isEmpty():
+            break
+        visited = store(visited.unionByName(sent.select("id", "shard")), "visited")
+        # a shard with many queries meets them in blocks
+        blocks = store(sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
+        asking = (sent.join(equal.select("id", "x"), "id").join(blocks, "shard")
+                  .withColumn("q_block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumnRenamed("shard", "q_shard").drop("blocks"))
+        asked = graphs.join(blocks, "shard").select("shard", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        done = store(asked.groupBy("shard", "block").cogroup(asking.groupBy("q_shard", "q_block")).applyInArrow(go_on, _WALKED), "walks")
+        walks = walks.unionByName(done)
+    found = walks.filter(F.col("kind") == _LINK).select("id", "links", "head")
+    return found, walks.filter(F.col("kind") == _COUNT).agg(F.sum("cosines")).first()[0] or 0
+
+
+def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS,
+                overlap: int = OVERLAP) -> DataFrame:
     """(vec_id, n_links, component_id, kept) with one row for each id of ``vectors(vec_id, embedding, label)``.
 
     Vectors link if their labels are equal and their cosine is at least ``threshold``. Vectors that are
     null, zero, or hold null or non-finite components, and rows without a label, link with nothing, as do
-    vectors of different lengths. Of a repeated id the smallest vector counts; rows without an id are left
-    out. An empty table gives an empty result.
+    vectors of different lengths. Of a repeated id the smallest vector counts; rows without an id are one row
+    without links and component. An empty table gives an empty result; other columns are not looked at.
     """
     rows = store(entries(vectors), "vectors")
     # equal vectors of a label are one entry
-    equal = store(rows.groupBy("kind", "z").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "equal")
-    sizes = {r["kind"]: r["count"] for r in equal.groupBy("kind").count().collect()}  # one row for a label
-    centres = fit_centres(equal, sizes, shard_rows)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for kind in np.unique(kinds):
-                part = batch.filter(pa.array(kinds == kind))
-                shard, angle = centres.homes(int(kind), _matrix(part.column("z")))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("z"), pa.array(shard), pa.array(angle)],
-                                                 names=["id", "copies", "z", "shard", "angle"])
-
-    homed = store(equal.mapInArrow(settle, "id long, copies long, z array<double>, shard long, angle double"), "homed")
-    spans = homed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    reach = Reach(centres, [tuple(r) for r in spans.collect()], threshold, block_rows)  # one row for a centre
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = reach.blocks(batch.column("shard").to_numpy(), batch.column("id").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(block), *(batch.column(c) for c in ("shard", "id", "copies", "z"))],
-                                             names=["block", "shard", "id", "copies", "z"])
-
-    def pack(group: pa.Table) -> pa.Table:
-        z, block = _matrix(group["z"]), group["block"][0].as_py()
-        reached = reach.reached(group["shard"][0].as_py(), z)
-        return pa.table({"block": [block], "ids": [group["id"].to_numpy().tobytes()], "copies": [group["copies"].to_numpy().tobytes()],
-                         "z": [z.tobytes()], "reached": pa.array([reached[reached >= block]], pa.list_(pa.int64()))})
-
-    blocks = homed.mapInArrow(assign, "block long, shard long, id long, copies long, z array<double>").groupBy("block")
-    blocks = store(blocks.applyInArrow(pack, "block long, ids binary, copies binary, z binary, reached array<long>"), "blocks")
-    # a link reaches from either side, so a pair of blocks meets if the lower one reaches the other
-    asking = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("z").alias("q_z"),
-                           F.explode("reached").alias("block"))
-    pairs = asking.join(blocks.drop("reached"), "block")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                same = row["q_block"].as_py() == row["block"].as_py()
-                yield _links(*(np.frombuffer(row[c].as_buffer(), t) for c, t in (("q_ids", "<i8"), ("q_copies", "<i8"), ("q_z", "<f8"), ("ids", "<i8"), ("copies", "<i8"), ("z", "<f8"))),
-                             same, threshold)
-
-    found = store(pairs.mapInArrow(compare, "id long, links long, head long"), "found")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    recall = audit(equal, links, threshold)
-    if recall < RECALL:
-        raise RuntimeError(f"the audit found {recall:.4f} of the links of a sample, less than {RECALL}")
-    components = connected(found.filter("id <> head"), "id", "head").withColumnRenamed("node", "id")
-    by_entry = equal.join(links, "id", "left").join(components, "id", "left").select(
-        F.col("kind").alias("__kind"), F.col("z").alias("__z"), F.coalesce("links", F.lit(0)).alias("links"), "copies",
-        F.coalesce("component", "id").alias("component"))
-    placed = rows.join(by_entry, (F.col("kind") == F.col("__kind")) & (F.col("z") == F.col("__z"))).select(
-        "vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    return (vectors.filter(F.col("vec_id").isNotNull()).select("vec_id").distinct().join(placed, "vec_id", "left")
+    equal = store(rows.groupBy("kind", "x").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "equal")
+    while True:
+        found, _ = walked(equal, threshold, overlap, shard_rows, most_rows)
+        links = store(found.groupBy("id").agg(F.sum("links").alias("links")), "links")
+        recall = audit(equal, links, threshold)
+        if recall >= RECALL:
+            break
+        if overlap >= MOST_OVERLAP:
+            raise RuntimeError(f"the audit found {recall:.4f} of the links of a sample, less than {RECALL}")
+        overlap += 2
+    components = connected(found.filter("id <> head").select("id", "head"), "id", "head").withColumnRenamed("node", "id")
+    # only copies have to look for their entry; the others are one themselves
+    several = store(equal.filter("copies > 1").select(F.col("kind").alias("__kind"), F.col("x").alias("__x"), "id", "copies"), "several")
+    named = rows.join(several, (F.col("kind") == F.col("__kind")) & (F.col("x") == F.col("__x")), "left").select(
+        "vec_id", F.coalesce("id", "vec_id").alias("id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    placed = named.join(links, "id", "left").join(components, "id", "left").select(
+        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return (vectors.select("vec_id").distinct().join(placed, "vec_id", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
                     (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept")))

@@ -1,31 +1,33 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear numpy classifier learns from confirmed toxic texts and from texts taken as unlabelled, although
-some of them are toxic. With the class prior p, the risk of the unknown clean texts is the risk of the
-unlabelled ones less p times that of the toxic ones. Estimated from finite samples it can turn negative,
-which is overfitting; the step then goes back up instead (the non-negative estimator).
+A linear numpy classifier learns from confirmed toxic texts and from unlabelled texts: a sample of all
+documents whatever their label, some of them toxic. With the class prior p, the risk of the unknown clean
+texts is the risk of the unlabelled ones less p times that of the toxic ones. Estimated from finite samples
+it can turn negative, which is overfitting; the step then goes back up instead (the non-negative estimator).
 
 Features are the distinct words of a text and the first four and five letters of each, lower case. They
-are chosen by how much more often they occur in toxic than in unlabelled texts, or less.
+are chosen by how much more often they occur in toxic than in unlabelled texts. Labels that say a text is
+clean are used for the prior alone; without any, it is estimated from the features.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_FEATURES = 300
-MEMO_TOKENS = 400_000
+MEMO_TOKENS = 50_000      # of a task, with the features they hold
+UNLABELLED = 2             # unlabelled texts of the sample for each toxic one that it may have
+LEAST_RATE = 0.05          # of a feature in toxic texts that the prior is estimated from
 
 
 def token_features(token: str) -> set[str]:
@@ -104,60 +106,79 @@ class Rows:
         return np.bincount(self.feature, d[self.row], minlength=features)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risks(w: np.ndarray, p: Rows, u: Rows, prior: float) -> tuple[float, float]:
+    """Risk of the toxic texts and estimated risk of the clean ones, with the sigmoid loss: a toxic text costs
+    1 - s, a clean one s."""
+    s_p, s_u = (sigmoid(x.times(w[:-1]) + w[-1]) for x in (p, u))
+    return prior * float((1 - s_p).mean()), float(s_u.mean()) - prior * float(s_p.mean())
+
+
+def gradients(w: np.ndarray, p: Rows, u: Rows, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of both risks, for the weights and the bias behind them."""
+    s_p, s_u = (sigmoid(x.times(w[:-1]) + w[-1]) for x in (p, u))
+    d_p, d_u = s_p * (1 - s_p) / p.n, s_u * (1 - s_u) / u.n
+    of_p = np.r_[p.summed(d_p, len(w) - 1), d_p.sum()]
+    of_u = np.r_[u.summed(d_u, len(w) - 1), d_u.sum()]
+    return -prior * of_p, of_u - prior * of_p
+
+
 def train_nnpu(p: Rows, u: Rows, features: int, prior: float, steps: int = 400, rate: float = 0.05,
-               decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the sigmoid loss, by Adam over all rows."""
-    w = np.r_[np.full(features, 2.0), -1.0]  # every chosen feature speaks for toxicity
+               decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by Adam over all rows."""
+    w = np.r_[np.zeros(features), -1.0]
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        s_p, s_u = sigmoid(p.times(w[:-1]) + w[-1]), sigmoid(u.times(w[:-1]) + w[-1])
-        # sigmoid loss: a toxic text costs 1 - s, a clean one s
-        clean_risk = s_u.mean() - prior * s_p.mean()
-        d_p, d_u = s_p * (1 - s_p) / p.n, s_u * (1 - s_u) / u.n
-        grad_p = np.r_[p.summed(d_p, features), d_p.sum()]
-        grad_clean = np.r_[u.summed(d_u, features), d_u.sum()] - prior * grad_p
-        grad = -prior * grad_p + grad_clean if clean_risk >= 0 else -grad_clean
+        of_toxic, of_clean = gradients(w, p, u, prior)
+        grad = of_toxic + of_clean if risks(w, p, u, prior)[1] >= 0 else -of_clean
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        np.maximum(w[:-1], 0.0, out=w[:-1])
     return w[:-1], float(w[-1])
 
 
+def estimated_prior(p: Rows, u: Rows, features: int) -> float:
+    """Share of toxic texts among the unlabelled ones, from above: a feature is in unlabelled texts at least as often
+    as the toxic ones among them bring it there, so no ratio of its rates is below the share."""
+    in_p, in_u = (x.summed(np.ones(x.n), features) / max(x.n, 1) for x in (p, u))
+    some = in_p >= LEAST_RATE
+    above = in_u[some] + 2 * np.sqrt(in_u[some] * (1 - in_u[some]) / max(u.n, 1))
+    return float((above / in_p[some]).min()) if some.any() else 0.5
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = common.SAMPLE_ROWS,
         max_bytes: int = common.SAMPLE_BYTES) -> PuModel:
-    """Learn from a bounded sample of ``docs(doc_id, text)``, fold 0 of crc32 modulo 5 left out.
+    """Learn from bounded samples of ``docs(doc_id, text)``, fold 0 of crc32 modulo 5 left out.
 
-    Confirmed toxic texts are those with ``toxic = 1`` in ``labels``; every other label counts as
-    unlabelled. The class prior is the toxic share of all labels outside that fold.
+    Confirmed toxic texts are those with ``toxic = 1`` in ``labels``, at most ``rows`` of them; unlabelled ones are
+    at most ``UNLABELLED * rows`` documents by a hash of their id, whatever their label. The class prior is the toxic
+    share of all labels outside that fold; where none says clean, it is estimated.
     """
-    learn = ~common.is_held_out(5, 0)
-    share = labels.filter(learn & F.col("toxic").isNotNull()).agg(F.avg("toxic")).first()[0]
-    sample = common.labelled_sample(docs, labels, "toxic", rows, max_bytes, learn)
-    return fit_sample(sample, min(max(float(share or 0.0), 0.01), 0.9))
-
-
-def fit_sample(sample: list[tuple[str, int]], prior: float) -> PuModel:
-    """Model from (text, confirmed toxic) pairs; 0 only means that a text is not confirmed."""
-    toxic, rest = [t for t, y in sample if y], [t for t, y in sample if not y]
-    if not toxic or not rest:
+    learn = ~common.is_held_out(5, 0) & F.col("doc_id").isNotNull()
+    known = labels.filter(learn & F.col("toxic").isNotNull())
+    count = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") != 1).alias("clean")).first()
+    if not count["toxic"]:
         return PuModel()
-    # the unlabelled set has the share of toxic texts that the prior states
-    again = round(prior / (1 - prior) * len(rest))
-    unlabelled = rest + [toxic[k % len(toxic)] for k in range(again)]
-    index = {f: k for k, f in enumerate(choose_features(toxic, rest))}
-    return PuModel(index, *train_nnpu(Rows.of(toxic, index), Rows.of(unlabelled, index), len(index), prior))
-
-
-def score_column(model: PuModel, text: str = "text") -> Column:
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict = {}
-        for texts in batches:
-            yield pd.Series([model.score(t, memo) for t in texts], dtype="float64")
-
-    return scores(F.col(text))
+    toxic = known.filter(F.col("toxic") == 1).select("doc_id").distinct().select(
+        "doc_id", F.xxhash64("doc_id").alias("__order"), F.lit(1).alias("__label")).orderBy("__order", "doc_id").limit(rows)
+    anyone = docs.filter(learn).select("doc_id").distinct().select(
+        "doc_id", F.xxhash64(F.lit(UNLABELLED), "doc_id").alias("__order"), F.lit(0).alias("__label")).orderBy("__order", "doc_id").limit(UNLABELLED * rows)
+    prior = count["toxic"] / (count["toxic"] + count["clean"]) if count["clean"] else None
+    return fit_sample(common.sample_texts(docs, toxic.unionByName(anyone), max_bytes), prior)
+
+
+def fit_sample(sample: list[tuple[str, int]], prior: float | None) -> PuModel:
+    """Model from (text, confirmed toxic) pairs; 0 only means that a text is not confirmed. Without a prior it is estimated."""
+    toxic, unlabelled = [t for t, y in sample if y], [t for t, y in sample if not y]
+    if not toxic or not unlabelled:
+        return PuModel()
+    index = {f: k for k, f in enumerate(choose_features(toxic, unlabelled))}
+    p, u = Rows.of(toxic, index), Rows.of(unlabelled, index)
+    share = estimated_prior(p, u, len(index)) if prior is None else prior
+    return PuModel(index, *train_nnpu(p, u, len(index), min(max(share, 0.01), 0.9)))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -167,13 +188,24 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     same and below 0.5. Rows without an id are scored and never learned from. No shuffle of texts.
     """
     model = fit(docs, labels)
-    scored = docs.select("doc_id", score_column(model).alias("score"))
+
+    def worker():
+        memo: dict = {}
+        return lambda rows, texts: pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), pa.array([model.score(t, memo) for t in texts], pa.float64())], names=["doc_id", "score"])
+
+    scored = common.map_texts(docs.select("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double", worker)
     return scored.select("doc_id", common.is_held_out(5, 0).alias("held_out"), "score",
                          F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score as toxic."""
+    """``docs`` without the rows that score as toxic. All columns pass unchanged, whatever their names; null and empty
+    texts stay, repeated rows stay or go together, an empty table stays empty."""
     model = fit(docs, labels)
-    scored = docs.withColumn("__toxicity_score", score_column(model))
-    return scored.filter(F.col("__toxicity_score") < threshold).select(*docs.columns)
+
+    def worker():
+        memo: dict = {}
+        return lambda rows, texts: rows.filter(pa.array([model.score(t, memo) < threshold for t in texts], pa.bool_()))
+
+    return common.map_texts(docs, docs.schema, worker)

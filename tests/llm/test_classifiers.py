@@ -76,3 +76,80 @@ def test_the_sample_survives_a_repeated_id_and_a_huge_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     sample = common.labelled_sample(docs, labels, "toxic", 20, 4000, common.F.lit(True))
     assert sample == [(f"text {i}", i % 2) for i in order if i != huge]
+
+
+def test_toxic_labels_alone_are_enough(spark):
+    """No label says that a text is clean: the prior is estimated, and the method works as it is meant to."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = pu_toxicity.score(docs, labels.filter("toxic = 1"))
+    y, p, _ = held_out(spark, scored, "toxic").T
+    assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.01
+
+
+def some_rows(seed=3, n=40, features=6):
+    rng = np.random.default_rng(seed)
+    dense = rng.random((n, features)) < 0.4
+    row, feature = np.nonzero(dense)
+    return pu_toxicity.Rows(row, feature, n), dense.astype(float)
+
+
+def test_risk_and_gradient_equal_a_direct_computation():
+    (p, dense_p), (u, dense_u) = some_rows(1), some_rows(2, 70)
+    w, prior = np.random.default_rng(0).normal(size=7), 0.3
+
+    def direct(w):
+        s_p, s_u = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x in (dense_p, dense_u))
+        return np.array([prior * np.mean(1 - s_p), np.mean(s_u) - prior * np.mean(s_p)])
+
+    assert np.allclose(pu_toxicity.risks(w, p, u, prior), direct(w))
+    steps = np.eye(7) * 1e-6
+    numeric = np.array([(direct(w + e) - direct(w - e)) / 2e-6 for e in steps]).T
+    assert np.allclose(pu_toxicity.gradients(w, p, u, prior), numeric, atol=1e-8)
+
+
+def test_training_lowers_the_risk_and_never_below_zero():
+    (p, _), (u, _) = some_rows(1, 200), some_rows(2, 300)
+    start = np.r_[np.zeros(6), -1.0]
+    w, b = pu_toxicity.train_nnpu(p, u, 6, 0.3)
+    toxic, clean = pu_toxicity.risks(np.r_[w, b], p, u, 0.3)
+    assert toxic + max(clean, 0.0) < sum(pu_toxicity.risks(start, p, u, 0.3)) and clean > -0.02
+
+
+def test_the_prior_is_estimated_from_a_feature_of_toxic_texts():
+    rng = np.random.default_rng(1)
+    toxic = rng.random(20_000) < 0.1
+    mark = toxic & (rng.random(20_000) < 0.6)
+    one = lambda has: pu_toxicity.Rows(np.flatnonzero(has), np.zeros(has.sum(), int), len(has))
+    assert 0.1 <= pu_toxicity.estimated_prior(one(mark[toxic]), one(mark), 1) < 0.12
+
+
+def test_quality_difference_and_calibration_written_out():
+    import zstandard
+
+    rng = np.random.default_rng(2)
+    good = [" ".join(rng.choice("the river runs quietly past old mills and gardens".split(), 60)) for _ in range(60)]
+    bad = [" ".join(rng.choice("buy now click here free $$$ win !!!".split(), 60)) for _ in range(60)]
+    model = compression_quality.fit_sample([(t, 1) for t in good] + [(t, 0) for t in bad], 0.4)
+
+    def size(data, dictionary):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(data[at:at + 1024])) for at in range(0, len(data), 1024))
+
+    def difference(text):
+        data = text.encode()
+        return (size(data, model.bad) - size(data, model.good)) / len(data)
+
+    held = [(t, 1) for t in good[40:]] + [(t, 0) for t in bad[40:]]
+    x, y = np.array([difference(t) for t, _ in held]), np.array([label for _, label in held], float)
+    assert [model.difference(t) for t, _ in held] == list(x) and model.difference("") == 0.0
+    score = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
+    assert np.allclose(score, [model.score(t) for t, _ in held]) and score[y == 1].min() > score[y == 0].max()
+    # the calibration: no slope or offset near it has a smaller weighted loss
+    weight = np.where(y == 1, 0.4 / y.mean(), 0.6 / (1 - y.mean()))
+
+    def loss(slope, offset):
+        z = slope * x + offset
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-2 * (slope * x.std()) ** 2
+
+    best = loss(model.slope, model.offset)
+    assert all(loss(model.slope * (1 + a), model.offset + b) >= best - 1e-9 for a in (-1e-3, 0, 1e-3) for b in (-1e-3, 0, 1e-3))

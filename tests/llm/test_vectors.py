@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventspark.llm import multiprobe as mp
 from eventspark.llm import pruned_graph as pg
@@ -107,11 +108,12 @@ def brute_links(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,block_rows", [(500, 1000), (30, 40)])
-def test_near_copies(spark, odd_vectors, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows,most_rows", [(500, 1500), (30, 40)])
+def test_near_copies(spark, odd_vectors, shard_rows, most_rows):
     df, rows = odd_vectors
-    got = {r[0]: tuple(r)[1:] for r in pg.near_copies(df, 0.99, shard_rows, block_rows).collect()}
+    got = {r[0]: tuple(r)[1:] for r in pg.near_copies(df, 0.99, shard_rows, most_rows).collect()}
     want = brute_links(rows, 0.99)
+    assert got.pop(None) == (0, None, None)
     assert got.keys() == want.keys()
     wrong = [i for i in want if got[i] != want[i]]
     assert not wrong if shard_rows == 500 else len(wrong) <= 0.02 * len(want)
@@ -129,8 +131,13 @@ def test_pruned_lists_are_sparse_and_the_walk_finds_the_range():
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     lists = pg.robust_prune(z)
     assert np.mean([len(x) for x in lists]) < 4 * pg.DEGREE
-    found, recall = pg.audited_range(pg.Graph(z, lists), z, 0.9)
-    assert recall >= 0.9 and (found == (z @ z.T >= 0.9)).all()
+    graph = pg.Graph(z, lists)
+    found = graph.in_range(z, 0.9)
+    near = z @ z.T >= 0.9
+    assert (found <= near).all() and found.sum() >= 0.99 * near.sum()
+    graph.cosines = 0
+    lonely = graph.in_range(z[:200], 0.9, seeds=(np.arange(200), np.arange(200)))  # with little in range they leave most others alone
+    assert graph.cosines < 0.6 * 200 * 400 and lonely.sum() >= 0.98 * near[:200].sum()
 
 
 def test_a_dense_group_over_many_shards_loses_no_link(spark):
@@ -139,7 +146,7 @@ def test_a_dense_group_over_many_shards_loses_no_link(spark):
     x = np.r_[rng.normal(size=16) * 2 + 0.25 * rng.normal(size=(3000, 16)), rng.normal(size=(3000, 16))]
     z = x / np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in pg.near_copies(df, shard_rows=60, block_rows=100).collect()}
+    got = {r["vec_id"]: r for r in pg.near_copies(df, shard_rows=60, most_rows=150).collect()}
     near = z @ z.T >= pg.THRESHOLD
     np.fill_diagonal(near, False)
     groups = pg.Groups(len(x))
@@ -149,28 +156,52 @@ def test_a_dense_group_over_many_shards_loses_no_link(spark):
     assert [got[i]["component_id"] for i in range(len(x))] == groups.label.tolist()
 
 
-def test_the_audit_sees_links_that_no_cluster_holds(spark, monkeypatch):
-    """Blocks that never meet lose links; the audit counts against the whole label, so it says so."""
+def test_the_audit_sees_lost_links_and_asks_for_more_overlap(spark, monkeypatch):
+    """Walks that are cut short lose links; the audit counts against the whole label, so more overlap is tried, then it says so."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=8) * 2 + 0.2 * rng.normal(size=(600, 8))
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    seen, audit = [], pg.audit
-    monkeypatch.setattr(pg, "audit", lambda *a: seen.append(audit(*a)) or seen[-1])
-    pg.near_copies(df, shard_rows=60, block_rows=100)
-    assert seen == [1.0]
+    seen, walked = [], pg.walked
+    monkeypatch.setattr(pg, "MOST_OVERLAP", 4)
 
-    def clusters_without_bounds(centres, shards, *rest):
-        return pg_reach(centres, [(s, n, 9.0, -9.0) for s, n, _, _ in shards], *rest)
+    def half(equal, threshold, overlap, *rest):
+        seen.append(overlap)
+        found, n = walked(equal, threshold, overlap, *rest)
+        return found.filter("id % 2 = 0"), n
 
-    pg_reach = pg.Reach
-    monkeypatch.setattr(pg, "Reach", clusters_without_bounds)
+    monkeypatch.setattr(pg, "walked", half)
     with pytest.raises(RuntimeError, match="audit"):
-        pg.near_copies(df, shard_rows=60, block_rows=100)
+        pg.near_copies(df, shard_rows=60, most_rows=150)
+    assert seen == [2, 4]
+
+
+def test_far_fewer_cosines_than_pairs(spark):
+    """20,000 vectors of one label without structure, and a few near copies among them."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 32))
+    x[10_000:10_200] = x[:200] + 0.05 * rng.normal(size=(200, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    equal = pg.entries(df).select(F.col("vec_id").alias("id"), "kind", "x", F.lit(1).cast("long").alias("copies"))
+    found, cosines = pg.walked(equal, pg.THRESHOLD, pg.OVERLAP, pg.SHARD_ROWS, pg.MOST_ROWS)
+    links = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("links").alias("n")).collect()}
+    want = set(range(200)) | set(range(10_000, 10_200))
+    assert set(links) <= want and len(links) >= 0.99 * len(want) and set(links.values()) == {1}
+    assert cosines < 0.15 * 20_000 * 20_000 / 2
+
+
+def test_labels_and_lengths_of_any_size(spark):
+    long = [1.0] + [0.0] * 4096
+    rows = [(1, [1.0], 2 ** 40), (2, [2.0], 2 ** 40), (3, long, 2 ** 40), (4, long, 2 ** 40), (5, [1.0], -(2 ** 40)), (6, [1e200, 1e200], 1), (7, [1e-200, 1e-200], 1),
+            (None, [1.0], 1), (8, [1.0], None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label long, kind string, n_links int")
+    got = sorted(map(tuple, pg.near_copies(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 1, 6, True), (7, 1, 6, False),
+                          (8, 0, 8, True), (None, 0, None, None)], key=str)
 
 
 def test_the_cluster_size_does_not_change_the_result(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=8) * 2 + 0.3 * rng.normal(size=(900, 8))
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    many, few = (sorted(map(tuple, pg.near_copies(df, shard_rows=n, block_rows=n).collect())) for n in (30, 900))
+    many, few = (sorted(map(tuple, pg.near_copies(df, shard_rows=n, most_rows=2 * n).collect())) for n in (30, 900))
     assert many == few
