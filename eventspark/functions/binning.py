@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from eventspark.schema import GAUSSIAN_GRID_POINTS, small_table
 
+TREE_THRESHOLDS = 512  # of a tree of comparisons; it makes a plan of twice as many nodes
 
 def literal_array(values: Sequence, element: str) -> Column:
     """A constant array: one parsed string, folded by the optimizer, instead of one node per element."""
@@ -70,9 +71,12 @@ def _uniform_index(value: Column, start: float, step: float, last: int) -> Colum
 
 
 def search_sorted(value: Column, thresholds: Sequence[float]) -> Column:
-    """Number of thresholds <= value, by bisection over a constant array."""
+    """Number of thresholds <= value, by bisection: a tree of comparisons, or steps over a constant array
+    where the tree would make too large a plan."""
     if not thresholds:
         return F.lit(0)
+    if len(thresholds) <= TREE_THRESHOLDS:
+        return _bisected(value, thresholds, 0, len(thresholds))
     table = literal_array(list(thresholds), "double")
     halvings = math.ceil(math.log2(len(thresholds) + 1))
 
@@ -88,6 +92,14 @@ def search_sorted(value: Column, thresholds: Sequence[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve, lambda acc: acc["lo"])
 
 
+def _bisected(value: Column, thresholds: Sequence[float], lo: int, hi: int) -> Column:
+    if lo == hi:
+        return F.lit(lo)
+    middle = (lo + hi) // 2
+    above = value >= F.lit(float(thresholds[middle]))
+    return F.when(above, _bisected(value, thresholds, middle + 1, hi)).otherwise(_bisected(value, thresholds, lo, middle))
+
+
 def _check_range(start: float, stop: float) -> None:
     if not (math.isfinite(start) and math.isfinite(stop)) or stop <= start:
         raise ValueError(f"need finite start < stop, got {start}, {stop}")

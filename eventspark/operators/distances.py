@@ -1,15 +1,16 @@
 """Distances between a reference and a generated sample.
 
-None of them builds pairs of rows. Pair sums factorise: observables over particle pairs come from
-moment tensors of the event, kernel means from sums of monomials, so the work is linear in the rows
-and combines before every shuffle.
+Pair sums factorise: observables over particle pairs come from moment tensors of the event, kernel means
+from sums of monomials, so the work is linear in the rows and combines before every shuffle. Only where a
+batch has to be compared row by row (nearest neighbours, and kernels of so many features that monomials
+outgrow a task) do rows meet, in tiles of a bounded number of rows a side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
-from math import factorial, prod
+from math import comb, factorial, prod
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from eventspark.scratch import store
 EVENT_FEATURES = ("multiplicity", "sum_pt", "mass", "efp_edge", "efp_double", "efp_wedge")
 KERNEL_DEGREE = 4
 _ROWS_AT_ONCE = 256
+_MOST_MONOMIALS = 2000  # beyond, kernels are summed over tiles of rows
+_TILE_ROWS = 512        # of a side of a tile, about
 _SPREAD = (0.16275, 0.83725)  # central range that a one-sigma error covers
 
 
@@ -339,9 +342,12 @@ def kernel_sums(vectors: DataFrame, by: Sequence[str], degree: int = KERNEL_DEGR
     """Kernel sums of every group: pairs inside the reference, inside the generated, and across.
 
     (x.y / d + 1)^degree is a weighted sum over monomials, so a double sum over rows is a single sum of
-    squared monomial totals. The rows' own terms k(x, x) are left out of the inner sums.
+    squared monomial totals. The rows' own terms k(x, x) are left out of the inner sums. With so many
+    features that monomials outgrow a task, the sum is taken over tiles of pairs instead.
     """
     d = _dimension(vectors)
+    if comb(d + degree, degree) > _MOST_MONOMIALS:
+        return _tiled_kernel_sums(vectors, by, d, degree, reference)
     exponents, weights = _monomials(d, degree)
     roots = np.sqrt(weights)
 
@@ -369,6 +375,36 @@ def kernel_sums(vectors: DataFrame, by: Sequence[str], degree: int = KERNEL_DEGR
         F.sum(F.when(phi, F.col("a") * F.col("b"))).alias("k_cross"))
 
 
+def _tiled_kernel_sums(vectors: DataFrame, by: Sequence[str], d: int, degree: int, reference: str) -> DataFrame:
+    """``kernel_sums`` over tiles: a hash deals the rows of a group to strips, and each pair of strips is one
+    matrix of products. A task holds two strips and their matrix, whatever the numbers of rows and features."""
+    keys = list(by)
+    most = vectors.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    strips = max(1, -(-most // _TILE_ROWS))
+    own = F.pmod(F.xxhash64(*vectors.columns), F.lit(strips)).cast("int")
+    dealt = vectors.select(*keys, "sample", "x", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+    names = ["n_ref", "n_gen", "k_ref", "k_gen", "k_cross"]
+
+    def tile(group: pd.DataFrame) -> pd.DataFrame:
+        x, is_ref = np.stack(group["x"].to_list()), (group["sample"] == reference).to_numpy()
+        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
+        if lo == hi:
+            k = (x @ x.T / d + 1.0) ** degree
+            np.fill_diagonal(k, 0.0)
+            a = b = is_ref
+            sums = [a.sum(), (~a).sum(), k[np.ix_(a, a)].sum(), k[np.ix_(~a, ~a)].sum(), k[np.ix_(a, ~a)].sum()]
+        else:
+            first = (group["own"] == lo).to_numpy()
+            k, a, b = (x[first] @ x[~first].T / d + 1.0) ** degree, is_ref[first], is_ref[~first]
+            sums = [0, 0, 2 * k[np.ix_(a, b)].sum(), 2 * k[np.ix_(~a, ~b)].sum(), k[np.ix_(a, ~b)].sum() + k[np.ix_(~a, b)].sum()]
+        return pd.DataFrame({key: group[key].iloc[:1].to_numpy() for key in keys} | {n: [float(v)] for n, v in zip(names, sums)})
+
+    fields = [f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names]
+    tiles = dealt.groupBy(*keys, "lo", "hi").applyInPandas(tile, ", ".join(fields))
+    return tiles.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
 def kernel_distance_batches(vectors: DataFrame, n_batches: int = 10, seed: int = 0) -> DataFrame:
     """Unbiased squared kernel distance in every batch; null where a side has fewer than two rows."""
     batched = scale_by_reference(_two_samples(vectors, "sample", "ref")).withColumn("batch", batch_of("event_id", n_batches, seed))
@@ -408,30 +444,52 @@ def sample_pair_sums(vectors: DataFrame, by: Sequence[str], reference: str = "re
 # --- coverage -----------------------------------------------------------------------
 
 def coverage_batches(vectors: DataFrame, batch_size: int = 100, seed: int = 0) -> DataFrame:
-    """Coverage and mean nearest distance in batches of about ``batch_size`` events of the larger sample.
+    """Coverage and mean nearest distance in batches of about ``batch_size`` events of the smaller sample.
 
     Coverage is the share of reference events that are nearest to some generated one; the other value
     is the mean distance of a reference event to its nearest generated one. A hash of the event gives its
-    batch, so every event of either sample is in one, and the sides of a batch have about the proportion of
-    the samples. The number of batches grows with the data, their size does not. A batch without generated
-    events covers nothing and has no distance; one without reference events has no row.
+    batch, so every event of either sample meets the other side of its batch, whatever the samples' sizes. A
+    side with many events is dealt to tiles, which meet the tiles of the other side; nearest events are
+    combined as minima, so no task holds more than two tiles. A batch without generated events covers nothing
+    and has no distance; one without reference events has no row.
     """
     scaled = scale_by_reference(_two_samples(vectors, "sample", "ref"))
-    largest = scaled.groupBy("sample").count().agg(F.max("count")).first()[0] or 0
-    batches = max(1, -(-largest // batch_size))
-    batched = scaled.select(batch_of("event_id", batches, seed).alias("batch"), "sample", "event_id", "x")
+    sizes = {row["is_ref"]: row["count"] for row in scaled.groupBy((F.col("sample") == "ref").alias("is_ref")).count().collect()}
+    batches = max(1, -(-min(sizes.values(), default=0) // batch_size))
+    n_ref, n_gen = (max(1, -(-sizes.get(side, 0) // (batches * _TILE_ROWS))) for side in (True, False))
+    is_ref = F.col("sample") == "ref"
+
+    def strip(n, salt):
+        return F.pmod(F.xxhash64(F.lit(salt), "event_id"), F.lit(n)).cast("int")
+
+    def everywhere(n):
+        return F.sequence(F.lit(0), F.lit(n - 1))
+
+    dealt = scaled.select(batch_of("event_id", batches, seed).alias("batch"), is_ref.alias("is_ref"), "event_id", "x").select(
+        "*", F.explode(F.when(F.col("is_ref"), F.array(strip(n_ref, 1))).otherwise(everywhere(n_ref))).alias("a")).select(
+        "*", F.explode(F.when(F.col("is_ref"), everywhere(n_gen)).otherwise(F.array(strip(n_gen, 2)))).alias("b"))
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("event_id")
-        ref, gen = (group.loc[side, "x"].to_list() for side in (group["sample"] == "ref", group["sample"] != "ref"))
-        out = {"batch": group["batch"].iloc[:1], "n": [len(ref)], "coverage": [0.0], "mmd": [None]}
-        if ref and gen:
-            ref, gen = np.stack(ref), np.stack(gen)
-            distance = np.sqrt(((ref[:, None, :] - gen[None, :, :]) ** 2).sum(axis=2))
-            out |= {"coverage": [len(np.unique(distance.argmin(axis=0))) / len(ref)], "mmd": [distance.min(axis=1).mean()]}
-        return pd.DataFrame(out).iloc[:1 if len(ref) else 0]
-
-    return batched.groupBy("batch").applyInPandas(nearest, "batch bigint, n bigint, coverage double, mmd double")
+        sides = [group[group["is_ref"] == side].sort_values("event_id") for side in (True, False)]
+        ref, gen = sides
+        out = [pd.DataFrame({"is_ref": True, "event_id": ref["event_id"], "d": np.inf, "at": ref["event_id"]})]
+        if len(ref) and len(gen):
+            x, y = (np.stack(side["x"].to_list()) for side in sides)
+            distance = np.empty((len(x), len(y)))
+            for lo in range(0, len(x), 16):
+                distance[lo:lo + 16] = np.sqrt(((x[lo:lo + 16, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+            out[0]["d"] = distance.min(axis=1)
+            out.append(pd.DataFrame({"is_ref": False, "event_id": gen["event_id"], "d": distance.min(axis=0),
+                                     "at": ref["event_id"].to_numpy()[distance.argmin(axis=0)]}))
+        return pd.concat(out).assign(batch=group["batch"].iloc[0])[["batch", "is_ref", "event_id", "d", "at"]]
+
+    ident = scaled.schema["event_id"].dataType.simpleString()
+    partial = dealt.groupBy("batch", "a", "b").applyInPandas(nearest, f"batch bigint, is_ref boolean, event_id {ident}, d double, at {ident}")
+    best = partial.groupBy("batch", "is_ref", "event_id").agg(F.min(F.struct("d", "at")).alias("near"))
+    hit, own = F.when(~F.col("is_ref"), F.col("near.at")), F.when(F.col("is_ref"), F.col("near.d"))
+    found = best.groupBy("batch").agg(F.count_if("is_ref").alias("n"), F.count_distinct(hit).alias("hit"), F.avg(own).alias("mmd"))
+    return found.filter("n > 0").select("batch", "n", (F.col("hit") / F.col("n")).alias("coverage"),
+                                        F.when(F.col("mmd") < float("inf"), F.col("mmd")).alias("mmd"))
 
 
 def coverage_mmd(vectors: DataFrame, batch_size: int = 100, seed: int = 0) -> DataFrame:

@@ -8,11 +8,15 @@ that a group fits a task, as the particles of one event do, a plain window needs
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventspark.schema import small_table
 from eventspark.scratch import store
 
 PARTITIONS: int | None = None  # of a range partitioning; None leaves the number to the session
@@ -108,3 +112,69 @@ def with_position(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str
                   bounded: bool = False, partitions: int | None = None) -> DataFrame:
     """Dense row number from 0 in the given order."""
     return running(df, order_by, group_by, position=name, bounded=bounded, partitions=partitions)
+
+
+# --- affine recurrences ---------------------------------------------------------------
+
+def affine_scan(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str], factor: Column, addend: Column, output: str,
+                partitions: int | None = None) -> DataFrame:
+    """Add ``output``: y_t = factor_t * y_(t-1) + addend_t in the given order, from 0 before a group's first row.
+
+    Maps y -> a y + b are closed under composition, so each range partition composes its own rows, from
+    zero, and writes for every row what the partition adds and by what it multiplies the value before it.
+    That value is the carry: one row for each partition, folded in their order. A group may fill any number of
+    partitions. NaN stays to the end of its group; a null factor or addend counts as 1 or 0.
+    """
+    order_by, group_by = list(order_by), list(group_by)
+    keys = [*group_by, *order_by]
+    work = df.withColumns({"__a": F.coalesce(factor.cast("double"), F.lit(1.0)), "__b": F.coalesce(addend.cast("double"), F.lit(0.0)),
+                           "__key": F.xxhash64(*group_by) if group_by else F.lit(0).cast("long")})
+    partitions = partitions or PARTITIONS
+    dealt = work.repartitionByRange(partitions, *keys) if partitions else work.repartitionByRange(*keys)
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with the map from what stood before the partition (its first group) or zero (later groups) to the row."""
+        part, place, key, value, power, first = TaskContext.get().partitionId(), 0, None, 0.0, 1.0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, a, b = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("__key", "__a", "__b"))
+            starts = np.r_[key is not None and keys[0] != key, keys[1:] != keys[:-1]]
+            cut = starts.copy()
+            if key is not None and not starts[0]:
+                b[0], a[0] = (a[0] * value if value or a[0] else 0.0) + b[0], a[0] * power
+            cut[0] = True
+            step = 1
+            while step < n and not cut.all():  # doubling: after k rounds a row holds the maps of 2^k rows
+                open_ = ~cut[step:]
+                b[step:] = np.where(open_, a[step:] * b[:-step] + b[step:], b[step:])
+                a[step:] = np.where(open_, a[step:] * a[:-step], a[step:])
+                cut[step:] |= cut[:-step]
+                step *= 2
+            is_first = np.logical_not(np.logical_or.accumulate(starts)) & first
+            columns = [batch.column(c) for c in batch.schema.names if c not in ("__key", "__a", "__b")]
+            names = [c for c in batch.schema.names if c not in ("__key", "__a", "__b")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(keys), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(is_first),
+                 pa.array(a), pa.array(b)], names=[*names, "__key", "__part", "__place", "__first", "__a", "__b"])
+            place, key, value, power, first = place + n, keys[-1], b[-1], a[-1], bool(is_first[-1])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    local = dealt.sortWithinPartitions(*keys).mapInArrow(
+        composed, f"{fields}, __key long, __part int, __place long, __first boolean, __a double, __b double")
+    stored = store(local, "scanned")
+    ends = stored.groupBy("__part").agg(F.max_by(F.struct("__key", "__first", "__a", "__b"), "__place").alias("end"),
+                                        F.min_by("__key", "__place").alias("key")).orderBy("__part")
+    carries, before, before_key = [], 0.0, None
+    for row in ends.toLocalIterator():  # one for each partition
+        goes_on = before_key is not None and row["key"] == before_key
+        if goes_on:
+            carries.append((row["__part"], before))
+        end = row["end"]
+        before = end["__a"] * before + end["__b"] if end["__first"] and goes_on else end["__b"]
+        before_key = end["__key"]
+    carry = small_table(df.sparkSession, carries, "__at int, __carry double")
+    joined = stored.join(F.broadcast(carry), F.col("__first") & (F.col("__part") == F.col("__at")), "left")
+    whole = F.when(F.col("__carry").isNull(), F.col("__b")).otherwise(F.col("__a") * F.col("__carry") + F.col("__b"))
+    return joined.select(*df.columns, whole.alias(output))

@@ -46,6 +46,43 @@ def take_split(sequences: DataFrame, split: Split, total_sequences: int | None =
     return sequences.filter((F.col("seq_id") >= start) & (F.col("seq_id") < end))
 
 
+def sampled_windows(runs: DataFrame, splits: DataFrame, sequence_length: int) -> DataFrame:
+    """(model, first_sequence, end_sequence): the real sequences that the samples of each run stand for.
+
+    ``runs`` is the sampling metadata, ``splits`` has (split, lo, hi) in sequences. More samples than the
+    split has sequences, a window that does not begin with the split, another sequence length and an unknown split
+    are errors: such samples cannot be compared.
+    """
+    known = runs.join(splits, "split", "left")
+    n, at = F.col("num_sample_sequences"), F.col("split_start_token_idx")
+    faults = (
+        (F.col("lo").isNull(), F.lit("unknown split ")),
+        (F.col("sequence_length") != sequence_length, F.lit("another sequence length in ")),
+        (n > F.col("hi") - F.col("lo"), F.lit("more sequences were sampled than there are in ")),
+        (at != F.col("lo") * sequence_length, F.lit("the window does not begin with ")),
+        (F.floor(at / sequence_length) + n > F.col("hi"), F.lit("the window goes beyond ")))
+    first = F.floor(at / sequence_length).cast("long")
+    for wrong, why in reversed(faults):
+        first = F.when(wrong, F.raise_error(F.concat(F.col("model"), F.lit(": "), why, F.coalesce("split", F.lit("null")))).cast("long")).otherwise(first)
+    return known.select("model", first.alias("first_sequence")).join(runs.select("model", "num_sample_sequences"), "model").select(
+        "model", "first_sequence", (F.col("first_sequence") + F.col("num_sample_sequences")).alias("end_sequence"))
+
+
+def in_windows(sequences: DataFrame, windows: DataFrame, step: int = 65_536) -> DataFrame:
+    """(model, place, seq_id, ...) for the sequences inside each window, ``place`` counted from its start.
+
+    Windows may overlap. They and the sequences meet by an equi-join on steps of the sequence number; the
+    conditions on the outermost bounds go to the source of the sequences.
+    """
+    bounds = windows.agg(F.min("first_sequence").alias("lo"), F.max("end_sequence").alias("hi")).first()
+    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
+    cut = windows.filter("first_sequence < end_sequence").withColumn("__step", F.explode(F.sequence(
+        F.floor(F.col("first_sequence") / step), F.floor((F.col("end_sequence") - 1) / step))))
+    near = sequences.filter((F.col("seq_id") >= lo) & (F.col("seq_id") < hi)).withColumn("__step", F.floor(F.col("seq_id") / step))
+    found = near.join(cut, "__step").filter((F.col("seq_id") >= F.col("first_sequence")) & (F.col("seq_id") < F.col("end_sequence")))
+    return found.select("model", (F.col("seq_id") - F.col("first_sequence")).alias("place"), *sequences.columns)
+
+
 def split_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Sequences two splits share; empty when they are apart."""
     return left.join(right.select("seq_id"), "seq_id", "left_semi")

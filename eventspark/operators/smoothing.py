@@ -1,12 +1,12 @@
 """Smoothing of series. A series may be most of the table, so none is smoothed as one group.
 
 Rows have a dense position in their series. Filters with a bounded reach work on chunks that borrow
-neighbouring rows (a halo); the exponential average, whose reach is unbounded, is combined from blocks.
+neighbouring rows (a halo); the exponential average, whose reach is unbounded, is an affine recurrence
+over range partitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,73 +15,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventspark.operators.joins import join_summary
-from eventspark.scratch import store
+from eventspark.operators.ordering import affine_scan
 
 CHUNK = 65_536
 
 
 def ema(rows: DataFrame, series: str, position: str, value: str, alpha: float, output: str = "smooth") -> DataFrame:
-    """y_0 = x_0, y_t = alpha x_t + (1 - alpha) y_(t-1).
-
-    Inside a block the average is a running sum with weights. What a block starts from is a recurrence
-    over the ends of all earlier blocks, which ``_carry`` solves without a cut: a NaN stays to the end.
-    """
+    """y_0 = x_0, y_t = alpha x_t + (1 - alpha) y_(t-1); a NaN stays to the end of its series, a null adds nothing."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     if alpha == 1:
         return rows.withColumn(output, F.col(value))
-    keep = 1.0 - alpha
-    length = int(min(max(math.log(1e-3) / math.log(keep), 1), CHUNK))
-
-    block, place = F.floor(F.col(position) / length).cast("long"), F.col(position) % length
-    weighted = F.when(F.col(position) == 0, F.col(value)).otherwise(alpha * F.col(value)) * F.pow(F.lit(keep), -F.col("__t"))
-    work = rows.withColumns({"__block": block, "__t": place}).withColumn("__w", weighted)
-
-    ends = work.groupBy(series, "__block").agg((F.sum("__w") * keep ** (length - 1)).alias("__end"))
-    carried = _carry(store(ends, "ends"), series, keep ** length)
-
-    window = Window.partitionBy(series, "__block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    local = F.sum("__w").over(window) * F.pow(F.lit(keep), F.col("__t"))
-    joined = work.withColumn("__local", local).join(carried, [series, "__block"], "left")
-    total = F.col("__local") + F.coalesce(F.col("__carry") * F.pow(F.lit(keep), F.col("__t") + 1), F.lit(0.0))
-    return joined.withColumn(output, total).select(*rows.columns, output)
-
-
-def _carry(ends: DataFrame, series: str, factor: float) -> DataFrame:
-    """(series, __block, __carry): c_0 = null, c_k = end_(k-1) + factor c_(k-1), for blocks numbered from 0.
-
-    Runs of ``CHUNK`` blocks are solved from zero, each in its task; a run's last value is the end of a
-    block one level up, and the recurrence over these gives what every run starts from. A run stands for
-    ``CHUNK`` blocks of rows, so the upper level is short for any series.
-    """
-    fields = f"`{series}` {ends.schema[series].dataType.simpleString()}, __run long, __block long, __own double, __power double, __end_of_run double"
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__block")
-        own, c = np.empty(len(part)), 0.0
-        for k, end in enumerate(part["__end"].to_numpy()):
-            own[k] = c
-            c = end + factor * c
-        return pd.DataFrame({series: part[series], "__run": part["__run"], "__block": part["__block"], "__own": own,
-                             "__power": factor ** np.arange(len(part)), "__end_of_run": c})
-
-    # pandas hands NaN back as null
-    whole = lambda df, *cs: df.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in cs})
-    runs = ends.withColumn("__end", F.coalesce("__end", F.lit(0.0))).withColumn("__run", F.floor(F.col("__block") / CHUNK).cast("long"))
-    solved = store(whole(runs.groupBy(series, "__run").applyInPandas(solve, fields), "__own", "__end_of_run"), "runs")
-    heads = solved.groupBy(series, "__run").agg(F.first("__end_of_run").alias("__end"), F.count(F.lit(1)).alias("__n"))
-
-    def start(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__run")
-        out, c = np.empty(len(part)), 0.0
-        for k, (end, n) in enumerate(zip(part["__end"], part["__n"])):
-            out[k] = c
-            c = end + (factor ** n * c if c else 0.0)
-        return pd.DataFrame({series: part[series], "__run": part["__run"], "__start": out})
-
-    starts = whole(heads.groupBy(series).applyInPandas(start, fields.split(", ")[0] + ", __run long, __start double"), "__start")
-    more = F.when(F.col("__start") == 0, F.lit(0.0)).otherwise(F.col("__start") * F.col("__power"))
-    return solved.join(starts, [series, "__run"]).filter("__block > 0").select(series, "__block", (F.col("__own") + more).alias("__carry"))
+    first = F.col(position) == 0
+    return affine_scan(rows, [position], [series], F.when(first, 0.0).otherwise(1.0 - alpha),
+                       F.when(first, F.col(value)).otherwise(alpha * F.col(value)), output)
 
 
 def with_halo(rows: DataFrame, position: str, halo: int, chunk: int = CHUNK) -> DataFrame:

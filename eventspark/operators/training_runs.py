@@ -31,40 +31,43 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def running_rows(log: DataFrame) -> DataFrame:
     """Log rows of the running losses."""
-    keep = [c for c in ("model",) if c in log.columns]
+    keep = [c for c in ("model", "line") if c in log.columns]
     return log.filter((F.col("message") == MESSAGE_RUNNING) & F.col("iter").isNotNull()).select(
         *keep, "iter", "train_loss", "val_loss", "time")
 
 
 def checkpoint_rows(log: DataFrame) -> DataFrame:
     """Log rows written when a checkpoint was considered."""
-    keep = [c for c in ("model",) if c in log.columns]
+    keep = [c for c in ("model", "line") if c in log.columns]
     return log.filter(F.col("message") == MESSAGE_CHECKPOINT).select(
         *keep, F.col("step").alias("iter"), "train_loss", "val_loss")
 
 
-def best_checkpoint(checkpoints: DataFrame, loss: str = "val_loss") -> DataFrame:
+def best_checkpoint(checkpoints: DataFrame, loss: str = "val_loss", order: str = "iter") -> DataFrame:
     """Row of the lowest loss for each model, the earliest of equals; a null or NaN loss is never the lowest."""
     row = F.struct("iter", "train_loss", "val_loss")
-    return checkpoints.filter(F.col(loss).isNotNull() & ~F.isnan(loss)).groupBy("model").agg(F.min_by(row, F.struct(loss, "iter")).alias("b")).select("model", "b.*")
+    return checkpoints.filter(F.col(loss).isNotNull() & ~F.isnan(loss)).groupBy("model").agg(F.min_by(row, F.struct(loss, order)).alias("b")).select("model", "b.*")
 
 
-def nearest_iteration(log: DataFrame, best: DataFrame) -> DataFrame:
-    """The logged iteration closest to the best checkpoint, the earlier of equally close ones."""
+def nearest_iteration(log: DataFrame, best: DataFrame, order: str = "iter") -> DataFrame:
+    """The logged iteration closest to the best checkpoint, the earlier of equally close ones; with another
+    ``order`` also the row's place in it."""
     joined = join_summary(log, best.select("model", F.col("iter").alias("best_iter")), ["model"])
     distance = F.abs(F.col("iter") - F.col("best_iter"))
+    place = [F.col("m.at").alias("nearest_at")] if order != "iter" else []
     return joined.groupBy("model").agg(
-        F.min(F.struct(distance.alias("distance"), "iter")).alias("m"), F.first("best_iter").alias("best_iter")
-    ).select("model", "best_iter", F.col("m.iter").alias("nearest_iter"))
+        F.min(F.struct(distance.alias("distance"), F.col(order).alias("at"), "iter")).alias("m"), F.first("best_iter").alias("best_iter")
+    ).select("model", "best_iter", F.col("m.iter").alias("nearest_iter"), *place)
 
 
-def train_totals(log: DataFrame, best: DataFrame) -> DataFrame:
+def train_totals(log: DataFrame, best: DataFrame, order: str = "iter") -> DataFrame:
     """Iterations and time of the run, and the time spent before the logged row nearest the best checkpoint.
 
-    Logs are ordered by iteration, so "rows before" is "iterations below".
+    "Before" goes by ``order``. A run that was resumed logs iterations again: then only "line" tells
+    which rows come before.
     """
-    nearest = nearest_iteration(log, best)
-    before = F.sum(F.when(F.col("iter") < F.col("nearest_iter"), F.col("time")))
+    nearest = nearest_iteration(log, best, order)
+    before = F.sum(F.when(F.col(order) < F.col("nearest_iter" if order == "iter" else "nearest_at"), F.col("time")))
     return join_summary(log, nearest, ["model"]).groupBy("model").agg(
         F.max("iter").alias("iters_trained"), F.sum("time").alias("compute_time_trained"),
         F.coalesce(before, F.lit(0.0)).alias("compute_time_saved"))

@@ -8,12 +8,15 @@ from eventspark.functions.text import line_of_particles, line_of_tokens
 from eventspark.operators import decoding as dc
 from eventspark.operators import encoding as en
 from eventspark.operators import events as ev
+from eventspark.operators import sequences as sq
+from eventspark.operators.tokenizers import PackedTokenizer, PerEventTokenizer, tokenizer
 from eventspark.plans import fixtures as fx
 from eventspark.plans import tokens as tk
 from eventspark.plans.particles import r, rounded
-from eventspark.schema import LEADING_FIELDS, VERBOSE_FIELDS
+from eventspark.schema import LEADING_FIELDS, VERBOSE_FIELDS, small_table
 from eventspark.scratch import scratch_path, store
-from eventspark.sources import binary, text
+from eventspark.sources import binary, text, token_files
+from eventspark.sources.runs import read_sampling
 
 V = fx.VOCAB
 
@@ -52,9 +55,43 @@ def src_event_bin(spark, sf):
 def src_token_bin(spark, sf):
     length = tk._longest(spark, sf)
     encoded = en.encode_events(binary.in_order(_events(spark, sf), "event_id"), V)
-    path = scratch_path(spark, "tokens")
-    binary.write_tokens(en.pad_sequences(encoded, length, V), path, length, order=None)
-    return binary.read_tokens(spark, path, length).select("seq_id", line_of_tokens(F.col("tokens")).alias("tokens"))
+    metadata = token_files.write_token_file(en.pad_sequences(encoded, length, V), scratch_path(spark, "tokens"), length, V,
+                                            PerEventTokenizer.name, order=None)
+    return token_files.read_token_file(spark, metadata).select("seq_id", line_of_tokens(F.col("tokens")).alias("tokens"))
+
+
+def _prepared(spark, sf):
+    """The packed stream as a token file, and a preparation file that splits all of it: (path, sequences)."""
+    path = scratch_path(spark, "packed")
+    metadata = token_files.write_token_file(en.pack_stream(en.encode_events(_events(spark, sf), V), tk.PACK, V), path, tk.PACK, V)
+    total = token_files.TokenFile.read(metadata).num_full_sequences
+    test = total // 10
+    token_files.write_preparation(f"{path}-preparation.json", metadata, {
+        "train": sq.Split(total - 2 * test), "validation": sq.Split(test, test, True), "test": sq.Split(test, 0, True)})
+    return f"{path}-preparation.json", total
+
+
+def split_range(spark, sf):
+    """Train, validation and test by the names of a preparation file, read from the token file."""
+    path, _ = _prepared(spark, sf)
+    return token_files.read_splits(spark, path).select("split", "seq_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def match_sampled(spark, sf):
+    """The real test sequences that match the samples of three runs, by their sampling metadata."""
+    path, total = _prepared(spark, sf)
+    p = token_files.Preparation.read(path)
+    lo, hi = p.bounds("test")
+    models = fx.training_log(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    runs = models.select(
+        F.col("model").alias("model_name"), F.lit("test_bin").alias("split"), F.lit(tk.PACK).cast("long").alias("sequence_length"),
+        F.lit(lo * tk.PACK).cast("long").alias("split_start_token_idx"), (F.col("n") % (hi - lo) + 1).alias("num_sample_sequences"))
+    folder = scratch_path(spark, "sampling")
+    runs.withColumn("model", F.col("model_name")).write.partitionBy("model").json(folder)
+    splits = small_table(spark, [(key, *p.bounds(name)) for name, key in token_files.SPLIT_KEYS.items()], "split string, lo bigint, hi bigint")
+    windows = sq.sampled_windows(read_sampling(spark, f"{folder}/*/*.json"), splits, p.file.length)
+    real = token_files.read_split(spark, path, "test")
+    return sq.in_windows(real, windows).select("model", "place", "seq_id", line_of_tokens(F.col("tokens")).alias("tokens"))
 
 
 def sink_token_bin(spark, sf):
@@ -81,6 +118,20 @@ def sink_event_bin(spark, sf):
                           F.size(F.filter("values", lambda v: v == 0.0)).cast("long").alias("n_zeros"))
 
 
+def decode_by_name(spark, sf):
+    """Both forms of token file, each decoded by the tokenizer that its metadata names."""
+    ordered, out = store(binary.in_order(_events(spark, sf), "event_id"), "events"), None
+    for cls, length in ((PerEventTokenizer, tk._longest(spark, sf)), (PackedTokenizer, tk.PACK)):
+        sequences = tokenizer(cls.name, V, length).encode(ordered)
+        path = scratch_path(spark, "tokens")
+        metadata = token_files.write_token_file(sequences, path, length, V, cls.name, order="event_id" if cls is PerEventTokenizer else "seq_id")
+        file = token_files.TokenFile.read(metadata)
+        particles, _ = tokenizer(file.tokenizer_class, V, file.length).decode(token_files.read_token_file(spark, metadata), fx.pdg(spark))
+        part = particles.withColumn("form", F.lit(file.tokenizer_class))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, ["e", "px", "py", "pz"], 3)
+
+
 def src_samples_text(spark, sf):
     path = scratch_path(spark, "samples")
     text.write_samples(tk._padded(spark, sf).withColumnRenamed("event_id", "sample_id"), path)
@@ -130,7 +181,8 @@ def format_particles(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     src_event_text, src_verbose_text, src_event_bin, src_token_bin, sink_token_bin, sink_event_bin, src_samples_text,
-    sink_samples_text, sink_event_text, sink_rejects, src_leading_csv, src_events_long, parse_particles, format_particles)}
+    sink_samples_text, sink_event_text, sink_rejects, src_leading_csv, src_events_long, parse_particles, format_particles, split_range,
+    match_sampled, decode_by_name)}
 
 _P, _V, _E = f"with {fx.PARTICLES_CTE}", f"with {fx.VERBOSE_CTE}", f"with {fx.ENCODED_CTE}"
 _DENSE_ID = "dense_rank() over (order by event_id) - 1 as event_id"
@@ -155,6 +207,17 @@ ORACLE = {
     "src_token_bin": _E + tk._PAD + " select row_number() over (order by event_id) - 1 as seq_id, array_to_string(tokens, ' ') as tokens from padded",
     "sink_token_bin": _E + tk._STREAM + """ select 'token' as what, pos as place, token as value from stream union all
         select 'length', row_number() over (order by event_id) - 1, len(tokens) from etok""",
+    "split_range": _E + tk._PACKED + """, n as (select count(*) as t, count(*) // 10 as k from packed)
+        select seq_id, cast(len(tokens) as bigint) as n_tokens, case when seq_id >= (select t - k from n) then 'test'
+          when seq_id >= (select t - 2 * k from n) then 'validation' else 'train' end as split from packed""",
+    "match_sampled": f"with {fx.LOG_CTE}, {fx.ENCODED_CTE}" + tk._PACKED + """, n as (select count(*) as t, count(*) // 10 as k from packed),
+        runs as (select model, count(*) % (select k from n) + 1 as samples from tlog group by model)
+        select r.model, p.seq_id - (select t - k from n) as place, p.seq_id, array_to_string(p.tokens, ' ') as tokens
+        from runs r join packed p on p.seq_id >= (select t - k from n) and p.seq_id < (select t - k from n) + r.samples""",
+    "decode_by_name": _E + tk._CENTER_CTE + tk._DECODED.format(src="etok") + """, m as (select d.*, g.mass from dv d join pdg g on g.pdgid = d.pdgid)
+        select form, dense_rank() over (partition by form order by event_id) - 1 as event_id, particle_idx, pdgid, round(sqrt(mass * mass + pow(pt * cosh(eta), 2)), 3) as e,
+          round(pt * cos(phi), 3) + 0.0e0 as px, round(pt * sin(phi), 3) + 0.0e0 as py, round(pt * sinh(eta), 3) + 0.0e0 as pz
+        from m, (values ('EventPerSequenceParticleFeatureTokenizer'), ('PackedEventStreamParticleFeatureTokenizer')) f(form)""",
     "sink_event_bin": _P + """, mx as (select max(c) as m from (select count(*) as c from particles group by event_id)),
         g as (select event_id, count(*) as c, sum(pdgid + e + px + py + pz) as total,
           sum((case when px = 0 then 1 else 0 end) + (case when py = 0 then 1 else 0 end) + (case when pz = 0 then 1 else 0 end) + (case when e = 0 then 1 else 0 end)) as z

@@ -9,7 +9,7 @@ from eventspark.operators import events as ev
 from eventspark.operators import histograms as hs
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import r, rounded
-from eventspark.schema import small_table
+from eventspark.schema import METRIC_FIELDS, small_table
 from eventspark.scratch import store
 
 BATCHES, COVER = 10, 100
@@ -82,7 +82,7 @@ def feature_mean_cov(spark, sf):
 
 def fpd(spark, sf):
     value, error = ds.fpd(_vectors(spark, sf))
-    return small_table(spark, [(value, error)], "fpd_value double, fpd_error double")
+    return rounded(small_table(spark, [(value, error)], "fpd_value double, fpd_error double"), ["fpd_value", "fpd_error"], 9)
 
 
 def kpd(spark, sf):
@@ -100,7 +100,7 @@ def w1_efp(spark, sf):
 
 
 def metrics_row(spark, sf):
-    return ds.metrics_row(_jets(spark, sf), BATCHES, COVER)
+    return rounded(ds.metrics_row(_jets(spark, sf), BATCHES, COVER), METRIC_FIELDS, 5)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -138,6 +138,50 @@ def _w1(by, source="vals"):
 _KERNEL = "pow((" + " + ".join(f"a.x{i} * b.x{i}" for i in range(6)) + ") / 6 + 1, 4)"
 _DIST = "sqrt(" + " + ".join(f"pow(a.x{i} - b.x{i}, 2)" for i in range(6)) + ")"
 
+
+def _product(a: str, b: str, d: int = 6) -> str:
+    """The product of two matrices kept as lists, row by row."""
+    return "[" + ", ".join(" + ".join(f"{a}[{i * d + k + 1}] * {b}[{k * d + j + 1}]" for k in range(d)) for i in range(d) for j in range(d)) + "]"
+
+
+_TRACE = "+".join(f"{{0}}[{i * 7 + 1}]" for i in range(6))
+_THREE_LESS = "[" + ", ".join(f"{3 if i == j else 0}.0e0 - q[{i * 6 + j + 1}]" for i in range(6) for j in range(6)) + "]"
+_UNIT = "[" + ", ".join("1e0" if i == j else "0e0" for i in range(6) for j in range(6)) + "]"
+# kernel distance of each batch
+_KPD = f""", kb as (select *, {_hash(BATCHES)} as batch from vec),
+  ks as (select a.batch, a.sample as sa, b.sample as sb, avg({_KERNEL}) as k from kb a join kb b on a.batch = b.batch and a.event_id <> b.event_id group by all),
+  mm as (select batch, sum(case when sa = sb then k else -k end) as m from ks group by batch),
+  kpd as (select median(m) as kpd_median, (quantile_cont(m, 0.83725e0) - quantile_cont(m, 0.16275e0)) / 2 as kpd_error from mm)"""
+# nearest events of each batch
+_COVERAGE = f""", c as (select cast(ceil(min(n) / {COVER}.0e0) as bigint) as k from (select count(*) as n from vec group by sample)),
+  bt as (select *, {_hash("(select k from c)")} as batch from vec),
+  refs as (select batch, count(*) as n from bt where sample = 'ref' group by batch),
+  cp as (select a.batch, a.event_id as i, b.event_id as j, {_DIST} as d from bt a join bt b on a.batch = b.batch and a.sample = 'ref' and b.sample = 'gen'),
+  near as (select batch, avg(d) as mmd from (select batch, i, min(d) as d from cp group by batch, i) group by batch),
+  hit as (select batch, i, row_number() over (partition by batch, j order by d, i) as rk from cp),
+  cov as (select batch, count(distinct i) as k from hit where rk = 1 group by batch),
+  covered as (select r.batch, r.n, coalesce(cov.k, 0) / r.n as coverage, near.mmd
+    from refs r left join near on r.batch = near.batch left join cov on r.batch = cov.batch)"""
+# distance of Gaussians from growing shares of the events; the root of the product of covariances by a coupled
+# Newton iteration, the value for infinitely many events by a straight line in 1/n
+_FPD = f""", sh as (select sample, {_hash(10)} as s, [x0, x1, x2, x3, x4, x5] as x from vec),
+  grown as (select k, sample, x from sh, (select unnest(range(10)) as k) where s <= k),
+  cells as (select k, sample, x, unnest(range(36)) as t from grown),
+  cvs as (select k, sample, t, covar_samp(x[t // 6 + 1], x[t % 6 + 1]) as c, avg(x[t // 6 + 1]) as m, count(*) as n from cells group by all),
+  mats as (select k, sample, list(c order by t) as c, list(m order by t) filter (where t % 6 = 0) as m, max(n) as n from cvs group by k, sample having max(n) > 6),
+  both_sides as (select a.k, least(a.n, b.n) as n, a.c as ca, b.c as cb, list_distance(a.m, b.m) as far from mats a join mats b on a.k = b.k and a.sample = 'ref' and b.sample = 'gen'),
+  multiplied as (select *, {_product("ca", "cb")} as p from both_sides),
+  newton as (
+    select k, 0 as step, list_transform(p, lambda v: v / ({_TRACE.format("p")})) as y, {_UNIT} as z from multiplied
+    union all select k, step + 1, {_product("y", "w")}, {_product("w", "z")}
+    from (select k, step, y, z, list_transform({_THREE_LESS}, lambda v: v / 2) as w from (select *, {_product("z", "y")} as q from newton where step < 60))),
+  rooted as (select k, {_TRACE.format("y")} as root from newton where step = 60),
+  points as (select 1e0 / n as x, far * far + ({_TRACE.format("ca")}) + ({_TRACE.format("cb")}) - 2 * sqrt({_TRACE.format("p")}) * root as y
+    from multiplied m join rooted r on m.k = r.k),
+  line as (select regr_intercept(y, x) as a, regr_slope(y, x) as b, count(*) as k, sum(x) as sx, sum(x * x) as sxx from points),
+  fpd as (select any_value(a) as fpd_value,
+    sqrt(sum(pow(y - a - b * x, 2)) / (any_value(k) - 2) * any_value(sxx) / (any_value(k) * any_value(sxx) - pow(any_value(sx), 2))) as fpd_error from points, line)"""
+
 ORACLE = {
     "w1_feature": _OK + _LONG + _w1("feature") + " select feature, round(w1, 6) as w1 from dist",
     "w1_multiplicity": _P + ", vals as (select sample, 'num_particles' as feature, cast(count(*) - 1 as double) as v from particles group by sample, event_id)"
@@ -161,19 +205,20 @@ ORACLE = {
         pr as (select sample, unnest(range(64)) as i, x from em), pq as (select sample, i, unnest(range(i, 64)) as j, x from pr)
         select sample, i, j, round(avg(cast(x[i + 1] as double)), 8) + 0.0e0 as mean_i, round(avg(cast(x[j + 1] as double)), 8) + 0.0e0 as mean_j,
           round(covar_samp(cast(x[i + 1] as double), cast(x[j + 1] as double)), 8) + 0.0e0 as cov from pq group by sample, i, j""",
-    "kpd": _OK + _SCALED + f""", bt as (select *, {_hash(BATCHES)} as batch from vec),
-        ks as (select a.batch, a.sample as sa, b.sample as sb, avg({_KERNEL}) as k from bt a join bt b on a.batch = b.batch and a.event_id <> b.event_id group by all),
-        mm as (select batch, sum(case when sa = sb then k else -k end) as m from ks group by batch)
-        select round(median(m), 7) + 0.0e0 as kpd_median, round((quantile_cont(m, 0.83725e0) - quantile_cont(m, 0.16275e0)) / 2, 7) + 0.0e0 as kpd_error from mm""",
-    "coverage_mmd": _OK + _SCALED + f""", c as (select cast(ceil(max(n) / {COVER}.0e0) as bigint) as k from (select count(*) as n from vec group by sample)),
-        bt as (select *, {_hash("(select k from c)")} as batch from vec),
-        refs as (select batch, count(*) as n from bt where sample = 'ref' group by batch),
-        cp as (select a.batch, a.event_id as i, b.event_id as j, {_DIST} as d from bt a join bt b on a.batch = b.batch and a.sample = 'ref' and b.sample = 'gen'),
-        near as (select batch, avg(d) as mmd from (select batch, i, min(d) as d from cp group by batch, i) group by batch),
-        hit as (select batch, i, row_number() over (partition by batch, j order by d, i) as rk from cp),
-        cov as (select batch, count(distinct i) as k from hit where rk = 1 group by batch)
-        select r.batch, r.n, round(coalesce(cov.k, 0) / r.n, 6) as coverage, round(near.mmd, 6) as mmd
-        from refs r left join near on r.batch = near.batch left join cov on r.batch = cov.batch""",
+    "kpd": _OK + _SCALED + _KPD + " select round(kpd_median, 7) + 0.0e0 as kpd_median, round(kpd_error, 7) + 0.0e0 as kpd_error from kpd",
+    "coverage_mmd": _OK + _SCALED + _COVERAGE + " select batch, n, round(coverage, 6) as coverage, round(mmd, 6) as mmd from covered",
+    "fpd": _OK.replace("with ", "with recursive ", 1) + _SCALED + _FPD + " select round(fpd_value, 9) + 0.0e0 as fpd_value, round(fpd_error, 9) + 0.0e0 as fpd_error from fpd",
+    "metrics_row": _OK.replace("with ", "with recursive ", 1) + _SCALED + _KPD + _COVERAGE + _FPD + """, vals as (
+          select sample, event_id, 'eta' as feature, eta as v from valid union all select sample, event_id, 'phi', phi from valid
+          union all select sample, event_id, 'pt', pt from valid union all select sample, event_id, 'mass', mass from feats),"""
+        + f" bv as (select *, {_hash(BATCHES)} as wb from vals)" + _w1("feature, wb", "bv") + """,
+        w as (select feature, avg(w1) as m, stddev_pop(w1) as s from dist group by feature),
+        cvd as (select sum(coverage * n) / sum(n) as coverage, sum(mmd * n) / sum(n) filter (where mmd is not null) as mmd from covered)
+        select """ + ", ".join(f"round({c}, 5) + 0.0e0 as {n}" for n, c in (
+            ("coverage", "(select coverage from cvd)"), ("mmd", "(select mmd from cvd)"), ("kpd_median", "(select kpd_median from kpd)"),
+            ("kpd_error", "(select kpd_error from kpd)"), ("fpd_value", "(select fpd_value from fpd)"), ("fpd_error", "(select fpd_error from fpd)"),
+            *((f"{key}{end}", f"(select {col} from w where feature = '{name}')") for key, name in (("w1m_score", "mass"), ("w1p_avg_eta", "eta"),
+              ("w1p_avg_phi", "phi"), ("w1p_avg_pt", "pt")) for end, col in (("", "m"), ("_std", "s"))))),
     "w1_efp": _OK + _PAIRS + """, vals as (select sample, 'efp_edge' as feature, efp_edge as v from feats union all
         select sample, 'efp_double', efp_double from feats union all select sample, 'efp_wedge', efp_wedge from feats)"""
         + _w1("feature") + " select feature, round(w1, 4) as w1 from dist",

@@ -11,7 +11,7 @@ from eventspark.operators import training_runs as tr
 from eventspark.plans import fixtures as fx
 from eventspark.plans.particles import r, rounded
 from eventspark.schema import MESSAGE_CHECKPOINT, MESSAGE_MODEL_INFO, MESSAGE_RUNNING, METRIC_FIELDS
-from eventspark.scratch import scratch_path
+from eventspark.scratch import scratch_path, store
 from eventspark.sources import runs as sr
 
 LOSSES = ["train_loss", "val_loss"]
@@ -56,16 +56,16 @@ def src_train_log(spark, sf):
     log = sr.read_training_log(spark, _written(_log_lines(spark, sf), "log"))
     run = tr.running_rows(log).withColumn("kind", F.lit("running"))
     check = tr.checkpoint_rows(log).withColumn("kind", F.lit("checkpoint")).withColumn("time", F.lit(None).cast("double"))
-    return rounded(run.unionByName(check), LOSSES)
+    return rounded(run.unionByName(check).drop("line"), LOSSES)
 
 
 def src_metrics_json(spark, sf):
     log = _log(spark, sf)
     models = log.select("model").distinct()
     sums = log.filter("model <> 'error'").groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), *[F.round(F.avg("val_loss"), 6).alias(m) for m in METRIC_FIELDS[:4]])
-    out = sr.read_metrics(spark, _written(sums.drop("n"), "metrics"), models)
-    return out.select("model", *[F.when(~F.isnan(m), r(F.col(m))).alias(m) for m in METRIC_FIELDS[:6]])
+        *[F.round(F.avg("val_loss") + k, 6).alias(m) for k, m in enumerate(METRIC_FIELDS)])
+    out = sr.read_metrics(spark, _written(sums, "metrics"), models)
+    return out.select("model", *[F.when(~F.isnan(m), r(F.col(m))).alias(m) for m in METRIC_FIELDS])
 
 
 def _config(spark, sf):
@@ -117,7 +117,10 @@ def join_nearest_iter(spark, sf):
 
 
 def train_totals(spark, sf):
-    return tr.train_totals(_log(spark, sf), tr.best_checkpoint(_checkpoints(spark, sf)))
+    """From log files, whose lines say what came before."""
+    lines = _log_lines(spark, sf).withColumn("at", F.coalesce("iter", "step")).repartitionByRange("model", "at").sortWithinPartitions("model", "at")
+    log = store(sr.read_training_log(spark, _written(lines.drop("at"), "log")), "log")
+    return tr.train_totals(tr.running_rows(log), tr.best_checkpoint(tr.checkpoint_rows(log), order="line"), "line")
 
 
 def join_model_summary(spark, sf):
@@ -179,9 +182,8 @@ _CONF = """, pm as (select model, count(*) as n from tlog group by model),
 ORACLE = {
     "src_train_log": _L + """ select model, 'running' as kind, iter, round(train_loss, 6) as train_loss, round(val_loss, 6) as val_loss, time from tlog
         union all select model, 'checkpoint', iter + 4, round(train_loss, 6), round(val_loss, 6), null from tlog""",
-    "src_metrics_json": _L + ", m as (select model, case when model <> 'error' then round(avg(val_loss), 6) end as v from tlog group by model)"
-        + " select model, " + ", ".join(f"v as {m}" for m in METRIC_FIELDS[:4]) + ", "
-        + ", ".join(f"cast(null as double) as {m}" for m in METRIC_FIELDS[4:6]) + " from m",
+    "src_metrics_json": _L + ", m as (select model, case when model <> 'error' then avg(val_loss) end as v from tlog group by model) select model, "
+        + ", ".join(f"round(v + {k}, 6) as {m}" for k, m in enumerate(METRIC_FIELDS)) + " from m",
     "src_run_config": _L + _CONF + """ select model, batch_size, block_size, round(learning_rate, 6) as learning_rate, lr_scheduler, 'unknown' as scheme,
         true as n_layer_missing, num_train_tokens, num_val_tokens, cast(144 as bigint) as vocab_size,
         cast(trunc(cast((n // 10) || '.' || (n % 10) as double) * 1e6) as bigint) as num_params, 'test_bin' as split,

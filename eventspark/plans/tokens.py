@@ -237,7 +237,10 @@ def roundtrip_error(spark, sf):
 
 
 def trim_at_end(spark, sf):
-    return _text(dc.trim_at_end(_padded(spark, sf), V), "tokens")
+    """Events as they are sampled: some without an end, some that go on behind it, all with padding behind."""
+    more = F.when(F.col("event_id") % 2 == 0, F.array(*map(F.lit, (6, 130, 2)))).otherwise(F.array().cast("array<int>"))
+    sampled = _damaged(spark, sf).withColumn("tokens", F.concat("tokens", more, F.array(*[F.lit(V.padding)] * 3)))
+    return _text(dc.trim_at_end(sampled, V), "tokens")
 
 
 # --- slicing -----------------------------------------------------------------------
@@ -245,19 +248,6 @@ def trim_at_end(spark, sf):
 SPLIT = sq.Split(num_sequences=200, skip_sequences=30, from_end=True)
 
 
-def split_range(spark, sf):
-    """Train, validation and test tables of one packed stream: every sequence is in one of them."""
-    packed = _packed(spark, sf).select("seq_id", F.size("tokens").cast("long").alias("n_tokens"))
-    total = packed.count()
-    test = total // 10
-    parts = {"train": sq.Split(total - 2 * test), "validation": sq.Split(test, test, True), "test": sq.Split(test, 0, True)}
-    out = None
-    for name, split in parts.items():
-        part = sq.take_split(packed, split, total).withColumn("split", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def chk_split_overlap(spark, sf):
     """The first three quarters and the last half share the third quarter."""
     packed = _packed(spark, sf).select("seq_id")
@@ -322,7 +312,7 @@ QUERIES = {f.__name__: f for f in (
     encode_particles, encode_events, pad_sequences, event_token_lengths, pack_stream, pack_particles, pad_jagged,
     meta_tokenized, drop_padding_tokens, chk_decode_length, chk_token_range, chk_reserved_pdgid,
     chk_grammar, decode_events, join_token_center, decode_to_raw, meta_decoded, split_on_event_start,
-    split_padded_sequences, roundtrip_error, trim_at_end, split_range, chk_split_overlap, token_blocks,
+    split_padded_sequences, roundtrip_error, trim_at_end, chk_split_overlap, token_blocks,
     next_token_pairs, starters, epoch_shuffle, rank_slices, batch_assign, particle_index, chk_token_file)}
 
 # --- check SQL ---------------------------------------------------------------------
@@ -453,10 +443,10 @@ ORACLE = {
     "roundtrip_error": _E + _CENTER_CTE + _DECODED.format(src="etok") + """ select d.event_id, d.particle_idx, round(d.pt - v.pt, 6) + 0.0e0 as pt_error,
         round(d.eta - v.eta, 6) + 0.0e0 as eta_error, round(d.phi - v.phi, 6) + 0.0e0 as phi_error
         from dv d join valid v on v.event_id = d.event_id and v.particle_idx = d.particle_idx""",
-    "trim_at_end": _E + f" select event_id, {_join('tokens')} as tokens from etok",
-    "split_range": _E + _PACKED + f""", n as (select count(*) as t, count(*) // 10 as k from packed)
-        select seq_id, cast(len(tokens) as bigint) as n_tokens, case when seq_id >= (select t - k from n) then 'test'
-          when seq_id >= (select t - 2 * k from n) then 'validation' else 'train' end as split from packed""",
+    "trim_at_end": _E + _DAMAGED + f""", sampled as (select event_id, list_concat(list_concat(tokens, case when event_id % 2 = 0 then [6, 130, 2] else [] end),
+          [0, 0, 0]) as tokens from damaged),
+        stops as (select *, list_position(tokens, 2) as e, list_position(tokens, 0) as p from sampled)
+        select event_id, {_join("tokens[1:least(coalesce(nullif(e, 0), len(tokens)), p - 1)]")} as tokens from stops""",
     "chk_split_overlap": _E + _PACKED + """, n as (select count(*) as t from packed)
         select seq_id from packed where seq_id < (select t * 3 // 4 from n) and seq_id >= (select t - t // 2 from n)""",
     "token_blocks": _E + _PACKED + f""", n as (select (count(*) - 1) // 100 as k from padtail),

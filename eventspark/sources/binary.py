@@ -28,7 +28,8 @@ from eventspark.scratch import store
 FORMAT = "fixedrecords"
 _SPLIT_BYTES = 64 << 20
 _BATCH_VALUES = 1 << 20
-_TYPES = {"float64": ("<f8", "double"), "uint16": ("<u2", "int"), "int32": ("<i4", "int")}
+_TYPES = {"float64": ("<f8", "double"), "uint8": ("<u1", "int"), "uint16": ("<u2", "int"), "int32": ("<i4", "int"),
+          "uint32": ("<u4", "bigint"), "int64": ("<i8", "bigint")}
 
 
 def _filesystem(path: str):
@@ -76,7 +77,7 @@ class FixedRecordSource(DataSource):
 class FixedRecordReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.width = options["path"], int(options["width"])
-        self.dtype = np.dtype(_TYPES[options["dtype"]][0])
+        self.dtype = np.dtype(_TYPES[options["dtype"]][0] if options["dtype"] in _TYPES else options["dtype"])
         self.lo = int(options.get("lo", 0))
         self.hi = int(options["hi"]) if "hi" in options else None
         self.split = int(options.get("splitbytes", _SPLIT_BYTES))
@@ -102,7 +103,8 @@ class FixedRecordReader(DataSourceReader):
         size = self.width * self.dtype.itemsize
         filesystem, _ = _filesystem(self.path)
         rows = max(1, _BATCH_VALUES // self.width)
-        target = pa.float64() if self.dtype.kind == "f" else pa.int32()
+        small = self.dtype.itemsize < 4 or self.dtype.name == "int32"
+        target = pa.float64() if self.dtype.kind == "f" else pa.int32() if small else pa.int64()
         with filesystem.open_input_file(partition.path) as f:
             for at in range(0, partition.count, rows):
                 n = min(rows, partition.count - at)
@@ -127,6 +129,7 @@ class FixedRecordWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.width = options["path"], int(options["width"])
         self.dtype = np.dtype(_TYPES[options["dtype"]][0])
+        self.replace = str(options.get("replace", "false")).lower() == "true"
 
     def write(self, iterator):
         filesystem, root = _filesystem(self.path)
@@ -149,6 +152,9 @@ class FixedRecordWriter(DataSourceArrowWriter):
     def commit(self, messages):
         filesystem, root = _filesystem(self.path)
         written = [m for m in messages if m is not None]
+        # every new part is there before an old one goes
+        for old, _ in _part_files(self.path) if self.replace else ():
+            filesystem.delete_file(old)
         with ThreadPoolExecutor(16) as pool:  # a move can be a copy on an object store
             list(pool.map(lambda m: filesystem.move(m.temporary, m.final), written))
         filesystem.delete_dir(f"{root}/_temporary")
@@ -179,23 +185,20 @@ def write_records(rows: DataFrame, path: str, dtype: str, width: int, order: str
     ``order`` None takes the rows as they are: partition by partition, which ``in_order`` prepares. A
     folder that holds records already is an error, or is emptied first with ``overwrite``.
     """
-    _need_empty(path, overwrite)
+    old = _old_parts(path, overwrite)
     register(rows.sparkSession)
     ordered = rows if order is None else in_order(rows.select(order, "values"), order)
     (ordered.select(F.lit(0).cast("long").alias("record"), "values")
-     .write.format(FORMAT).options(path=path, dtype=dtype, width=width).mode("append").save())
+     .write.format(FORMAT).options(path=path, dtype=dtype, width=width, replace=old).mode("append").save())
 
 
-def _need_empty(path: str, overwrite: bool) -> None:
-    """A stream of records has one writer: parts of another write would be mixed with its own."""
+def _old_parts(path: str, overwrite: bool) -> bool:
+    """Are there records already? A stream of records has one writer: others' parts are an error, or replaced."""
     there = _filesystem(path)[0].get_file_info(_filesystem(path)[1])
-    if there.type == pafs.FileType.NotFound:
-        return
-    parts = [f for f, _ in _part_files(path)]
-    if parts and not overwrite:
+    old = there.type != pafs.FileType.NotFound and bool(_part_files(path))
+    if old and not overwrite:
         raise FileExistsError(f"{path} holds records already")
-    for part in parts:
-        _filesystem(path)[0].delete_file(part)
+    return old
 
 
 def read_records(spark: SparkSession, path: str, dtype: str, width: int, lo: int = 0, hi: int | None = None) -> DataFrame:

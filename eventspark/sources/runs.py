@@ -9,13 +9,13 @@ from eventspark.functions.text import millions
 from eventspark.operators.training_runs import LOG_LINE_DDL
 from eventspark.schema import MESSAGE_MODEL_INFO, METRIC_FIELDS
 
+# The fields of a configuration, and what a missing text field stands for.
 CONFIG_FIELDS = {
     "batch_size": "double", "gradient_accumulation_steps": "double", "block_size": "double", "context_events": "double",
     "learning_rate": "double", "min_lr": "double", "warmup_iters": "double", "lr_decay_iters": "double",
     "lr_scheduler": "string", "n_layer": "double", "n_head": "double", "n_embd": "double", "scheme": "string",
     "preparation_name": "string",
 }
-# What a missing text field stands for.
 TEXT_DEFAULTS = {"lr_scheduler": "cosine_annealing_with_warmup", "scheme": "unknown", "preparation_name": "unknown"}
 
 
@@ -30,9 +30,15 @@ def file_stem() -> Column:
 
 
 def read_training_log(spark: SparkSession, path) -> DataFrame:
-    """JSON lines of many runs -> typed rows with the run's name."""
+    """JSON lines of many runs -> typed rows with the run's name and the place of the line.
+
+    ``line`` orders the rows of a run as its files hold them, files by name: the start of the block that a
+    task reads, then the row's place in the task. It compares lines; it does not count them.
+    """
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
     return spark.read.schema(LOG_LINE_DDL).json(path).select(
-        run_name().alias("model"), "message", "iter", "step", "train_loss", "val_loss", "time", "num_params")
+        run_name().alias("model"), "message", "iter", "step", "train_loss", "val_loss", "time", "num_params", place.alias("line"))
 
 
 def parameter_counts(log: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def test_coverage_equals_brute_force(spark):
     df, x = vectors(spark, 90, 4)
     x = x / np.abs(x[::2]).max(axis=0)
     df = df.filter("event_id % 2 = 0 or event_id < 60")  # samples of 45 and 30
-    batch = {r.event_id: r.b for r in df.select("event_id", ds.batch_of("event_id", 3).alias("b")).collect()}
+    batch = {r.event_id: r.b for r in df.select("event_id", ds.batch_of("event_id", 2).alias("b")).collect()}  # by the smaller one
     got = {r.batch: r for r in ds.coverage_batches(df, 20).collect()}
     assert sum(r.n for r in got.values()) == 45
     for b, r in got.items():
@@ -106,6 +106,34 @@ def test_coverage_of_a_batch_without_generated_events(spark):
     assert all(r.coverage == 0.0 for r in rows if r.mmd is None)
 
 
+@pytest.mark.parametrize("n_ref, n_gen", [(300, 12), (9, 300), (150, 140)])
+def test_every_event_meets_the_other_side_in_tiles(spark, monkeypatch, n_ref, n_gen):
+    monkeypatch.setattr(ds, "_TILE_ROWS", 16)
+    rng = np.random.default_rng(n_ref)
+    x = np.round(rng.normal(size=(n_ref + n_gen, 3)), 1)  # with ties
+    rows = [(i, "ref" if i < n_ref else "gen", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "event_id bigint, sample string, x array<double>")
+    (got,) = ds.coverage_batches(df, 1000).collect()
+    x = x / np.abs(x[:n_ref]).max(axis=0)
+    d = np.linalg.norm(x[:n_ref, None] - x[None, n_ref:], axis=2)
+    assert got.n == n_ref and got.mmd == pytest.approx(d.min(axis=1).mean()) and got.coverage == pytest.approx(len(set(d.argmin(axis=0))) / n_ref)
+
+
+@pytest.mark.parametrize("d", [3, 64])
+def test_tiled_kernels_equal_brute_force(spark, monkeypatch, d):
+    monkeypatch.setattr(ds, "_TILE_ROWS", 16)
+    monkeypatch.setattr(ds, "_MOST_MONOMIALS", 1)
+    df, x = vectors(spark, 120, d)
+    which = batches(spark, df, 3)
+    x = x / np.abs(x[::2]).max(axis=0)
+    got = {r.batch: r.mmd2 for r in ds.kernel_distance_batches(df, 3).collect()}
+    for b in range(3):
+        m, g = (x[[i for i in range(side, 120, 2) if which[i] == b]] for side in (0, 1))
+        k = lambda p, q: (p @ q.T / d + 1) ** 4
+        inner = lambda p: (k(p, p).sum() - np.trace(k(p, p))) / (len(p) * (len(p) - 1))
+        assert got[b] == pytest.approx(inner(m) + inner(g) - 2 * k(m, g).mean())
+
+
 def test_odd_samples_are_errors_or_counted(spark):
     df = spark.createDataFrame([("ref", 1.0), ("ref", 2.0), ("gen", 1.5), ("gen", float("inf")), ("gen", None)], "sample string, value double")
     df = df.withColumn("feature", F.lit("f"))

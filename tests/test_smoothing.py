@@ -87,3 +87,20 @@ def test_ema_over_several_runs_of_blocks(spark, monkeypatch):
 def test_rolling_mean_skips_nan(spark):
     y = [1.0, 1.0, float("nan"), 1.0, 1.0]
     assert np.allclose(column(sm.rolling(series(spark, ("a", y)), "s", "k", "y", 3, "mean"), "a"), 1.0)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_ema_over_range_partitions(spark, monkeypatch, parts):
+    from eventspark.operators import ordering
+
+    monkeypatch.setattr(ordering, "PARTITIONS", parts)
+    rng = np.random.default_rng(parts)
+    data = {name: rng.normal(size=n) for name, n in (("a", 200), ("b", 1), ("c", 60), ("d", 3), ("e", 300))}
+    data["c"][7], data["e"][250] = float("nan"), float("inf")
+    got = sm.ema(series(spark, *[(k, list(v)) for k, v in data.items()]), "s", "k", "y", 0.3).toPandas().sort_values(["s", "k"])
+    for name, x in data.items():
+        want, y = [], None
+        for v in x:
+            y = v if y is None else 0.3 * v + 0.7 * y
+            want.append(y)
+        np.testing.assert_allclose(got.loc[got["s"] == name, "smooth"].to_numpy(), want, rtol=1e-12)
