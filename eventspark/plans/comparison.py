@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventspark.functions.binning import bucketize, gaussian_bins, linear_bins, step_bins
+from eventspark.operators import comparison as cp
 from eventspark.operators import events as ev
 from eventspark.operators import histograms as hs
 from eventspark.operators.quantiles import quantile_bins
@@ -52,14 +53,24 @@ def hist_ratio(spark, sf):
 
 
 def hist_all_features(spark, sf):
-    every = ev.secondaries(ev.with_polar(_particles(spark, sf)))
-    lead = ev.leading_particle(every, list(MANY), ("sample", "event_id"))
-    columns = ["sample", *MANY]
-    both = every.select(F.lit("all").alias("selection"), *columns).unionByName(
-        lead.select(F.lit("leading").alias("selection"), *columns))
+    particles, vector = _particles(spark, sf), ("e", "px", "py", "pz")
+    every = ev.secondaries(particles).select("sample", F.lit("all").alias("selection"), *vector)
+    lead = ev.leading_particle(particles, vector, ("sample", "event_id")).select("sample", F.lit("leading").alias("selection"), *vector)
+    both = ev.with_polar(every.unionByName(lead))  # of a leading particle after it is known
     return hs.histogram_many(both, MANY, ["sample", "selection"]).withColumn("bin", F.col("bin").cast("long"))
 
 
+WHOLE = MANY | {"num_particles": linear_bins("num_particles", *hs.DEFAULT_RANGES["num_particles"]),
+                "energy_conservation": linear_bins("energy_conservation", *hs.DEFAULT_RANGES["energy_conservation"])}
+
+
+def compare_samples(spark, sf):
+    """Every histogram, density, error and ratio of the comparison, empty bins included."""
+    out = cp.compare_samples(_particles(spark, sf), WHOLE, fx.SAMPLES)
+    out = rounded(out, ["lo", "hi", "ratio", "ratio_err"], 6)
+    return rounded(out, ["density_ref", "density_gen", "density_err_ref", "density_err_gen"], 10)
+
+
 def category_density(spark, sf):
     out = hs.category_density(ev.secondaries(_particles(spark, sf)), "pdgid", fx.SAMPLES)
     return out.select("pdgid", "sample", "n", r(F.col("density"), 8).alias("density"),
@@ -135,6 +146,7 @@ def bin_means(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
+    compare_samples,
     hist_counts, hist_density, hist_ratio, hist_all_features, category_density, category_ratio,
     join_category_freq, category_topk, category_union, join_bin_counts, bucket_linear, bucket_step,
     bucket_gaussian, bucket_quantile, join_value_bin, bin_means)} | {"bucketize": bucketize_query}
@@ -181,6 +193,30 @@ _MANY = " union all ".join(
 ).replace("and true where", "and")
 
 
+_GRID = ", grid(selection, feature, bin, lo, hi) as (values " + ", ".join(
+    f"('{sel}', '{f}', {i}, {fx.number(lo)}, {fx.number(hi)})" for f, b in WHOLE.items() for sel in (("event",) if f in cp.EVENT_FEATURES else ("all", "leading"))
+    for i, (lo, hi) in enumerate(zip(b.edges, b.edges[1:]))) + ")"
+_BY_EVENT = """, per_event as (select sample, event_id, cast(count(*) - 1 as double) as num_particles,
+  abs(max(e) filter (where particle_idx = 0) - coalesce(sum(e) filter (where particle_idx > 0), 0.0e0)) as energy_conservation from particles group by all)"""
+_EVENT_HISTS = " union all ".join(
+    f"select sample, 'event' as selection, '{f}' as feature, {fx.bin_sql(f, WHOLE[f])} as bin, count(*) as n from per_event "
+    f"where {f} >= {fx.number(WHOLE[f].edges[0])} and {f} <= {fx.number(WHOLE[f].edges[-1])} group by all" for f in cp.EVENT_FEATURES)
+_COMPARED = f"""{_GRID}{_BY_EVENT}, found as ({_MANY} union all {_EVENT_HISTS}
+    union all select sample, 'all', 'pdgid', pdgid, count(*) from vb where particle_idx > 0 group by sample, pdgid
+    union all select sample, 'leading', 'pdgid', pdgid, count(*) from lead group by sample, pdgid),
+  cells as (select * from grid union all select distinct selection, feature, bin, cast(null as double), cast(null as double) from found where feature = 'pdgid'),
+  both_sides as (select c.*, coalesce(r.n, 0) as n_ref, coalesce(g.n, 0) as n_gen from cells c
+    left join found r on r.selection = c.selection and r.feature = c.feature and r.bin = c.bin and r.sample = 'ref'
+    left join found g on g.selection = c.selection and g.feature = c.feature and g.bin = c.bin and g.sample = 'gen'),
+  scaled as (select *, sum(n_ref) over w * coalesce(hi - lo, 1.0e0) as s_ref, sum(n_gen) over w * coalesce(hi - lo, 1.0e0) as s_gen
+    from both_sides window w as (partition by selection, feature)),
+  dense as (select *, n_ref / s_ref as d_ref, n_gen / s_gen as d_gen from scaled)
+  select selection, feature, cast(bin as bigint) as bin, round(lo, 6) + 0.0e0 as lo, round(hi, 6) + 0.0e0 as hi, cast(n_ref as bigint) as n_ref, cast(n_gen as bigint) as n_gen,
+    round(d_ref, 10) as density_ref, round(d_gen, 10) as density_gen, round(sqrt(n_ref) / s_ref, 10) as density_err_ref, round(sqrt(n_gen) / s_gen, 10) as density_err_gen,
+    round(case when n_ref > 0 then d_gen / d_ref end, 6) as ratio,
+    round(case when n_ref > 0 and n_gen > 0 then d_gen / d_ref * sqrt(1.0e0 / n_gen + 1.0e0 / n_ref) end, 6) as ratio_err from dense"""
+
+
 def _row_bins(expr, bins):
     return f" select event_id, particle_idx, {fx.bin_sql(expr, bins)} as bin from vb"
 
@@ -196,6 +232,7 @@ ORACLE = {
         key="bin, lo, hi", cols="bin, round(lo, 6) + 0.0e0 as lo, round(hi, 6) + 0.0e0 as hi",
         extra=""", coalesce(case when f.n > 0 then g.d / f.d end > 1.49e0, false) as above,
           coalesce(case when f.n > 0 then g.d / f.d end < 0.51e0, false) as below"""),
+    "compare_samples": _V + _LEAD + _COMPARED,
     "hist_all_features": _V + _LEAD + " " + _MANY,
     "category_density": _P + _S + _CAT + """, t as (select sample, sum(n) as total from h group by sample)
         select h.pdgid, h.sample, h.n, round(h.n / t.total, 8) as density, round(sqrt(h.n) / t.total, 8) as density_err
