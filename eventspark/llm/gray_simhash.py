@@ -252,7 +252,9 @@ def near_copies(docs: DataFrame, max_bits: int = 2, node_fingerprints: int = NOD
 def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest id.
 
-    Of repeated rows of an id one stays. Rows without an id stay only if their group has no id, one of them.
+    Of repeated rows of an id one stays. Rows without an id stay only if their group has no id, one of them. Null and
+    empty texts are near copies of each other. All columns pass unchanged, whatever their names; an empty table stays
+    empty.
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
@@ -263,7 +265,7 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
             .agg(F.min("least").alias("key"))
             .select(F.coalesce("key.id", F.lit(0)).alias("__near_id"), F.col("key.no_id").alias("__near_no_id"),
                     F.col("key.text_hash").alias("__near_hash")))
-    keyed = docs.withColumns({"__near_id": F.coalesce("doc_id", F.lit(0)), "__near_no_id": F.col("doc_id").isNull(),
-                              "__near_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    keyed = docs.select(F.struct(*docs.columns).alias("__near_row"), F.coalesce("doc_id", F.lit(0)).alias("__near_id"),
+                        F.col("doc_id").isNull().alias("__near_no_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__near_hash"))
     return (keyed.join(kept, ["__near_id", "__near_no_id", "__near_hash"], "left_semi")
-            .dropDuplicates(["__near_id", "__near_no_id", "__near_hash"]).select(*docs.columns))
+            .dropDuplicates(["__near_id", "__near_no_id", "__near_hash"]).select("__near_row.*"))

@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from eventspark.llm.common import map_texts
+
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 500_000
-MEMO_STEPS = 100_000  # pieces whose followers are remembered
-BATCH_CHARS = 8 << 20
+MEMO_WORDS = 100_000  # about 25 MB
+MEMO_STEPS = 20_000   # pieces whose followers are remembered
 _WORD = re.compile(r" *[^ ]+| +")
 
 
@@ -240,18 +241,6 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return b"".join(map(pieces.texts.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _pieces_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``BATCH_CHARS`` characters."""
-    start = chars = 0
-    for k, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= BATCH_CHARS:
-            yield start, k + 1
-            start, chars = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _lists(found: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(x) // 4 for x in found)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
@@ -269,7 +258,7 @@ def _encoder(model_path: str) -> Encoder:
 def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and ``ids``, an array of int.
 
-    A projection: no shuffle, memory for one batch and a bounded number of words. Null and empty texts give
+    A projection: no shuffle, memory for some megabytes of text and a bounded number of words. Null and empty texts give
     no ids. A column that is already called ``ids`` is replaced. Every executor needs the model file under
     ``model_path``.
     """
@@ -277,16 +266,11 @@ def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text
     carried = [c for c in keep if c != text]
     schema = StructType([docs.schema[c] for c in keep] + [StructField(ids, ArrayType(IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worker():
         encoder = _encoder(model_path)
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for lo, hi in _pieces_of(texts):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(encoder.encode(texts[lo:hi]))],
-                                                 names=[*keep, ids])
+        return lambda rows, texts: pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), _lists(encoder.encode(texts))], names=[*keep, ids])
 
-    return docs.select(*carried, text).mapInArrow(run, schema)
+    return map_texts(docs.select(*carried, text), schema, worker, text)
 
 
 def decode(tokens: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -309,16 +293,17 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     ``same`` says that decoding gave the text back (a null text counts as empty). Encoding and decoding
     run over one batch after the other in the same task, so no text is moved or written.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worker():
         encoder = _encoder(model_path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in _pieces_of(texts):
-                found = encoder.encode(texts[lo:hi])
-                same = [decode_ids(np.frombuffer(x, "<i4").tolist(), encoder.pieces) == (t or "") for x, t in zip(found, texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(x) // 4 for x in found], pa.int64()),
-                     pa.array([zlib.crc32(x) for x in found], pa.int64()), _lists(found), pa.array(same)],
-                    names=["doc_id", "n_tokens", "ids_crc32", "ids", "same"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>, same boolean")
+
+        def work(rows, texts):
+            found = encoder.encode(texts)
+            same = [decode_ids(np.frombuffer(x, "<i4").tolist(), encoder.pieces) == (t or "") for x, t in zip(found, texts)]
+            return pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()),
+                 pa.array([zlib.crc32(x) for x in found], pa.int64()), _lists(found), pa.array(same, pa.bool_())],
+                names=["doc_id", "n_tokens", "ids_crc32", "ids", "same"])
+
+        return work
+
+    return map_texts(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_crc32 long, ids array<int>, same boolean", worker)

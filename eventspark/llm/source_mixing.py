@@ -19,7 +19,8 @@ from eventspark.scratch import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 PROSE_BYTES = 6.0       # of a word of plain prose, about
-KEY_BITS, PASS_BITS = 48, 12
+SCALE_BITS, TIE_BITS, PASS_BITS = 48, 12, 12
+KEY_BITS = SCALE_BITS + TIE_BITS
 ORDERED_ROWS = 20_000   # rows of a source that are put in order at once
 SEED = "mix"
 
@@ -42,11 +43,13 @@ def uniform(column: str = "doc_id", seed: str = SEED) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Add ``__mix_size``, ``__mix_key`` and ``__mix_at``, the place of the key on a scale of 48 bits."""
+    """Add ``__mix_size``, ``__mix_key`` and ``__mix_at``, the place of the key on a scale of 48 bits with 12 bits of
+    the text's hash below: rows that repeat an id share their key, and texts part them."""
     sized = docs.withColumn("__mix_size", n_words())
     drawn = sized.withColumn("__mix_key", -F.log(uniform()) / quality_weight(F.col("__mix_size")))
-    return drawn.withColumn("__mix_at", F.least(F.floor((1.0 - F.exp(-F.col("__mix_key"))) * float(1 << KEY_BITS)),
-                                            F.lit((1 << KEY_BITS) - 1)).cast("long"))
+    place = F.least(F.floor((1.0 - F.exp(-F.col("__mix_key"))) * float(1 << SCALE_BITS)), F.lit((1 << SCALE_BITS) - 1)).cast("long")
+    tie = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
+    return drawn.withColumn("__mix_at", F.shiftleft(place, TIE_BITS) + tie)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -128,7 +131,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: f
 
     ``taken`` counts the words the mix takes of a document, repeats included. Null and empty texts have
     size 0 and are never taken. A null source is a source, the last. Rows that repeat an id tie in their
-    key and are ordered by size; equal rows are alike. An empty table gives an empty plan.
+    key and are ordered by a hash of their text, then by size; equal rows are alike. An empty table gives an empty plan.
     """
     work = store(keyed(docs.select("doc_id", "text", "source")).drop("text"), "sizes")
     ends, shift = cuts(work, weights, share, most, ordered_rows)
@@ -142,16 +145,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """The mixed rows with the columns of ``docs``: a row for each epoch that takes a document.
 
     A document taken in part comes last with its first words only; ``n_chars``, where there is such a
-    column, follows the text.
+    column, follows the text. Other columns pass unchanged, whatever their names. Rows without words, null and empty
+    texts among them, are never taken; an empty table stays empty; for repeated ids and null sources see ``plan``.
     """
-    rows = keyed(docs)
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("__mix_row"), "doc_id", "text", "source"))
     ends, shift = cuts(store(rows.select("source", "__mix_size", "__mix_at"), "sizes"), weights, share, most, ordered_rows)
     taken = with_taken(rows, ends, shift).filter("__mix_taken > 0")
     copies = taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))))
     words = F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_copy") - 1) * F.col("__mix_size"))
     some = F.array_join(F.slice(F.regexp_extract_all(
         F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words.cast("int")), "")
+    row = F.col("__mix_row")
     new = {"text": F.when(words < F.col("__mix_size"), some).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(words < F.col("__mix_size"), F.length(some)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return copies.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(words < F.col("__mix_size"), F.length(some)).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])

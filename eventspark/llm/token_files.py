@@ -71,16 +71,19 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
     A chunk is cut by the tokenizer's pattern and its pieces go to the library's model; a chunk with rare
-    characters, and a text with added tokens, go to the library whole.
+    characters, and a text with added tokens, go to the library whole. So do all texts if the tokenizer is
+    not one whose settings are known to allow such cuts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        before = self.tokenizer.pre_tokenizer
+        self.known = (self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space
+                      and before.use_regex and isinstance(self.model, models.BPE) and not self.model.dropout)
         self.pieces = _Memo(self._piece)
         self.spaced = _Memo(self._word)
         self.bare = _Memo(self._chunk)
@@ -102,7 +105,7 @@ class ChunkEncoder:
         return b"".join(map(self.pieces.__getitem__, _PATTERN.findall(chunk)))
 
     def _text(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
+        if not self.known or any(a in text for a in self.added):
             return array.array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words, parts = chunks(text)
         if parts is not None:
@@ -169,11 +172,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, encoding: str = "delta", r
     """Encode ``docs(doc_id, text)`` and write token files, in ascending order of the id over all files.
 
     Null texts count as empty and have the end id only. Rows without an id come first. Rows that repeat an
-    id lie together, in order of their text. ``encoding`` of the ids is "delta" or "dictionary".
+    id lie together, in order of a hash of their text, and may fill any number of parts. ``encoding`` of the ids is
+    "delta" or "dictionary".
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"no such encoding: {encoding}")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal rows are told apart by their place in the plan: any order of them is the same
+    order = ["doc_id", "__hash", "__row"]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     (encode(ordered, tokenizer).write
      .option("parquet.writer.version", "v2")
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())

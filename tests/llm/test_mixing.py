@@ -76,3 +76,19 @@ def test_empty_table(spark, odd_docs):
     assert sm.plan(odd_docs.limit(0)).count() == 0 and sm.mix(odd_docs.limit(0)).count() == 0
     nothing = odd_docs.filter("text is null or text = ''")
     assert [r["taken"] for r in sm.plan(nothing).collect()] == [0] * nothing.count()
+
+
+def test_a_repeated_id_is_no_single_range(spark):
+    """One id in a third of the rows, where the budget ends: its texts still lie in many ranges."""
+    rows = [(7, f"word {'x ' * (k % 90)}", "a") for k in range(900)] + [(k + 10, "other words here", "a") for k in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = sm.keyed(docs).filter("doc_id = 7").groupBy("__mix_at").count().collect()
+    assert len(places) > 80 and max(r["count"] for r in places) <= 20
+    plan = sm.plan(docs, weights=(1.0,), share=0.5, ordered_rows=5).collect()
+    assert abs(sum(r["taken"] for r in plan) - plan[0]["target"]) <= 0.5
+
+
+def test_columns_with_names_of_the_operator_pass(spark):
+    docs = spark.createDataFrame([(i, "some words", "a", i, i + 0.5) for i in range(20)], "doc_id long, text string, source string, __mix_size long, __mix_row double")
+    got = sm.mix(docs).select("doc_id", "__mix_size", "__mix_row").distinct().collect()
+    assert all((r[1], r[2]) == (r[0], r[0] + 0.5) for r in got) and got
