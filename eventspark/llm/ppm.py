@@ -10,9 +10,14 @@ sum over its bytes and its end.
 The trie is never in one place. Each block of documents counts its own paths and words and packs them into
 one row for each of ``BUCKETS`` buckets: the bucket of a path is a hash of the last two bytes of its
 context, so that all contexts of two bytes and more that a prediction can fall back through share a bucket
-(contexts of one byte and none are a table of at most 65,792 rows, which every task gets). Buckets are summed
-over groups of blocks, level by level, and turned into log probabilities. These go back, bucket by bucket, to
-the blocks that asked for them, and the documents of a block are scored against them.
+(contexts of one byte and none are a table of at most 65,792 rows, which every task gets). A bucket with many
+keys is divided into parts by the byte before those two; then its contexts of two bytes, at most 65,536
+counts, are summed apart and go with every part. Parts are summed over a few blocks at a time, level by level,
+and turned into log probabilities. The blocks' questions stream past the part that they are about, sorted behind
+it; where there are so many that one task should not see them all, the part is there as often as their bytes
+ask for. The answers go back to the blocks, whose documents are scored against them.
+
+Keys travel sorted, as differences in byte planes, compressed.
 
 A base model of single words is scored along the way, with add-one smoothing.
 """
@@ -26,6 +31,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +43,15 @@ from eventspark.scratch import store
 ORDER = 5
 END = 0xFF            # never occurs in UTF-8
 PIECE_BYTES = 2 << 20   # text that is counted or scored at a time
-BLOCK_BYTES = 64 << 20  # of text in a block
+BLOCK_BYTES = 16 << 20  # of text in a block
 BUCKETS = 256           # of paths, and of words
-GROUP_BLOCKS = 64       # blocks whose rows of a bucket meet in one task
+PART_KEYS = 2 << 20     # of a bucket, counted in every block, before it is divided
+MOST_PARTS = 256
+MERGED_KEYS = 8 << 20   # that are summed at once
+FAN_IN = 8              # sums of a part that are added up at once
+ASKED_KEYS = 128 << 20  # that stream past one copy of a part
 PATH, WORD = 0, 1
-_ROW = "block long, kind int, bucket int, keys binary, n binary"
+_ROW = "block long, kind int, bucket int, size long, keys binary, n binary"
 _BYTE = np.uint64(8)
 
 
@@ -101,6 +111,35 @@ class Level:
         return (*find(self.path, path, self.count), *find(self.context, path >> _BYTE, self.total, self.distinct, ruled_out))
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=8 * n or 1), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def pack_keys(path: np.ndarray) -> bytes:
+    """Ascending paths."""
+    return pack_numbers(np.diff(path, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data), dtype=np.uint64)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
 def low_levels(path: np.ndarray, count: np.ndarray) -> tuple[Level, Level]:
     """Orders 0 and 1 from paths of order 1."""
     zero, one = Level(path, count, 0), Level(path, count, 1)
@@ -108,11 +147,15 @@ def low_levels(path: np.ndarray, count: np.ndarray) -> tuple[Level, Level]:
     return zero, one
 
 
-def log_probabilities(path: np.ndarray, count: np.ndarray, low: tuple[Level, Level], order: int = ORDER) -> np.ndarray:
-    """log10 of the probability of each path's last byte, for all paths that share their last two context bytes."""
+def log_probabilities(path: np.ndarray, count: np.ndarray, low: tuple[Level, Level], order: int = ORDER,
+                      second: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 of the probability of each path's last byte, for all paths that share their last two context bytes.
+
+    If they are not all here, but all with the same three context bytes, ``second`` has paths of order 2 with their counts.
+    """
     levels = {0: low[0], 1: low[1]}
     for k in range(2, order + 1):
-        levels[k] = Level(path, count, k)
+        levels[k] = Level(*second, k) if k == 2 and second is not None else Level(path, count, k)
         levels[k].exclude_from(levels[k - 1], k)
     out, open_ = np.zeros(len(path)), np.ones(len(path), bool)
     gone, gone_n = np.zeros(len(path), np.int64), np.zeros(len(path), np.int64)  # ruled out: counts, bytes
@@ -147,17 +190,17 @@ def _pack(block: int, path: np.ndarray, n: np.ndarray, words: dict[bytes, int])
     cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
     for k in np.flatnonzero(np.diff(cuts)):
         some = order[cuts[k]:cuts[k + 1]]
-        rows.append((block, PATH, int(k), path[some].astype("<u8").tobytes(), n[some].astype("<i8").tobytes()))
+        rows.append((block, PATH, int(k), len(some), pack_keys(path[some]), pack_numbers(n[some])))
     of: list[list[bytes]] = [[] for _ in range(BUCKETS)]
     for w in words:
         of[crc32(w) % BUCKETS].append(w)
     for k, some in enumerate(of):
         if some:
             some.sort()
-            rows.append((block, WORD, k, b"\n".join(some), np.array([words[w] for w in some], "<i8").tobytes()))
-    columns = list(zip(*rows)) or [[]] * 5
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "bucket", "keys", "n"])
+            rows.append((block, WORD, k, len(some), pack_words(some), pack_numbers(np.array([words[w] for w in some]))))
+    columns = list(zip(*rows)) or [[]] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "bucket", "size", "keys", "n"])
 
 
 class BlockCounts:
@@ -211,54 +254,105 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield now.rows()
 
 
+def _part_of(kind: int, keys: np.ndarray | list[bytes], parts: int) -> np.ndarray:
+    """Part of a bucket that each key belongs to: by the third last byte of a path's context, or by the word."""
+    if kind == WORD:
+        return np.array([crc32(w) // BUCKETS % parts for w in keys], np.int64)
+    third = (keys >> np.uint64(24)) & np.uint64(0xFF)
+    return ((third * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(parts)).astype(np.int64)
+
+
+def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of divided buckets as a row for each part."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            words = row["kind"] == WORD
+            keys, n = (unpack_words if words else unpack_keys)(row["keys"]), unpack_numbers(row["n"])
+            part = _part_of(row["kind"], keys, row["parts"])
+            for k in np.unique(part):
+                some = np.flatnonzero(part == k)
+                packed = pack_words([keys[i] for i in some]) if words else pack_keys(keys[some])
+                rows.append(row | {"part": int(k), "size": len(some), "keys": packed, "n": pack_numbers(n[some])})
+        yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+
 def _merge(group: pa.Table) -> pa.Table:
-    """Sums of one bucket over some blocks."""
-    kind, counts = group["kind"][0].as_py(), [np.frombuffer(x, "<i8") for x in group["n"].to_pylist()]
+    """Sums of one part of a bucket over some blocks."""
+    kind, counts = group["kind"][0].as_py(), [unpack_numbers(x) for x in group["n"].to_pylist()]
     if kind == PATH:
-        keys, at = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in group["keys"].to_pylist()]), return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
+        keys, at = np.unique(np.concatenate([unpack_keys(x) for x in group["keys"].to_pylist()]), return_inverse=True)
+        total = np.zeros(len(keys), np.uint64)
         np.add.at(total, at, np.concatenate(counts))
-        packed = keys.astype("<u8").tobytes()
+        packed = pack_keys(keys)
     else:
         sums: dict[bytes, int] = {}
         for words, n in zip(group["keys"].to_pylist(), counts):
-            for w, k in zip(words.split(b"\n"), n.tolist()):
+            for w, k in zip(unpack_words(words), n.tolist()):
                 sums[w] = sums.get(w, 0) + k
         words = sorted(sums)
-        total, packed = np.array([sums[w] for w in words], np.int64), b"\n".join(words)
-    return pa.table({"kind": group["kind"][:1], "bucket": group["bucket"][:1], "group": group["group"][:1],
-                     "keys": pa.array([packed], pa.binary()), "n": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total, packed = np.array([sums[w] for w in words], np.uint64), pack_words(words)
+    return pa.table({**{c: group[c][:1] for c in ("kind", "bucket", "part", "groups", "group")},
+                     "keys": pa.array([packed], pa.binary()), "n": pa.array([pack_numbers(total)], pa.binary())})
+
+
+def _by_last_bytes(path: np.ndarray, n: np.ndarray, bytes_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last bytes of paths."""
+    last, at = np.unique(path & np.uint64((1 << 8 * bytes_) - 1), return_inverse=True)
+    total = np.zeros(len(last), np.int64)
+    np.add.at(total, at, n)
+    return last, total
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the last two bytes of paths; sum of the words' counts (0) and number of words counted (1)."""
     for batch in batches:
         for kind, keys, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "n"))):
-            n = np.frombuffer(n, "<i8")
+            n = unpack_numbers(n).astype(np.int64)
             if kind == PATH:
-                path, at = np.unique(np.frombuffer(keys, "<u8") & np.uint64(0xFFFF), return_inverse=True)
-                total = np.zeros(len(path), np.int64)
-                np.add.at(total, at, n)
+                path, total = _by_last_bytes(unpack_keys(keys), n, 2)
             else:
                 path, total = np.arange(2, dtype=np.uint64), np.array([n.sum(), (n > 0).sum()])
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(total), pa.array(np.full(len(path), kind, np.int64))],
                                              names=["path", "n", "kind"])
 
 
-def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """The values of one bucket for the keys that some blocks asked for."""
-    if not asked.num_rows:
-        return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
-    known, value, out = model["known"][0].as_py(), model["value"][0].as_py(), []
-    if asked["kind"][0].as_py() == PATH:
-        known, value = np.frombuffer(known, "<u8"), np.frombuffer(value, "<f4")
-        for keys in asked["keys"].to_pylist():
-            out.append(values_at(known, np.frombuffer(keys, "<u8"), value).tobytes())
-    else:
-        at, value = {w: k for k, w in enumerate(known.split(b"\n"))}, np.frombuffer(value, "<f8")
-        for keys in asked["keys"].to_pylist():
-            out.append(value[np.fromiter(map(at.__getitem__, keys.split(b"\n")), np.int64)].tobytes())
-    return pa.table({"block": asked["block"], "kind": asked["kind"], "keys": asked["keys"], "value": pa.array(out, pa.binary())})
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part of a bucket the counts of the last three bytes of its paths."""
+    for batch in batches:
+        found = [_by_last_bytes(unpack_keys(keys), unpack_numbers(n).astype(np.int64), 3) for keys, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "n")))]
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([pack_keys(k) for k, _ in found], pa.binary()),
+                                          pa.array([pack_numbers(n) for _, n in found], pa.binary())], names=["bucket", "keys2", "n2"])
+
+
+def _whole_second(group: pa.Table) -> pa.Table:
+    """Added up over the parts of a bucket: at most 65,536 counts for each of its few pairs of bytes."""
+    path, n = (np.concatenate([f(x) for x in group[c].to_pylist()]) for c, f in (("keys2", unpack_keys), ("n2", unpack_numbers)))
+    path, n = _by_last_bytes(path, n.astype(np.int64), 3)
+    return pa.table({"bucket": group["bucket"][:1], "keys2": pa.array([pack_keys(path)], pa.binary()), "n2": pa.array([pack_numbers(n)], pa.binary())})
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each part, then the questions about it: the values of the keys that a block asked for."""
+    kind, known, value = None, None, None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["block"] is None:
+                kind = row["kind"]
+                if kind == PATH:
+                    known, value = unpack_keys(row["keys"]), np.frombuffer(row["value"], "<f4")
+                else:
+                    known, value = {w: k for k, w in enumerate(unpack_words(row["keys"]))}, np.frombuffer(row["value"], "<f8")
+                continue
+            if kind == PATH:
+                found = values_at(known, unpack_keys(row["keys"]), value)
+            else:
+                found = value[np.fromiter(map(known.__getitem__, unpack_words(row["keys"])), np.int64)]
+            out.append((row["block"], kind, row["keys"], found.tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["block", "kind", "keys", "value"])
 
 
 def values_at(known: np.ndarray, wanted: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -301,15 +395,25 @@ def score(docs: DataFrame) -> DataFrame:
     """
     blocks = with_block(docs)
     counts = store(blocks.select("block", "held_out", "text").mapInArrow(_counts, _ROW), "counts")
-    groups = max(1, -(-counts.select("block").distinct().count() // GROUP_BLOCKS))
-    counts = counts.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    merged, left = counts.select("kind", "bucket", "group", "keys", "n"), groups
+    # for each of the buckets: parts, groups of blocks that are summed first, and copies that questions need
+    sizes = counts.groupBy("kind", "bucket").agg(F.sum("size").alias("size"))
+    up = lambda c, n: F.greatest(F.lit(1), F.ceil(c / n)).cast("int")
+    plan = sizes.withColumn("parts", F.least(F.lit(MOST_PARTS), up(F.col("size"), PART_KEYS)))
+    plan = store(plan.select("kind", "bucket", "parts", up(F.col("size") / F.col("parts"), MERGED_KEYS).alias("groups"),
+                             up(F.col("size") / F.col("parts"), ASKED_KEYS).alias("copies")), "plan")  # a row for a bucket
+    placed = counts.join(F.broadcast(plan), ["kind", "bucket"]).withColumn("part", F.lit(0))
+    divided = placed.filter("parts > 1")
+    placed = placed.filter("parts = 1").unionByName(divided.mapInArrow(_divided, divided.schema))
+    merged = placed.select("kind", "bucket", "part", "groups", F.pmod(F.xxhash64("block"), "groups").cast("int").alias("group"), "keys", "n")
+    left = plan.agg(F.max("groups")).first()[0] or 1
     while True:
-        merged = store(merged.groupBy("kind", "bucket", "group").applyInArrow(_merge, "kind int, bucket int, group int, keys binary, n binary"), "merged")
+        merged = store(merged.groupBy("kind", "bucket", "part", "groups", "group").applyInArrow(
+            _merge, "kind int, bucket int, part int, groups int, group int, keys binary, n binary"), "merged")
         if left == 1:
             break
-        left = -(-left // GROUP_BLOCKS)
-        merged = merged.withColumn("group", F.pmod("group", F.lit(left)))
+        left = -(-left // FAN_IN)
+        fewer = F.ceil(F.col("groups") / FAN_IN).cast("int")
+        merged = merged.select("kind", "bucket", "part", fewer.alias("groups"), F.pmod("group", fewer).alias("group"), "keys", "n")
 
     small = merged.mapInArrow(_summaries, "path long, n long, kind long").groupBy("kind", "path").agg(F.sum("n").alias("n"))
     small = small.toPandas()  # two bytes of a path, and the totals of the words
@@ -325,31 +429,37 @@ def score(docs: DataFrame) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = []
-            for kind, keys, count in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "n"))):
-                count = np.frombuffer(count, "<i8")
+            for kind, keys, count, keys2, n2 in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "n", "keys2", "n2"))):
+                count = unpack_numbers(count).astype(np.int64)
                 if kind == PATH:
-                    values.append(log_probabilities(np.frombuffer(keys, "<u8"), count, low).astype("<f4").tobytes())
+                    second = None if keys2 is None else (unpack_keys(keys2), unpack_numbers(n2).astype(np.int64))
+                    values.append(log_probabilities(unpack_keys(keys), count, low, second=second).astype("<f4").tobytes())
                 else:
                     values.append(base_of(count).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("bucket"), batch.column("keys"), pa.array(values, pa.binary())],
-                                             names=["kind", "bucket", "known", "value"])
-
-    model = merged.select("kind", "bucket", "keys", "n").mapInArrow(predict, "kind int, bucket int, known binary, value binary")
-    model = store(model, "model").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    model = model.select(F.col("kind").alias("m_kind"), F.col("bucket").alias("m_bucket"), F.col("group").alias("m_group"), "known", "value")
-    answers = (counts.select("kind", "bucket", "group", "block", "keys").groupBy("kind", "bucket", "group")
-               .cogroup(model.groupBy("m_kind", "m_bucket", "m_group"))
-               .applyInArrow(_answer, "block long, kind int, keys binary, value binary"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "bucket", "part", "keys")), pa.array(values, pa.binary())],
+                                             names=["kind", "bucket", "part", "keys", "value"])
+
+    several = merged.join(F.broadcast(plan.filter((F.col("kind") == PATH) & (F.col("parts") > 1)).select("kind", "bucket")), ["kind", "bucket"])
+    second = store(several.select("bucket", "keys", "n").mapInArrow(_second, "bucket int, keys2 binary, n2 binary").groupBy("bucket").applyInArrow(
+        _whole_second, "bucket int, keys2 binary, n2 binary"), "second").withColumn("kind", F.lit(PATH))
+    model = merged.select("kind", "bucket", "part", "keys", "n").join(second, ["kind", "bucket"], "left")
+    model = store(model.mapInArrow(predict, "kind int, bucket int, part int, keys binary, value binary"), "model")
+    copied = model.join(F.broadcast(plan), ["kind", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    about = ["kind", "bucket", "part", "copy"]
+    asked = placed.select("kind", "bucket", "part", F.pmod(F.xxhash64("block"), "copies").cast("int").alias("copy"), "block", "keys", F.lit(None).cast("binary").alias("value"))
+    parts = copied.select(*about, F.lit(None).cast("long").alias("block"), "keys", "value")
+    answers = (parts.unionByName(asked).repartition(*about).sortWithinPartitions(*about, F.col("block").asc_nulls_first())
+               .mapInArrow(_answers, "block long, kind int, keys binary, value binary"))
 
     def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
         path, log_p, of_word = [np.zeros(0, np.uint64)], [np.zeros(0)], {}
         for kind, keys, value in zip(right["kind"].to_pylist(), right["keys"], right["value"]):
-            keys, value = keys.as_buffer(), value.as_buffer()
+            keys, value = keys.as_py(), value.as_buffer()
             if kind == PATH:
-                path.append(np.frombuffer(keys, "<u8"))
+                path.append(unpack_keys(keys))
                 log_p.append(np.frombuffer(value, "<f4"))
             else:
-                of_word.update(zip(keys.to_pybytes().split(b"\n"), np.frombuffer(value, "<f8").tolist()))
+                of_word.update(zip(unpack_words(keys), np.frombuffer(value, "<f8").tolist()))
         path, log_p = np.concatenate(path), np.concatenate(log_p)
         order = np.argsort(path)
         path, log_p = path[order], log_p[order].astype(np.float64)

@@ -52,7 +52,11 @@ def test_probabilities_sum_to_one():
         assert sum(10 ** model.log_p(context, s) for s in range(256)) == pytest.approx(1.0)
 
 
-def test_scores(spark, odd_docs):
+@pytest.mark.parametrize("small", [False, True])
+def test_scores(spark, odd_docs, monkeypatch, small):
+    if small:  # buckets in parts, sums in levels, parts in copies, documents in many blocks
+        for name, value in (("PART_KEYS", 40), ("MERGED_KEYS", 50), ("FAN_IN", 2), ("ASKED_KEYS", 60), ("BLOCK_BYTES", 2000)):
+            monkeypatch.setattr(ppm, name, value)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in odd_docs.collect()]
     out = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
     learned = [t for d, t in rows if not out(d)]
@@ -110,3 +114,11 @@ def test_a_path_without_a_value_is_an_error():
     for wanted in ([4], [6]):
         with pytest.raises(RuntimeError):
             ppm.values_at(known, np.array(wanted, np.uint64), value)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        x = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        assert (ppm.unpack_keys(ppm.pack_keys(x)) == x).all() and (ppm.unpack_numbers(ppm.pack_numbers(x)) == x).all()
+    assert ppm.unpack_words(ppm.pack_words([b"a", b"bc"])) == [b"a", b"bc"]
