@@ -25,7 +25,7 @@ from eventspark.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_FEATURES = 300
-MEMO_TOKENS = 50_000      # of a task, with the features they hold
+MEMO_TOKENS = 150_000     # of a task, with the features they hold
 UNLABELLED = 2             # unlabelled texts of the sample for each toxic one that it may have
 LEAST_RATE = 0.05          # of a feature in toxic texts that the prior is estimated from
 
