@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.operators.joins import join_summary
-from eventspark.operators.ordering import running
+from eventspark.operators.ordering import carried, ranges
 from eventspark.schema import METRIC_FIELDS, small_table
 from eventspark.scratch import store
 
@@ -83,11 +83,16 @@ def wasserstein(values: DataFrame, by: Sequence[str], value: str = "value", samp
     is_ref = F.col(sample) == reference
     sound = F.when(_is_finite(value), F.col(value)).otherwise(
         F.raise_error(F.concat(F.lit(f"{value} is not finite in sample "), F.col(sample))).cast("double"))
-    points = store(_two_samples(values, sample, reference).withColumn(value, sound).groupBy(*by, value).agg(
-        F.count_if(is_ref).alias("n_ref"), F.count_if(~is_ref).alias("n_gen")), "points")
-    totals = points.groupBy(*by).agg(F.sum("n_ref").alias("all_ref"), F.sum("n_gen").alias("all_gen"))
-    steps = running(points, [value], by, sums={"upto_ref": F.col("n_ref"), "upto_gen": F.col("n_gen")},
-                    following={"next_value": value})
+    other = F.when(~is_ref, F.col(sample))
+    points = values.withColumn(value, sound).groupBy(*by, value).agg(
+        F.count_if(is_ref).alias("n_ref"), F.count_if(~is_ref).alias("n_gen"), F.min(other).alias("__low"), F.max(other).alias("__high"))
+    sums, following = {"upto_ref": F.col("n_ref"), "upto_gen": F.col("n_gen")}, {"next_value": value}
+    ranged = ranges(points, [value], by, sums)  # written once: the checks, the totals and the steps read it
+    low, high = ranged.agg(F.min("__low"), F.max("__high")).first()
+    if low != high:
+        raise ValueError(f"more than one sample beside {reference}: {low}, {high}; compare one at a time")
+    totals = ranged.groupBy(*by).agg(F.sum("n_ref").alias("all_ref"), F.sum("n_gen").alias("all_gen"))
+    steps = carried(ranged, by, None, sums, following, [*by, value])
     gap = F.abs(F.col("upto_ref") / F.col("all_ref") - F.col("upto_gen") / F.col("all_gen"))
     return join_summary(steps, totals, by).groupBy(*by).agg(
         F.sum(gap * (F.col("next_value") - F.col(value))).alias("w1"))

@@ -47,7 +47,7 @@ def running(
         window = Window.partitionBy(*group_by).orderBy(*order_by)
         return df.withColumns(_over(window, position, sums, following))
     ranged = ranges(df, order_by, group_by, sums, partitions)
-    return _carried(ranged, group_by, position, sums, following, df.columns)
+    return carried(ranged, group_by, position, sums, following, df.columns)
 
 
 def ranges(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str], sums: Mapping[str, Column],
@@ -71,7 +71,9 @@ def _over(window, position, sums, following) -> dict[str, Column]:
     return new
 
 
-def _carried(ranged, group_by, position, sums, following, columns):
+def carried(ranged: DataFrame, group_by: Sequence[str], position: str | None, sums: Mapping[str, Column], following: Mapping[str, str],
+            columns: Sequence[str]) -> DataFrame:
+    """``running`` over the written partitions of ``ranges``, with the given columns of the rows."""
     totals = ranged.groupBy(*group_by, _PART).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(f"__add_{name}").alias(f"__sum_{name}") for name in sums],
