@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from eventspark.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
-MAX_FEATURES = 300
+MAX_FEATURES, CLEAR = 300, 4.0
 MEMO_TOKENS = 150_000     # of a task, with the features they hold
 UNLABELLED = 2             # unlabelled texts of the sample for each toxic one that it may have
 LEAST_RATE = 0.05          # of a feature in toxic texts that the prior is estimated from
@@ -67,7 +67,7 @@ class PuModel:
 
 
 def choose_features(toxic: list[str], rest: list[str], most: int = MAX_FEATURES) -> list[str]:
-    """Features whose rates differ by at least three standard errors, the clearest first.
+    """Features whose rates differ by at least ``CLEAR`` standard errors, the clearest first.
 
     Only what occurs twice or more in toxic texts is counted in the others, so memory follows the former.
     """
@@ -80,7 +80,7 @@ def choose_features(toxic: list[str], rest: list[str], most: int = MAX_FEATURES)
         both = (k + in_u[f]) / (n_p + n_u)
         gap = k / n_p - in_u[f] / n_u
         z = gap / np.sqrt(max(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-        if z >= 3.0:
+        if z >= CLEAR:
             clear.append((-z, f))
     return [f for _, f in sorted(clear)[:most]]
 
@@ -110,30 +110,33 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def risks(w: np.ndarray, p: Rows, u: Rows, prior: float) -> tuple[float, float]:
-    """Risk of the toxic texts and estimated risk of the clean ones, with the sigmoid loss: a toxic text costs
-    1 - s, a clean one s."""
-    s_p, s_u = (sigmoid(x.times(w[:-1]) + w[-1]) for x in (p, u))
+def scores(w: np.ndarray, p: Rows, u: Rows) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(sigmoid(x.times(w[:-1]) + w[-1]) for x in (p, u))
+
+
+def risks(s_p: np.ndarray, s_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Risk of the toxic texts and estimated risk of the clean ones from the scores, with the sigmoid loss: a toxic text
+    costs 1 - s, a clean one s."""
     return prior * float((1 - s_p).mean()), float(s_u.mean()) - prior * float(s_p.mean())
 
 
-def gradients(w: np.ndarray, p: Rows, u: Rows, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def gradients(s_p: np.ndarray, s_u: np.ndarray, p: Rows, u: Rows, features: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Of both risks, for the weights and the bias behind them."""
-    s_p, s_u = (sigmoid(x.times(w[:-1]) + w[-1]) for x in (p, u))
     d_p, d_u = s_p * (1 - s_p) / p.n, s_u * (1 - s_u) / u.n
-    of_p = np.r_[p.summed(d_p, len(w) - 1), d_p.sum()]
-    of_u = np.r_[u.summed(d_u, len(w) - 1), d_u.sum()]
+    of_p = np.r_[p.summed(d_p, features), d_p.sum()]
+    of_u = np.r_[u.summed(d_u, features), d_u.sum()]
     return -prior * of_p, of_u - prior * of_p
 
 
-def train_nnpu(p: Rows, u: Rows, features: int, prior: float, steps: int = 400, rate: float = 0.05,
-               decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_nnpu(p: Rows, u: Rows, features: int, prior: float, steps: int = 800, rate: float = 0.05,
+               decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam over all rows."""
     w = np.r_[np.zeros(features), -1.0]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        of_toxic, of_clean = gradients(w, p, u, prior)
-        grad = of_toxic + of_clean if risks(w, p, u, prior)[1] >= 0 else -of_clean
+        s_p, s_u = scores(w, p, u)
+        of_toxic, of_clean = gradients(s_p, s_u, p, u, features, prior)
+        grad = of_toxic + of_clean if risks(s_p, s_u, prior)[1] >= 0 else -of_clean
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)

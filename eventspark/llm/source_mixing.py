@@ -101,7 +101,7 @@ def cuts(work: DataFrame, weights: tuple[float, ...], share: float, most: float,
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
         part = part.select("source", "range", "words", "n", upto.alias("upto"))
         # the first range that holds more than what is left; none if the budget is the whole source
-        found = _by_source(part, ends.drop("range")).filter("upto > left").groupBy("source").agg(
+        found = _by_source(part, ends.drop("range", "n")).filter("upto > left").groupBy("source").agg(
             F.min(F.struct("range", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "n")).alias("end"))
         ends = store(ends.drop("range", "left").join(found.withColumnRenamed("source", "__mix_source"), F.col("source").eqNullSafe(F.col("__mix_source")), "left")
                      .select(*known, F.coalesce("end.range", F.lit(1 << PASS_BITS).cast("long") * (1 << (KEY_BITS - PASS_BITS))).alias("range"),

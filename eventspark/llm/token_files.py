@@ -25,6 +25,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
+TIE_CHARS = 64
 MEMO_CHUNKS = 1_200_000
 BATCH_CHARS = 4 << 20
 
@@ -172,14 +173,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, encoding: str = "delta", r
     """Encode ``docs(doc_id, text)`` and write token files, in ascending order of the id over all files.
 
     Null texts count as empty and have the end id only. Rows without an id come first. Rows that repeat an
-    id lie together, in order of a hash of their text, and may fill any number of parts. ``encoding`` of the ids is
-    "delta" or "dictionary".
+    id lie together, in order of the first ``TIE_CHARS`` characters of their text, then of its hash, and may fill any
+    number of parts. ``encoding`` of the ids is "delta" or "dictionary".
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"no such encoding: {encoding}")
     # equal rows are told apart by their place in the plan: any order of them is the same
-    order = ["doc_id", "__hash", "__row"]
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    order = ["doc_id", "__begin", "__hash", "__row"]
+    ordered = docs.select("doc_id", "text", F.substring("text", 1, TIE_CHARS).alias("__begin"), F.xxhash64("text").alias("__hash"),
+                          F.monotonically_increasing_id().alias("__row"))
     ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     (encode(ordered, tokenizer).write
      .option("parquet.writer.version", "v2")

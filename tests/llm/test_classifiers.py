@@ -101,18 +101,19 @@ def test_risk_and_gradient_equal_a_direct_computation():
         s_p, s_u = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x in (dense_p, dense_u))
         return np.array([prior * np.mean(1 - s_p), np.mean(s_u) - prior * np.mean(s_p)])
 
-    assert np.allclose(pu_toxicity.risks(w, p, u, prior), direct(w))
+    s_p, s_u = pu_toxicity.scores(w, p, u)
+    assert np.allclose(pu_toxicity.risks(s_p, s_u, prior), direct(w))
     steps = np.eye(7) * 1e-6
     numeric = np.array([(direct(w + e) - direct(w - e)) / 2e-6 for e in steps]).T
-    assert np.allclose(pu_toxicity.gradients(w, p, u, prior), numeric, atol=1e-8)
+    assert np.allclose(pu_toxicity.gradients(s_p, s_u, p, u, 6, prior), numeric, atol=1e-8)
 
 
 def test_training_lowers_the_risk_and_never_below_zero():
     (p, _), (u, _) = some_rows(1, 200), some_rows(2, 300)
     start = np.r_[np.zeros(6), -1.0]
     w, b = pu_toxicity.train_nnpu(p, u, 6, 0.3)
-    toxic, clean = pu_toxicity.risks(np.r_[w, b], p, u, 0.3)
-    assert toxic + max(clean, 0.0) < sum(pu_toxicity.risks(start, p, u, 0.3)) and clean > -0.02
+    toxic, clean = pu_toxicity.risks(*pu_toxicity.scores(np.r_[w, b], p, u), 0.3)
+    assert toxic + max(clean, 0.0) < sum(pu_toxicity.risks(*pu_toxicity.scores(start, p, u), 0.3)) and clean > -0.02
 
 
 def test_the_prior_is_estimated_from_a_feature_of_toxic_texts():
