@@ -10,7 +10,7 @@ from tools.check import canonical, connect
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = queries(), oracle_sql()
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+KINDS = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 @pytest.fixture(scope="module")
