@@ -127,24 +127,6 @@ def test_token_files_of_an_empty_table(spark, odd_docs):
     assert tf.round_trip(odd_docs.limit(0), BPE).count() == 0
 
 
-def test_a_repeated_id_fills_many_parts(spark, tmp_path):
-    """One id in a third of the rows: no part of the files holds much more than another."""
-    rows = [(7, f"text {k % 50}") for k in range(1000)] + [(k + 10, f"other {k}") for k in range(2000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    path, key = str(tmp_path / "files"), "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")  # a table as small as this would be one part
-    try:
-        tf.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    finally:
-        spark.conf.unset(key)
-    sizes = sorted(r["count"] for r in spark.read.parquet(path).groupBy("part").count().collect())
-    assert len(sizes) > 4 and sizes[-1] < 2 * 3000 / len(sizes)
-    got = tf.digest(spark, path).orderBy("start").collect()
-    assert [r["doc_id"] for r in got] == sorted(r[0] for r in rows)
-    ends = [r["start"] + r["n_tokens"] for r in got]
-    assert [0, *ends[:-1]] == [r["start"] for r in got]
-
-
 def test_other_tokenizer_settings_go_to_the_library(tmp_path):
     from tokenizers import Tokenizer, pre_tokenizers
 
