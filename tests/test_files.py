@@ -30,6 +30,20 @@ def test_event_text_round_trip(spark, tmp_path):
     assert flat(text.read_events(spark, path)) == flat(events)
 
 
+def test_five_decimals_round_the_exact_value(spark):
+    rng = np.random.default_rng(0)
+    ties = (np.floor(rng.uniform(-2e9, 2e9, 3000)) + 0.5) / 1e5
+    odd = [8689.557125, 3880.1261749999994, 10788.611085000006, 0.015625, -0.015625, 0.046875, 0.000005, 9.999995, 0.0, -0.0, -1e-9, 5e-324, 123456789012.34567,
+           999999.999995, 2.0 ** 52 + 0.5, 1e16, 9007199254740993.0, 9.2e18, -0.999999999, 1.0]
+    values = [float(v) for v in [*odd, *ties, *np.nextafter(ties, np.inf), *np.nextafter(ties, -np.inf), *rng.normal(0, 1e4, 1000), *rng.normal(0, 1e12, 1000)]]
+    df = spark.createDataFrame([(i, [(22, v, -v, 0.0, 1.0)]) for i, v in enumerate(values)],
+                               "event_id bigint, particles array<struct<pdgid:bigint,e:double,px:double,py:double,pz:double>>")
+    got = [r.value for r in text.event_lines(df).orderBy("event_id").collect()]
+    assert got == ["22 %.5f %.5f 0.00000 1.00000;" % (v, -v) for v in values]
+    odd = spark.createDataFrame([(0, [(22, None, float("nan"), float("inf"), 1e300)])], df.schema)
+    assert text.event_lines(odd).first().value.startswith("22 null NaN Infinity 1000000")
+
+
 def test_text_ids_follow_lines_over_many_splits(spark, tmp_path):
     path = tmp_path / "big.txt"
     path.write_text("".join(f"22 {i} 1 0 0;\n" if i % 10 else "\n" for i in range(5000)))
