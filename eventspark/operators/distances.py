@@ -14,6 +14,7 @@ from math import comb, factorial, prod
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +84,14 @@ def wasserstein(values: DataFrame, by: Sequence[str], value: str = "value", samp
     is_ref = F.col(sample) == reference
     sound = F.when(_is_finite(value), F.col(value)).otherwise(
         F.raise_error(F.concat(F.lit(f"{value} is not finite in sample "), F.col(sample))).cast("double"))
-    other = F.when(~is_ref, F.col(sample))
+    other = F.when(~is_ref, F.xxhash64(sample))  # a minimum of text would sort the rows instead of counting in a hash map
     points = values.withColumn(value, sound).groupBy(*by, value).agg(
         F.count_if(is_ref).alias("n_ref"), F.count_if(~is_ref).alias("n_gen"), F.min(other).alias("__low"), F.max(other).alias("__high"))
     sums, following = {"upto_ref": F.col("n_ref"), "upto_gen": F.col("n_gen")}, {"next_value": value}
     ranged = ranges(points, [value], by, sums)  # written once: the checks, the totals and the steps read it
     low, high = ranged.agg(F.min("__low"), F.max("__high")).first()
     if low != high:
-        raise ValueError(f"more than one sample beside {reference}: {low}, {high}; compare one at a time")
+        _two_samples(values, sample, reference)  # an error with their names
     totals = ranged.groupBy(*by).agg(F.sum("n_ref").alias("all_ref"), F.sum("n_gen").alias("all_gen"))
     steps = carried(ranged, by, None, sums, following, [*by, value])
     gap = F.abs(F.col("upto_ref") / F.col("all_ref") - F.col("upto_gen") / F.col("all_gen"))
@@ -474,22 +475,27 @@ def coverage_batches(vectors: DataFrame, batch_size: int = 100, seed: int = 0) -
         "*", F.explode(F.when(F.col("is_ref"), F.array(strip(n_ref, 1))).otherwise(everywhere(n_ref))).alias("a")).select(
         "*", F.explode(F.when(F.col("is_ref"), everywhere(n_gen)).otherwise(F.array(strip(n_gen, 2)))).alias("b"))
 
-    def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["is_ref"] == side].sort_values("event_id") for side in (True, False)]
-        ref, gen = sides
-        out = [pd.DataFrame({"is_ref": True, "event_id": ref["event_id"], "d": np.inf, "at": ref["event_id"]})]
+    def nearest(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("event_id")
+        x = group["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        side = group["is_ref"].to_numpy()
+        places = [np.flatnonzero(side), np.flatnonzero(~side)]
+        ids = [group["event_id"].take(pa.array(k)) for k in places]
+        ref, gen = (x[k] for k in places)
+        d, at = [np.full(len(ref), np.inf)], [ids[0]]
         if len(ref) and len(gen):
-            x, y = (np.stack(side["x"].to_list()) for side in sides)
-            distance = np.empty((len(x), len(y)))
-            for lo in range(0, len(x), 16):
-                distance[lo:lo + 16] = np.sqrt(((x[lo:lo + 16, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            out[0]["d"] = distance.min(axis=1)
-            out.append(pd.DataFrame({"is_ref": False, "event_id": gen["event_id"], "d": distance.min(axis=0),
-                                     "at": ref["event_id"].to_numpy()[distance.argmin(axis=0)]}))
-        return pd.concat(out).assign(batch=group["batch"].iloc[0])[["batch", "is_ref", "event_id", "d", "at"]]
+            distance = np.empty((len(ref), len(gen)))
+            for lo in range(0, len(ref), 16):
+                distance[lo:lo + 16] = np.sqrt(((ref[lo:lo + 16, None, :] - gen[None, :, :]) ** 2).sum(axis=2))
+            d = [distance.min(axis=1), distance.min(axis=0)]
+            at.append(ids[0].take(pa.array(distance.argmin(axis=0))))
+        found, n = ids[:len(d)], sum(map(len, d))
+        return pa.table({"batch": group["batch"][:1].take(pa.array(np.zeros(n, np.int64))), "is_ref": np.arange(n) < len(ref),
+                         "event_id": pa.chunked_array([c for f in found for c in f.chunks], group["event_id"].type), "d": np.concatenate(d),
+                         "at": pa.chunked_array([c for f in at for c in f.chunks], group["event_id"].type)})
 
     ident = scaled.schema["event_id"].dataType.simpleString()
-    partial = dealt.groupBy("batch", "a", "b").applyInPandas(nearest, f"batch bigint, is_ref boolean, event_id {ident}, d double, at {ident}")
+    partial = dealt.groupBy("batch", "a", "b").applyInArrow(nearest, f"batch bigint, is_ref boolean, event_id {ident}, d double, at {ident}")
     best = partial.groupBy("batch", "is_ref", "event_id").agg(F.min(F.struct("d", "at")).alias("near"))
     hit, own = F.when(~F.col("is_ref"), F.col("near.at")), F.when(F.col("is_ref"), F.col("near.d"))
     found = best.groupBy("batch").agg(F.count_if("is_ref").alias("n"), F.count_distinct(hit).alias("hit"), F.avg(own).alias("mmd"))

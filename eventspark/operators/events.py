@@ -7,7 +7,7 @@ the text files) needs no shuffle at all for whatever looks at one event only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventspark.functions import kinematics as kin
@@ -86,12 +86,17 @@ def _encodable(p: Column | None = None, eta_limit: float = ETA_LIMIT) -> Column:
     return kin.encodable(get("e"), get("px"), get("py"), get("pz"), eta_limit)
 
 
-def valid_events(particles: DataFrame, eta_limit: float = ETA_LIMIT) -> DataFrame:
+def valid_events(particles: DataFrame, eta_limit: float = ETA_LIMIT, bounded: bool = False) -> DataFrame:
     """Drop every event that has a particle the encoder refuses.
 
     The refused events are a pre-aggregated key list; the anti join leaves the particles where they
-    are when that list is small and splits hot events when it is not.
+    are when that list is small and splits hot events when it is not. ``bounded`` promises that no event
+    outgrows a task: particles that lie together by event are then neither made nor sorted a second time.
     """
+    if bounded:
+        refuses = F.coalesce(~_encodable(eta_limit=eta_limit), F.lit(False))
+        flagged = particles.withColumn("__refused", F.max(refuses).over(Window.partitionBy("event_id")))
+        return flagged.filter(~F.col("__refused") | F.col("event_id").isNull()).drop("__refused")  # null meets nothing in the join either
     refused = particles.filter(~_encodable(eta_limit=eta_limit)).select("event_id").distinct()
     return particles.join(refused, "event_id", "left_anti")
 

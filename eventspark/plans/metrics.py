@@ -17,7 +17,7 @@ BATCHES, COVER = 10, 100
 
 def _jets(spark, sf):
     """(sample, event_id, eta, phi, pt) of the events an encoder accepts."""
-    p = fx.with_sample(ev.with_encoder_variables(ev.valid_events(fx.particles(spark, sf))))
+    p = fx.with_sample(ev.with_encoder_variables(ev.valid_events(fx.particles(spark, sf), bounded=True)))
     return p.select("sample", "event_id", "particle_idx", "eta", "phi", "pt")
 
 

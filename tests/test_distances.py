@@ -198,3 +198,22 @@ def test_metrics_row_of_equal_samples(spark):
             rows.append(("ref" if event % 2 == 0 else "gen", event, eta, phi, pt))
     row = ds.metrics_row(spark.createDataFrame(rows, "sample string, event_id bigint, eta double, phi double, pt double"), 3, 25, digits=6).first()
     assert len(row) == 14 and 0 < row.coverage <= 1 and abs(row.fpd_value) < 0.5 and row.w1p_avg_eta < 0.5
+
+
+def test_metrics_make_the_particles_once_and_count_in_hash_maps(spark, monkeypatch):
+    from eventspark.operators import distances, events
+    from eventspark.plans import fixtures, metrics
+
+    plan = metrics._jets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    particles = fixtures.particles(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, events.valid_events(particles, bounded=True).collect())) == sorted(map(tuple, events.valid_events(particles).collect()))
+
+    seen = []
+    monkeypatch.setattr(distances, "ranges", lambda points, *a: seen.append(points) or ordering_ranges(points, *a))
+    from eventspark.operators.ordering import ranges as ordering_ranges
+    rows = spark.createDataFrame([("ref", "x", 1.0), ("gen", "x", 3.0)], "sample string, feature string, value double")
+    assert distances.wasserstein(rows, ["feature"]).first().w1 == 2.0
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="gen, other"):
+        distances.wasserstein(rows.union(spark.createDataFrame([("other", "x", 1.0)], rows.schema)), ["feature"])
