@@ -25,6 +25,11 @@ def _events(spark, sf):
     return ev.nest_events(fx.particles(spark, sf))
 
 
+def _ordered_events(spark, sf):
+    """Events in range partitions sorted by their id, made once."""
+    return ev.nest_events(fx.particles(spark, sf, in_order=True)).sortWithinPartitions("event_id")
+
+
 def _verbose_events(spark, sf):
     return ev.nest_events(ev.with_polar(fx.particles(spark, sf)), VERBOSE_FIELDS)
 
@@ -54,7 +59,7 @@ def src_event_bin(spark, sf):
 
 def src_token_bin(spark, sf):
     length = tk._longest(spark, sf)
-    encoded = en.encode_events(binary.in_order(_events(spark, sf), "event_id"), V)
+    encoded = en.encode_events(_ordered_events(spark, sf), V)
     metadata = token_files.write_token_file(en.pad_sequences(encoded, length, V), scratch_path(spark, "tokens"), length, V,
                                             PerEventTokenizer.name, order=None)
     return token_files.read_token_file(spark, metadata).select("seq_id", line_of_tokens(F.col("tokens")).alias("tokens"))
@@ -96,7 +101,7 @@ def match_sampled(spark, sf):
 
 def sink_token_bin(spark, sf):
     """Token stream of unpadded events and the stream of their lengths, both read back whole."""
-    encoded = store(en.encode_events(binary.in_order(_events(spark, sf), "event_id"), V), "encoded")
+    encoded = store(en.encode_events(_ordered_events(spark, sf), V), "encoded")
     stream, lengths = scratch_path(spark, "stream"), scratch_path(spark, "lengths")
     binary.write_records(encoded.withColumnRenamed("tokens", "values"), stream, "uint16", 0, "event_id")
     binary.write_token_lengths(en.event_token_lengths(encoded), lengths)
@@ -120,11 +125,12 @@ def sink_event_bin(spark, sf):
 
 def decode_by_name(spark, sf):
     """Both forms of token file, each decoded by the tokenizer that its metadata names."""
-    ordered, out = store(binary.in_order(_events(spark, sf), "event_id"), "events"), None
+    events, out = store(_ordered_events(spark, sf), "events"), None
     for cls, length in ((PerEventTokenizer, tk._longest(spark, sf)), (PackedTokenizer, tk.PACK)):
-        sequences = tokenizer(cls.name, V, length).encode(ordered)
+        by_event = cls is PerEventTokenizer  # encoding row by row keeps the order; packed sequences get one of their own
+        sequences = tokenizer(cls.name, V, length).encode(binary.in_order(events, "event_id") if by_event else events)
         path = scratch_path(spark, "tokens")
-        metadata = token_files.write_token_file(sequences, path, length, V, cls.name, order="event_id" if cls is PerEventTokenizer else "seq_id")
+        metadata = token_files.write_token_file(sequences, path, length, V, cls.name, order=None if by_event else "seq_id")
         file = token_files.TokenFile.read(metadata)
         particles, _ = tokenizer(file.tokenizer_class, V, file.length).decode(token_files.read_token_file(spark, metadata), fx.pdg(spark))
         part = particles.withColumn("form", F.lit(file.tokenizer_class))

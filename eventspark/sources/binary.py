@@ -182,12 +182,13 @@ def in_order(rows: DataFrame, order: str) -> DataFrame:
 def write_records(rows: DataFrame, path: str, dtype: str, width: int, order: str | None, overwrite: bool = False) -> None:
     """Arrays in column ``values``, in the order of a column, as flat binary. Width 0: any length.
 
-    ``order`` None takes the rows as they are: partition by partition, which ``in_order`` prepares. A
+    ``order`` None takes the rows as they are: partition by partition, which ``in_order`` prepares. Otherwise the rows
+    are written once before, so that sampling the order reads one column and makes none of them a second time. A
     folder that holds records already is an error, or is emptied first with ``overwrite``.
     """
     old = _old_parts(path, overwrite)
     register(rows.sparkSession)
-    ordered = rows if order is None else in_order(rows.select(order, "values"), order)
+    ordered = rows if order is None else in_order(store(rows.select(order, "values"), "records"), order)
     (ordered.select(F.lit(0).cast("long").alias("record"), "values")
      .write.format(FORMAT).options(path=path, dtype=dtype, width=width, replace=old).mode("append").save())
 

@@ -152,3 +152,37 @@ def test_a_second_write_never_replaces_records(spark, tmp_path):
     assert binary.read_tokens(spark, path, 1).count() == 40
     binary.write_records(rows(3).withColumnRenamed("tokens", "values"), path, "uint16", 1, "seq_id", overwrite=True)
     assert binary.read_tokens(spark, path, 1).count() == 3
+
+
+def test_ordered_rows_are_made_once(spark, tmp_path):
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def note(batches):
+        import uuid
+
+        for batch in batches:
+            (made / uuid.uuid4().hex).write_text(str(batch.num_rows))
+            yield batch
+
+    rows = spark.range(0, 500, 1, 4).select((499 - F.col("id")).alias("seq_id"), F.array(F.col("id").cast("int")).alias("tokens"))
+    binary.write_tokens(rows.mapInArrow(note, rows.schema), str(tmp_path / "tokens"), 1)
+    assert sum(int(f.read_text()) for f in made.iterdir()) == 500
+    assert [r.tokens[0] for r in binary.read_tokens(spark, str(tmp_path / "tokens"), 1).orderBy("seq_id").collect()] == list(range(499, -1, -1))
+
+
+def test_events_in_order_need_one_exchange(spark):
+    from eventspark.plans import files
+
+    df = files._ordered_events(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+    ids = [r.event_id for r in df.select("event_id").collect()]
+    assert ids == sorted(set(ids)) and flat(df) == flat(files._events(spark, "/root/testdata/sf0.001"))
+
+
+def test_large_tables_are_dealt_to_more_parts(spark, monkeypatch):
+    same = lambda: sorted(map(tuple, fx.particles(spark, "/root/testdata/sf0.001").collect()))
+    before = same()
+    monkeypatch.setattr(fx, "PART_BYTES", 2000)
+    assert fx._parts(fx.table(spark, "/root/testdata/sf0.001", "lineitem"), 8) > 8 and same() == before
