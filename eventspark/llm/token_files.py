@@ -88,16 +88,24 @@ class ChunkEncoder:
         self.spaced = _Memo(self._word)
         self.bare = _Memo(self._chunk)
 
+    def _ids(self, shown: str) -> bytes:
+        return array.array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece[1:] in self.spaced:
+            return self.spaced[piece[1:]]  # a piece is a chunk that its pattern leaves whole
         if piece.isascii() and _COMMON.fullmatch(piece):
-            shown = piece.replace(" ", _STANDS_FOR[32]).replace("\n", _STANDS_FOR[10])
-        else:
-            shown = piece.encode().decode("latin-1").translate(_STANDS_FOR)
-        return array.array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            return self._ids(piece.replace(" ", _STANDS_FOR[32]).replace("\n", _STANDS_FOR[10]))
+        return self._ids(piece.encode().decode("latin-1").translate(_STANDS_FOR))
 
     def _word(self, word: str) -> bytes:
-        chunk = " " + word
-        return self.pieces[chunk] if word.isalpha() and self.known and _COMMON.fullmatch(word) else self._chunk(chunk)
+        """Ids of a word and the space before it. Plain letters are one piece, which is not remembered a second time."""
+        if self.known and word.isalpha():
+            if word.isascii():
+                return self._ids(_STANDS_FOR[32] + word)
+            if _COMMON.fullmatch(word):
+                return self._ids((" " + word).encode().decode("latin-1").translate(_STANDS_FOR))
+        return self._chunk(" " + word)
 
     def _chunk(self, chunk: str) -> bytes:
         if not self.known or not _COMMON.fullmatch(chunk):

@@ -138,3 +138,16 @@ def test_other_tokenizer_settings_go_to_the_library(tmp_path):
         tokenizer.save(path)
         got = tf.ChunkEncoder(path).encode(texts)
         assert [np.frombuffer(x, "<i4").tolist()[:-1] for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_remembered_once():
+    import array
+
+    import public_tokenizers
+    from eventspark.llm.token_files import ChunkEncoder
+
+    encoder = ChunkEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["the word, the word word. été word's", "  two  spaces\n word", "a 12 12, x1 ² 日本 word", ""]
+    ids = [array.array("i", [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2]).tobytes() for t in texts]
+    assert encoder.encode(texts) == ids and encoder.encode(texts) == ids
+    assert {"the", "word", "été"} & set(encoder.spaced) and not {" the", " été"} & set(encoder.pieces)
