@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventspark.llm.common import texts_at_once
 from eventspark.scratch import scratch_path
 
 END_ID = 2
@@ -26,7 +28,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 MEMO_CHUNKS = 1_200_000
-BATCH_CHARS = 4 << 20
+BATCH_BYTES = 4 << 20
 
 # white space other than the plain space and the line end
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -67,12 +69,69 @@ _STANDS_FOR = {b: chr(b) for b in _SHOWN} | {
 _COMMON = re.compile("[\n\x20-\x7e\xa1-\u024f]*")
 
 
+# Class of a byte: a letter's later byte is a letter; of C2 and what follows it, and of the signs among the letters of C3, the
+# pattern's class is left open. Bytes of no common character are rare.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OPEN, _RARE, _QUOTE, _LINE = range(8)
+_CLASS = np.full(256, _RARE, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = _LETTER
+_CLASS[48:58], _CLASS[0xC2], _CLASS[32], _CLASS[39], _CLASS[10] = _DIGIT, _OPEN, _SPACE, _QUOTE, _LINE
+_CLASS_OF = _CLASS.tobytes()
+_AFTER_LINE = 2
+
+
+def _cut_between(a: int, b: int) -> int:
+    """1 where the pattern always begins a token between characters of two classes, 2 if a line end's place decides.
+
+    No token has white space behind another character, none goes on behind its run of letters or digits, and none of
+    signs goes on into letters but a quote's.
+    """
+    if a in (_SPACE, _RARE) or b == _RARE:
+        return 0
+    if a == _LINE:
+        return 0 if b in (_SPACE, _LINE) else _AFTER_LINE
+    if b in (_SPACE, _LINE):
+        return 1
+    if _OPEN in (a, b) or (a == _QUOTE and b == _LETTER):
+        return 0
+    return int((_SIGN if a == _QUOTE else a) != (_SIGN if b == _QUOTE else b))
+
+
+_CUT_OF = bytes(_cut_between(k >> 3, k & 7) if k < 64 else 0 for k in range(256))
+
+
+def _classes(data: bytes) -> np.ndarray:
+    """Class of each byte of texts in UTF-8."""
+    found = np.frombuffer(data.translate(_CLASS_OF), np.uint8)
+    if b"\xc2" not in data and b"\xc3\x97" not in data and b"\xc3\xb7" not in data:
+        return found
+    found, bytes_ = found.copy(), np.frombuffer(data, np.uint8)
+    first = np.flatnonzero(bytes_[:-1] == 0xC2)
+    found[first + 1] = np.where(bytes_[first + 1] > 0xA0, _OPEN, _RARE)
+    first = np.flatnonzero(bytes_[:-1] == 0xC3)
+    first = first[np.isin(bytes_[first + 1], (0x97, 0xB7))]
+    found[first] = found[first + 1] = _OPEN
+    return found
+
+
+def _chunk_starts(classes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts that lie one behind the other and begin at ``texts``."""
+    cut = np.zeros(len(classes), np.uint8)
+    cut[1:] = np.frombuffer(((classes[:-1] << 3) | classes[1:]).tobytes().translate(_CUT_OF), np.uint8)
+    lines = np.flatnonzero(cut == _AFTER_LINE)  # a single line end is a token, of several the last one is
+    before = classes[np.maximum(lines - 2, 0)]
+    cut[lines[(before == _SPACE) | (before == _LINE)]] = 0
+    cut[texts] = 1
+    return np.flatnonzero(cut)
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
-    A chunk is cut by the tokenizer's pattern and its pieces go to the library's model; a chunk with rare
-    characters, and a text with added tokens, go to the library whole. So do all texts if the tokenizer is
-    not one whose settings are known to allow such cuts.
+    Texts are cut where the tokenizer's pattern always begins a token, some megabytes at a time, and each distinct
+    chunk there is looked up once. A chunk is cut by the pattern and its pieces go to the library's model. A text with rare
+    characters is cut between words, and its chunks with such characters go to the library whole, as does a text with added
+    tokens. So do all texts if the tokenizer is not one whose settings are known to allow such cuts.
     """
 
     def __init__(self, path: str):
@@ -108,6 +167,8 @@ class ChunkEncoder:
         return self._chunk(" " + word)
 
     def _chunk(self, chunk: str) -> bytes:
+        if self.known and chunk.isascii() and chunk.isalpha():
+            return self._ids(chunk)
         if not self.known or not _COMMON.fullmatch(chunk):
             return array.array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, _PATTERN.findall(chunk)))
@@ -121,15 +182,66 @@ class ChunkEncoder:
         first = self.bare[words[0]] if words[0] else b""
         return first + b"".join(map(self.spaced.__getitem__, words[1:]))
 
+    def _by_itself(self, texts: pa.Array, data: bytes, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that are not cut with the others."""
+        if not self.known:
+            return np.arange(len(texts))
+        found = [np.searchsorted(offsets, np.flatnonzero(classes == _RARE), "right") - 1]
+        for added in self.added:
+            if added.encode() in data:
+                found.append(np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)))
+        return np.unique(np.concatenate(found))
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text and the end id; null texts count as empty."""
+        if len(self.spaced) + len(self.bare) + len(self.pieces) > MEMO_CHUNKS:
+            for memo in (self.spaced, self.bare, self.pieces):
+                memo.clear()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        data, offsets = _utf8(texts)
+        classes = _classes(data)
+        apart = self._by_itself(texts, data, offsets, classes)
+        # codes: distinct chunks, the end of a text, then texts encoded by themselves with their end
+        end = array.array("i", [END_ID]).tobytes()
+        alone = [self._text(t) + end for t in texts.take(pa.array(apart)).to_pylist()]
+        if alone:
+            emptied = np.zeros(len(texts), bool)
+            emptied[apart] = True
+            data, offsets = _utf8(pc.if_else(pa.array(emptied), "", texts))
+            classes = _classes(data)
+        starts = _chunk_starts(classes, offsets[:-1][offsets[1:] > offsets[:-1]])
+        chunks_ = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+        coded = chunks_.dictionary_encode()
+        spaced, bare = self.spaced, self.bare
+        found = [spaced[c[1:]] if c[0] == " " else bare[c] for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ends = np.full(len(texts), len(found), np.int32)
+        ends[apart] = len(found) + 1 + np.arange(len(apart))
+        found += [end, *alone]
+
+        at = np.searchsorted(starts, offsets[1:])
+        codes = np.insert(coded.indices.to_numpy(), at, ends)
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        sizes_of = sizes[codes]
+        upto = np.cumsum(sizes_of, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[codes] - (upto - sizes_of)
+        ids = np.frombuffer(b"".join(found), "<i4")[np.repeat(shift, sizes_of) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
+        lists = np.append(np.int32(0), upto[at + np.arange(len(at))])
+        return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(ids, pa.int32()))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        end, out = array.array("i", [END_ID]).tobytes(), []
-        for text in texts:
-            if len(self.spaced) + len(self.bare) + len(self.pieces) > MEMO_CHUNKS:
-                for memo in (self.spaced, self.bare, self.pieces):
-                    memo.clear()
-            out.append(self._text(text) + end)
-        return out
+        found = self.encode_array(pa.array(texts, pa.string()))
+        flat, ends = found.values.to_numpy(), found.offsets.to_numpy()
+        return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _utf8(texts: pa.StringArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of texts that lie one behind the other, and where each begins, with the end of the last."""
+    if not len(texts):
+        return b"", np.zeros(1, np.int32)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    return (data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""), offsets - offsets[0]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}  # of this Python worker
@@ -144,11 +256,6 @@ def _encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _lists(found: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
-
-
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, part, part_start, n_tokens, ids) for rows of ``docs(doc_id, text)`` in their order.
 
@@ -157,19 +264,14 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(tokenizer), 0
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            lo = chars = 0
-            for k, t in enumerate(texts):
-                chars += len(t)
-                if chars >= BATCH_CHARS or k + 1 == len(texts):
-                    found = encoder.encode(texts[lo:k + 1])
-                    sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-                    starts = before + np.cumsum(sizes) - sizes
-                    before += int(sizes.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(lo, k + 1 - lo), pa.array(starts), pa.array(sizes), _lists(found)],
-                        names=["doc_id", "part_start", "n_tokens", "ids"])
-                    lo, chars = k + 1, 0
+            for lo, hi in texts_at_once(batch.column("text"), BATCH_BYTES):
+                found = encoder.encode_array(batch.column("text").slice(lo, hi - lo))
+                sizes = np.diff(found.offsets.to_numpy()).astype(np.int64)
+                starts = before + np.cumsum(sizes) - sizes
+                before += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(starts), pa.array(sizes), found],
+                    names=["doc_id", "part_start", "n_tokens", "ids"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part_start long, n_tokens long, ids array<int>")
     return out.select("doc_id", F.spark_partition_id().alias("part"), "part_start", "n_tokens", "ids")

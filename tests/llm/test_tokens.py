@@ -151,3 +151,32 @@ def test_a_word_is_remembered_once():
     ids = [array.array("i", [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2]).tobytes() for t in texts]
     assert encoder.encode(texts) == ids and encoder.encode(texts) == ids
     assert {"the", "word", "été"} & set(encoder.spaced) and not {" the", " été"} & set(encoder.pieces)
+
+
+def test_words_are_looked_up_without_their_signs_and_lines():
+    encoder = tf.ChunkEncoder(BPE)
+    texts = ["a word. word, (word)\nword's word12 2word\n\nword ¿word? étéword×", "", "word!\n", "'word ''s don't 'll"] * 5
+    want = [e.ids + [2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == want
+    # before, every word with what stood around it was a chunk of its own
+    assert "word" in encoder.spaced and not [c for c in encoder.spaced if c[:4] == "word" and c != "word"]
+    assert "word" in encoder.bare and "(word)\nword's" not in encoder.spaced
+
+
+def test_cuts_of_common_texts_are_those_of_the_pattern():
+    import itertools
+
+    encoder = tf.ChunkEncoder(BPE)
+    texts = ["".join(t) for t in itertools.product("as1'. \né²×ȿ", repeat=4)] + [f"a{chr(k)}'s" for k in range(1, 0x300)]
+    want = [e.ids + [2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == want
+
+
+def test_blocks_of_texts_with_nulls_and_rare_characters():
+    import pyarrow as pa
+
+    encoder = tf.ChunkEncoder(BPE)
+    texts = ["out", None, "two  words", "日本 word", "", "<|endoftext|>x", None, "a\n\n\nb", "out"]
+    got = encoder.encode_array(pa.array(texts).slice(1, 7))
+    assert got.to_pylist() == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts[1:8]]
+    assert encoder.encode_array(pa.array([], pa.string())).to_pylist() == []
