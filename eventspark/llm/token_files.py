@@ -30,24 +30,6 @@ PAGE_ROWS = 2000
 MEMO_CHUNKS = 1_200_000
 BATCH_BYTES = 4 << 20
 
-# white space other than the plain space and the line end
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-# between a character that is no white space and a single space before another such character
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-def chunks(text: str) -> tuple[list[str], list[str] | None]:
-    """Parts of a text that a byte-level tokenizer encodes one by one as it does the whole.
-
-    Its pattern lets a single space begin a token and never end one, so a text can be cut in front of a
-    single space between two characters that are no white space. The usual text has no other white space
-    beside a space: then these are the words between spaces, and the second value is None. Otherwise the
-    second value has the parts with their spaces.
-    """
-    if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
-        return [], _CUT.split(text)
-    return text.split(" "), None
-
 
 class _Memo(dict):
     """Ids of chunks, encoded when they are first asked for."""
@@ -70,7 +52,7 @@ _COMMON = re.compile("[\n\x20-\x7e\xa1-\u024f]*")
 
 
 # Class of a byte: a letter's later byte is a letter; of C2 and what follows it, and of the signs among the letters of C3, the
-# pattern's class is left open. Bytes of no common character are rare.
+# pattern's class is left open. Bytes of no common character are rare: what stands beside one is not cut from it.
 _SPACE, _LETTER, _DIGIT, _SIGN, _OPEN, _RARE, _QUOTE, _LINE = range(8)
 _CLASS = np.full(256, _RARE, np.uint8)
 _CLASS[33:127] = _SIGN
@@ -103,14 +85,18 @@ _CUT_OF = bytes(_cut_between(k >> 3, k & 7) if k < 64 else 0 for k in range(256)
 def _classes(data: bytes) -> np.ndarray:
     """Class of each byte of texts in UTF-8."""
     found = np.frombuffer(data.translate(_CLASS_OF), np.uint8)
-    if b"\xc2" not in data and b"\xc3\x97" not in data and b"\xc3\xb7" not in data:
+    if data.isascii():
         return found
     found, bytes_ = found.copy(), np.frombuffer(data, np.uint8)
     first = np.flatnonzero(bytes_[:-1] == 0xC2)
-    found[first + 1] = np.where(bytes_[first + 1] > 0xA0, _OPEN, _RARE)
+    found[first] = found[first + 1] = np.where(bytes_[first + 1] > 0xA0, _OPEN, _RARE)
     first = np.flatnonzero(bytes_[:-1] == 0xC3)
     first = first[np.isin(bytes_[first + 1], (0x97, 0xB7))]
     found[first] = found[first + 1] = _OPEN
+    first = np.flatnonzero(bytes_ > 0xC8)
+    for later, least in ((1, 0xC9), (2, 0xE0), (3, 0xF0)):
+        first = first[bytes_[first] >= least]
+        found[first + later] = _RARE
     return found
 
 
@@ -120,7 +106,7 @@ def _chunk_starts(classes: np.ndarray, texts: np.ndarray) -> np.ndarray:
     cut[1:] = np.frombuffer(((classes[:-1] << 3) | classes[1:]).tobytes().translate(_CUT_OF), np.uint8)
     lines = np.flatnonzero(cut == _AFTER_LINE)  # a single line end is a token, of several the last one is
     before = classes[np.maximum(lines - 2, 0)]
-    cut[lines[(before == _SPACE) | (before == _LINE)]] = 0
+    cut[lines[np.isin(before, (_SPACE, _LINE, _RARE))]] = 0
     cut[texts] = 1
     return np.flatnonzero(cut)
 
@@ -129,9 +115,9 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
     Texts are cut where the tokenizer's pattern always begins a token, some megabytes at a time, and each distinct
-    chunk there is looked up once. A chunk is cut by the pattern and its pieces go to the library's model. A text with rare
-    characters is cut between words, and its chunks with such characters go to the library whole, as does a text with added
-    tokens. So do all texts if the tokenizer is not one whose settings are known to allow such cuts.
+    chunk there is looked up once. A chunk is cut by the pattern and its pieces go to the library's model; a chunk with rare
+    characters, and a text with added tokens, go to the library whole. So do all texts if the tokenizer is not one whose
+    settings are known to allow such cuts.
     """
 
     def __init__(self, path: str):
@@ -150,6 +136,9 @@ class ChunkEncoder:
     def _ids(self, shown: str) -> bytes:
         return array.array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _library(self, text: str) -> bytes:
+        return array.array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if piece[0] == " " and piece[1:] in self.spaced:
             return self.spaced[piece[1:]]  # a piece is a chunk that its pattern leaves whole
@@ -170,27 +159,17 @@ class ChunkEncoder:
         if self.known and chunk.isascii() and chunk.isalpha():
             return self._ids(chunk)
         if not self.known or not _COMMON.fullmatch(chunk):
-            return array.array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            return self._library(chunk)
         return b"".join(map(self.pieces.__getitem__, _PATTERN.findall(chunk)))
 
-    def _text(self, text: str) -> bytes:
-        if not self.known or any(a in text for a in self.added):
-            return array.array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        words, parts = chunks(text)
-        if parts is not None:
-            return b"".join([self.spaced[p[1:]] if p[:1] == " " else self.bare[p] for p in parts])
-        first = self.bare[words[0]] if words[0] else b""
-        return first + b"".join(map(self.spaced.__getitem__, words[1:]))
-
-    def _by_itself(self, texts: pa.Array, data: bytes, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Numbers of the texts that are not cut with the others."""
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Numbers of the texts that go to the library whole."""
         if not self.known:
             return np.arange(len(texts))
-        found = [np.searchsorted(offsets, np.flatnonzero(classes == _RARE), "right") - 1]
+        found = np.zeros(len(texts), bool)
         for added in self.added:
-            if added.encode() in data:
-                found.append(np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)))
-        return np.unique(np.concatenate(found))
+            found |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
 
     def encode_array(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text and the end id; null texts count as empty."""
@@ -198,25 +177,24 @@ class ChunkEncoder:
             for memo in (self.spaced, self.bare, self.pieces):
                 memo.clear()
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        data, offsets = _utf8(texts)
-        classes = _classes(data)
-        apart = self._by_itself(texts, data, offsets, classes)
-        # codes: distinct chunks, the end of a text, then texts encoded by themselves with their end
+        whole = self._whole(texts)
+        # codes: distinct chunks, the end of a text, then whole texts with their end
         end = array.array("i", [END_ID]).tobytes()
-        alone = [self._text(t) + end for t in texts.take(pa.array(apart)).to_pylist()]
-        if alone:
+        encoded = [self._library(t) + end for t in texts.take(pa.array(whole)).to_pylist()]
+        if encoded:
             emptied = np.zeros(len(texts), bool)
-            emptied[apart] = True
-            data, offsets = _utf8(pc.if_else(pa.array(emptied), "", texts))
-            classes = _classes(data)
+            emptied[whole] = True
+            texts = pc.if_else(pa.array(emptied), "", texts)
+        data, offsets = _utf8(texts)
+        classes = _classes(data)
         starts = _chunk_starts(classes, offsets[:-1][offsets[1:] > offsets[:-1]])
         chunks_ = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
         coded = chunks_.dictionary_encode()
         spaced, bare = self.spaced, self.bare
         found = [spaced[c[1:]] if c[0] == " " else bare[c] for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         ends = np.full(len(texts), len(found), np.int32)
-        ends[apart] = len(found) + 1 + np.arange(len(apart))
-        found += [end, *alone]
+        ends[whole] = len(found) + 1 + np.arange(len(whole))
+        found += [end, *encoded]
 
         at = np.searchsorted(starts, offsets[1:])
         codes = np.insert(coded.indices.to_numpy(), at, ends)

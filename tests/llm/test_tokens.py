@@ -180,3 +180,15 @@ def test_blocks_of_texts_with_nulls_and_rare_characters():
     got = encoder.encode_array(pa.array(texts).slice(1, 7))
     assert got.to_pylist() == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts[1:8]]
     assert encoder.encode_array(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_texts_with_rare_characters_are_cut_too():
+    import itertools
+
+    encoder = tf.ChunkEncoder(BPE)
+    texts = ["".join(t) for t in itertools.product("as1'. \né²中\u3000🤖\u0301\t\xa0", repeat=4)]
+    want = [e.ids + [2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == want
+    encoder = tf.ChunkEncoder(BPE)
+    encoder.encode(["some words. “quoted” words, 中"])
+    assert {"some", "words"} <= set(encoder.spaced) | set(encoder.bare) and not {"words.", "words,"} & set(encoder.spaced)
